@@ -1,9 +1,9 @@
 """All queries outside the subpackage for training data, and their SQL."""
 
-from millrace.operators import funnels
+from millrace.operators import funnels, relational
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (funnels,):
+for _module in (funnels, relational):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
