@@ -15,7 +15,7 @@ STAGES = (("view", 0), ("click", 1), ("signup", 2), ("purchase", 3))
 def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users by their deepest stage, users who reached each stage, and the step conversion (4 digits, half up)."""
     deepest = load(spark, sf_dir, "events").groupBy("user_id").agg(*(F.max((F.col("event_type") == s).cast("int")).alias(s) for s, _ in STAGES))
-    counts = deepest.agg(*(F.sum(F.greatest(*(F.col(t) for t, e in STAGES if e >= d))).cast("long").alias(s) for s, d in STAGES))
+    counts = deepest.agg(*(F.sum(F.greatest(F.lit(0), *(F.col(t) for t, e in STAGES if e >= d))).cast("long").alias(s) for s, d in STAGES))
     reached = F.array(*(F.struct(F.lit(s).alias("stage"), F.lit(d).alias("depth"), F.coalesce(F.col(s), F.lit(0)).alias("reached"), (F.coalesce(F.col(STAGES[d - 1][0]), F.lit(0)) if d else F.lit(None).cast("long")).alias("previous"), (F.coalesce(F.col(STAGES[d + 1][0]), F.lit(0)) if d < 3 else F.lit(0)).alias("deeper")) for s, d in STAGES))
     rows = counts.select(F.inline(reached))
     share = F.when(F.col("previous") > 0, F.floor(F.col("reached") / F.col("previous") * 10000 + 0.5) / 10000).otherwise(0.0)

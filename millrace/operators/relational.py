@@ -209,7 +209,7 @@ def intervals(spark: SparkSession, d: str) -> DataFrame:
 INTERVAL_SQL = "i AS (SELECT o_custkey, o_orderkey, o_orderdate AS start_ts, LEAD(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS end_ts FROM orders)"
 
 
-@catalog.query("join_valid_at", f"WITH {INTERVAL_SQL}, q AS (SELECT c_custkey, TIMESTAMP '1997-01-01' + INTERVAL 1 DAY * (c_custkey % 700) AS at FROM customer) SELECT c_custkey, o_orderkey FROM q JOIN i ON c_custkey = o_custkey AND start_ts <= at AND (end_ts IS NULL OR end_ts >= at)")
+@catalog.query("join_valid_at", f"WITH {INTERVAL_SQL}, q AS (SELECT c_custkey, TIMESTAMP '1997-01-01' + INTERVAL 1 DAY * (c_custkey % 700) AS seen FROM customer) SELECT c_custkey, o_orderkey FROM q JOIN i ON c_custkey = o_custkey AND start_ts <= seen AND (end_ts IS NULL OR end_ts >= seen)")
 def join_valid_at(spark: SparkSession, d: str) -> DataFrame:
     q = load(spark, d, "customer").select("c_custkey", F.expr("timestamp_ntz'1997-01-01' + make_dt_interval(cast(c_custkey % 700 as int))").alias("at"))
     i = intervals(spark, d)

@@ -1,9 +1,9 @@
 """All queries outside the subpackage for training data, and their SQL."""
 
-from millrace.operators import funnels, relational
+from millrace.operators import funnels, lifecycle, relational, scoring, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (funnels, relational):
+for _module in (funnels, relational, texts, scoring, lifecycle):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
