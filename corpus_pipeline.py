@@ -1,14 +1,66 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's input.
+
+Every stage works on all documents that the one before has kept, and returns the columns of `documents`.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import decontaminate, langid, mixing, simhash, substring
+from millrace.llm.common import fold_of, read, written
+
+#: Documents whose best language needs nearly as many phrases as the next are rejected; 0.5 would mean a tie.
+LEAST_SCORE = 0.51
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go: no letters, or no language clearly ahead."""
+    samples = langid.labelled_samples(docs.where(fold_of("doc_id", 4) != 2))
+    found = langid.identify(docs, samples, keep=tuple(c for c in docs.columns if c not in ("doc_id",)))
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(docs.columns)
+
+
+def by_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest id."""
+    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+
+
+def by_substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words that a document with a smaller id has go; documents left empty go with them."""
+    kept = substring.substring_dedup(docs).where("n_removed > 0").select("doc_id", "kept_text")
+    text = F.coalesce("kept_text", "text")
+    out = docs.join(kept, "doc_id", "left").where(F.col("kept_text").isNull() | (F.col("kept_text") != ""))
+    return out.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(docs.columns)
+
+
+def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item leaks go."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def by_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sample whose tokens have the target shares of source, language and topic."""
+    return mixing.mix(docs).select(docs.columns)
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", by_language),
+    ("SimHash near-dedup", by_simhash),
+    ("substring dedup", by_substring),
+    ("benchmark decontamination", by_benchmark),
+    ("mixing sources to target weights", by_mixture),
+]
+#: Fingerprints, cross-parsing and substring runs have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that all stages keep."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = read(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs)
     return docs

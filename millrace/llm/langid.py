@@ -73,7 +73,7 @@ class CrossParser:
     def __init__(self, samples: dict[str, bytes]):
         self.langs = list(samples)
         seqs = [letters_only(s) for s in samples.values()]
-        seen = np.bincount(np.concatenate(seqs), minlength=256)
+        seen = np.bincount(np.concatenate([*seqs, np.zeros(0, np.uint8)]), minlength=256)
         common = [int(b) for b in np.argsort(-seen, kind="stable")[:63] if seen[b]]
         #: Symbol of each byte; the last symbol stands for bytes that the samples lack.
         self.width = len(common) + 1
@@ -173,10 +173,12 @@ def identify(docs: DataFrame, samples: dict[str, bytes], ident: str = "doc_id",
             _parsers[own] = CrossParser(dict(own))
         for batch in batches:
             langs, scores = _parsers[own].predict(batch.column(0).to_pylist())
-            yield pa.record_batch([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[ident, *keep, "lang_pred", "score"])
+            same = batch.columns[:1] if text in keep else []
+            yield pa.record_batch([*batch.columns[1:], *same, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
 
-    chosen = docs.select(F.col(text).alias("text_"), ident, *keep)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]]
+    chosen = docs.select(F.col(text).alias("text_"), ident, *(k for k in keep if k != text))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]] + ([f"`{text}` string"] if text in keep else [])
+    names = [*chosen.columns[1:], *([text] if text in keep else []), "lang_pred", "score"]
     return chosen.mapInArrow(work, ", ".join([*kinds, "lang_pred string", "score double"]))
 
 
