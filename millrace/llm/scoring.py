@@ -18,17 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import fold_of, written
 
-DEPTH = 4
+DEPTH = 5
 #: Bytes of text in a block, about.
-BLOCK = 12_000_000
+BLOCK = 24_000_000
 END = b"\n"
-#: A string of DEPTH + 1 bytes, the oldest first, in the low bits of a long.
-CODE_BITS = 8 * (DEPTH + 1)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -72,55 +71,116 @@ def counted(texts: list[str | None], learn: list[bool]) -> tuple[dict[bytes, int
     return words, code, np.bincount(where, np.concatenate(ns), len(code)).astype(np.int64)
 
 
-def log_gamma(x: Column) -> Column:
+def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln of the gamma function for x >= 1/2: eight steps up, then Stirling's series."""
-    x = x.cast("double")
     y = x + 8
-    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
-    product = x
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    product = x.copy()
     for k in range(1, 8):
-        product = product * (x + k)
-    return (y - 0.5) * F.log(y) - y + F.lit(0.9189385332046727) + series - F.log(product)
+        product *= x + k
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + series - np.log(product)
+
+
+class Level:
+    """Nodes of one depth: their counts, the weight of their own estimate, and their weighted probability."""
+
+    def __init__(self, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None):
+        self.zeros, self.ones = zeros, ones
+        both = zeros + ones
+        own = log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(both + 1) - np.log(np.pi)
+        #: Krichevsky and Trofimov's probability of a one, next.
+        self.one = (ones + 0.5) / (both + 1)
+        if below is None:
+            self.weight, self.log = np.ones(len(own)), own
+        else:
+            self.weight, self.log = 1 / (1 + np.exp(np.minimum(below - own, 700))), np.logaddexp(own, below) - np.log(2)
+
+
+def decisions(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The eight decisions of each string's last byte: node of the byte's tree, and bit."""
+    k = np.arange(8)
+    last = (code & 255)[:, None]
+    return (1 << k) + (last >> (8 - k)), (last >> (7 - k)) & 1
+
+
+def subtree(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, Level]:
+    """For strings whose contexts end in the same two bytes: what nodes from depth two on predict for each of
+    their last bytes' bits, and the nodes of depth two with their level."""
+    node, bit = decisions(code)
+    key, leaf = np.unique(((code >> 8)[:, None] << 8 | node).reshape(-1), return_inverse=True)
+    count = np.repeat(n, 8)
+    ones = np.bincount(leaf, count * bit.reshape(-1), len(key))
+    level = Level(np.bincount(leaf, count, len(key)) - ones, ones, None)
+    q, at = level.one.copy(), np.arange(len(key))
+    for depth in range(DEPTH - 1, 1, -1):
+        key, up = np.unique(key & ((1 << (8 * depth + 8)) - 1), return_inverse=True)
+        sums = [np.bincount(up, x, len(key)) for x in (level.zeros, level.ones, level.log)]
+        level, at = Level(*sums), up[at]
+        q = level.weight[at] * level.one[at] + (1 - level.weight[at]) * q
+    q = q[leaf].reshape(-1, 8)
+    return np.where(bit == 1, q, 1 - q), key, level
 
 
-def estimate(zeros: Column, ones: Column) -> Column:
-    """ln of the Krichevsky-Trofimov probability of so many zeros and ones."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - F.lit(1.1447298858494002)
-
+def predictions(codes: DataFrame) -> DataFrame:
+    """Per string: the log10 probability of its last byte after the others. codes: code, n (training count, 0 allowed)."""
 
-def decisions(codes: DataFrame) -> DataFrame:
-    """The eight decisions of each string's last byte: context, node of the byte's tree, bit."""
-    last = F.col("code").bitwiseAND(255)
-    eight = F.array(*(F.struct((F.lit(1 << k).cast("long") + F.shiftright(last, 8 - k)).alias("node"), F.shiftright(last, 7 - k).bitwiseAND(1).alias("bit")) for k in range(8)))
-    return codes.withColumn("d", F.explode(eight)).select(*codes.columns, F.shiftright("code", 8).alias("ctx"), "d.node", "d.bit")
+    def branch(table: pa.Table) -> pa.Table:
+        code, n = (np.asarray(table.column(c), np.int64) for c in ("code", "n"))
+        q, key, level = subtree(code, n)
+        m, k = len(code), len(key)
+        pad = lambda x, before, after: pa.array(np.concatenate([np.zeros(before, x.dtype), x, np.zeros(after, x.dtype)]))
+        size = np.r_[0, np.cumsum(np.r_[np.full(m, 8), np.zeros(k, int)])].astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(size), pa.array(q.reshape(-1)))
+        return pa.table([pad(code, 0, k), lists, pad(key, m, 0), pad(level.zeros, m, 0), pad(level.ones, m, 0), pad(level.log, m, 0)], names=["code", "q", "key", "zeros", "ones", "log"])
+
+    suffix = F.shiftright("code", 8).bitwiseAND(0xFFFF).alias("suffix")
+    found = written(codes.select("code", "n", suffix).groupBy("suffix").applyInArrow(branch, "code long, q array<double>, key long, zeros double, ones double, log double"))
+    # contexts of one byte and of none: 256 times 255 nodes at most, whatever the corpus
+    top = found.where("size(q) = 0").groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log").alias("log")).toPandas().sort_values("key")
+    key = top.key.to_numpy(np.int64)
+    one = Level(*(top[c].to_numpy(np.float64) for c in ("zeros", "ones", "log")))
+    root_key, up = np.unique(key & 255, return_inverse=True)
+    root = Level(*(np.bincount(up, x, len(root_key)) for x in (one.zeros, one.ones, one.log)))
+    sure, rest = np.zeros(1 << 16), np.zeros(1 << 16)
+    w0 = root.weight[up]
+    sure[key] = w0 * root.one[up] + (1 - w0) * one.weight * one.one
+    rest[key] = (1 - w0) * (1 - one.weight)
+    shared = codes.sparkSession.sparkContext.broadcast((sure, rest))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sure, rest = shared.value
+        for batch in batches:
+            code = np.asarray(batch.column(0), np.int64)
+            node, bit = decisions(code)
+            at = (code >> 8 & 255)[:, None] << 8 | node
+            a = np.where(bit == 1, sure[at], 1 - rest[at] - sure[at])
+            p = a + rest[at] * np.asarray(batch.column(1).flatten(), np.float64).reshape(-1, 8)
+            yield pa.record_batch([batch.column(0), pa.array(np.log10(p).sum(1))], names=["code", "logp"])
+
+    return found.where("size(q) > 0").select("code", "q").mapInArrow(finish, "code long, logp double")
+
+
+class Lookup:
+    """Values of codes: a table at hashed places, and a search for the few codes whose place is another's."""
+
+    def __init__(self, code: np.ndarray, value: np.ndarray):
+        order = np.argsort(code)
+        self.code, self.value = code[order], value[order]
+        self.shift = np.uint64(64 - max(4, int(np.ceil(np.log2(len(code) + 1))) + 2))
+        at = self.place(self.code)
+        self.held = np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        self.at = np.zeros(len(self.held))
+        self.held[at] = self.code
+        self.at[at] = self.value
 
+    def place(self, code: np.ndarray) -> np.ndarray:
+        return (code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
 
-def predictions(codes: DataFrame) -> DataFrame:
-    """Per string: the log10 probability of its last byte after the others. codes: code, n (training count, 0 allowed)."""
-    leaf = decisions(codes).groupBy("ctx", "node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("ones"))
-    pe = estimate(F.col("zeros"), F.col("ones"))
-    level = written(leaf.withColumn("pw", pe))
-    levels = [level]
-    for depth in range(DEPTH - 1, -1, -1):  # upwards: a node's counts and the product of its children's probabilities
-        mask = (1 << (8 * depth)) - 1
-        up = levels[-1].groupBy(F.col("ctx").bitwiseAND(mask).alias("ctx"), "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("pw").alias("below"))
-        up = up.withColumn("pe", pe)
-        # the mean of both, and how much of it is the node's own
-        high, low = F.greatest("pe", "below"), F.least("pe", "below")
-        up = up.withColumn("pw", high + F.log1p(F.exp(low - high)) - F.lit(0.6931471805599453)).withColumn("own", 1 / (1 + F.exp(F.least(F.col("below") - F.col("pe"), F.lit(700.0)))))
-        levels.append(written(up.drop("pe", "below")))
-    one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)
-    known = levels[-1].select(F.col("ctx").alias("above"), "node", (F.col("own") * one).alias("p"), (1 - F.col("own")).alias("rest"))
-    for depth in range(1, DEPTH + 1):  # downwards: the mixture so far and what is left for deeper nodes
-        at = levels[DEPTH - depth]
-        own = F.col("own") if depth < DEPTH else F.lit(1.0)
-        mask = (1 << (8 * (depth - 1))) - 1
-        at = at.withColumn("above", F.col("ctx").bitwiseAND(mask))
-        at = at.select("above", "node", "ctx", (own * one).alias("q"), (1 - own).alias("r"))
-        known = at.join(known, ["above", "node"]).select(F.col("ctx").alias("above"), "node", (F.col("p") + F.col("rest") * F.col("q")).alias("p"), (F.col("rest") * F.col("r")).alias("rest"))
-    final = known.select(F.col("above").alias("ctx"), "node", "p")
-    p = F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p"))
-    return decisions(codes.select("code")).join(final, ["ctx", "node"]).groupBy("code").agg(F.sum(F.log10(p)).alias("logp"))
+    def sum(self, code: np.ndarray) -> float:
+        at = self.place(code)
+        missed = self.held[at] != code
+        total = self.at[at[~missed]].sum()
+        return float(total + self.value[np.searchsorted(self.code, code[missed])].sum())
 
 
 def scores(docs: DataFrame, folds: int = 5, held: int = 1, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -130,19 +190,14 @@ def scores(docs: DataFrame, folds: int = 5, held: int = 1, ident: str = "doc_id"
     blocks = max(1, -(-size // BLOCK))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(blocks)).cast("int"))
 
-    def gather(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups:
-            learn = [not h for h in table.column("held").to_pylist()]
-            words, code, n = counted(table.column("text").to_pylist(), learn)
-            block = table.column("block")[0].as_py()
-            k, m = len(words), len(code)
-            yield pa.record_batch([pa.array(np.full(k + m, block, np.int32)), pa.array([*words, *[None] * m], pa.binary()), pa.array(np.concatenate([np.zeros(k, np.int64), code])), pa.array(np.concatenate([np.fromiter(words.values(), np.int64, k), n]))], names=["block", "word", "code", "n"])
-
-    def gather_group(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(gather([table]))
+    def gather(table: pa.Table) -> pa.Table:
+        words, code, n = counted(table.column("text").to_pylist(), [not h for h in table.column("held").to_pylist()])
+        k, m = len(words), len(code)
+        block = np.full(k + m, table.column("block")[0].as_py(), np.int32)
+        return pa.table([pa.array(block), pa.array([*words, *[None] * m], pa.binary()), pa.array(np.concatenate([np.zeros(k, np.int64), code])), pa.array(np.concatenate([np.fromiter(words.values(), np.int64, k), n]))], names=["block", "word", "code", "n"])
 
     # what each block holds; words are binary rows, strings have a null word
-    held_by = written(rows.groupBy("block").applyInArrow(gather_group, "block int, word binary, code long, n long"))
+    held_by = written(rows.groupBy("block").applyInArrow(gather, "block int, word binary, code long, n long"))
     words = held_by.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
     total = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     n_all, v = total.n or 0, total.v
@@ -151,19 +206,17 @@ def scores(docs: DataFrame, folds: int = 5, held: int = 1, ident: str = "doc_id"
     guessed = held_by.where("word is null").select("block", "code").join(predictions(codes), "code").select("block", F.lit(None).cast("binary").alias("word"), "code", F.lit(None).cast("long").alias("n"), "logp")
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        is_word = np.asarray(right.column("word").is_valid())
-        known = right.filter(pa.array(is_word))
-        count = dict(zip(known.column("word").to_pylist(), known.column("n").to_pylist(), strict=True))
-        logs = {w: (float(np.log10((c + 0.5) / (n_all + 0.5 * (v + 1)))), c > 0) for w, c in count.items()}
-        rest = right.filter(pa.array(~is_word))
-        code, logp = np.asarray(rest.column("code"), np.int64), np.asarray(rest.column("logp"), np.float64)
-        order = np.argsort(code)
-        code, logp = code[order], logp[order]
+        is_word = right.column("word").is_valid()
+        known, rest = right.filter(is_word), right.filter(pc.invert(is_word))
+        place = {w: i for i, w in enumerate(known.column("word").to_pylist())}
+        n = np.asarray(known.column("n"), np.int64)
+        base = np.log10((n + 0.5) / (n_all + 0.5 * (v + 1)))
+        table = Lookup(np.asarray(rest.column("code"), np.int64), np.asarray(rest.column("logp"), np.float64))
         out = []
         for t in left.column("text").to_pylist():
             w = tokens(t)
-            got = [logs[x] for x in w]
-            out.append((len(w), sum(k for _, k in got), n_all, float(np.sum([b for b, _ in got])), float(logp[np.searchsorted(code, strings(w))].sum())))
+            at = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
+            out.append((len(w), int((n[at] > 0).sum()), n_all, float(base[at].sum()), table.sum(strings(w))))
         cols = list(zip(*out, strict=True)) or [[]] * 5
         return pa.table([left.column("id"), left.column("held"), *(pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 3 + [pa.float64()] * 2, strict=True))], names=names)
 
