@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 from millrace.llm import decontaminate, langid, mixing, simhash, substring
 from millrace.llm.common import fold_of, read, written
 
-#: Documents whose best language needs nearly as many phrases as the next are rejected; 0.5 would mean a tie.
-LEAST_SCORE = 0.51
+#: Texts of so many characters whose best language needs nearly as many phrases as the next are in no one language.
+LONG_ENOUGH, LEAST_SCORE = 400, 0.505
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go: no letters, or no language clearly ahead."""
+    """Documents without a recognisable language go: those without letters, and long ones with no language ahead."""
     samples = langid.labelled_samples(docs.where(fold_of("doc_id", 4) != 2))
     found = langid.identify(docs, samples, keep=tuple(c for c in docs.columns if c not in ("doc_id",)))
-    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & ((F.length("text") < LONG_ENOUGH) | (F.col("score") >= LEAST_SCORE)))
     return kept.select(docs.columns)
 
 
