@@ -39,6 +39,9 @@ MAIN = frozenset("article main".split())
 # Words in classes, ids and roles that name parts beside the main text.
 BESIDE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay comment comments commentlist disqus reply replies respond form login signup subscribe newsletter share sharing social related recommended recommendations widget widgets toolbar pagination pager search skip hidden contentinfo complementary dialog tracking legal disclaimer copyright".split())
 
+#: First parts of class names that say what else a page shows, as in "with-sidebar".
+ABSENT = frozenset("no not has with without".split())
+
 #: Pages of a host from which on entropy alone can remove a branch, and the importance below which it does:
 #: anywhere, and inside an article.
 PAGES, LOW, LOW_INSIDE, DAMP = 5, 0.3, 0.08, 0.9
@@ -56,7 +59,9 @@ def signature(attributes: str) -> tuple[str, bool]:
         if key in ("class", "id", "role"):
             if key == "class":
                 names = ".".join(sorted(value.split()))
-            beside |= any(w in BESIDE for w in re.split(r"[^a-z]+", value))
+            for name in value.split():
+                parts = re.split(r"[^a-z]+", name)
+                beside |= parts[0] not in ABSENT and any(w in BESIDE for w in parts)
         elif key == "hidden" or key == "aria-hidden" and value == "true":
             beside = True
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):

@@ -117,6 +117,7 @@ def test_main_text():
     body = "<article><h1>A &amp; B</h1><p><b>One<br>two<p>three   <i>four</i>five</p><!-- no --><ul><li>six<li>seven</ul><div class='share'>Share</div><p>8 &lt; 9</article>"
     assert pages.main_text(PAGE.format(body), None) == "A & B One two three fourfive six seven 8 < 9"
     assert pages.main_text(PAGE.format("<div><p>plain</p> text</div>"), None) == "plain text"
+    assert pages.main_text("<div class='page has-sidebar'><div class='sidebar'>a</div><p>b</p></div>", None) == "b"
     for odd in (None, "", "   ", "<", "<p", "</p></p>", "<script>x", "<!--", "<b><p></b>", "<nav>x</nav>"):
         assert pages.main_text(odd, None) == ("" if odd != "<" else "<")
 
