@@ -1,4 +1,7 @@
-"""Reading the tables of a data folder."""
+"""Reading the tables of a data folder, and a place for what a query writes."""
+
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -6,3 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The Parquet table of that name; only the columns a query uses are read."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir, which driver and executors share.
+
+    Only where the session names none (tests, local runs) a temporary folder is set.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"

@@ -162,16 +162,20 @@ def plain(docs: DataFrame, ident: str, text: str) -> DataFrame:
 
 
 def windows_at(rows: DataFrame, words: int) -> DataFrame:
-    """A row for each window of the spans listed with each text: its two digests, id and start."""
+    """A row for each distinct window in the spans listed with each text: its two digests, id and starts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ident, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at = np.unique(np.concatenate([np.arange(s["pos"], s["pos"] + s["n"]) for s in spans]))
                 w1, w2 = Hashed(text).digests(at, at + words)
-                yield pa.record_batch([signed(w1), signed(w2), pa.array(np.full(len(at), ident)), pa.array(at.astype(np.int32))], names=["w1", "w2", "doc_id", "start"])
+                order = np.lexsort((w2, w1))
+                w1, w2 = w1[order], w2[order]
+                first = np.flatnonzero(np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
+                starts = pa.ListArray.from_arrays(pa.array(np.r_[first, len(at)].astype(np.int32)), pa.array(at[order].astype(np.int32)))
+                yield pa.record_batch([signed(w1[first]), signed(w2[first]), pa.array(np.full(len(first), ident)), starts], names=["w1", "w2", "doc_id", "starts"])
 
-    return rows.select("doc_id", "text", "spans").mapInArrow(work, "w1 long, w2 long, doc_id long, start int")
+    return rows.select("doc_id", "text", "spans").mapInArrow(work, "w1 long, w2 long, doc_id long, starts array<int>")
 
 
 def removals(docs: DataFrame, words: int = 50, gram: int = 8, batches: int = 3) -> DataFrame:
@@ -211,7 +215,8 @@ def removals(docs: DataFrame, words: int = 50, gram: int = 8, batches: int = 3)
     windows = windows_at(docs.join(listed.where("size(spans) > 0").select("doc_id", "spans"), "doc_id"), words)
     windows = written(windows)
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    cut = windows.join(least, ["w1", "w2"]).where("doc_id > least").groupBy("doc_id").agg(F.collect_set(F.struct(F.col("start").alias("pos"), F.lit(1).alias("n"))).alias("single"))
+    cut = windows.join(least, ["w1", "w2"]).where("doc_id > least").groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    cut = cut.select("doc_id", F.transform("starts", lambda x: F.struct(x.alias("pos"), F.lit(1).alias("n"))).alias("single"))
     return listed.select("doc_id", "whole").join(cut, "doc_id", "left").select("doc_id", F.concat("whole", F.coalesce("single", F.array().cast("array<struct<pos:int,n:int>>"))).alias("cuts")).where("size(cuts) > 0")
 
 

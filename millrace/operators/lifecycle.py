@@ -196,10 +196,10 @@ def permissive_parse_split(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy(F.when(F.col("p.broken").isNotNull(), "rejected").otherwise("accepted").alias("verdict")).agg(F.count("*").alias("n"), F.coalesce(F.sum("p.k"), F.lit(0)).alias("k"))
 
 
-@catalog.query("bundle_diff", """
+@catalog.query("snapshot_diff", """
 WITH a AS (SELECT p_partkey AS id, md5(p_name || p_brand) AS h FROM part WHERE p_partkey % 5 <> 0), b AS (SELECT p_partkey AS id, md5(p_name || CASE WHEN p_partkey % 7 = 0 THEN 'x' ELSE p_brand END) AS h FROM part WHERE p_partkey % 3 <> 0)
 SELECT CASE WHEN a.id IS NULL THEN 'created' WHEN b.id IS NULL THEN 'missing' WHEN a.h = b.h THEN 'unchanged' ELSE 'updated' END AS change, COUNT(*) AS n FROM a FULL JOIN b ON a.id = b.id GROUP BY 1""")
-def bundle_diff(spark: SparkSession, d: str) -> DataFrame:
+def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     """What an import would change: both sides meet by key, digests tell whether a row differs."""
     p = load(spark, d, "part")
     a = p.where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("id"), F.md5(F.concat("p_name", "p_brand")).alias("h"))

@@ -252,10 +252,10 @@ def join_or_keys(spark: SparkSession, d: str) -> DataFrame:
     return l.join(load(spark, d, "supplier").select("s_suppkey"), "s_suppkey").select("l_orderkey", "s_suppkey").distinct()
 
 
-@catalog.query("ranked_lookup", """
+@catalog.query("fuzzy_lookup_best", """
 WITH q(term) AS (VALUES ('brand#11'), ('brand#23'), ('standard'), ('economy')), m AS (SELECT term, p_partkey, p_size, p_retailprice, CASE WHEN lower(p_brand) = term THEN 3 WHEN lower(p_type) LIKE term || '%' THEN 2 ELSE 1 END AS r FROM q JOIN part ON lower(p_brand) = term OR lower(p_type) LIKE '%' || term || '%')
 SELECT term, p_partkey, r FROM m QUALIFY ROW_NUMBER() OVER (PARTITION BY term ORDER BY r DESC, p_size DESC, p_retailprice, p_partkey) = 1""")
-def ranked_lookup(spark: SparkSession, d: str, terms: tuple[str, ...] = ("brand#11", "brand#23", "standard", "economy")) -> DataFrame:
+def fuzzy_lookup_best(spark: SparkSession, d: str, terms: tuple[str, ...] = ("brand#11", "brand#23", "standard", "economy")) -> DataFrame:
     """Canonical name before prefix before mention; the newest, then the cheapest. The terms are literals of the plan."""
     brand, kind = F.lower("p_brand"), F.lower("p_type")
     rank = lambda t: F.when(brand == t, 3).when(kind.startswith(t), 2).when(kind.contains(t), 1)

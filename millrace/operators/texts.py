@@ -3,6 +3,7 @@
 Lexicons and patterns are parameters of the operators; the queries pass small ones that fit the test tables.
 """
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -293,3 +294,60 @@ def df_retrieval(spark: SparkSession, d: str) -> DataFrame:
     h = q.join(t, "g").where("item_id <> q").groupBy("q", "item_id").agg(F.count("*").alias("hits")).join(size, "q")
     h = h.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("hits"), "item_id"))).where("r <= 3")
     return h.select("q", "item_id", "hits", half_up(F.least(F.col("hits") / F.col("size"), F.lit(0.95)), 4).alias("score"))
+
+
+def shared_run(a: str, b: str, cap: int = 40) -> int:
+    """Length of the longest common substring, up to the cap: a search by halves, as shorter runs are shared too."""
+    low, high = 0, min(cap, len(a), len(b))
+    while low < high:
+        n = (low + high + 1) // 2
+        grams = {a[i : i + n] for i in range(len(a) - n + 1)}
+        if any(b[i : i + n] in grams for i in range(len(b) - n + 1)):
+            low = n
+        else:
+            high = n - 1
+    return low
+
+
+@catalog.query("longest_shared", r"""
+WITH m AS (SELECT item_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS t FROM benchmark), p AS (SELECT a.item_id AS a, b.item_id AS b, a.t AS s, b.t AS u FROM m a JOIN m b ON b.item_id = a.item_id + 1),
+x AS (SELECT a, b, u, s, unnest(range(1, length(s) + 1)) AS i FROM p), y AS (SELECT a, b, u, s, i, unnest(range(1, 41)) AS l FROM x)
+SELECT a, b, COALESCE(MAX(l) FILTER (WHERE i + l - 1 <= length(s) AND contains(u, substr(s, i, l))), 0)::BIGINT AS n FROM y GROUP BY a, b""")
+def longest_shared(spark: SparkSession, d: str, cap: int = 40) -> DataFrame:
+    """Per pair of neighbouring items the longest run of meaningful characters that both have."""
+
+    @F.pandas_udf("long")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([shared_run(x, y, cap) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+    m = load(spark, d, "benchmark").select("item_id", meaningful(F.col("text")).alias("t"))
+    b = m.select((F.col("item_id") - 1).alias("a"), F.col("item_id").alias("b"), F.col("t").alias("u"))
+    return m.join(b, m.item_id == b.a).select("a", "b", run("t", "u").alias("n"))
+
+
+def without_overlaps(phrases: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The first k phrases, in order, of which none contains another."""
+    kept: list[int] = []
+    for i, p in enumerate(phrases["phrase"]):
+        if len(kept) < k and not any(p in q or q in p for q in phrases["phrase"].iloc[kept]):
+            kept.append(i)
+    return phrases.iloc[kept]
+
+
+@catalog.query("recurring_phrases")
+def recurring_phrases(spark: SparkSession, d: str, k: int = 5, pool: int = 200) -> DataFrame:
+    """Per group the k most frequent phrases of 4 to 6 characters in two texts at least, overlaps suppressed.
+
+    Document frequencies are counted in Spark; the greedy choice sees the `pool` best of each group.
+    """
+    m = load(spark, d, "benchmark").select((F.col("item_id") % 4).alias("g"), "item_id", meaningful(F.col("text")).alias("t"))
+    grams = lambda n: F.when(F.char_length("t") >= n, F.transform(F.sequence(F.lit(1), F.char_length("t") - n + 1), lambda i: F.substring("t", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    each = m.select("g", "item_id", F.explode(F.array_distinct(F.concat(*(grams(n) for n in (4, 5, 6))))).alias("phrase"))
+    df = each.groupBy("g", "phrase").agg(F.count("*").alias("df")).where("df >= 2")
+    w = Window.partitionBy("g").orderBy(F.desc("df"), F.desc(F.length("phrase")), "phrase")
+    best = df.withColumn("r", F.row_number().over(w)).where(F.col("r") <= pool)
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        return without_overlaps(rows.sort_values("r"), k)[["g", "phrase", "df"]]
+
+    return best.groupBy("g").applyInPandas(choose, "g long, phrase string, df long")

@@ -8,9 +8,16 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from millrace.catalog import Catalog
+from millrace.io import load, shared_folder
+
+catalog = Catalog()
+QUERIES, ORACLE_SQL = catalog.queries, catalog.sql
+
 DEPTH = {"view": 0, "click": 1, "signup": 2, "purchase": 3}
 
 
@@ -44,3 +51,34 @@ def run_to_end(stream: DataFrame, name: str, mode: str, checkpoint: str) -> None
     """Work off all files that are there, into a table in memory of that name."""
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def written_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Work off all files that are there, into a Parquet table in the shared folder, and read it."""
+    spark, path = stream.sparkSession, shared_folder(stream.sparkSession)
+    sink = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
+    if mode == "append":
+        query = sink.format("parquet").option("path", path).start()
+    else:  # changed rows of each micro-batch
+        query = sink.foreachBatch(lambda rows, batch: rows.withColumn("batch", F.lit(batch)).write.mode("append").parquet(path)).start()
+    query.awaitTermination()
+    return spark.read.parquet(path)
+
+
+def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = load(spark, sf_dir, "events").schema
+    stream = event_stream(spark, f"{sf_dir}/event[s].parquet", schema, 100)  # a pattern, so that it may be one file or a folder
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@catalog.query("stream_dedup", "SELECT DISTINCT event_id FROM events")
+def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return written_to_end(without_repeats(events_of(spark, d)).select("event_id"))
+
+
+@catalog.query("stream_stage_state", """
+SELECT user_id, CASE MAX(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 ELSE -1 END) WHEN 3 THEN 'purchase' WHEN 2 THEN 'signup' WHEN 1 THEN 'click' WHEN 0 THEN 'view' ELSE 'new' END AS stage, COUNT(*) AS n FROM events GROUP BY user_id""")
+def stream_stage_state(spark: SparkSession, d: str) -> DataFrame:
+    """The state of each user after the last micro-batch."""
+    changes = written_to_end(stages(events_of(spark, d)), "update")
+    return changes.groupBy("user_id").agg(F.max_by(F.struct("stage", "n"), "batch").alias("s")).select("user_id", "s.stage", "s.n")

@@ -82,3 +82,18 @@ def test_sources(spark, tmp_path):
     assert sorted((r.id, r.v) for r in files.snapshot(spark.read.parquet(str(tmp_path / "log")), ["id"], ["seq"]).collect()) == [(1, "b"), (2, "c")]
     with pytest.raises(ValueError):
         files.append(log, str(tmp_path / "log"), ["id"])
+
+
+def test_phrases_without_overlaps():
+    from millrace.operators.texts import shared_run, without_overlaps
+
+    p = pd.DataFrame({"phrase": ["abcde", "bcde", "xyzw", "abcdef", "qqqq"]})
+    assert list(without_overlaps(p, 3)["phrase"]) == ["abcde", "xyzw", "qqqq"]
+    assert shared_run("xxabcdyy", "zabcdz") == 4 and shared_run("", "a") == 0 and shared_run("a" * 90, "a" * 80) == 40
+
+
+def test_recurring_phrases(spark):
+    rows_ = registry.QUERIES["recurring_phrases"](spark, SF).collect()
+    assert rows_ and all(r.df >= 2 and 4 <= len(r.phrase) <= 6 for r in rows_)
+    for r in rows_:
+        assert not any(r.phrase != q.phrase and r.g == q.g and r.phrase in q.phrase for q in rows_)
