@@ -8,7 +8,8 @@ the next byte after each context gives the log-probability of whole texts.
 
 The counts of words and of byte strings are those of all training texts: blocks of documents gather their own,
 blocks are summed by shuffles, and each block gets back the totals and predictions for just the words
-and strings that it holds. Nothing that grows with the corpus is broadcast or held in one task.
+and strings that it holds. Nothing that grows with the corpus is broadcast or held in one task. Texts are dealt
+to their blocks compressed, and predictions as 32-bit floats, to save shuffle and disk.
 
 Defined cases: null, empty and blank texts are the end token and end byte alone; without training texts the base and
 the trees fall back on their priors; repeated rows count each time; other columns are not read.
@@ -19,20 +20,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold_of, written
+from millrace.llm.common import fold_of, remove, shared_folder, written
 
 DEPTH = 5
 #: Bytes of text in a block, about.
-BLOCK = 24_000_000
+BLOCK = 12_000_000
 END = b"\n"
 
 
-def tokens(text: str | None) -> list[bytes]:
+def tokens(text: bytes) -> list[bytes]:
     """Lower-cased words, then the end (no word can be that)."""
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
+    return [*text.lower().split(), END]
 
 
 def strings(words: list[bytes]) -> np.ndarray:
@@ -45,7 +47,7 @@ def strings(words: list[bytes]) -> np.ndarray:
     return code
 
 
-def counted(texts: list[str | None], learn: list[bool]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+def counted(texts: list[bytes], learn: list[bool]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
     """Words of the texts with their counts in those to learn from; codes of strings, likewise."""
     words: dict[bytes, int] = {}
     codes, ns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -130,11 +132,11 @@ def predictions(codes: DataFrame) -> DataFrame:
         m, k = len(code), len(key)
         pad = lambda x, before, after: pa.array(np.concatenate([np.zeros(before, x.dtype), x, np.zeros(after, x.dtype)]))
         size = np.r_[0, np.cumsum(np.r_[np.full(m, 8), np.zeros(k, int)])].astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(size), pa.array(q.reshape(-1)))
+        lists = pa.ListArray.from_arrays(pa.array(size), pa.array(q.reshape(-1).astype(np.float32)))
         return pa.table([pad(code, 0, k), lists, pad(key, m, 0), pad(level.zeros, m, 0), pad(level.ones, m, 0), pad(level.log, m, 0)], names=["code", "q", "key", "zeros", "ones", "log"])
 
     suffix = F.shiftright("code", 8).bitwiseAND(0xFFFF).alias("suffix")
-    found = written(codes.select("code", "n", suffix).groupBy("suffix").applyInArrow(branch, "code long, q array<double>, key long, zeros double, ones double, log double"))
+    found = written(codes.select("code", "n", suffix).groupBy("suffix").applyInArrow(branch, "code long, q array<float>, key long, zeros double, ones double, log double"))
     # contexts of one byte and of none: 256 times 255 nodes at most, whatever the corpus
     top = found.where("size(q) = 0").groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log").alias("log")).toPandas().sort_values("key")
     key = top.key.to_numpy(np.int64)
@@ -155,9 +157,20 @@ def predictions(codes: DataFrame) -> DataFrame:
             at = (code >> 8 & 255)[:, None] << 8 | node
             a = np.where(bit == 1, sure[at], 1 - rest[at] - sure[at])
             p = a + rest[at] * np.asarray(batch.column(1).flatten(), np.float64).reshape(-1, 8)
-            yield pa.record_batch([batch.column(0), pa.array(np.log10(p).sum(1))], names=["code", "logp"])
+            yield pa.record_batch([batch.column(0), pa.array(np.log10(p).sum(1).astype(np.float32))], names=["code", "logp"])
 
-    return found.where("size(q) > 0").select("code", "q").mapInArrow(finish, "code long, logp double")
+    return found.where("size(q) > 0").select("code", "q").mapInArrow(finish, "code long, logp float")
+
+
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first column, texts as binary, compressed one by one."""
+    small = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        yield pa.record_batch([pa.array([small.compress(t or b"") for t in batch.column(0).to_pylist()], pa.binary()), *batch.columns[1:]], names=["packed", *batch.schema.names[1:]])
+
+
+def unpacked(column: pa.ChunkedArray) -> list[bytes]:
+    return [*map(zstandard.ZstdDecompressor().decompress, column.to_pylist())]
 
 
 class Lookup:
@@ -185,13 +198,15 @@ class Lookup:
 
 def scores(docs: DataFrame, folds: int = 5, held: int = 1, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"), F.coalesce(fold_of(ident, folds) == held, F.lit(False)).alias("held"))
+    rows = docs.select(F.col(ident).alias("id"), F.col(text).cast("binary").alias("text"), F.coalesce(fold_of(ident, folds) == held, F.lit(False)).alias("held"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(blocks)).cast("int"))
+    block = F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(blocks)).cast("int")
+    kind = docs.schema[ident].dataType.simpleString()
+    rows = rows.select("text", "id", "held", block.alias("block")).mapInArrow(pack, f"packed binary, id {kind}, held boolean, block int")
 
     def gather(table: pa.Table) -> pa.Table:
-        words, code, n = counted(table.column("text").to_pylist(), [not h for h in table.column("held").to_pylist()])
+        words, code, n = counted(unpacked(table.column("packed")), [not h for h in table.column("held").to_pylist()])
         k, m = len(words), len(code)
         block = np.full(k + m, table.column("block")[0].as_py(), np.int32)
         return pa.table([pa.array(block), pa.array([*words, *[None] * m], pa.binary()), pa.array(np.concatenate([np.zeros(k, np.int64), code])), pa.array(np.concatenate([np.fromiter(words.values(), np.int64, k), n]))], names=["block", "word", "code", "n"])
@@ -201,9 +216,11 @@ def scores(docs: DataFrame, folds: int = 5, held: int = 1, ident: str = "doc_id"
     words = held_by.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
     total = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v")).first()
     n_all, v = total.n or 0, total.v
-    codes = written(held_by.where("word is null").groupBy("code").agg(F.sum("n").alias("n")))
-    told = held_by.where("word is not null").select("block", "word").join(words, "word").select("block", "word", F.lit(None).cast("long").alias("code"), "n", F.lit(None).cast("double").alias("logp"))
-    guessed = held_by.where("word is null").select("block", "code").join(predictions(codes), "code").select("block", F.lit(None).cast("binary").alias("word"), "code", F.lit(None).cast("long").alias("n"), "logp")
+    path = shared_folder(docs.sparkSession)
+    logs = predictions(written(held_by.where("word is null").groupBy("code").agg(F.sum("n").alias("n")), path))
+    remove(docs.sparkSession, path)
+    told = held_by.where("word is not null").select("block", "word").join(words, "word").select("block", "word", F.lit(None).cast("long").alias("code"), "n", F.lit(None).cast("float").alias("logp"))
+    guessed = held_by.where("word is null").select("block", "code").join(logs, "code").select("block", F.lit(None).cast("binary").alias("word"), "code", F.lit(None).cast("long").alias("n"), "logp")
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         is_word = right.column("word").is_valid()
@@ -213,7 +230,7 @@ def scores(docs: DataFrame, folds: int = 5, held: int = 1, ident: str = "doc_id"
         base = np.log10((n + 0.5) / (n_all + 0.5 * (v + 1)))
         table = Lookup(np.asarray(rest.column("code"), np.int64), np.asarray(rest.column("logp"), np.float64))
         out = []
-        for t in left.column("text").to_pylist():
+        for t in unpacked(left.column("packed")):
             w = tokens(t)
             at = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
             out.append((len(w), int((n[at] > 0).sum()), n_all, float(base[at].sum()), table.sum(strings(w))))
@@ -221,5 +238,5 @@ def scores(docs: DataFrame, folds: int = 5, held: int = 1, ident: str = "doc_id"
         return pa.table([left.column("id"), left.column("held"), *(pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 3 + [pa.float64()] * 2, strict=True))], names=names)
 
     names = [ident, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    schema = f"{ident} {docs.schema[ident].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"{ident} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return rows.groupBy("block").cogroup(told.unionByName(guessed).groupBy("block")).applyInArrow(judge, schema)
