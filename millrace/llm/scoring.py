@@ -9,7 +9,7 @@ the next byte after each context gives the log-probability of whole texts.
 The counts of words and of byte strings are those of all training texts: blocks of documents gather their own,
 blocks are summed by shuffles, and each block gets back the totals and predictions for just the words
 and strings that it holds. Nothing that grows with the corpus is broadcast or held in one task. Texts are dealt
-to their blocks compressed, and predictions as 32-bit floats, to save shuffle and disk.
+to their blocks compressed, and strings with their predictions as arrays, to save shuffle, sorting and disk.
 
 Defined cases: null, empty and blank texts are the end token and end byte alone; without training texts the base and
 the trees fall back on their priors; repeated rows count each time; other columns are not read.
@@ -28,7 +28,7 @@ from millrace.llm.common import fold_of, remove, shared_folder, written
 
 DEPTH = 5
 #: Bytes of text in a block, about.
-BLOCK = 12_000_000
+BLOCK = 24_000_000
 END = b"\n"
 
 
@@ -173,6 +173,30 @@ def unpacked(column: pa.ChunkedArray) -> list[bytes]:
     return [*map(zstandard.ZstdDecompressor().decompress, column.to_pylist())]
 
 
+def bundled(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows of block, code and logp, about `most` at a time, as one row a block: differences of its sorted codes,
+    compressed, and their predictions."""
+    small = zstandard.ZstdCompressor(level=1)
+    parts: list[list[np.ndarray]] = []
+
+    def rows() -> pa.RecordBatch:
+        block, code, logp = (np.concatenate(c) for c in zip(*parts, strict=True))
+        parts.clear()
+        order = np.lexsort((code, block))
+        block, code, logp = block[order], code[order], logp[order]
+        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        spans = [slice(a, b) for a, b in zip(first, [*first[1:], len(block)], strict=True)]
+        codes = [small.compress(np.diff(code[x], prepend=0).tobytes()) for x in spans]
+        return pa.record_batch([pa.array(block[first]), pa.array(codes, pa.binary()), pa.array([logp[x].tobytes() for x in spans], pa.binary())], names=["block", "codes", "logs"])
+
+    for batch in batches:
+        parts.append([np.asarray(c) for c in batch.columns])
+        if sum(len(x[0]) for x in parts) >= most:
+            yield rows()
+    if any(len(x[0]) for x in parts):
+        yield rows()
+
+
 class Lookup:
     """Values of codes: a table at hashed places, and a search for the few codes whose place is another's."""
 
@@ -219,8 +243,8 @@ def scores(docs: DataFrame, folds: int = 5, held: int = 1, ident: str = "doc_id"
     path = shared_folder(docs.sparkSession)
     logs = predictions(written(held_by.where("word is null").groupBy("code").agg(F.sum("n").alias("n")), path))
     remove(docs.sparkSession, path)
-    told = held_by.where("word is not null").select("block", "word").join(words, "word").select("block", "word", F.lit(None).cast("long").alias("code"), "n", F.lit(None).cast("float").alias("logp"))
-    guessed = held_by.where("word is null").select("block", "code").join(logs, "code").select("block", F.lit(None).cast("binary").alias("word"), "code", F.lit(None).cast("long").alias("n"), "logp")
+    told = held_by.where("word is not null").select("block", "word").join(words, "word").select("block", "word", "n")
+    guessed = held_by.where("word is null").select("block", "code").join(logs, "code").select("block", "code", "logp").mapInArrow(bundled, "block int, codes binary, logs binary")
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         is_word = right.column("word").is_valid()
@@ -228,7 +252,9 @@ def scores(docs: DataFrame, folds: int = 5, held: int = 1, ident: str = "doc_id"
         place = {w: i for i, w in enumerate(known.column("word").to_pylist())}
         n = np.asarray(known.column("n"), np.int64)
         base = np.log10((n + 0.5) / (n_all + 0.5 * (v + 1)))
-        table = Lookup(np.asarray(rest.column("code"), np.int64), np.asarray(rest.column("logp"), np.float64))
+        codes = [np.cumsum(np.frombuffer(c, np.int64)) for c in unpacked(rest.column("codes"))]
+        logs = [np.frombuffer(x, np.float32) for x in rest.column("logs").to_pylist()]
+        table = Lookup(np.concatenate(codes), np.concatenate(logs).astype(np.float64))
         out = []
         for t in unpacked(left.column("packed")):
             w = tokens(t)
@@ -239,4 +265,4 @@ def scores(docs: DataFrame, folds: int = 5, held: int = 1, ident: str = "doc_id"
 
     names = [ident, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     schema = f"{ident} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("block").cogroup(told.unionByName(guessed).groupBy("block")).applyInArrow(judge, schema)
+    return rows.groupBy("block").cogroup(told.unionByName(guessed, allowMissingColumns=True).groupBy("block")).applyInArrow(judge, schema)
