@@ -6,7 +6,7 @@ Every stage works on all documents that the one before has kept, and returns the
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, langid, mixing, simhash, substring
+from millrace.llm import decontaminate, langid, mixing, similar, substring
 from millrace.llm.common import fold_of, read, written
 
 #: Texts of so many characters whose best language needs nearly as many phrases as the next are in no one language.
@@ -22,9 +22,13 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    """One document of each group of near duplicates stays, the one with the smallest id.
+
+    Near duplicates share four fifths of their five-word shingles. Fingerprints of 64 bits miss most of them in short
+    texts, so the stage compares the shingles themselves.
+    """
+    named = docs.withColumn("row", similar.identified(docs))
+    return named.join(similar.near_copies(docs), "row", "left_semi").select(docs.columns)
 
 
 def by_substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The stages of the corpus pipeline on a small table, and as a whole."""
 
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -39,3 +40,53 @@ def test_stages_keep_the_schema_and_do_their_work(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"] and out.count() > 0
+
+
+def near_rows():
+    """Texts, copies of them with one word changed to four, and a hot group whose members are not all alike."""
+    rnd = random.Random(5)
+    words = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    line, rows = words(12), []
+    for n in (3, 4, 5, 9, 30, 60, 90, 150, 280):
+        for _ in range(4):
+            base = words(n) + (line if n % 60 == 0 else [])
+            rows.append(base)
+            for k in (1, 1, 2, 4):
+                copy = list(base)
+                for at in rnd.sample(range(len(copy)), min(k, len(copy))):
+                    copy[at] = "new" + str(rnd.random())[2:8]
+                rows.append(copy)
+    base = words(80)
+    for at in range(60):
+        rows.append(base[:at] + ["odd" + str(at)] + base[at + 1 :])
+    for at in range(60):  # a chain: each is near the next one only
+        rows.append(base[at : at + 40] + words(1))
+    rnd.shuffle(rows)
+    return [(1000 + i, " ".join(r)) for i, r in enumerate(rows)] + [(2000, " "), (2001, ""), (2002, None)]
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rows = near_rows()
+    sets = []
+    for _, t in rows:
+        w = (t or "").split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    linked = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) * 5 >= len(a | sets[j]) * 4:
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+                linked += a != sets[j]
+    want = [rows[i][0] for i in range(len(rows)) if root(i) == i]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = sorted(r.doc_id for r in corpus_pipeline.by_simhash(spark, docs, SF).collect())
+    assert got == want and linked > 100
+    assert corpus_pipeline.by_simhash(spark, docs.limit(0), SF).count() == 0
