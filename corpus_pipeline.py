@@ -22,21 +22,20 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id.
+    """One row of each group of near duplicates stays, the one with the smallest id; rows without an id come last.
 
     Near duplicates share four fifths of their five-word shingles. Fingerprints of 64 bits miss most of them in short
     texts, so the stage compares the shingles themselves.
     """
     named = docs.withColumn("row", similar.identified(docs))
-    return named.join(similar.near_copies(docs), "row", "left_semi").select(docs.columns)
+    return named.join(similar.near_copies(docs), "row", "left_semi").dropDuplicates(["row"]).select(docs.columns)
 
 
 def by_substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words that a document with a smaller id has go; documents left empty go with them."""
-    kept = substring.substring_dedup(docs).where("n_removed > 0").select("doc_id", "kept_text")
-    text = F.coalesce("kept_text", "text")
-    out = docs.join(kept, "doc_id", "left").where(F.col("kept_text").isNull() | (F.col("kept_text") != ""))
-    return out.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(docs.columns)
+    found = substring.cut_rows(docs, tuple(docs.columns)).where("n_removed = 0 or kept_text <> ''")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    return found.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(docs.columns)
 
 
 def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

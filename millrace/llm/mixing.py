@@ -11,7 +11,7 @@ column; `form_topic` is one for corpora without topics, from the text's form.
 
 Defined cases: null source, language or topic are a category of their own, `?`; null, empty and blank texts have no
 tokens, join their cell and are kept with its probability (1 in cells without tokens); repeated rows of an id
-are drawn alike; categories with target zero are never kept; an empty table stays empty.
+are drawn alike; rows without an id are drawn by their text; categories with target zero are never kept; an empty table stays empty.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -79,4 +79,4 @@ def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict[st
     cells = named.groupBy(*MARGINALS).agg(F.sum("n_tokens_").alias("tokens"))
     p = rake(cells, targets, power, rounds).select(*MARGINALS, F.col("p").alias("p_"))
     drawn = named.join(p, list(MARGINALS), "left").withColumn("p_", F.coalesce("p_", F.lit(1.0)))
-    return drawn.where(draw(F.col(ident)) < F.col("p_")).select(*docs.columns, *MARGINALS, "n_tokens_", "p_")
+    return drawn.where(draw(F.coalesce(F.col(ident).cast("string"), F.col("text"), F.lit(""))) < F.col("p_")).select(*docs.columns, *MARGINALS, "n_tokens_", "p_")

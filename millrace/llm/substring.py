@@ -12,8 +12,9 @@ their words, for one document of each class of equal spans only.
 
 A window's words are removed if the same window starts in a document with a smaller id. Windows are judged on the
 input. Defined cases: null, empty and blank texts have no words and keep the empty text; texts shorter than a
-window lose nothing; repeats within one document stay; repeated rows of one id are one document; rows without
-an id are kept whole. Other columns are not read, whatever their names.
+window lose nothing; repeats within one document stay; repeated rows of one id are one document, and if their texts
+differ each loses what smaller ids have; rows without an id are kept whole. Other columns are not read, whatever
+their names.
 """
 
 import hashlib
@@ -101,24 +102,24 @@ def signed(a: np.ndarray) -> pa.Array:
 
 
 def span_rows(docs: DataFrame, words: int, gram: int) -> DataFrame:
-    """A row for each span: id, batch, key, two digests, first window, number of windows."""
+    """A row for each span: id, digest of the text, batch, key, two digests, first window, number of windows."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "batch", "key", "s1", "s2", "pos", "n"]
+        names = ["doc_id", "version", "batch", "key", "s1", "s2", "pos", "n"]
         for batch in batches:
             out = [[] for _ in names]
-            for ident, part, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for ident, version, part, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h = Hashed(text)
                 key, first, n = h.spans(words, gram)
                 if not len(key):
                     continue
                 s1, s2 = h.digests(first, first + n + words - 1)
-                for to, x in zip(out, (np.full(len(key), ident), np.full(len(key), part, np.int32), key.view(np.int64), s1.view(np.int64), s2.view(np.int64), first.astype(np.int32), n.astype(np.int32)), strict=True):
+                for to, x in zip(out, (np.full(len(key), ident), np.full(len(key), version), np.full(len(key), part, np.int32), key.view(np.int64), s1.view(np.int64), s2.view(np.int64), first.astype(np.int32), n.astype(np.int32)), strict=True):
                     to.append(x)
             if out[0]:
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=names)
 
-    return docs.select("doc_id", "batch", "text").mapInArrow(work, "doc_id long, batch int, key long, s1 long, s2 long, pos int, n int")
+    return docs.select("doc_id", "version", "batch", "text").mapInArrow(work, "doc_id long, version long, batch int, key long, s1 long, s2 long, pos int, n int")
 
 
 class FingerprintIndex:
@@ -158,7 +159,7 @@ class FingerprintIndex:
 
 
 def plain(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
 
 
 def windows_at(rows: DataFrame, words: int) -> DataFrame:
@@ -166,22 +167,22 @@ def windows_at(rows: DataFrame, words: int) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ident, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for ident, version, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at = np.unique(np.concatenate([np.arange(s["pos"], s["pos"] + s["n"]) for s in spans]))
                 w1, w2 = Hashed(text).digests(at, at + words)
                 order = np.lexsort((w2, w1))
                 w1, w2 = w1[order], w2[order]
                 first = np.flatnonzero(np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
                 starts = pa.ListArray.from_arrays(pa.array(np.r_[first, len(at)].astype(np.int32)), pa.array(at[order].astype(np.int32)))
-                yield pa.record_batch([signed(w1[first]), signed(w2[first]), pa.array(np.full(len(first), ident)), starts], names=["w1", "w2", "doc_id", "starts"])
+                yield pa.record_batch([signed(w1[first]), signed(w2[first]), pa.array(np.full(len(first), ident)), pa.array(np.full(len(first), version)), starts], names=["w1", "w2", "doc_id", "version", "starts"])
 
-    return rows.select("doc_id", "text", "spans").mapInArrow(work, "w1 long, w2 long, doc_id long, starts array<int>")
+    return rows.select("doc_id", "version", "text", "spans").mapInArrow(work, "w1 long, w2 long, doc_id long, version long, starts array<int>")
 
 
 def removals(docs: DataFrame, words: int = 50, gram: int = 8, batches: int = 3) -> DataFrame:
-    """Per document that loses something: doc_id and cuts, its runs of recurring windows (start, number of windows).
+    """Per text that loses something: doc_id, version and cuts, its runs of recurring windows (start, number of windows).
 
-    docs: doc_id long and text; only rows with an id are looked at.
+    docs: doc_id long, version (digest of the text) and text; only rows with an id are looked at.
     """
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null")
@@ -189,7 +190,7 @@ def removals(docs: DataFrame, words: int = 50, gram: int = 8, batches: int = 3)
     batch = sum(((F.col("doc_id") > e).cast("int") for e in ends or []), F.lit(0))
     path = shared_folder(spark)
     span_rows(docs.withColumn("batch", batch), words, gram).write.partitionBy("batch").parquet(path)
-    spans = spark.read.schema("doc_id long, key long, s1 long, s2 long, pos int, n int, batch int").parquet(path)
+    spans = spark.read.schema("doc_id long, version long, key long, s1 long, s2 long, pos int, n int, batch int").parquet(path)
 
     index, found = FingerprintIndex(spark), None
     for k in range(batches):
@@ -203,7 +204,7 @@ def removals(docs: DataFrame, words: int = 50, gram: int = 8, batches: int = 3)
     open_keys = within if found is None else within.unionByName(found)
     marked = entries.join(open_keys.distinct().withColumn("open", F.lit(True)), "key", "left")
 
-    listed = spans.join(marked, ["key", "s1", "s2"]).where("doc_id > least or open").groupBy("doc_id").agg(
+    listed = spans.join(marked, ["key", "s1", "s2"]).where("doc_id > least or open").groupBy("doc_id", "version").agg(
         F.collect_set(F.when(F.col("doc_id") > F.col("least"), F.struct("pos", "n"))).alias("whole"),
         F.collect_set(F.when(F.col("doc_id") == F.col("least"), F.struct("pos", "n"))).alias("spans"),
     )
@@ -212,23 +213,24 @@ def removals(docs: DataFrame, words: int = 50, gram: int = 8, batches: int = 3)
     for p in (path, *index_runs):
         remove(spark, p)
     # one document of each class of equal spans stands for all; in the others every window of them recurs
-    windows = windows_at(docs.join(listed.where("size(spans) > 0").select("doc_id", "spans"), "doc_id"), words)
+    windows = windows_at(docs.join(listed.where("size(spans) > 0").select("doc_id", "version", "spans"), ["doc_id", "version"]), words)
     windows = written(windows)
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    cut = windows.join(least, ["w1", "w2"]).where("doc_id > least").groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    cut = cut.select("doc_id", F.transform("starts", lambda x: F.struct(x.alias("pos"), F.lit(1).alias("n"))).alias("single"))
-    return listed.select("doc_id", "whole").join(cut, "doc_id", "left").select("doc_id", F.concat("whole", F.coalesce("single", F.array().cast("array<struct<pos:int,n:int>>"))).alias("cuts")).where("size(cuts) > 0")
+    cut = windows.join(least, ["w1", "w2"]).where("doc_id > least").groupBy("doc_id", "version").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    cut = cut.select("doc_id", "version", F.transform("starts", lambda x: F.struct(x.alias("pos"), F.lit(1).alias("n"))).alias("single"))
+    return listed.select("doc_id", "version", "whole").join(cut, ["doc_id", "version"], "left").select("doc_id", "version", F.concat("whole", F.coalesce("single", F.array().cast("array<struct<pos:int,n:int>>"))).alias("cuts")).where("size(cuts) > 0")
 
 
-def substring_dedup(docs: DataFrame, words: int = 50, gram: int = 8, batches: int = 3, ident: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
-    """Per document: id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (kept words joined by one space)."""
-    rows = plain(docs, ident, text)
-    cuts = removals(rows, words, gram, batches)
+def cut_rows(docs: DataFrame, keep: tuple[str, ...] = (), words: int = 50, gram: int = 8, batches: int = 3, ident: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
+    """Per row: the columns in keep, then doc_id_, n_words, n_removed, kept_sha256 and kept_text."""
+    cuts = removals(plain(docs, ident, text), words, gram, batches)
+    made = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, digest, kept = [], [], [], []
-            for value, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            n = batch.num_columns - 2
+            for value, spans in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
                 split = (value or "").encode("utf-8", "surrogatepass").split()
                 total.append(len(split))
                 if spans:
@@ -241,8 +243,17 @@ def substring_dedup(docs: DataFrame, words: int = 50, gram: int = 8, batches: in
                 joined = b" ".join(split)
                 digest.append(hashlib.sha256(joined).hexdigest())
                 kept.append(joined.decode("utf-8", "surrogatepass") if texts else None)
-            yield pa.record_batch([batch.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            own = [pa.array(c, f.type) for c, f in zip((total, gone, digest, kept), made, strict=True)]
+            yield pa.record_batch([*batch.columns[:n], *own], names=[*batch.schema.names[:n], *made.names])
+
+    cuts = cuts.select(F.col("doc_id").alias("cut_id_"), F.col("version").alias("cut_version_"), F.col("cuts").alias("cuts_"))
+    ids, value = F.col(ident).cast("long"), F.col(text).cast("string")
+    joined = docs.join(cuts, (ids == F.col("cut_id_")) & (F.xxhash64(value) == F.col("cut_version_")), "left").select(*keep, ids.alias("doc_id_"), value.alias("text_"), "cuts_")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema[: len(keep) + 1])
+    return joined.mapInArrow(work, schema + "n_words long, n_removed long, kept_sha256 string, kept_text string")
 
-    out = rows.join(cuts, "doc_id", "left").select("doc_id", "text", "cuts").mapInArrow(work, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return (out if texts else out.drop("kept_text")).withColumnRenamed("doc_id", ident)
 
+def substring_dedup(docs: DataFrame, words: int = 50, gram: int = 8, batches: int = 3, ident: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
+    """Per document: id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (kept words joined by one space)."""
+    out = cut_rows(docs, (), words, gram, batches, ident, text, texts)
+    return (out if texts else out.drop("kept_text")).withColumnRenamed("doc_id_", ident)

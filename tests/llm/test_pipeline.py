@@ -90,3 +90,27 @@ def test_near_duplicates_against_brute_force(spark):
     got = sorted(r.doc_id for r in corpus_pipeline.by_simhash(spark, docs, SF).collect())
     assert got == want and linked > 100
     assert corpus_pipeline.by_simhash(spark, docs.limit(0), SF).count() == 0
+
+
+def test_repeated_and_missing_ids_in_every_stage(spark):
+    rnd = random.Random(8)
+    words = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    row = lambda i, w: (i, " ".join(w), "en", "s", len(" ".join(w)))
+    shared, own, head, tail = words(70), words(90), words(30), words(20)
+    first, cut, other, lone = row(1, shared + words(60)), row(2, own + shared), row(2, head + shared + tail), row(None, words(50))
+    near = (None, cut[1] + " end", "en", "s", 0)
+    rows = [first, *[cut] * 3, other, *[lone] * 2, near, *[first] * 2]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema)
+    key = lambda r: str(tuple(r))
+    got = sorted(map(tuple, corpus_pipeline.by_simhash(spark, docs, SF).collect()), key=key)
+    assert got == sorted([first, cut, other, lone], key=key)
+    # repeated rows lose the same words once each, texts of one id what is theirs; rows without an id stay whole
+    left = row(2, own), row(2, head + tail)
+    want = [*[first] * 3, *[left[0]] * 3, left[1], *[lone] * 2, (None, near[1], "en", "s", len(near[1]))]
+    assert sorted(map(tuple, corpus_pipeline.by_substring(spark, docs, SF).collect()), key=key) == sorted(want, key=key)
+    assert sorted(map(tuple, corpus_pipeline.by_benchmark(spark, docs, SF).collect()), key=key) == sorted(rows, key=key)
+    # the one cell is kept with probability one
+    assert sorted(map(tuple, corpus_pipeline.by_mixture(spark, docs.where("text = '" + lone[1] + "'"), SF).collect()), key=key) == [lone] * 2
+    same = spark.createDataFrame([(i, "the man and the woman went to the house", "en", "s", 39) for i in [*range(100, 140), None, None, 7, 7]], schema)
+    assert corpus_pipeline.by_language(spark, same, SF).count() == 44
