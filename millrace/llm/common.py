@@ -27,11 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
+def written(df: DataFrame, path: str | None = None, compression: str = "snappy") -> DataFrame:
     """The rows written as Parquet in the shared folder and read again: a cut lineage that survives lost executors."""
     spark = df.sparkSession
     path = path or shared_folder(spark)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -177,6 +177,7 @@ def test_language_rows(spark):
 
 def test_scores_against_the_plain_formulas(spark, monkeypatch):
     monkeypatch.setattr(scoring, "BLOCK", 400)
+    monkeypatch.setattr(scoring, "FRAME", 150)
     rows = [(i, " ".join(words(RND.randint(0, 25)))) for i in range(30)] + [(40, None), (41, "NEW Word"), (41, "NEW Word")]
     got = sorted(scoring.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
     import math
@@ -222,6 +223,8 @@ def test_scores_against_the_plain_formulas(spark, monkeypatch):
         w = weight[c, node]
         return own if d == depth else w * own + (1 - w) * chance(ctx, node, d + 1)
 
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert scoring.scores(empty).count() == 0
     for r, (i, t) in zip(got, sorted(rows, key=lambda x: x[0]), strict=True):
         tokens = [*split((t or "").lower()), None]
         assert (r.doc_id, r.n_tokens, r.n_known, r.train_tokens) == (i, len(tokens), sum(count.get(w, 0) > 0 for w in tokens), n)
