@@ -1,25 +1,27 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
 The tokens of every cell (source, language, topic) are counted; raking scales the cells again and again until the
-marginals of source, language and topic have the target shares. The factor of a cell over the largest factor is the
-probability with which its documents are kept, so the expected mixture is the raked one and no probability
-exceeds one. A document is kept if the hash of its id lies below its cell's probability: the draw needs no order,
-is the same in every run and on every cluster, and each document is judged on its own.
+marginals of source, language and topic have the target shares. The sample is to have `keep` of all tokens in this
+mixture: a cell's documents are kept with the probability that gives it its share, or with 1 where it has too few tokens
+for that (`residuals` tells by how much marginals then fall short). A document is kept if the hash of its id lies below its
+cell's probability: the draw needs no order, is the same in every run and on every cluster, and each document is
+judged on its own.
 
 Targets are given per marginal as a map of shares, or as a power of the natural shares ("temperature"). Topic is a
-column; `form_topic` is one for corpora without topics, from the text's form.
+column of the row; `form_topic` is one for corpora without topics, from the text's form.
 
 Defined cases: null source, language or topic are a category of their own, `?`; null, empty and blank texts have no
 tokens, join their cell and are kept with its probability (1 in cells without tokens); repeated rows of an id
-are drawn alike; rows without an id are drawn by their text; categories with target zero are never kept; an empty table stays empty.
+are drawn alike; rows without an id are drawn by their text; categories with target zero are never kept; an empty
+table stays empty; columns named like those that `mix` adds stay as they are, and the added ones are left out.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD
+from millrace.llm.common import WORD, written
 
-ROUNDS, POWER = 8, 0.8
+ROUNDS, POWER, KEEP = 8, 0.8, 0.5
 MARGINALS = ("source_", "lang_", "topic_")
 
 
@@ -40,43 +42,51 @@ def draw(ident: Column) -> Column:
     return F.conv(F.substring(F.md5(ident.cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = POWER, rounds: int = ROUNDS) -> DataFrame:
-    """Per cell: tokens and its probability p.
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = POWER, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
+    """Per cell: tokens, w, its share of the mixture, and p, the probability of its documents.
 
     cells: source_, lang_, topic_, tokens - one row a cell. Shares are summed over windows of one category each,
-    so only categories, not documents, meet.
+    so only categories, not documents, meet; totals are single numbers.
     """
-    from pyspark.sql import Window
-
-    every = Window.partitionBy(F.lit(1))
     fitted = cells.where("tokens > 0")
-    natural = fitted
+    total = float(fitted.agg(F.sum("tokens")).first()[0] or 1)
+    fitted = fitted.withColumn("w", F.col("tokens") / total)
     for m in MARGINALS:
-        own = F.sum("tokens").over(Window.partitionBy(m))
         if targets and m.rstrip("_") in targets:
             given = targets[m.rstrip("_")]
             share = F.coalesce(F.create_map(*(F.lit(x) for kv in given.items() for x in (kv[0], float(kv[1]))))[F.col(m)], F.lit(0.0))
-            natural = natural.withColumn(f"t_{m}", share)
         else:
-            natural = natural.withColumn(f"o_{m}", F.pow(own / F.sum("tokens").over(every), F.lit(power)))
-            # the sum over categories: each of a category's cells carries its part by tokens
-            natural = natural.withColumn(f"t_{m}", F.col(f"o_{m}") / F.sum(F.col(f"o_{m}") * F.col("tokens") / own).over(every)).drop(f"o_{m}")
-    fitted = natural.withColumn("w", F.col("tokens") / F.sum("tokens").over(every))
+            natural = cells.groupBy(m).agg(F.sum("tokens").alias("own")).where("own > 0")
+            norm = natural.agg(F.sum(F.pow(F.col("own") / total, F.lit(power)))).first()[0] or 1.0
+            share = F.pow(F.sum("tokens").over(Window.partitionBy(m)) / total, F.lit(power)) / norm
+        fitted = fitted.withColumn(f"t_{m}", share)
     for _ in range(rounds):
         for m in MARGINALS:
             got = F.sum("w").over(Window.partitionBy(m))
             fitted = fitted.withColumn("w", F.when(got > 0, F.col("w") * F.col(f"t_{m}") / got).otherwise(0.0))
-    factor = F.col("w") / F.col("tokens")
-    return fitted.select(*MARGINALS, "tokens", (factor / F.max(factor).over(every)).alias("p"))
-
-
-def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, power: float = POWER, rounds: int = ROUNDS, ident: str = "doc_id") -> DataFrame:
-    """The documents drawn, with all their columns, and with n_tokens_ and p_."""
-    n = n_words(F.col("text"))
-    named = docs.withColumn("n_tokens_", n)
-    kind = form_topic(F.coalesce("text", F.lit("")), F.col("n_tokens_")) if topic is None else topic
-    named = named.withColumns({"source_": F.coalesce("source", F.lit("?")), "lang_": F.coalesce("lang", F.lit("?")), "topic_": F.coalesce(kind, F.lit("?"))})
-    cells = named.groupBy(*MARGINALS).agg(F.sum("n_tokens_").alias("tokens"))
-    p = rake(cells, targets, power, rounds).select(*MARGINALS, F.col("p").alias("p_"))
+    return fitted.select(*MARGINALS, "tokens", *(f"t_{m}" for m in MARGINALS), "w", F.least(F.lit(1.0), keep * total * F.col("w") / F.col("tokens")).alias("p"))
+
+
+def residuals(raked: DataFrame) -> DataFrame:
+    """Per marginal and category: its target, its share of the fitted mixture, and its expected share of the sample,
+    which is lower where cells are too small for theirs."""
+    rows = raked.select(F.inline(F.array(*(F.struct(F.lit(m.rstrip("_")).alias("marginal"), F.col(m).alias("category"), F.col(f"t_{m}").alias("target"), F.col("w"), (F.col("tokens") * F.col("p")).alias("kept")) for m in MARGINALS))))
+    sums = rows.groupBy("marginal", "category").agg(F.max("target").alias("target"), F.sum("w").alias("fitted"), F.sum("kept").alias("kept"))
+    return sums.withColumn("sampled", F.col("kept") / F.sum("kept").over(Window.partitionBy("marginal")))
+
+
+def celled(docs: DataFrame, topic: Column | None = None) -> DataFrame:
+    """The documents as row, with their cell and n_tokens_."""
+    named = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), n_words(docs["text"]).alias("n_tokens_"))
+    kind = form_topic(F.coalesce("row.text", F.lit("")), F.col("n_tokens_")) if topic is None else topic
+    return named.withColumns({"source_": F.coalesce("row.source", F.lit("?")), "lang_": F.coalesce("row.lang", F.lit("?")), "topic_": F.coalesce(kind, F.lit("?"))})
+
+
+def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict[str, float]] | None = None, power: float = POWER, rounds: int = ROUNDS, keep: float = KEEP, ident: str = "doc_id") -> DataFrame:
+    """The documents drawn, with all their columns, and with their cell, n_tokens_ and p_ where no column has that name."""
+    named = celled(docs, topic)
+    cells = written(named.groupBy(*MARGINALS).agg(F.sum("n_tokens_").alias("tokens")))
+    p = rake(cells, targets, power, rounds, keep).select(*MARGINALS, F.col("p").alias("p_"))
     drawn = named.join(p, list(MARGINALS), "left").withColumn("p_", F.coalesce("p_", F.lit(1.0)))
-    return drawn.where(draw(F.coalesce(F.col(ident).cast("string"), F.col("text"), F.lit(""))) < F.col("p_")).select(*docs.columns, *MARGINALS, "n_tokens_", "p_")
+    kept = drawn.where(draw(F.coalesce(F.col(f"row.`{ident}`").cast("string"), F.col("row.text"), F.lit(""))) < F.col("p_"))
+    return kept.select("row.*", *(c for c in (*MARGINALS, "n_tokens_", "p_") if c not in docs.columns))

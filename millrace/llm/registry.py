@@ -87,7 +87,7 @@ def _mix_sql() -> str:
         for m in ("source", "lang", "topic"):
             parts.append(f"w{k + 1} AS MATERIALIZED (SELECT a.source, a.lang, a.topic, a.tokens, a.w * t.t / sum(a.w) OVER (PARTITION BY a.{m}) AS w FROM w{k} a JOIN t_{m} t ON a.{m} = t.{m})")
             k += 1
-    parts.append(f"p AS (SELECT source, lang, topic, (w / tokens) / max(w / tokens) OVER () AS p FROM w{k})")
+    parts.append(f"p AS (SELECT source, lang, topic, least(1.0, {mixing.KEEP} * (SELECT t FROM total) * w / tokens) AS p FROM w{k})")
     return f"""WITH {", ".join(parts)}
 SELECT n.doc_id, n.source, n.lang, n.topic, n.n_tokens::BIGINT AS n_tokens, round(coalesce(p.p, 1.0), 6) AS p
 FROM n LEFT JOIN p ON n.source = p.source AND n.lang = p.lang AND n.topic = p.topic
