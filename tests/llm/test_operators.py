@@ -149,20 +149,23 @@ def test_quality_learns_and_handles_odd_rows(spark):
 
 
 def test_cross_parsing_counts_greedy_longest_phrases():
-    samples = {"a": b"banana bandana", "b": b"the quick brown fox"}
+    thai = "".join(chr(0xE01 + RND.randrange(46)) for _ in range(300))
+    samples = {"a": b"banana bandana", "b": b"the quick brown fox", "c": thai.encode(), "d": ("ab" * 400 + "abc").encode()}
     parser = langid.CrossParser(samples)
-    for text in ("banana", "bananaband", "the fox ran", "zzz", "quick ban", "b" * 700):
+    long = " ".join(RND.choice(["banana", "ban", "quick", "the", "fox", "abab"]) for _ in range(400))
+    texts = ["banana", "bananaband", "the fox ran", "zzz", "quick ban", "b" * 700, "ab" * 700, "b" + "ab" * 900, thai * 3, thai[7:120] + "the fox", long, "x" * 256, "ab" * 128]
+    for at, text in enumerate(texts):
+        symbols = bytes(langid.letters_only(text.encode()))
         for k, s in enumerate(samples.values()):
-            ref, n = s.decode(), 0
-            for at in range(0, len(text), langid.SEGMENT):
-                part, i = text[at : at + langid.SEGMENT], 0
-                while i < len(part):
-                    j = i + 1
-                    while j <= len(part) and part[i:j] in ref:
-                        j += 1
-                    i = max(j - 1, i + 1)
-                    n += 1
-            assert parser.phrases([text])[0, k] == n, (text, k)
+            ref, n, i = bytes(langid.letters_only(s)), 0, 0
+            while i < len(symbols):
+                j = i + 1
+                while j <= len(symbols) and symbols[i:j] in ref:
+                    j += 1
+                i = max(j - 1, i + 1)
+                n += 1
+            assert parser.phrases([text])[0][0, k] == n, (text, k)
+            assert parser.phrases(texts)[0][at, k] == n, (text, k)
 
 
 def test_language_rows(spark):
@@ -171,6 +174,10 @@ def test_language_rows(spark):
     got = {r.doc_id: r for r in langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(got[i].lang_pred == ("en" if i % 2 else "de") for i in range(60))
     assert got[70].lang_pred == got[71].lang_pred == "und" and got[70].score == 0 and got[72].lang_pred == "en"
+    df = spark.createDataFrame([*rows, (None, "das haus und der hund", "de"), (80, de * 4000, "de")], "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
+    got = {r.doc_id: r for r in langid.language_id(df).collect()}
+    assert got[None].lang_pred == got[80].lang_pred == "de" and got[None].held_out is False
+    assert langid.language_id(df.limit(0)).count() == 0
     none = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in langid.language_id(none).collect()] == ["und"]
 
@@ -232,19 +239,69 @@ def test_scores_against_the_plain_formulas(spark, monkeypatch):
         assert r.score == pytest.approx(sum(math.log10(p if bit else 1 - p) for c, node, bit in steps(t) for p in [chance(c, node)]), rel=1e-6)
 
 
+def plain_leaks(docs, items):
+    """op7 by brute force: every alignment of every item with every document."""
+    import regex
+
+    D = decontaminate
+    units = "|".join(sorted(D.UNITS, key=len, reverse=True))
+
+    def three(text):
+        raw = " ".join(split(text))
+        if not raw:
+            return None
+        strip = lambda x: x.translate({ord(c): None for c in D.SIGNS}).lower()
+        t = strip(regex.sub(r"\p{Lu}(?<=[\p{L}\p{Nd},;][\"')]? \p{Lu})\p{Ll}+", D.NAME, raw))
+        t = regex.sub(rf"\p{{Nd}}+( ?)(?:{units})(?= |$)", rf"{D.NUMBER}\1{D.UNIT}", t)
+        return strip(raw).split(" "), regex.sub(r"\p{Nd}+", D.NUMBER, t).split(" ")
+
+    out = set()
+    for i, text in docs:
+        for k, item in items:
+            if not (x := three(text)) or not (y := three(item)):
+                continue
+            (db, dt), (ib, it) = x, y
+            size = len(ib)
+            for shift in range(-size + 1, len(db)):
+                at = [p for p in range(size) if 0 <= p + shift < len(db)]
+                plain = [db[p + shift] == ib[p] for p in at]
+                typed = [dt[p + shift] == it[p] for p in at]
+                literal = [D.MARK not in it[p] for p in at]
+                runs = range(len(at) - D.WINDOW + 1)
+                hit = any(all(plain[r : r + D.WINDOW]) or all(typed[r : r + D.WINDOW]) and sum(literal[r : r + D.WINDOW]) >= D.LITERAL for r in runs)
+                if size < D.WINDOW:
+                    hit = all(plain) and len(plain) == size and (size >= D.WHOLE or len(db) == size)
+                slots = {(ib[p], db[p + shift]) for p, same in zip(at, typed, strict=True) if same and D.MARK in it[p]}
+                enough = lambda n: n >= min(D.LEAST, size) and n >= D.SHARE * size  # noqa: E731, B023
+                consistent = len({a for a, _ in slots}) == len({b for _, b in slots}) == len(slots)
+                if hit and (enough(sum(plain)) or enough(sum(typed)) and consistent):
+                    out.add((i, k))
+    return out
+
+
 def test_leaks(spark):
     item = "If Alice has 12 apples and gives Bob 5 of them, how many apples does Alice keep after 3 days?"
     other = item.replace("Alice", "Carol").replace("Bob", "Dave").replace("12", "40").replace("5", "9")
     mixed = item.replace("Alice", "Carol", 1)
+    capital, line = "What is the capital city of France?", "one, two three four five"
     filler = " ".join(words(40))
     rows = [(1, f"{filler}. {item} {filler}"), (2, f"{filler} {other.upper().lower()}"), (3, f"{filler}, if Carol" + other[8:]), (4, filler), (5, None), (6, ""), (7, item), (7, item), (8, mixed)]
-    bench = [(10, item), (11, "too short"), (12, None)]
-    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item", F.lit(1))
+    rows += [(9, capital), (9, filler), (10, f"{filler} {capital.upper()} {filler}"), (11, f"so {line}, six"), (12, "Too Short!"), (13, f"it is too short {filler}"), (14, item.upper())]
+    rows += [(None, f"{filler} {capital}"), (15, "In 5 kg of salt the price of the Berlin market rose by 7 km to 3 m"), (16, "x " * 30_000 + item)]
+    bench = [(10, item), (11, "too short"), (12, None), (13, capital), (14, line), (15, " "), (16, "In 9 kg of salt the price of the Munich market rose by 8 km to 2 m")]
+    bench += [(20 + i, " ".join(words(n))) for i, n in enumerate((4, 6, 7, 12, 30))]
+    for i, (_, text) in enumerate(bench[-5:]):  # a word changed here and there, and half of an item
+        w = text.split()
+        rows += [(30 + i, " ".join([*words(5), *w[: len(w) // 2], "zz", *w[len(w) // 2 + 1 :]])), (40 + i, " ".join([*w[: -(-len(w) * 2 // 3)], *words(9)]))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item", F.lit(1)).withColumn("version", F.lit("x"))
     b = spark.createDataFrame(bench, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.reparameterised for r in decontaminate.leaks(d, b).collect()}
-    assert got[1, 10] is False and got[7, 10] is False and got[3, 10] is True
-    assert not {x for x in got if x[0] in (4, 5, 6)} and all(x[1] == 10 for x in got)
-    assert sorted(r.doc_id for r in decontaminate.clean(d, b).collect() if r.doc_id in (1, 4, 5, 6, 7)) == [4, 5, 6]
+    assert set(got) == plain_leaks(rows, bench)
+    assert {(1, 10), (2, 10), (3, 10), (7, 10), (8, 10), (14, 10), (9, 13), (10, 13), (None, 13), (11, 14), (12, 11), (15, 16), (16, 10)} <= set(got)
+    assert got[1, 10] is False and got[7, 10] is False and got[3, 10] is True and got[15, 16] is True
+    left = [(r.doc_id, r.text) for r in decontaminate.clean(d, b).collect()]
+    assert sorted(map(str, left)) == sorted(str((i, t)) for i, t in rows if not plain_leaks([(i, t)], bench))
+    assert (9, filler) in left and decontaminate.clean(d, b).columns == d.columns
     assert decontaminate.leaks(d, b.limit(0)).count() == decontaminate.leaks(d.limit(0), b).count() == 0
 
 
@@ -252,17 +309,30 @@ def test_raking_meets_its_targets(spark):
     cells = [(s, l, t, float(RND.randint(1, 1000))) for s in "abc" for l in "xy" for t in "pq"]
     df = spark.createDataFrame(cells, "source_ string, lang_ string, topic_ string, tokens double")
     targets = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"p": 0.1, "q": 0.9}}
-    rows = mixing.rake(df, targets, rounds=30).collect()
-    total = sum(r.tokens * r.p for r in rows)
-    for m, goal in targets.items():
-        for k, share in goal.items():
-            assert sum(r.tokens * r.p for r in rows if r[f"{m}_"] == k) / total == pytest.approx(share, rel=1e-3)
-    assert max(r.p for r in rows) == 1
+    raked = mixing.rake(df, targets, rounds=30, keep=0.01)
+    rows = raked.collect()
+    assert sum(r.tokens * r.p for r in rows) == pytest.approx(0.01 * sum(r.tokens for r in rows))
+    for r in mixing.residuals(raked).collect():
+        assert r.target == targets[r.marginal][r.category]
+        assert r.fitted == pytest.approx(r.target, rel=1e-3) and r.sampled == pytest.approx(r.target, rel=1e-3)
+    assert max(r.p for r in mixing.rake(df, targets, keep=5.0).collect()) == 1
 
 
 def test_mix_rows(spark):
-    rows = [(i, "w " * (i % 50), "s" if i % 3 else None, None if i % 5 == 0 else "en") for i in range(300)] + [(300, None, "s", "en"), (301, "", "s", "en")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("p", F.lit(0))
+    rows = [(i, "w " * (i % 50), "s" if i % 3 else None, None if i % 5 == 0 else "en") for i in range(300)] + [(300, None, "s", "en"), (301, "", "s", "en"), (None, "w w", "s", "en"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumns({"p": F.lit(0), "source_": F.lit("own"), "row": F.lit(1)})
     got = mixing.mix(df)
-    assert got.count() == mixing.mix(df).count() > 0 and set(df.columns) <= set(got.columns)
+    assert got.count() == mixing.mix(df).count() > 0 and got.columns == [*df.columns, "lang_", "topic_", "n_tokens_", "p_"]
+    assert {r.source_ for r in got.collect()} == {"own"}
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_the_sample_has_its_targets(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.lit(30)).alias("text"), F.when(F.col("id") % 10 < 7, "web").otherwise("book").alias("source"), F.when(F.col("id") % 3 == 0, "de").otherwise("en").alias("lang"))
+    targets = {"source": {"web": 0.5, "book": 0.5}, "lang": {"de": 0.4, "en": 0.6}}
+    kept = mixing.mix(docs, targets=targets, keep=0.4)
+    total = kept.count()
+    assert total == pytest.approx(2400, rel=0.06)
+    for m, goal in targets.items():
+        for r in kept.groupBy(m).count().collect():
+            assert r["count"] / total == pytest.approx(goal[r[m]], rel=0.08)
