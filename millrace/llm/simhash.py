@@ -37,7 +37,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-    hashes = np.array([digest(s, 42) for s in shingles], ">u8")
+    return majority(np.array([digest(s, 42) for s in shingles], ">u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes (big-endian); none: zero."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 100_000):
         ones += np.unpackbits(hashes[at : at + 100_000].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int32)
@@ -73,10 +77,14 @@ def links(classes: DataFrame, distance: int = 3) -> DataFrame:
     return probes.join(table, "key").where((near <= distance) & (near > 0)).select("a", "b")
 
 
+def linked(prints: DataFrame, distance: int, ident: str) -> DataFrame:
+    """Per fingerprint: component_id, the smallest id that links reach. prints: fp and the id."""
+    classes = written(prints.groupBy("fp").agg(F.min(ident).alias("rep")))
+    roots = stars(links(classes.where("rep is not null"), distance))
+    return classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: id, fingerprint (hex) and component_id, the smallest id that links reach."""
     prints = written(fingerprints(docs, width, ident, text))
-    classes = written(prints.groupBy("fp").agg(F.min(ident).alias("rep")))
-    roots = stars(links(classes.where("rep is not null"), distance))
-    named = classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(named, "fp").select(ident, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return prints.join(linked(prints, distance, ident), "fp").select(ident, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

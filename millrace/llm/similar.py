@@ -4,9 +4,13 @@ Two sets of similarity `least` or more share one of the first n - ceil(least * n
 the order of all elements is. The order puts shingles that are common in a sample of the texts last, the most
 common at the very end, so what meets under one shingle is small; the sample decides about speed only.
 
-Equal sets are one class. Under each shingle every class is first compared with two of the others, which joins
+Equal sets are one class. Classes are first compared with the representative of their SimHash component (fingerprints
+of five-word shingles, multi-index hashing), and under each shingle with two of the other classes, which joins
 large groups of near copies without all of their pairs; what is then still in different components is compared
-pair by pair. Similarities are computed from the whole sets, in the join itself.
+pair by pair. Sketches rule out most pairs; similarities are computed from the whole sets of the others.
+
+Fingerprints alone can't do it: at a similarity of 0.8 two of them differ in ten bits of 64 on average, and no choice of
+segments reaches that far without meeting much of the corpus.
 
 Defined cases: null, empty and blank texts have no shingles and are copies of each other; texts with fewer words
 than a shingle are one shingle of all their words; only A-Z are lower-cased, only ASCII white space splits words.
@@ -17,19 +21,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import written
 from millrace.llm.components import stars
+from millrace.llm.simhash import linked, majority
 
 #: One text in `FOLDS` is looked at for common shingles; of those in `COMMON` of them or more, `KNOWN` are ordered.
 FOLDS, COMMON, KNOWN = 8, 4, 100_000
+#: Up to so many hashes of rows (16 MB) are broadcast; more are joined by shuffles.
+WANTED = 2_000_000
+
+
+def lowered(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
     """The distinct hashes of a text's word shingles, in ascending order."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = lowered(text)
     n = len(words) - width + 1
     runs = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if n > 0 else [b" ".join(words)] if words else []
     digest = xxhash.xxh64_intdigest
@@ -63,64 +75,113 @@ def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
 
 
 def classes_of(rows: DataFrame, width: int, least: float) -> DataFrame:
-    """Per class of equal sets: node (digest of the set), size, prefix, and best, the row with the smallest id."""
+    """Per class of equal sets: node (digest of the set), size, fingerprint, prefix, sketch (how many shingles fall to
+    each of 256 parts, 255 standing for more) and best, the row with the smallest id."""
     known, ranks = common_shingles(rows, width)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sizes, prefixes = [], [], []
-            for text in batch.column(2).to_pylist():
-                h = shingles(text, width)
-                nodes.append(xxhash.xxh3_64_intdigest(h.tobytes()))
-                sizes.append(len(h))
-                rank = np.zeros(len(h), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    rank = np.where(known[at] == h, ranks[at], 0)
-                keep = len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0
-                prefixes.append(h[np.lexsort((h, rank))[:keep]])
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), lists(prefixes)], names=["id", "row", "node", "size", "prefix"])
-
-    prints = rows.select("id", "row", "text").mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, row long, node long, size int, prefix array<long>")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                nodes, prints, sizes, sketches, prefixes = [], [], [], [], []
+                for text in batch.column(2).to_pylist():
+                    h = shingles(text, width)
+                    nodes.append(xxhash.xxh3_64_intdigest(h.tobytes()))
+                    prints.append(majority(h.astype(">i8")))
+                    sizes.append(len(h))
+                    sketches.append(np.minimum(np.bincount(h & 255, minlength=256), 255).astype(np.uint8).tobytes())
+                    rank = np.zeros(len(h), np.int64)
+                    if len(known):
+                        where = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        rank = np.where(known[where] == h, ranks[where], 0)
+                    keep = len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0
+                    prefixes.append(h[np.lexsort((h, rank))[:keep]])
+                signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+                yield pa.record_batch([batch.column(0), batch.column(1), signed(nodes), signed(prints), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), lists(prefixes)], names=["id", "row", "node", "fp", "size", "sketch", "prefix"])
+
+    prints = rows.select("id", "row", "text").mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, row long, node long, fp long, size int, sketch binary, prefix array<long>")
     best = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row")).alias("best")
-    return written(prints.groupBy("node").agg(best, F.first("size").alias("size"), F.first("prefix").alias("prefix")))
+    return written(prints.groupBy("node").agg(best, *(F.first(c).alias(c) for c in ("fp", "size", "sketch", "prefix"))))
 
 
-def set_rows(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The whole sets of the classes in wanted (row, node)."""
+def possible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow the similarity, with the rows of both."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(0), lists([shingles(t, width) for t in batch.column(1).to_pylist()])], names=["node", "s"])
+            n = sum(np.asarray(batch.column(c), np.int64) for c in ("size_a", "size_b"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("sketch_a", "sketch_b"))
+            most = np.minimum(a, b)
+            both = most.sum(1, dtype=np.int64)
+            fits = (most == 255).any(1) | (both >= least * (n - both) - 1e-9)
+            yield pa.record_batch([c for c in batch.columns[:4]], names=batch.schema.names[:4]).filter(pa.array(fits))
+
+    side = lambda s: classes.select(F.col("node").alias(s), F.col("best.row").alias(f"row_{s}"), F.col("size").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+    alike = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9
+    sides = pairs.join(side("a"), "a").join(side("b"), "b").where(alike)
+    return written(sides.select("a", "b", "row_a", "row_b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(work, "a long, b long, row_a long, row_b long"))
+
+
+def near(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets have the similarity; the whole texts of what the sketches leave open are compared."""
+    pairs = possible(pairs, classes, least)
+    wanted = written(pairs.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct())
+    if wanted.count() <= WANTED:
+        wanted = F.broadcast(wanted)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            texts = [small.compress(b" ".join(lowered(t))) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.binary())], names=["row", "packed"])
 
-    texts = rows.select("row", "text").join(wanted, "row").dropDuplicates(["row"])
-    return written(texts.select("node", "text").mapInArrow(work, "node long, s array<long>"))
+    texts = rows.select("row", "text").join(wanted, "row").mapInArrow(pack, "row long, packed binary")
+    texts = written(texts.groupBy("row").agg(F.first("packed").alias("packed")), compression="none")
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_text, sets = zstandard.ZstdDecompressor(), {}
 
-def near(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity."""
-    sides = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("s_b")), "b")
-    both = sides.select("a", "b", (F.size("s_a") + F.size("s_b")).alias("n"), F.size(F.array_intersect("s_a", "s_b")).alias("both"))
-    return both.where(F.col("both") >= least * (F.col("n") - F.col("both")) - 1e-9).select("a", "b")
+        def set_of(row: int, packed: bytes) -> np.ndarray:
+            if row not in sets:
+                if len(sets) >= 64:
+                    sets.clear()
+                sets[row] = shingles(open_text.decompress(packed).decode(errors="surrogatepass"), width)
+            return sets[row]
 
+        for batch in batches:
+            fits = []
+            for row_a, row_b, x, y in zip(*(batch.column(i) for i in range(2, 6)), strict=True):
+                a, b = set_of(row_a.as_py(), x.as_py()), set_of(row_b.as_py(), y.as_py())
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                fits.append(both >= least * (len(a) + len(b) - both) - 1e-9)
+            yield pa.record_batch(batch.columns[:2], names=["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    side = lambda s: texts.select(F.col("row").alias(f"row_{s}"), F.col("packed").alias(f"packed_{s}"))
+    sides = pairs.join(side("a"), "row_a").join(side("b"), "row_b").select("a", "b", "row_a", "row_b", "packed_a", "packed_b")
+    return written(sides.mapInArrow(compare, "a long, b long"))
 
-def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, ident: str = "doc_id", text: str = "text") -> DataFrame:
+
+def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: int = 3, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each group of near duplicates: row, the hash (`identified`) of its row with the smallest id.
 
     Rows without an id come last, rows of one id by their hash.
     """
     rows = docs.select(F.col(ident).alias("id"), F.col(text).cast("string").alias("text"), identified(docs).alias("row"))
     classes = classes_of(rows, width, least)
-    index = classes.select(F.explode("prefix").alias("key"), "node", "size", F.col("best.row").alias("row"))
+    sized = classes.where("size > 0")
+    by_print = sized.select("node", "fp").join(linked(sized.select("node", "fp"), distance, "node"), "fp")
+    by_print = by_print.where(F.col("node") != F.col("component_id")).select(F.col("node").alias("a"), F.col("component_id").alias("b"))
+
+    # one shuffle by key serves the counts and the join
+    index = classes.select(F.explode("prefix").alias("key"), "node", "size").repartition("key")
     member = F.struct("node", "size")
     keys = index.groupBy("key").agg(F.count("*").alias("k"), F.min(member).alias("lo"), F.max(member).alias("hi")).where("k > 1")
     shared = written(index.join(keys, "key"))
-    sets = set_rows(rows, shared.select("row", "node").distinct(), width)
 
     alike = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
     leaders = shared.select(F.col("node").alias("a"), "size", F.explode(F.array("lo", "hi")).alias("l")).where((F.col("a") != F.col("l.node")) & alike(F.col("size"), F.col("l.size")))
-    pairs = leaders.select(F.greatest("a", "l.node").alias("a"), F.least("a", "l.node").alias("b")).distinct()
-    links = written(near(pairs, sets, least))
+    pairs = by_print.unionByName(leaders.select("a", F.col("l.node").alias("b")))
+    links = near(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), classes, rows, width, least)
     roots = stars(links)
 
     # under keys of up to three classes all pairs are done
@@ -132,7 +193,7 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, ident: str
     apart = side(parts, "a").join(side(parts, "b"), "key").where((F.col("part_a") > F.col("part_b")) & (F.col("high_b") >= least * F.col("low_a") - 1e-9) & (F.col("high_a") >= least * F.col("low_b") - 1e-9))
     rest = apart.select("key", "part_a", "part_b").join(side(placed, "a"), ["key", "part_a"]).join(side(placed, "b"), ["key", "part_b"]).where(alike(F.col("size_a"), F.col("size_b")))
     rest = rest.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
-    more = written(near(rest, sets, least))
+    more = near(rest, classes, rows, width, least)
     if not more.isEmpty():
         roots = stars(links.unionByName(more))
     groups = classes.select("node", "best").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("best").alias("best"))
