@@ -222,7 +222,8 @@ def removals(docs: DataFrame, words: int = 50, gram: int = 8, batches: int = 3)
 
 
 def cut_rows(docs: DataFrame, keep: tuple[str, ...] = (), words: int = 50, gram: int = 8, batches: int = 3, ident: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
-    """Per row: the columns in keep, then doc_id_, n_words, n_removed, kept_sha256 and kept_text."""
+    """Per row: the columns in keep as column_0 and so on, whatever their names; then doc_id_, n_words, n_removed,
+    kept_sha256 and kept_text."""
     cuts = removals(plain(docs, ident, text), words, gram, batches)
     made = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
@@ -247,8 +248,8 @@ def cut_rows(docs: DataFrame, keep: tuple[str, ...] = (), words: int = 50, gram:
             yield pa.record_batch([*batch.columns[:n], *own], names=[*batch.schema.names[:n], *made.names])
 
     cuts = cuts.select(F.col("doc_id").alias("cut_id_"), F.col("version").alias("cut_version_"), F.col("cuts").alias("cuts_"))
-    ids, value = F.col(ident).cast("long"), F.col(text).cast("string")
-    joined = docs.join(cuts, (ids == F.col("cut_id_")) & (F.xxhash64(value) == F.col("cut_version_")), "left").select(*keep, ids.alias("doc_id_"), value.alias("text_"), "cuts_")
+    ids, value = docs[ident].cast("long"), docs[text].cast("string")
+    joined = docs.join(cuts, (ids == F.col("cut_id_")) & (F.xxhash64(value) == F.col("cut_version_")), "left").select(*(docs[c].alias(f"column_{i}") for i, c in enumerate(keep)), ids.alias("doc_id_"), value.alias("text_"), "cuts_")
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema[: len(keep) + 1])
     return joined.mapInArrow(work, schema + "n_words long, n_removed long, kept_sha256 string, kept_text string")
 

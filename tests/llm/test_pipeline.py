@@ -12,7 +12,9 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 def test_stages_keep_the_schema_and_do_their_work(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = spark.createDataFrame([(10**9, None, None, None, None), (10**9 + 1, "", "en", "s", 0), (10**9 + 2, "12 34 !!", "de", "s", 8)], docs.schema)
+    rnd = random.Random(4)
+    noise = [(10**9 + 10 + n, "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(n)), "en", "s", n) for n in (60, 300, 900, 5000)]
+    odd = spark.createDataFrame([(10**9, None, None, None, None), (10**9 + 1, "", "en", "s", 0), (10**9 + 2, "12 34 !!", "de", "s", 8), *noise], docs.schema)
     docs = docs.unionByName(odd)
     benchmark = {r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     before = {r.doc_id: r for r in docs.collect()}
@@ -21,8 +23,8 @@ def test_stages_keep_the_schema_and_do_their_work(spark):
         assert out.schema.simpleString() == docs.schema.simpleString()
         rows = {r.doc_id: r for r in out.collect()}
         assert set(rows) <= set(before)
-        if i == 0:  # texts without letters go, nothing else does here
-            assert set(before) - set(rows) == {10**9, 10**9 + 1, 10**9 + 2}
+        if i == 0:  # texts without letters and random letters of any length go, nothing else does here
+            assert set(before) - set(rows) == {10**9, 10**9 + 1, 10**9 + 2, *(x[0] for x in noise)}
         elif i == 1:
             assert len({r.text for r in rows.values()}) == len(rows)
         elif i == 2:
@@ -110,7 +112,15 @@ def test_repeated_and_missing_ids_in_every_stage(spark):
     want = [*[first] * 3, *[left[0]] * 3, left[1], *[lone] * 2, (None, near[1], "en", "s", len(near[1]))]
     assert sorted(map(tuple, corpus_pipeline.by_substring(spark, docs, SF).collect()), key=key) == sorted(want, key=key)
     assert sorted(map(tuple, corpus_pipeline.by_benchmark(spark, docs, SF).collect()), key=key) == sorted(rows, key=key)
-    # the one cell is kept with probability one
-    assert sorted(map(tuple, corpus_pipeline.by_mixture(spark, docs.where("text = '" + lone[1] + "'"), SF).collect()), key=key) == [lone] * 2
+    # repeated rows are drawn alike, rows without an id by their text
+    many = docs.unionByName(spark.createDataFrame([row(None, words(30)) for _ in range(40)], schema)).unionByName(docs)
+    drawn = [tuple(r) for r in corpus_pipeline.by_mixture(spark, many, SF).collect()]
+    asked = [tuple(r) for r in many.collect()]
+    assert {r[0] for r in drawn} >= {None} and all(drawn.count(r) == asked.count(r) for r in drawn)
+    clash = docs.withColumns({c: F.lit("own") for c in ("score", "strangeness", "lang_pred", "row", "version", "source_", "p_", "key", "cuts", "text_", "n_words")})
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, clash, SF)
+        assert out.columns == clash.columns and all({r.score, r.row, r.version, r.source_} == {"own"} for r in out.collect())
+        assert stage(spark, docs.limit(0), SF).count() == 0
     same = spark.createDataFrame([(i, "the man and the woman went to the house", "en", "s", 39) for i in [*range(100, 140), None, None, 7, 7]], schema)
     assert corpus_pipeline.by_language(spark, same, SF).count() == 44
