@@ -9,33 +9,40 @@ from pyspark.sql import functions as F
 from millrace.llm import decontaminate, langid, mixing, similar, substring
 from millrace.llm.common import fold_of, read, written
 
-#: Texts of so many characters whose best language needs nearly as many phrases as the next are in no one language.
-LONG_ENOUGH, LEAST_SCORE = 400, 0.505
+#: A text that needs so many times the phrases usual in its best language is in none of the languages.
+STRANGE = 3.0
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go: those without letters, and long ones with no language ahead."""
-    samples = langid.labelled_samples(docs.where(fold_of("doc_id", 4) != 2))
-    found = langid.identify(docs, samples, keep=tuple(c for c in docs.columns if c not in ("doc_id",)))
-    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & ((F.length("text") < LONG_ENOUGH) | (F.col("score") >= LEAST_SCORE)))
-    return kept.select(docs.columns)
+    """Documents without a recognisable language go: those without letters, and letters strung together at random."""
+    held_out = F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False))
+    samples = langid.labelled_samples(docs.where(~held_out))
+    # whatever the columns are called, none clashes with the operator's
+    named = docs.select("doc_id", "text", *(F.col(c).alias(f"column_{i}") for i, c in enumerate(docs.columns)))
+    found = langid.identify(named.drop(f"column_{docs.columns.index('text')}"), samples, keep=("text", *(f"column_{i}" for i, c in enumerate(docs.columns) if c != "text")))
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("strangeness") < STRANGE))
+    return kept.select(*(F.col("text" if c == "text" else f"column_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def by_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates stays, the one with the smallest id; rows without an id come last.
 
-    Near duplicates share four fifths of their five-word shingles. Fingerprints of 64 bits miss most of them in short
-    texts, so the stage compares the shingles themselves.
+    Near duplicates share four fifths of their five-word shingles. SimHash components are compared first; fingerprints of
+    64 bits miss most such pairs in short texts, so the operator then compares the shingles of the rest.
     """
-    named = docs.withColumn("row", similar.identified(docs))
-    return named.join(similar.near_copies(docs), "row", "left_semi").dropDuplicates(["row"]).select(docs.columns)
+    named = docs.withColumn("row_of_group_", similar.identified(docs))
+    best = similar.near_copies(docs).withColumnRenamed("row", "row_of_group_")
+    return named.join(best, "row_of_group_", "left_semi").dropDuplicates(["row_of_group_"]).select(docs.columns)
 
 
 def by_substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words that a document with a smaller id has go; documents left empty go with them."""
     found = substring.cut_rows(docs, tuple(docs.columns)).where("n_removed = 0 or kept_text <> ''")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return found.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(docs.columns)
+    own = {c: F.col(f"column_{i}") for i, c in enumerate(docs.columns)}
+    own["text"] = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(own["text"])
+    if "n_chars" in own:
+        own["n_chars"] = F.length(own["text"]).cast(docs.schema["n_chars"].dataType)
+    return found.select(*(column.alias(c) for c, column in own.items()))
 
 
 def by_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
