@@ -65,6 +65,11 @@ def local_date(ts: Column, tz: str) -> Column:
     return F.to_date(F.from_utc_timestamp(ts, tz))
 
 
+def ascii_bounds(pattern: str) -> str:
+    """A pattern whose word boundaries know ASCII words only, as those of other engines do; Java's know all letters."""
+    return pattern.replace(r"\b", "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+
+
 def meaningful(text: Column) -> Column:
     """Letters and digits of any script alone, lower-cased."""
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", "")
@@ -73,7 +78,10 @@ def meaningful(text: Column) -> Column:
 def char_ngrams(text: Column, n: int = 2) -> Column:
     """The distinct character n-grams of the meaningful characters; a shorter text is its own; an empty one has none."""
     m = meaningful(text)
-    grams = F.transform(F.sequence(F.lit(1), F.char_length(m) - n + 1), lambda i: F.substring(m, i, F.lit(n)))
+    chars = F.split(m, "")
+    grams = F.slice(chars, 1, F.greatest(F.char_length(m) - n + 1, F.lit(1)))
+    for k in range(1, n):  # linear: a substring of UTF-8 is found from the text's start each time
+        grams = F.zip_with(grams, F.slice(chars, k + 1, F.greatest(F.char_length(m) - n + 1, F.lit(1))), lambda x, y: F.concat(x, y))
     return F.when(F.char_length(m) == 0, F.array().cast("array<string>")).when(F.char_length(m) < n, F.array(m)).otherwise(F.array_distinct(grams))
 
 

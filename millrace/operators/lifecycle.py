@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.catalog import Catalog
-from millrace.functions.columns import char_ngrams, depth_of, half_up, jaccard, ratio
+from millrace.functions.columns import ascii_bounds, char_ngrams, depth_of, half_up, jaccard, ratio, meaningful
 from millrace.io import load
 
 catalog = Catalog()
@@ -264,23 +264,29 @@ def item_card(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, length(text) >= 40 AS long_enough, NOT contains(text, '!!') AS calm, NOT regexp_matches(lower(text), '\\b(idiot|worthless|pathetic|clown)\\b') AS polite, length(text) >= 40 AND NOT contains(text, '!!') AND NOT regexp_matches(lower(text), '\\b(idiot|worthless|pathetic|clown)\\b') AS passes FROM documents""".replace("\\\\", "\\"))
 def review_verdict(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    r = load(spark, d, "documents").select("doc_id", (F.length(t) >= 40).alias("long_enough"), (~t.contains("!!")).alias("calm"), (~F.lower(t).rlike(r"\b(idiot|worthless|pathetic|clown)\b")).alias("polite"))
+    r = load(spark, d, "documents").select("doc_id", (F.length(t) >= 40).alias("long_enough"), (~t.contains("!!")).alias("calm"), (~F.lower(t).rlike(ascii_bounds(r"\b(idiot|worthless|pathetic|clown)\b"))).alias("polite"))
     return r.withColumn("passes", F.col("long_enough") & F.col("calm") & F.col("polite"))
 
 
 def near_pairs(items: DataFrame, least: float, ident: str, text: str) -> DataFrame:
-    """Pairs of texts whose bigram Jaccard reaches `least`, by an inverted index with prefix filtering.
+    """Pairs of texts whose bigram Jaccard reaches `least`, by signatures of parts of their gram sets.
 
-    Grams are ordered by rarity; two sets as alike as that share one of their first
-    n - ceil(least * n) + 1 grams, so only those meet, and common grams hardly ever do.
+    Sets as alike as that differ in at most (1 - least) / (1 + least) of their sizes' sum. If grams are dealt by hash into
+    one part more than that, some part is the same in both. How many parts a pair needs depends on the larger set's
+    level, a power of 1 / least; the sizes of a pair lie at most one level apart, so each set has signatures for
+    its own level and the next. Sets are compared in full only where a part agrees, which bigrams hardly ever do by
+    chance, however common each of them is.
     """
-    g = items.select(F.col(ident).alias("id"), char_ngrams(F.col(text)).alias("grams")).where(F.size("grams") > 0)
-    each = g.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    df = each.groupBy("gram").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("id").orderBy("df", "gram")
-    keys = each.join(df, "gram").withColumn("i", F.row_number().over(w)).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("id", "n", "gram")
-    a, b = keys.select(F.col("id").alias("a"), F.col("n").alias("na"), "gram"), keys.select(F.col("id").alias("b"), F.col("n").alias("nb"), "gram")
-    pairs = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least)).select("a", "b").distinct()
+    g = items.select(F.col(ident).alias("id"), char_ngrams(F.col(text)).alias("grams")).where(F.size("grams") > 0).withColumn("n", F.size("grams"))
+    step = F.log(F.lit(1 / least))
+    sized = g.select("id", "n", "grams", F.explode(F.array(*(F.floor(F.log("n") / step) + k for k in (0, 1)))).alias("level"))
+    parts = F.floor(2 * (1 - least) / (1 + least) * F.pow(F.lit(1 / least), F.col("level") + 1) + 1e-6) + 1
+    sized = sized.withColumn("parts", parts.cast("int"))
+    dealt = sized.select("id", "n", "level", "parts", F.explode("grams").alias("gram")).select("id", "n", "level", F.pmod(F.xxhash64("gram"), "parts").cast("int").alias("part"), F.xxhash64("gram", F.lit(1)).alias("h"))
+    none = sized.select("id", "n", "level", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).cast("long").alias("h"))
+    keys = dealt.unionByName(none).groupBy("id", "n", "level", "part").agg(F.bit_xor("h").alias("h"))
+    side = lambda s: keys.select(F.col("id").alias(s), F.col("n").alias(f"n{s}"), "level", "part", "h")
+    pairs = side("a").join(side("b"), ["level", "part", "h"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)).select("a", "b").distinct()
     full = pairs.join(g.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(g.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     return full.select("a", "b", half_up(jaccard(F.col("ga"), F.col("gb")), 4).alias("sim")).where(F.col("sim") >= least)
 
@@ -295,10 +301,21 @@ def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @catalog.query("copy_check", r"""
-WITH m AS (SELECT item_id AS id, list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) AS g FROM (SELECT item_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS t FROM benchmark) WHERE length(t) >= 2),
-p AS (SELECT a.id AS a, b.id AS b, FLOOR(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g)))::DOUBLE * 10000 + 0.5) / 10000 AS sim FROM m a JOIN m b ON a.id < b.id) SELECT a, b, sim FROM p WHERE sim >= 0.55""")
-def copy_check(spark: SparkSession, d: str) -> DataFrame:
-    return near_pairs(load(spark, d, "benchmark"), 0.55, "item_id", "text")
+WITH m AS (SELECT item_id AS id, t, list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) AS g FROM (SELECT item_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS t FROM benchmark) WHERE length(t) >= 2),
+p AS (SELECT a.id AS a, b.id AS b, FLOOR(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g)))::DOUBLE * 10000 + 0.5) / 10000 AS sim, len(list_filter(range(1, length(a.t) - 16), lambda i: contains(b.t, substr(a.t, i, 18)))) > 0 AS shared_run FROM m a JOIN m b ON a.id < b.id) SELECT a, b, sim, shared_run FROM p WHERE sim >= 0.55 OR shared_run""")
+def copy_check(spark: SparkSession, d: str, least: float = 0.55, run: int = 18) -> DataFrame:
+    """Pairs that are alike as a whole, or share a run of characters; what meets are runs, or the rarer grams of each item."""
+    m = load(spark, d, "benchmark").select(F.col("item_id").alias("id"), meaningful(F.col("text")).alias("t")).withColumn("grams", char_ngrams(F.col("t")))
+    runs = m.where(F.char_length("t") >= run).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("t") - run + 1), lambda i: F.xxhash64(F.substring("t", i, F.lit(run)))))).alias("key"))
+    each = m.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    w = Window.partitionBy("id").orderBy("df", "gram")
+    rare = each.join(each.groupBy("gram").agg(F.count("*").alias("df")), "gram").withColumn("i", F.row_number().over(w))
+    rare = rare.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("id", F.xxhash64("gram").alias("key"))
+    met = lambda keys: keys.withColumnRenamed("id", "a").join(keys.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b").distinct()
+    pairs = met(runs).withColumn("shared_run", F.lit(True)).unionByName(met(rare).withColumn("shared_run", F.lit(False))).groupBy("a", "b").agg(F.max("shared_run").alias("shared_run"))
+    side = lambda s: m.select(F.col("id").alias(s), F.col("grams").alias(f"g{s}"))
+    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", half_up(jaccard(F.col("ga"), F.col("gb")), 4).alias("sim"), "shared_run")
+    return full.where((F.col("sim") >= least) | F.col("shared_run"))
 
 
 # ------------------------------------------------------------------------------------ clocks and rates

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.catalog import Catalog
-from millrace.functions.columns import between, days_between, depth_of, half_up, matches, overlaps, ratio
+from millrace.functions.columns import ascii_bounds, between, days_between, depth_of, half_up, matches, overlaps, ratio
 from millrace.io import load
 
 catalog = Catalog()
@@ -49,7 +49,7 @@ FROM documents WHERE regexp_matches(lower(text), '\b(the|que|der)\b') ORDER BY s
 def token_search_topk(spark: SparkSession, d: str, tokens: tuple[str, ...] = ("the", "que", "der"), k: int = 20) -> DataFrame:
     """Occurrences of each token count up to three; the best k documents."""
     text = F.lower("text")
-    score = sum((F.least(F.regexp_count(text, F.lit(rf"\b{t}\b")), F.lit(3)) for t in tokens), F.lit(0)).cast("long")
+    score = sum((F.least(F.regexp_count(text, F.lit(ascii_bounds(rf"\b{t}\b"))), F.lit(3)) for t in tokens), F.lit(0)).cast("long")
     return load(spark, d, "documents").select("doc_id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.catalog import Catalog
-from millrace.functions.columns import char_ngrams, count_of, days_between, half_up, instant_of, jaccard, local_date, meaningful
+from millrace.functions.columns import ascii_bounds, char_ngrams, count_of, days_between, half_up, instant_of, jaccard, local_date, meaningful
 from millrace.io import load
 
 catalog = Catalog()
@@ -64,18 +64,34 @@ def js_round(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", half_up(F.col("l_extendedprice") * F.col("l_discount") - 50, 2).alias("r"), F.least(F.greatest("l_quantity", F.lit(10.0)), F.lit(40.0)).alias("c"))
 
 
-@catalog.query("verbatim_evidence", f"SELECT doc_id, item_id FROM (SELECT doc_id, {NORM_SQL} AS t FROM documents) JOIN (SELECT item_id, substr({NORM_SQL}, 1, 40) AS q FROM benchmark) ON contains(t, q)")
-def verbatim_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Quotes that stand verbatim in a text: quotes and texts meet on the quotes' first words, then are compared."""
-    width = 4
-    q = load(spark, d, "benchmark").select("item_id", F.substring(norm(F.col("text")), 1, 40).alias("q")).where("q <> ''")
+@catalog.query("verbatim_evidence", f"SELECT doc_id, item_id FROM (SELECT doc_id, {NORM_SQL} AS t FROM documents) JOIN (SELECT item_id, substr({NORM_SQL}, 1, CASE WHEN item_id % 3 = 0 THEN 18 ELSE 10000 END) AS q FROM benchmark) ON q <> '' AND contains(t, q)")
+def verbatim_evidence(spark: SparkSession, d: str, width: int = 3) -> DataFrame:
+    """Quotes that stand verbatim in a text: whole items, and the opening of every third one.
+
+    A quote's outer words may be parts of a text's words; quotes and texts meet on up to `width` of those between.
+    Quotes without such words meet texts on the first letters of a part of a word. Then whole quotes are compared.
+    """
+    opening = F.when(F.col("item_id") % 3 == 0, 18).otherwise(10_000)
+    q = load(spark, d, "benchmark").select("item_id", F.substring(norm(F.col("text")), F.lit(1), opening).alias("q")).where("q <> ''")
     words = F.split("q", " ")
-    # the last word of a quote may be cut, so only whole words are keys
-    q = q.where(F.size(words) > width).withColumn("key", F.xxhash64(F.slice(words, 2, width - 1)))
-    t = load(spark, d, "documents").select("doc_id", norm(F.col("text")).alias("t")).withColumn("w", F.split("t", " "))
-    grams = t.where(F.size("w") >= width - 1).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - width + 2), lambda i: F.xxhash64(F.slice("w", i, F.lit(width - 1)))))).alias("key"))
+    first = F.substring(F.get(words, F.lit(0)), 1, 3)
+    inner = F.least(F.size(words) - 2, F.lit(width))
+    q = q.withColumn("size", F.when(inner > 0, inner).otherwise(-F.char_length(first)))
+    q = q.withColumn("key", F.xxhash64("size", F.when(F.col("size") > 0, F.concat_ws(" ", F.slice(words, 2, F.greatest("size", F.lit(1))))).otherwise(first)))
+    sizes = sorted(r["size"] for r in q.select("size").distinct().collect())  # width + 3 values at most
+    t = load(spark, d, "documents").select("doc_id", norm(F.col("text")).alias("t"))
+    w = t.select("doc_id", F.split("t", " ").alias("w"))
+    runs = w.select("doc_id", F.explode(F.arrays_zip(*(F.slice("w", k + 1, F.size("w")).alias(f"w{k}") for k in range(width)))).alias("z"))
+    keys = [F.when(F.col(f"z.w{n - 1}").isNotNull(), F.xxhash64(F.lit(n), F.concat_ws(" ", *(f"z.w{k}" for k in range(n))))) for n in sizes if n > 0]
+    grams = runs.select("doc_id", F.explode(F.array(*keys)).alias("key")) if keys else None
+    if parts := [-n for n in sizes if n < 0]:
+        starts = w.select("doc_id", F.explode(F.array_distinct("w")).alias("x")).select("doc_id", "x", F.explode(F.sequence(F.lit(1), F.char_length("x"))).alias("i"))
+        short = starts.select("doc_id", F.explode(F.array(*(F.when(F.col("i") + n - 1 <= F.char_length("x"), F.xxhash64(F.lit(-n), F.substring(F.col("x"), F.col("i"), F.lit(n)))) for n in parts))).alias("key"))
+        grams = short if grams is None else grams.unionByName(short)
+    if grams is None:
+        return t.select("doc_id", F.lit(0).cast("long").alias("item_id")).limit(0)
     pairs = grams.join(q.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    return pairs.join(t.select("doc_id", "t"), "doc_id").join(q.select("item_id", "q"), "item_id").where(F.contains("t", "q")).select("doc_id", "item_id")
+    return pairs.join(t, "doc_id").join(q.select("item_id", "q"), "item_id").where(F.contains("t", "q")).select("doc_id", "item_id")
 
 
 @catalog.query("dedupe_array_by_key", """
@@ -120,7 +136,7 @@ def epoch_heuristic(spark: SparkSession, d: str) -> DataFrame:
 @catalog.query("amount_extract", r"""
 SELECT doc_id, CAST(regexp_extract(text, '\b([0-9]{2,6})\b', 1) AS BIGINT) AS amount FROM documents WHERE regexp_matches(text, '\b([0-9]{2,6})\b')""")
 def amount_extract(spark: SparkSession, d: str) -> DataFrame:
-    a = F.regexp_extract("text", r"\b([0-9]{2,6})\b", 1)
+    a = F.regexp_extract("text", ascii_bounds(r"\b([0-9]{2,6})\b"), 1)
     return load(spark, d, "documents").select("doc_id", a.alias("a")).where("a <> ''").select("doc_id", F.col("a").cast("long").alias("amount"))
 
 
@@ -129,7 +145,7 @@ LEAKS = {"mail": r"[A-Za-z0-9._]+@[A-Za-z0-9-]+\.[A-Za-z.]+", "url": r"https?://
 
 @catalog.query("contact_leak", "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}'))::BIGINT AS {k}" for k, p in LEAKS.items()) + " FROM documents WHERE " + " OR ".join(f"regexp_matches(text, '{p}')" for p in LEAKS.values()))
 def contact_leak(spark: SparkSession, d: str) -> DataFrame:
-    counts = [F.regexp_count("text", F.lit(p)).cast("long").alias(k) for k, p in LEAKS.items()]
+    counts = [F.regexp_count("text", F.lit(ascii_bounds(p))).cast("long").alias(k) for k, p in LEAKS.items()]
     return load(spark, d, "documents").select("doc_id", *counts).where(" or ".join(f"{k} > 0" for k in LEAKS))
 
 
@@ -190,7 +206,7 @@ SELECT reason, COUNT(*) AS n FROM (SELECT CASE WHEN text IS NULL OR regexp_repla
   WHEN length(text) < 60 THEN 'short' WHEN NOT regexp_matches(lower(text), '\b(the|que|der|de)\b') THEN 'no_signal' ELSE 'keyword' END AS reason FROM documents) GROUP BY reason""")
 def prefilter_reasons(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    reason = F.when(t.isNull() | (F.regexp_replace(t, r"[^\p{L}\p{N}]", "") == ""), "empty").when(F.length(t) - F.length(F.translate(t, "!", "")) > F.length(t) / 25.0, "marketing").when(F.length(t) < 60, "short").when(~F.lower(t).rlike(r"\b(the|que|der|de)\b"), "no_signal").otherwise("keyword")
+    reason = F.when(t.isNull() | (F.regexp_replace(t, r"[^\p{L}\p{N}]", "") == ""), "empty").when(F.length(t) - F.length(F.translate(t, "!", "")) > F.length(t) / 25.0, "marketing").when(F.length(t) < 60, "short").when(~F.lower(t).rlike(ascii_bounds(r"\b(the|que|der|de)\b")), "no_signal").otherwise("keyword")
     return load(spark, d, "documents").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -202,7 +218,7 @@ RULES = (("number", r"\d{2,}", 3), ("insult", r"\b(idiot|worthless|pathetic|clow
 def intent_rules(spark: SparkSession, d: str) -> DataFrame:
     """A table of rules over each text: the codes that hold, and their points."""
     t = F.lower("text")
-    held = [(c, t.rlike(p), n) for c, p, n in RULES]
+    held = [(c, t.rlike(ascii_bounds(p)), n) for c, p, n in RULES]
     return load(spark, d, "documents").select("doc_id", F.concat_ws(",", *(F.when(h, c) for c, h, _ in held)).alias("codes"), sum((F.when(h, n).otherwise(0) for _, h, n in held), F.lit(0)).cast("long").alias("strength"))
 
 
@@ -236,7 +252,7 @@ def slot_fill_last_non_null(spark: SparkSession, d: str) -> DataFrame:
 @catalog.query("cue_attribution", r"""
 WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\b(?:idiot|worthless|pathetic|clown)\b')) AS cue FROM documents) SELECT lang, cue, COUNT(*) AS n, COUNT(DISTINCT doc_id) AS docs FROM w GROUP BY ALL""")
 def cue_attribution(spark: SparkSession, d: str) -> DataFrame:
-    w = load(spark, d, "documents").select("doc_id", "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\b(?:idiot|worthless|pathetic|clown)\b"), 0)).alias("cue"))
+    w = load(spark, d, "documents").select("doc_id", "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(ascii_bounds(r"\b(?:idiot|worthless|pathetic|clown)\b")), 0)).alias("cue"))
     per = w.groupBy("lang", "cue", "doc_id").agg(F.count("*").alias("n"))
     return per.groupBy("lang", "cue").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
@@ -245,7 +261,7 @@ def cue_attribution(spark: SparkSession, d: str) -> DataFrame:
 WITH c AS (SELECT conv_id, unnest(list_filter(['the', 'de', 'der', 'que'], lambda w: regexp_matches(lower(text), '\b' || w || '\b'))) AS cluster FROM conversations WHERE role = 'user') SELECT cluster, COUNT(*) AS turns, COUNT(DISTINCT conv_id) AS convs FROM c GROUP BY cluster""")
 def question_clusters(spark: SparkSession, d: str) -> DataFrame:
     t = F.lower("text")
-    hits = F.array_compact(F.array(*(F.when(t.rlike(rf"\b{w}\b"), w) for w in ("the", "de", "der", "que"))))
+    hits = F.array_compact(F.array(*(F.when(t.rlike(ascii_bounds(rf"\b{w}\b")), w) for w in ("the", "de", "der", "que"))))
     c = load(spark, d, "conversations").where("role = 'user'").select("conv_id", F.explode(hits).alias("cluster"))
     per = c.groupBy("cluster", "conv_id").agg(F.count("*").alias("n"))
     return per.groupBy("cluster").agg(F.sum("n").alias("turns"), F.count("*").alias("convs"))
@@ -255,7 +271,7 @@ def question_clusters(spark: SparkSession, d: str) -> DataFrame:
 SELECT issue, COUNT(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN regexp_matches(text, '\b[0-9a-f]{40}\b') THEN 'secret' END, CASE WHEN contains(text, '!!') THEN 'punctuation' END, CASE WHEN length(text) > 5000 THEN 'length' END, CASE WHEN regexp_matches(lower(text), '\b(idiot|worthless|pathetic|clown)\b') THEN 'prohibited' END], lambda x: x IS NOT NULL)) AS issue FROM documents) GROUP BY issue""")
 def compliance_issues(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    issues = F.array_compact(F.array(F.when(t.rlike(r"\b[0-9a-f]{40}\b"), "secret"), F.when(t.contains("!!"), "punctuation"), F.when(F.length(t) > 5000, "length"), F.when(F.lower(t).rlike(r"\b(idiot|worthless|pathetic|clown)\b"), "prohibited")))
+    issues = F.array_compact(F.array(F.when(t.rlike(ascii_bounds(r"\b[0-9a-f]{40}\b")), "secret"), F.when(t.contains("!!"), "punctuation"), F.when(F.length(t) > 5000, "length"), F.when(F.lower(t).rlike(ascii_bounds(r"\b(idiot|worthless|pathetic|clown)\b")), "prohibited")))
     return load(spark, d, "documents").select(F.explode(issues).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
 
 
@@ -274,7 +290,7 @@ def unsupported_numbers(spark: SparkSession, d: str) -> DataFrame:
 @catalog.query("claim_verify", r"""
 WITH c AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '\b[0-9]{3,5}\b')))::BIGINT AS v FROM documents) SELECT doc_id, v, EXISTS (SELECT 1 FROM part WHERE p_partkey = v) AS supported FROM c""")
 def claim_verify(spark: SparkSession, d: str) -> DataFrame:
-    c = load(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[0-9]{3,5}\b"), 0))).alias("v")).select("doc_id", F.col("v").cast("long").alias("v"))
+    c = load(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(ascii_bounds(r"\b[0-9]{3,5}\b")), 0))).alias("v")).select("doc_id", F.col("v").cast("long").alias("v"))
     facts = load(spark, d, "part").select(F.col("p_partkey").alias("v")).distinct().withColumn("known", F.lit(True))
     return c.join(facts, "v", "left").select("doc_id", "v", F.coalesce("known", F.lit(False)).alias("supported"))
 
