@@ -31,7 +31,14 @@ def fold_stage(events: Column) -> Column:
     return F.aggregate(events, F.lit("new"), step)
 
 
-@catalog.query("stage_fold")
+STAGE_DEPTH_SQL = "CASE {} WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 ELSE -1 END"
+
+
+@catalog.query("stage_fold", f"""
+WITH RECURSIVE e AS (SELECT user_id, event_type AS k, value AS v, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 'new' AS s FROM events UNION ALL SELECT f.user_id, e.i, CASE WHEN s IN ('purchase', 'error') THEN s WHEN k = 'error' THEN CASE WHEN v > 90 THEN 'error' ELSE s END
+  WHEN {STAGE_DEPTH_SQL.format('k')} > {STAGE_DEPTH_SQL.format('s')} AND (k <> 'purchase' OR {STAGE_DEPTH_SQL.format('s')} >= 1) THEN k ELSE s END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT user_id, arg_max(s, i) AS stage FROM f GROUP BY user_id""")
 def stage_fold(spark: SparkSession, d: str) -> DataFrame:
     """Per user the stage that the ordered events lead to; tests hold it against a loop."""
     e = load(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type", "value"))).alias("e"))

@@ -1,10 +1,10 @@
 """All queries outside the subpackage for training data, and their SQL."""
 
-from millrace.operators import funnels, lifecycle, relational, scoring, texts
+from millrace.operators import catalogues, funnels, language, lifecycle, relational, scoring, texts
 from millrace.streaming import ingest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (funnels, relational, texts, scoring, lifecycle, ingest):
+for _module in (funnels, relational, texts, scoring, lifecycle, catalogues, language, ingest):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
