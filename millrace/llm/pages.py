@@ -16,6 +16,7 @@ any article counts where the page has no article or main element.
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -23,7 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Comments and the like, and tags; as in the HTML standard a quote opens a value only behind an equals sign. Nothing in
+#: it is tried twice, so a page is scanned in linear time, whatever it holds.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)?+|=)*+)(?:>|\Z)",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 SPACES = re.compile(r"\s+")
 
@@ -46,7 +53,7 @@ ABSENT = frozenset("no not has with without".split())
 #: anywhere, and inside an article.
 PAGES, LOW, LOW_INSIDE, DAMP = 5, 0.3, 0.08, 0.9
 #: Parts over which the pages of one host are spread for the join with its tree.
-SALTS = 16
+SALTS = 64
 
 
 def signature(attributes: str) -> tuple[str, bool]:
@@ -85,8 +92,14 @@ def blocks(page: str | None) -> list[Block]:
         return found
     # open elements: tag, node name, beside, inside
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    opened: Counter[str] = Counter()  # how many elements of each tag are open
+    endless: set[str] = set()  # tags that no end tag follows any more
     parts: list[str] = []
 
+    def close(i: int) -> None:
+        opened.subtract(s[0] for s in stack[i:])
+        del stack[i:]
+
     def end() -> None:
         if parts:
             text = SPACES.sub(" ", html.unescape("".join(parts))).strip()
@@ -113,24 +126,25 @@ def blocks(page: str | None) -> list[Block]:
             continue
         tag = tag.lower()
         if m.group(1):
-            if tag == "p" and all(s[0] != "p" for s in stack):
-                end()
+            if not opened[tag]:  # an end tag without its start is no boundary, but for that of a paragraph
+                if tag == "p":
+                    end()
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     if tag not in INLINE:
                         end()
-                        del stack[i:]
+                        close(i)
                     elif i == len(stack) - 1:
                         if stack[i][2] != stack[i - 1][2]:
                             end()
-                        stack.pop()
+                        close(i)
                     else:
                         # an inline element that other elements are open in: only inline ones are closed with it
                         if all(s[0] in INLINE for s in stack[i:]):
                             if any(s[2] for s in stack[i:]) != stack[i - 1][2]:
                                 end()
-                            del stack[i:]
+                            close(i)
                     break
             continue
         if tag == "br":
@@ -138,7 +152,9 @@ def blocks(page: str | None) -> list[Block]:
             continue
         names, beside = signature(m.group(3))
         if tag in RAW:
-            shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            shut = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if not shut:
+                endless.add(tag)
             at = shut.end() if shut else size if tag in ("script", "style", "textarea", "title") else at
             continue
         if tag in VOID:
@@ -151,14 +167,14 @@ def blocks(page: str | None) -> list[Block]:
             if tag in CLOSES_P:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == "p":
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i][0] not in INLINE:
                         break
             if tag in SIBLING:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] in SIBLING[tag]:
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i][0] in SCOPE:
                         break
@@ -172,6 +188,7 @@ def blocks(page: str | None) -> list[Block]:
         if m.group(3).endswith("/") and tag not in INLINE and tag not in CLOSES_P:
             continue
         stack.append((tag, f"{tag}.{names}" if names else tag, out, inside))
+        opened[tag] += 1
     end()
     return found
 

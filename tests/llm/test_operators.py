@@ -122,6 +122,32 @@ def test_main_text():
         assert pages.main_text(odd, None) == ("" if odd != "<" else "<")
 
 
+def test_tags_are_scanned_as_the_standard_says_and_in_linear_time():
+    import time
+
+    assert pages.main_text("<p data-x=don't>Hello</p><p>it's</p>", None) == "Hello it's"
+    assert pages.main_text("<p title='it's'>Hello</p><p>that's it</p>", None) == "Hello that's it"
+    assert pages.main_text("<p title='a>b' x = \"<p>\">one</p><p/>two<br/>three", None) == "one two three"
+    for piece in ('<a x="', "<a b='", "<svg>", "<![CDATA[>", "<!-- ", "</x>", "<b>", "<p a=", "a<", "<div>x</i>"):
+        began = time.perf_counter()
+        pages.main_text(piece * (1_000_000 // len(piece) if piece[:4] not in ("<b>", "<div") else 3000), None)
+        assert time.perf_counter() - began < 20, piece
+
+
+def test_entropies_against_the_formula(spark):
+    import math
+
+    # branches of neutral names: the same on all pages, in two halves, and different on each
+    rows = [(i, f"http://h.example/{i}", f"<body><div class='q1'>Same</div><div class='q2'>Half {i % 2}</div><div class='q3'>Own text {i}</div></body>") for i in range(16)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    low = {r.host: set(r.low) for r in pages.style_tree(df.select(pages.host_of(F.col("url")).alias("host"), "html")).collect()}
+    importance = {"div.q1": 0.0, "div.q2": math.log(2) / math.log(16), "div.q3": 1.0}
+    assert low == {"h.example": {f"body>{k}" for k, x in importance.items() if x < pages.LOW}}
+    assert {r.text for r in pages.extract(df).collect()} == {f"Own text {i}" for i in range(16)}
+    assert pages.main_text(rows[3][2], None) == "Same Half 1 Own text 3"  # without its tree a page keeps them all
+    assert pages.extract(df.limit(0)).count() == 0
+
+
 def test_style_tree_removes_what_repeats(spark):
     rows = [(i, f"http://h.example/{i}", f"<body><div class='x1'>Same words</div><div class='x2'><p>Text number {i} here</p></div></body>", 1) for i in range(8)]
     rows += [(50, None, None, 1), (51, "odd", "<p>alone</p>", 1), (51, "odd", "<p>alone</p>", 1)]
