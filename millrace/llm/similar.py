@@ -198,3 +198,21 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: i
         roots = stars(links.unionByName(more))
     groups = classes.select("node", "best").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("best").alias("best"))
     return groups.select("best.row")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """One row of each group of near duplicates, the one with the smallest id, with the columns of docs.
+
+    Most rows are alone in their group: only what is dropped or repeated is looked up, and texts stay where they are
+    while that is at most `WANTED` rows; else they are joined by a shuffle.
+    """
+    best = near_copies(docs, **options).withColumnRenamed("row", "row_of_group_")
+    named = docs.withColumn("row_of_group_", identified(docs))
+    kept = best.withColumn("kept_of_group_", F.lit(True))
+    counted = named.groupBy("row_of_group_").agg(F.count("*").alias("n")).join(kept, "row_of_group_", "left")
+    special = written(counted.where("n > 1 or kept_of_group_ is null").select("row_of_group_", F.coalesce("kept_of_group_", F.lit(False)).alias("kept_of_group_")))
+    if special.count() <= WANTED:
+        special = F.broadcast(special)
+    alone = named.join(special, "row_of_group_", "left_anti")
+    repeated = named.join(special.where("kept_of_group_"), "row_of_group_", "left_semi").dropDuplicates(["row_of_group_"])
+    return alone.unionByName(repeated).select(docs.columns)
