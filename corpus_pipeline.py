@@ -30,9 +30,7 @@ def by_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Near duplicates share four fifths of their five-word shingles. SimHash components are compared first; fingerprints of
     64 bits miss most such pairs in short texts, so the operator then compares the shingles of the rest.
     """
-    named = docs.withColumn("row_of_group_", similar.identified(docs))
-    best = similar.near_copies(docs).withColumnRenamed("row", "row_of_group_")
-    return named.join(best, "row_of_group_", "left_semi").dropDuplicates(["row_of_group_"]).select(docs.columns)
+    return similar.one_of_each(docs)
 
 
 def by_substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
