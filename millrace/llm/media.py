@@ -460,23 +460,37 @@ def store(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFra
     return docs.select(F.col(ident), F.col(text)).mapInArrow(work, f"{ident} {docs.schema[ident].dataType.simpleString()}, n_bytes long, media binary")
 
 
-def features(stored: DataFrame, ident: str = "doc_id") -> DataFrame:
-    """Per document: the payload read back from the media column, digests, and features of its RGB tensor."""
-
-    def row(jpeg: bytes) -> tuple:
-        frame = decode_coefficients(jpeg)
-        payload = payload_of(frame)
-        rgb = to_rgb(frame)
-        flat = rgb.reshape(-1, 3)
+def tensors(stored: DataFrame, ident: str = "doc_id") -> DataFrame:
+    """Per document: id, n_bytes, media; height, width and rgb, the full-resolution tensor (rows, columns, 3) as bytes;
+    and the payload read back from the coefficients."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part, out = batch.slice(at, 100), []
+                for jpeg in part.column(2):
+                    frame = decode_coefficients(jpeg.as_py())
+                    out.append((frame["height"], frame["width"], to_rgb(frame).tobytes(), payload_of(frame)))
+                cols = list(zip(*out, strict=True))
+                yield pa.record_batch([*part.columns, *(pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True))], names=[*part.schema.names, "height", "width", "rgb", "payload"])
+
+    return stored.mapInArrow(work, f"{ident} {stored.schema[ident].dataType.simpleString()}, n_bytes long, media binary, height int, width int, rgb binary, payload binary")
+
+
+def features(decoded: DataFrame, ident: str = "doc_id") -> DataFrame:
+    """Per document: digests of the media and of the payload read back from it, and features of its RGB tensor."""
+
+    def row(jpeg: bytes, height: int, width: int, rgb: bytes, payload: bytes) -> tuple:
+        flat = np.frombuffer(rgb, np.uint8).reshape(-1, 3)
         mean = flat.mean(0, dtype=np.float64)
-        text = f"{rgb.shape[1]}x{rgb.shape[0]};mean={mean[0]:.3f},{mean[1]:.3f},{mean[2]:.3f};max={int(flat.max())}"
+        text = f"{width}x{height};mean={mean[0]:.3f},{mean[1]:.3f},{mean[2]:.3f};max={int(flat.max())}"
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(jpeg), hashlib.sha256(jpeg).hexdigest(), text
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         for batch in batches:
-            cols = list(zip(*(row(x.as_py()) for x in batch.column(2)), strict=True)) or [[]] * 6
+            cols = list(zip(*(row(*(v.as_py() for v in values)) for values in zip(*batch.columns[2:], strict=True)), strict=True)) or [[]] * 6
             yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
 
     names = [ident, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return stored.mapInArrow(work, f"{ident} {stored.schema[ident].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return decoded.mapInArrow(work, f"{ident} {decoded.schema[ident].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -47,7 +47,7 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.store(read(spark, sf_dir, "documents")))
+    return media.features(media.tensors(media.store(read(spark, sf_dir, "documents"))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -42,9 +42,37 @@ def test_transform_against_the_formula():
     assert (np.abs(M.to_rgb(frame)[0, :8, 1] - y) <= 0.51).all()
 
 
+def slow_rgb(frame):
+    """The tensor of a whole image, block by block and cosine by cosine, in 64 bits."""
+    k = np.arange(8)
+    cosine = np.cos((2 * k[:, None] + 1) * k[None, :] * np.pi / 16) * np.where(k == 0, np.sqrt(1 / 8), 0.5)  # pixel, frequency
+    full = []
+    for (_, h, v, _), planes, q in zip(frame["parts"], frame["planes"], frame["quant"], strict=True):
+        across, down = frame["mw"] * h, frame["mh"] * v
+        image = np.zeros((down * 8, across * 8))
+        for b, coefficients in enumerate(planes * q):
+            block = np.zeros(64)
+            block[M.ZIGZAG] = coefficients
+            y, x = divmod(b, across)
+            image[y * 8 : y * 8 + 8, x * 8 : x * 8 + 8] = cosine @ block.reshape(8, 8) @ cosine.T + 128
+        full.append(np.clip(np.rint(image), 0, 255).repeat(frame["vmax"] // v, 0).repeat(frame["hmax"] // h, 1))
+    y, cb, cr = full
+    rgb = np.stack([y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)], -1)
+    return np.clip(np.rint(rgb), 0, 255)[: frame["height"], : frame["width"]]
+
+
+def test_tensors_against_a_slow_transform_of_whole_images(spark):
+    df = spark.createDataFrame([(1, "Some words, and more. " * 60), (2, "é" * 700), (3, None)], "doc_id long, text string")
+    for r in M.tensors(M.store(df)).collect():
+        rgb = np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3)
+        off = np.abs(rgb - slow_rgb(M.decode_coefficients(bytes(r.media))))
+        assert off.max() <= 2 and (off > 0).mean() < 0.02  # rounding of 32-bit floats
+        assert len(r.payload) % 192 == 0
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, "ab" * 200, 3), (3, "ab" * 200, 3)], "doc_id long, text string, media int")
-    rows = sorted(M.features(M.store(df)).collect())
+    rows = sorted(M.features(M.tensors(M.store(df))).collect())
     assert rows[0].payload_bytes == 192 and rows[0].n_bytes == 0 and rows[0].payload_sha256 == hashlib.sha256(b" " * 192).hexdigest()
     assert rows[2] == rows[3] and rows[2].payload_bytes == 576 and rows[2].tail_crc32 == zlib.crc32(b" " * 16)
-    assert M.features(M.store(df.limit(0))).count() == 0
+    assert M.features(M.tensors(M.store(df.limit(0)))).count() == 0
