@@ -105,8 +105,14 @@ ASSIGN_SQL = """c AS (SELECT c_custkey, s_suppkey, CASE WHEN c_custkey % 5 = s_s
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Customers with the suppliers of their nation, and points for each pair."""
-    s = load(spark, d, "supplier")
+    """Customers with suppliers of their nation, and points for each pair.
+
+    Points depend on a supplier's key modulo 10 and on the class of its balance alone, and ties go to the smaller key; so
+    the first two of each such class are all that can be a customer's best two, however many suppliers a nation has.
+    """
+    kind = F.when(F.col("s_acctbal") > 5000, 3).when(F.col("s_acctbal") > 0, 2).when(F.col("s_acctbal") >= 0, 1).otherwise(0)
+    w = Window.partitionBy("s_nationkey", F.col("s_suppkey") % 10, kind).orderBy("s_suppkey")
+    s = load(spark, d, "supplier").withColumn("place", F.row_number().over(w)).where("place <= 2")
     c = load(spark, d, "customer").join(s, F.col("c_nationkey") == F.col("s_nationkey"))
     bal = F.col("s_acctbal")
     score = F.when(F.col("c_custkey") % 5 == F.col("s_suppkey") % 5, 20).otherwise(0) + F.when(bal > 5000, 15).when(bal > 0, 8).otherwise(0) + (F.col("c_custkey") * 7 + F.col("s_suppkey") * 3) % 10
