@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace import registry
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="module")
