@@ -6,7 +6,7 @@ windows share their smallest hash, so windows can only recur under the same key.
 
 Documents arrive in batches of ascending ids. Each batch becomes a sorted immutable run of (key, span digest,
 smallest id); it is merge-joined with the earlier runs, which finds spans that recur whole and keys under which
-other spans are known; runs are compacted when there are more than `fan_in`. What the joins leave open - windows
+other spans are known; runs are compacted tier by tier. An index can be kept in a folder and added to by later calls. What the joins leave open - windows
 at the ends of shared passages, where spans differ - is verified window by window, on 128-bit digests of
 their words, for one document of each class of equal spans only.
 
@@ -18,12 +18,15 @@ their names.
 """
 
 import hashlib
+import uuid
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import remove, shared_folder, written
@@ -123,39 +126,78 @@ def span_rows(docs: DataFrame, words: int, gram: int) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (key, s1, s2, least): the smallest id in which each span has been seen."""
+    """Sorted immutable runs of (key, s1, s2, least): the smallest id in which each span has been seen.
 
-    def __init__(self, spark, fan_in: int = 2):
-        self.spark, self.fan_in, self.runs = spark, fan_in, []
+    `fan_in` runs of a tier are merged into one of the next tier, so each entry is rewritten about log n times. An index
+    of a named folder is kept: its entries also tell where in which text of `least` the span stands (version, pos, n), and
+    the texts are kept beside the runs, as windows can only be verified on them. Folders count once Spark has
+    committed them; a batch or a merge that died half way can be repeated.
+    """
 
-    def rows(self) -> DataFrame:
-        """All entries; a span is in several runs only if a later one has an id as small."""
-        return self.spark.read.parquet(*self.runs)
+    def __init__(self, spark: SparkSession, folder: str | None = None, fan_in: int = 4):
+        self.spark, self.fan_in, self.kept = spark, fan_in, folder is not None
+        self.folder = (folder or shared_folder(spark)).rstrip("/")
+        place = ", version long, pos int, n int" if self.kept else ""
+        self.schema = f"key long, s1 long, s2 long, least long{place}"
+        self.runs, self.texts = self.committed("run-"), self.committed("texts-")
+
+    def committed(self, prefix: str) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not self.kept or not fs.exists(path):
+            return []
+        found = sorted(s.getPath().getName() for s in fs.listStatus(path))
+        done = [n for n in found if n.startswith(prefix) and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS"))]
+        return [f"{self.folder}/{n}" for n in done]
 
-    def write_run(self, entries: DataFrame) -> str:
-        path = shared_folder(self.spark)
+    def rows(self) -> DataFrame:
+        """All entries; a span is in several runs only if a later one has a smaller id, or a merge died half way."""
+        reader = self.spark.read.schema(self.schema)
+        return reader.parquet(*self.runs) if self.runs else self.spark.createDataFrame([], self.schema)
+
+    def least(self, entries: DataFrame) -> DataFrame:
+        """One entry for each span, that of the smallest id."""
+        if not self.kept:
+            return entries.groupBy("key", "s1", "s2").agg(F.min("least").alias("least"))
+        best = F.min(F.struct("least", "version", "pos", "n")).alias("b")
+        return entries.groupBy("key", "s1", "s2").agg(best).select("key", "s1", "s2", "b.*")
+
+    def write_run(self, entries: DataFrame, tier: int) -> str:
+        path = f"{self.folder}/run-{tier}-{uuid.uuid4().hex}"
         entries.repartition("key").sortWithinPartitions("key", "s1", "s2").write.parquet(path)
         return path
 
-    def merge(self, spans: DataFrame) -> DataFrame:
-        """Add a batch as a run; returns the batch's spans that an earlier run lacks while it has their key."""
-        fresh = spans.groupBy("key", "s1", "s2").agg(F.min("doc_id").alias("least"))
+    def keep_texts(self, docs: DataFrame) -> None:
+        path = f"{self.folder}/texts-{uuid.uuid4().hex}"
+        docs.select("doc_id", "version", "text").where("text is not null").write.option("compression", "zstd").parquet(path)
+        self.texts.append(path)
+
+    def merge(self, spans: DataFrame) -> DataFrame | None:
+        """Add a batch as a run; returns the keys of its spans that earlier runs have with other spans."""
+        self.compact()
+        fresh = self.least(spans.withColumnRenamed("doc_id", "least").select(*(c.split()[0] for c in self.schema.split(", "))))
         if not self.runs:
-            self.runs.append(self.write_run(fresh))
+            self.runs.append(self.write_run(fresh, 0))
             return None
-        seen = self.rows()
-        new = written(fresh.join(seen.select("key", "s1", "s2").hint("merge"), ["key", "s1", "s2"], "left_anti"))
-        open_keys = written(new.join(seen.select("key").hint("merge"), "key", "left_semi").select("key").distinct())
-        self.runs.append(self.write_run(new))
-        if len(self.runs) > self.fan_in:
-            self.compact()
+        seen = self.rows().select("key", "s1", "s2", F.col("least").alias("before")).hint("merge")
+        same = [fresh[c] == seen[c] for c in ("key", "s1", "s2")]
+        new = written(fresh.join(seen, [*same, seen["before"] <= fresh["least"]], "left_anti"))
+        known = self.rows().groupBy("key").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("s1", "s2") for f in (F.min, F.max))).hint("merge")
+        other = F.expr("s1 <> min_s1 or s1 <> max_s1 or s2 <> min_s2 or s2 <> max_s2")
+        # a batch that is given again to a kept index has no new spans, but the same keys to look under
+        open_keys = written((fresh if self.kept else new).join(known, "key").where(other).select("key").distinct())
+        self.runs.append(self.write_run(new, 0))
         return open_keys
 
     def compact(self) -> None:
-        merged = self.write_run(self.rows().groupBy("key", "s1", "s2").agg(F.min("least").alias("least")))
-        for path in self.runs:
-            remove(self.spark, path)
-        self.runs = [merged]
+        """Merge the runs of each tier that has `fan_in` of them."""
+        tier_of = lambda path: int(path.rpartition("/")[2].split("-")[1])
+        while full := [t for t, n in Counter(map(tier_of, self.runs)).items() if n >= self.fan_in]:
+            old = [r for r in self.runs if tier_of(r) == min(full)]
+            merged = self.write_run(self.least(self.spark.read.schema(self.schema).parquet(*old)), min(full) + 1)
+            for path in old:
+                remove(self.spark, path)
+            self.runs = [r for r in self.runs if r not in old] + [merged]
 
 
 def plain(docs: DataFrame, ident: str, text: str) -> DataFrame:
@@ -179,52 +221,59 @@ def windows_at(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("doc_id", "version", "text", "spans").mapInArrow(work, "w1 long, w2 long, doc_id long, version long, starts array<int>")
 
 
-def removals(docs: DataFrame, words: int = 50, gram: int = 8, batches: int = 3) -> DataFrame:
+def removals(docs: DataFrame, words: int = 50, gram: int = 8, batches: int = 3, index: FingerprintIndex | None = None) -> DataFrame:
     """Per text that loses something: doc_id, version and cuts, its runs of recurring windows (start, number of windows).
 
-    docs: doc_id long, version (digest of the text) and text; only rows with an id are looked at.
+    docs: doc_id long, version (digest of the text) and text; only rows with an id are looked at. With an index that is
+    kept, docs are its next batch.
     """
     spark = docs.sparkSession
     docs = docs.where("doc_id is not null")
+    past = None
+    if index:
+        batches = 1
+        index.compact()
+        past, texts = index.rows() if index.runs else None, list(index.texts)
+        index.keep_texts(docs)
     ends = docs.selectExpr(f"percentile_approx(doc_id, array({','.join(str(i / batches) for i in range(1, batches))}), 1000) AS e").first().e if batches > 1 else []
     batch = sum(((F.col("doc_id") > e).cast("int") for e in ends or []), F.lit(0))
     path = shared_folder(spark)
     span_rows(docs.withColumn("batch", batch), words, gram).write.partitionBy("batch").parquet(path)
     spans = spark.read.schema("doc_id long, version long, key long, s1 long, s2 long, pos int, n int, batch int").parquet(path)
 
-    index, found = FingerprintIndex(spark), None
-    for k in range(batches):
-        mine = spans.where(F.col("batch") == k)
-        open_keys = index.merge(mine)
-        if open_keys is not None:
-            found = open_keys if found is None else found.unionByName(open_keys)
-    entries = index.rows().groupBy("key", "s1", "s2").agg(F.min("least").alias("least"))
+    runs = index or FingerprintIndex(spark, fan_in=2)
+    found = [keys for k in range(batches) if (keys := runs.merge(spans.where(F.col("batch") == k))) is not None]
     # spans of one batch can differ under a key as well
     within = spans.groupBy("batch", "key").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.min("s2").alias("lo2"), F.max("s2").alias("hi2")).where("lo < hi or lo2 < hi2").select("key")
-    open_keys = within if found is None else within.unionByName(found)
-    marked = entries.join(open_keys.distinct().withColumn("open", F.lit(True)), "key", "left")
+    open_keys = reduce(DataFrame.unionByName, found, within).distinct().withColumn("open", F.lit(True))
+    marked = runs.least(runs.rows()).select("key", "s1", "s2", "least").join(open_keys, "key", "left")
 
     listed = spans.join(marked, ["key", "s1", "s2"]).where("doc_id > least or open").groupBy("doc_id", "version").agg(
         F.collect_set(F.when(F.col("doc_id") > F.col("least"), F.struct("pos", "n"))).alias("whole"),
         F.collect_set(F.when(F.col("doc_id") == F.col("least"), F.struct("pos", "n"))).alias("spans"),
     )
     listed = written(listed)
-    index_runs, index.runs = index.runs, []
-    for p in (path, *index_runs):
-        remove(spark, p)
     # one document of each class of equal spans stands for all; in the others every window of them recurs
-    windows = windows_at(docs.join(listed.where("size(spans) > 0").select("doc_id", "version", "spans"), ["doc_id", "version"]), words)
-    windows = written(windows)
-    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    windows = written(windows_at(docs.join(listed.where("size(spans) > 0").select("doc_id", "version", "spans"), ["doc_id", "version"]), words))
+    met = windows.select("w1", "w2", "doc_id")
+    if past is not None:  # the same for the documents of earlier batches
+        earlier = index.least(past.join(reduce(DataFrame.unionByName, found).distinct(), "key", "left_semi"))
+        earlier = earlier.groupBy(F.col("least").alias("doc_id"), "version").agg(F.collect_set(F.struct("pos", "n")).alias("spans"))
+        stored = spark.read.schema("doc_id long, version long, text string").parquet(*texts)
+        met = met.unionByName(written(windows_at(stored.join(earlier, ["doc_id", "version"]), words).select("w1", "w2", "doc_id")))
+    remove(spark, path)
+    if not index:
+        remove(spark, runs.folder)
+    least = met.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     cut = windows.join(least, ["w1", "w2"]).where("doc_id > least").groupBy("doc_id", "version").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     cut = cut.select("doc_id", "version", F.transform("starts", lambda x: F.struct(x.alias("pos"), F.lit(1).alias("n"))).alias("single"))
     return listed.select("doc_id", "version", "whole").join(cut, ["doc_id", "version"], "left").select("doc_id", "version", F.concat("whole", F.coalesce("single", F.array().cast("array<struct<pos:int,n:int>>"))).alias("cuts")).where("size(cuts) > 0")
 
 
-def cut_rows(docs: DataFrame, keep: tuple[str, ...] = (), words: int = 50, gram: int = 8, batches: int = 3, ident: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
+def cut_rows(docs: DataFrame, keep: tuple[str, ...] = (), words: int = 50, gram: int = 8, batches: int = 3, ident: str = "doc_id", text: str = "text", texts: bool = True, index: FingerprintIndex | None = None) -> DataFrame:
     """Per row: the columns in keep as column_0 and so on, whatever their names; then doc_id_, n_words, n_removed,
     kept_sha256 and kept_text."""
-    cuts = removals(plain(docs, ident, text), words, gram, batches)
+    cuts = removals(plain(docs, ident, text), words, gram, batches, index)
     made = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +303,12 @@ def cut_rows(docs: DataFrame, keep: tuple[str, ...] = (), words: int = 50, gram:
     return joined.mapInArrow(work, schema + "n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
-def substring_dedup(docs: DataFrame, words: int = 50, gram: int = 8, batches: int = 3, ident: str = "doc_id", text: str = "text", texts: bool = True) -> DataFrame:
-    """Per document: id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (kept words joined by one space)."""
-    out = cut_rows(docs, (), words, gram, batches, ident, text, texts)
+def substring_dedup(docs: DataFrame, words: int = 50, gram: int = 8, batches: int = 3, ident: str = "doc_id", text: str = "text", texts: bool = True, index: FingerprintIndex | None = None) -> DataFrame:
+    """Per document: id, n_words, n_removed, kept_sha256 and, if asked for, kept_text (kept words joined by one space).
+
+    With an index of a named folder, docs are its next batch, with the same words and gram as those before: they are held
+    against all that it has seen as well, and stay in it. If ids ascend from call to call, the calls give what one
+    call on all documents gives; a batch that is given again gets the same answer.
+    """
+    out = cut_rows(docs, (), words, gram, batches, ident, text, texts, index)
     return (out if texts else out.drop("kept_text")).withColumnRenamed("doc_id_", ident)

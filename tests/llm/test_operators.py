@@ -59,6 +59,28 @@ def test_substring_dedup_of_nothing(spark):
     assert substring.substring_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_substring_index_is_kept_between_calls(spark, texts, tmp_path):
+    rows = lambda df: {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in df.collect()}
+    table = lambda t: spark.createDataFrame(t, "doc_id long, text string")
+    size, gram, folder = 12, 4, f"file://{tmp_path}/index"
+    want, got = rows(substring.substring_dedup(table(texts), size, gram)), {}
+    for at in range(0, len(texts), 6):
+        index = substring.FingerprintIndex(spark, folder, fan_in=2)  # opened anew for each batch
+        batch = table(texts[at : at + 6])
+        once = rows(substring.substring_dedup(batch, size, gram, index=index))
+        got |= once
+        if at == 12:  # a batch that comes twice, and what a merge that died would leave
+            assert rows(substring.substring_dedup(batch, size, gram, index=substring.FingerprintIndex(spark, folder, fan_in=2))) == once
+            (tmp_path / "index" / "run-1-dead").mkdir()
+            (tmp_path / "index" / "run-1-dead" / "part-0.parquet").write_bytes(b"half")
+    assert got == want
+    index = substring.FingerprintIndex(spark, folder, fan_in=2)
+    index.compact()
+    assert max(int(r.rpartition("/")[2].split("-")[1]) for r in index.runs) >= 2 and len(index.runs) <= 3
+    spans = index.least(index.rows())
+    assert spans.count() == spans.select("key", "s1", "s2").distinct().count() > 20
+
+
 def test_simhash_against_brute_force(spark, texts):
     rows = texts + [(200 + i, (texts[2][1] or "") + " tail" * i) for i in range(4)] + [(91, "")]
     prints = {}
