@@ -181,12 +181,16 @@ class FingerprintIndex:
             return None
         seen = self.rows().select("key", "s1", "s2", F.col("least").alias("before")).hint("merge")
         same = [fresh[c] == seen[c] for c in ("key", "s1", "s2")]
-        new = written(fresh.join(seen, [*same, seen["before"] <= fresh["least"]], "left_anti"))
-        known = self.rows().groupBy("key").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("s1", "s2") for f in (F.min, F.max))).hint("merge")
-        other = F.expr("s1 <> min_s1 or s1 <> max_s1 or s2 <> min_s2 or s2 <> max_s2")
-        # a batch that is given again to a kept index has no new spans, but the same keys to look under
-        open_keys = written((fresh if self.kept else new).join(known, "key").where(other).select("key").distinct())
+        path = shared_folder(self.spark)
+        new = written(fresh.join(seen, [*same, seen["before"] <= fresh["least"]], "left_anti"), path)
+        if self.kept:  # a batch that is given again has no new spans, but the same keys to look under
+            known = self.rows().groupBy("key").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("s1", "s2") for f in (F.min, F.max))).hint("merge")
+            open_keys = fresh.join(known, "key").where("s1 <> min_s1 or s1 <> max_s1 or s2 <> min_s2 or s2 <> max_s2")
+        else:
+            open_keys = new.join(seen.select("key").hint("merge"), "key", "left_semi")
+        open_keys = written(open_keys.select("key").distinct())
         self.runs.append(self.write_run(new, 0))
+        remove(self.spark, path)
         return open_keys
 
     def compact(self) -> None:
@@ -253,6 +257,8 @@ def removals(docs: DataFrame, words: int = 50, gram: int = 8, batches: int = 3,
         F.collect_set(F.when(F.col("doc_id") == F.col("least"), F.struct("pos", "n"))).alias("spans"),
     )
     listed = written(listed)
+    for done in (path,) if index else (path, runs.folder):
+        remove(spark, done)
     # one document of each class of equal spans stands for all; in the others every window of them recurs
     windows = written(windows_at(docs.join(listed.where("size(spans) > 0").select("doc_id", "version", "spans"), ["doc_id", "version"]), words))
     met = windows.select("w1", "w2", "doc_id")
@@ -261,9 +267,6 @@ def removals(docs: DataFrame, words: int = 50, gram: int = 8, batches: int = 3,
         earlier = earlier.groupBy(F.col("least").alias("doc_id"), "version").agg(F.collect_set(F.struct("pos", "n")).alias("spans"))
         stored = spark.read.schema("doc_id long, version long, text string").parquet(*texts)
         met = met.unionByName(written(windows_at(stored.join(earlier, ["doc_id", "version"]), words).select("w1", "w2", "doc_id")))
-    remove(spark, path)
-    if not index:
-        remove(spark, runs.folder)
     least = met.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     cut = windows.join(least, ["w1", "w2"]).where("doc_id > least").groupBy("doc_id", "version").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     cut = cut.select("doc_id", "version", F.transform("starts", lambda x: F.struct(x.alias("pos"), F.lit(1).alias("n"))).alias("single"))
