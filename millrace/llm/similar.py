@@ -16,6 +16,7 @@ Defined cases: null, empty and blank texts have no shingles and are copies of ea
 than a shingle are one shingle of all their words; only A-Z are lower-cased, only ASCII white space splits words.
 """
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import remove, shared_folder, written
 from millrace.llm.components import stars
 from millrace.llm.simhash import linked, majority
 
@@ -48,6 +49,11 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((digest(s, 42) for s in runs), np.uint64, max(n, len(words) > 0)).view(np.int64))
 
 
+def table(home: str) -> str:
+    """A new folder in home."""
+    return f"{home}/{uuid.uuid4().hex}"
+
+
 def lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))
@@ -74,7 +80,7 @@ def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
     return h[order], rank[order]
 
 
-def classes_of(rows: DataFrame, width: int, least: float) -> DataFrame:
+def classes_of(rows: DataFrame, width: int, least: float, home: str) -> DataFrame:
     """Per class of equal sets: node (digest of the set), size, fingerprint, prefix, sketch (how many shingles fall to
     each of 256 parts, 255 standing for more) and best, the row with the smallest id."""
     known, ranks = common_shingles(rows, width)
@@ -101,10 +107,10 @@ def classes_of(rows: DataFrame, width: int, least: float) -> DataFrame:
 
     prints = rows.select("id", "row", "text").mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, row long, node long, fp long, size int, sketch binary, prefix array<long>")
     best = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row")).alias("best")
-    return written(prints.groupBy("node").agg(best, *(F.first(c).alias(c) for c in ("fp", "size", "sketch", "prefix"))))
+    return written(prints.groupBy("node").agg(best, *(F.first(c).alias(c) for c in ("fp", "size", "sketch", "prefix"))), table(home))
 
 
-def possible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+def possible(pairs: DataFrame, classes: DataFrame, least: float, home: str) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow the similarity, with the rows of both."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,13 +125,13 @@ def possible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     side = lambda s: classes.select(F.col("node").alias(s), F.col("best.row").alias(f"row_{s}"), F.col("size").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}"))
     alike = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9
     sides = pairs.join(side("a"), "a").join(side("b"), "b").where(alike)
-    return written(sides.select("a", "b", "row_a", "row_b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(work, "a long, b long, row_a long, row_b long"))
+    return written(sides.select("a", "b", "row_a", "row_b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(work, "a long, b long, row_a long, row_b long"), table(home))
 
 
-def near(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, least: float) -> DataFrame:
+def near(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, least: float, home: str) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity; the whole texts of what the sketches leave open are compared."""
-    pairs = possible(pairs, classes, least)
-    wanted = written(pairs.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct())
+    pairs = possible(pairs, classes, least, home)
+    wanted = written(pairs.select(F.explode(F.array("row_a", "row_b")).alias("row")).distinct(), table(home))
     if wanted.count() <= WANTED:
         wanted = F.broadcast(wanted)
 
@@ -136,7 +142,7 @@ def near(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, leas
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.binary())], names=["row", "packed"])
 
     texts = rows.select("row", "text").join(wanted, "row").mapInArrow(pack, "row long, packed binary")
-    texts = written(texts.groupBy("row").agg(F.first("packed").alias("packed")), compression="none")
+    texts = written(texts.groupBy("row").agg(F.first("packed").alias("packed")), table(home), compression="none")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_text, sets = zstandard.ZstdDecompressor(), {}
@@ -158,16 +164,17 @@ def near(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, leas
 
     side = lambda s: texts.select(F.col("row").alias(f"row_{s}"), F.col("packed").alias(f"packed_{s}"))
     sides = pairs.join(side("a"), "row_a").join(side("b"), "row_b").select("a", "b", "row_a", "row_b", "packed_a", "packed_b")
-    return written(sides.mapInArrow(compare, "a long, b long"))
+    return written(sides.mapInArrow(compare, "a long, b long"), table(home))
 
 
-def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: int = 3, ident: str = "doc_id", text: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: int = 3, ident: str = "doc_id", text: str = "text", home: str | None = None) -> DataFrame:
     """A row for each group of near duplicates: row, the hash (`identified`) of its row with the smallest id.
 
-    Rows without an id come last, rows of one id by their hash.
+    Rows without an id come last, rows of one id by their hash. The result reads tables in the folder home.
     """
     rows = docs.select(F.col(ident).alias("id"), F.col(text).cast("string").alias("text"), identified(docs).alias("row"))
-    classes = classes_of(rows, width, least)
+    home = home or shared_folder(docs.sparkSession)
+    classes = classes_of(rows, width, least, home)
     sized = classes.where("size > 0")
     by_print = sized.select("node", "fp").join(linked(sized.select("node", "fp"), distance, "node"), "fp")
     by_print = by_print.where(F.col("node") != F.col("component_id")).select(F.col("node").alias("a"), F.col("component_id").alias("b"))
@@ -176,12 +183,12 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: i
     index = classes.select(F.explode("prefix").alias("key"), "node", "size").repartition("key")
     member = F.struct("node", "size")
     keys = index.groupBy("key").agg(F.count("*").alias("k"), F.min(member).alias("lo"), F.max(member).alias("hi")).where("k > 1")
-    shared = written(index.join(keys, "key"))
+    shared = written(index.join(keys, "key"), table(home))
 
     alike = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
     leaders = shared.select(F.col("node").alias("a"), "size", F.explode(F.array("lo", "hi")).alias("l")).where((F.col("a") != F.col("l.node")) & alike(F.col("size"), F.col("l.size")))
     pairs = by_print.unionByName(leaders.select("a", F.col("l.node").alias("b")))
-    links = near(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), classes, rows, width, least)
+    links = near(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), classes, rows, width, least, home)
     roots = stars(links)
 
     # under keys of up to three classes all pairs are done
@@ -193,7 +200,7 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: i
     apart = side(parts, "a").join(side(parts, "b"), "key").where((F.col("part_a") > F.col("part_b")) & (F.col("high_b") >= least * F.col("low_a") - 1e-9) & (F.col("high_a") >= least * F.col("low_b") - 1e-9))
     rest = apart.select("key", "part_a", "part_b").join(side(placed, "a"), ["key", "part_a"]).join(side(placed, "b"), ["key", "part_b"]).where(alike(F.col("size_a"), F.col("size_b")))
     rest = rest.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
-    more = near(rest, classes, rows, width, least)
+    more = near(rest, classes, rows, width, least, home)
     if not more.isEmpty():
         roots = stars(links.unionByName(more))
     groups = classes.select("node", "best").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("best").alias("best"))
@@ -206,11 +213,13 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Most rows are alone in their group: only what is dropped or repeated is looked up, and texts stay where they are
     while that is at most `WANTED` rows; else they are joined by a shuffle.
     """
-    best = near_copies(docs, **options).withColumnRenamed("row", "row_of_group_")
+    home = shared_folder(docs.sparkSession)
+    best = near_copies(docs, home=home, **options).withColumnRenamed("row", "row_of_group_")
     named = docs.withColumn("row_of_group_", identified(docs))
     kept = best.withColumn("kept_of_group_", F.lit(True))
     counted = named.groupBy("row_of_group_").agg(F.count("*").alias("n")).join(kept, "row_of_group_", "left")
     special = written(counted.where("n > 1 or kept_of_group_ is null").select("row_of_group_", F.coalesce("kept_of_group_", F.lit(False)).alias("kept_of_group_")))
+    remove(docs.sparkSession, home)
     if special.count() <= WANTED:
         special = F.broadcast(special)
     alone = named.join(special, "row_of_group_", "left_anti")
