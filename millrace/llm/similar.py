@@ -167,6 +167,16 @@ def near(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, leas
     return written(sides.mapInArrow(compare, "a long, b long"), table(home))
 
 
+def split(hot: DataFrame, roots: DataFrame, home: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (key, node, size, reach, part) of the keys with several parts, as the links so far leave them, and for each
+    key and part: its smallest and largest size, largest reach."""
+    placed = hot.select("key", "node", "size", "reach").join(roots, "node", "left").select("key", "node", "size", "reach", F.coalesce("root", "node").alias("part"))
+    spread = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
+    placed = written(placed.join(spread, "key", "left_semi"), table(home))
+    parts = placed.groupBy("key", "part").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("reach").alias("far"))
+    return placed, written(parts, table(home))
+
+
 def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: int = 3, ident: str = "doc_id", text: str = "text", home: str | None = None) -> DataFrame:
     """A row for each group of near duplicates: row, the hash (`identified`) of its row with the smallest id.
 
@@ -180,7 +190,7 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: i
     by_print = by_print.where(F.col("node") != F.col("component_id")).select(F.col("node").alias("a"), F.col("component_id").alias("b"))
 
     # one shuffle by key serves the counts and the join
-    index = classes.select(F.explode("prefix").alias("key"), "node", "size").repartition("key")
+    index = classes.select(F.posexplode("prefix").alias("pos", "key"), "node", "size").select("key", "node", "size", (F.col("size") - F.col("pos")).alias("reach")).repartition("key")
     member = F.struct("node", "size")
     keys = index.groupBy("key").agg(F.count("*").alias("k"), F.min(member).alias("lo"), F.max(member).alias("hi")).where("k > 1")
     shared = written(index.join(keys, "key"), table(home))
@@ -192,13 +202,15 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: i
     roots = stars(links)
 
     # under keys of up to three classes all pairs are done
-    placed = shared.where("k > 3").join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("part"))
-    parts = placed.groupBy("key", "part").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    mixed = parts.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    parts = parts.join(mixed, "key", "left_semi")
+    hot = shared.where("k > 3").select("key", "node", "size", "reach")
+    placed, parts = split(hot, roots, home)
     side = lambda df, s: df.select("key", *(F.col(c).alias(f"{c}_{s}") for c in df.columns if c != "key"))
-    apart = side(parts, "a").join(side(parts, "b"), "key").where((F.col("part_a") > F.col("part_b")) & (F.col("high_b") >= least * F.col("low_a") - 1e-9) & (F.col("high_a") >= least * F.col("low_b") - 1e-9))
-    rest = apart.select("key", "part_a", "part_b").join(side(placed, "a"), ["key", "part_a"]).join(side(placed, "b"), ["key", "part_b"]).where(alike(F.col("size_a"), F.col("size_b")))
+    # what is common lies within the reach of both, from their first common shingle on
+    within = lambda x, y, n: F.least(x, y) >= least / (1 + least) * n - 1e-9
+    fits = (F.col("high_b") >= least * F.col("low_a") - 1e-9) & (F.col("high_a") >= least * F.col("low_b") - 1e-9) & within("far_a", "far_b", F.col("low_a") + F.col("low_b"))
+    apart = side(parts, "a").join(side(parts, "b"), "key").where((F.col("part_a") > F.col("part_b")) & fits)
+    alike_within = alike(F.col("size_a"), F.col("size_b")) & within("reach_a", "reach_b", F.col("size_a") + F.col("size_b"))
+    rest = apart.select("key", "part_a", "part_b").join(side(placed, "a"), ["key", "part_a"]).join(side(placed, "b"), ["key", "part_b"]).where(alike_within)
     rest = rest.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
     more = near(rest, classes, rows, width, least, home)
     if not more.isEmpty():
