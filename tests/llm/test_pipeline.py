@@ -61,6 +61,9 @@ def near_rows():
     base = words(80)
     for at in range(60):
         rows.append(base[:at] + ["odd" + str(at)] + base[at + 1 :])
+    passage = words(90)  # shared by texts with 2 to 16 words of their own, on both sides of the similarity
+    for own in range(2, 17):
+        rows += [words(own) + passage, passage + words(own), words(own // 2) + passage + words(own - own // 2)]
     for at in range(60):  # a chain: each is near the next one only
         rows.append(base[at : at + 40] + words(1))
     rnd.shuffle(rows)
