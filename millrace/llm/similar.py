@@ -7,7 +7,7 @@ common at the very end, so what meets under one shingle is small; the sample dec
 Equal sets are one class. Classes are first compared with the representative of their SimHash component (fingerprints
 of five-word shingles, multi-index hashing), and under each shingle with two of the other classes, which joins
 large groups of near copies without all of their pairs; what is then still in different components is compared
-pair by pair.
+pair by pair,
 if enough of both sets stands from the shared shingle on: the first one that two sets share has all their
 others behind it. Sketches rule out most pairs; similarities are computed from the whole sets of the others.
 
