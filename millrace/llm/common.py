@@ -51,3 +51,26 @@ def remove(spark: SparkSession, path: str) -> None:
 def fold_of(ident: str, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds."""
     return F.pmod(F.crc32(F.col(ident).cast("string").cast("binary")), F.lit(folds))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, size: int, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """Labelled rows to learn from: ident, text and y, at most `rows` of them with at most `size` bytes of text together.
+
+    Labels come in the order of a hash of id and label, and copies of a row count once; rows that don't fit any more are
+    left out. The order of the tables and their parts changes nothing. Both bounds hold for what is gathered on the driver.
+    """
+    spark = docs.sparkSession
+    draw = F.xxhash64(F.col(ident), F.lit(3), F.col(label))
+    known = labels.where(F.col(label).isNotNull() & F.col(ident).isNotNull()).select(F.col(ident).alias("i"), F.col(label).cast("double").alias("y"), draw.alias("draw"))
+    chosen = known.distinct().orderBy("draw", "i", "y").limit(rows)  # at most `rows` rows, so they can be broadcast
+    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    whole = docs.select(F.col(ident).alias("i"), value.alias("text"))
+    light = whole.select("i", F.xxhash64("text").alias("version"), F.octet_length("text").alias("bytes")).join(F.broadcast(chosen), "i").distinct()
+    taken, room = [], size
+    for r in light.orderBy("draw", "i", "y", "version").limit(rows).collect():
+        if r.bytes <= room:
+            taken.append((r.i, r.version, r.y))
+            room -= r.bytes
+    wanted = spark.createDataFrame(taken, f"i {docs.schema[ident].dataType.simpleString()}, version long, y double")
+    found = whole.withColumn("version", F.xxhash64("text")).join(F.broadcast(wanted), ["i", "version"])
+    return found.dropDuplicates(["i", "version", "y"]).select(F.col("i").alias(ident), "text", "y")

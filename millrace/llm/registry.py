@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, langid, media, mixing, pages, quality, scoring, simhash, substring, tokens
+from millrace.llm import decontaminate, impacts, langid, media, mixing, pages, quality, scoring, simhash, substring, tokens, toxicity, whitening
 from millrace.llm.common import read
 
 
@@ -50,6 +50,18 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.tensors(media.store(read(spark, sf_dir, "documents"))))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impacts.search(impacts.build(read(spark, sf_dir, "documents")), read(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_entries(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_lm_scores,
         op10_progressive_jpeg,
+        op11_toxicity,
+        op12_ranked_search,
+        op13_whitening,
     )
 }
 
@@ -108,4 +123,17 @@ kept AS (SELECT each.doc_id, string_agg(word, ' ' ORDER BY each.k) AS t, count(*
 SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": _SUBSTRING_SQL, "op2_mix_sources": _mix_sql()}
+#: op12's contract in SQL: postings of all terms, weights of the items' terms, and a rank.
+_RANKED_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+size AS (SELECT count(*)::BIGINT AS n, sum(len(terms))::BIGINT AS l FROM t WHERE len(terms) > 0),
+p AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(terms) AS term FROM t) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, size GROUP BY term, n),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+qw AS (SELECT item_id, q.term, sum(w)::BIGINT AS w FROM q JOIN w USING (term) GROUP BY item_id, q.term),
+s AS (SELECT item_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * len(terms) * n) // l))))::BIGINT AS score
+      FROM qw JOIN p USING (term) JOIN t USING (r), size GROUP BY item_id, r HAVING score > 0),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s JOIN t USING (r))
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20"""
+
+ORACLE_SQL: dict[str, str] = {"op12_ranked_search": _RANKED_SQL, "op1_substring_dedup": _SUBSTRING_SQL, "op2_mix_sources": _mix_sql()}
