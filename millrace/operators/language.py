@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.catalog import Catalog
-from millrace.functions.columns import ascii_bounds, instant_of, meaningful
+from millrace.functions.columns import ascii_bounds, instant_of
+from millrace.functions.normal import anchored
 from millrace.io import load
 from millrace.operators.texts import NORM_SQL, norm
 
@@ -51,12 +52,23 @@ def negation(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(F.size("c") > 0).select("c_custkey", F.exists("c", lambda c: negated_at(c, "blue")).alias("negated"))
 
 
-@catalog.query("anchored_quotes", f"WITH m AS (SELECT item_id, text, {NORM_SQL} AS t FROM benchmark) SELECT item_id, substr(text, strpos(lower(text), substr(t, 6, 12)), 12) AS quote FROM m WHERE length(t) >= 18 AND strpos(lower(text), substr(t, 6, 12)) > 0")
+_LETTERS = r"list_filter(list_zip(string_split(text, ''), range(1, length(text) + 1)), lambda x: regexp_matches(x[1], '[\p{L}\p{N}]'))"
+
+
+@catalog.query("anchored_quotes", rf"""
+WITH t AS (SELECT conv_id, turn, text, {_LETTERS} AS l FROM conversations),
+m AS (SELECT conv_id, turn, text, list_transform(l, lambda x: x[2]) AS places, lower(array_to_string(list_transform(l, lambda x: x[1]), '')) AS bare FROM t),
+w AS (SELECT *, lower(array_to_string(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')[k * 5 + 1:k * 5 + 5], '')) AS quote FROM (SELECT m.*, unnest([0, 1, 2]) AS k FROM m)),
+f AS (SELECT *, strpos(bare, quote) AS i FROM w WHERE quote <> '')
+SELECT conv_id, turn, k::INTEGER AS k, CASE WHEN i > 0 THEN substr(text, places[i], places[i + length(quote) - 1] - places[i] + 1) END AS quote, CASE WHEN i > 0 THEN (places[i] - 1)::INTEGER END AS start FROM f""")
 def anchored_quotes(spark: SparkSession, d: str) -> DataFrame:
-    """The raw form of a normalised quote, where the text has it."""
-    m = load(spark, d, "benchmark").select("item_id", "text", norm(F.col("text")).alias("t")).where(F.char_length("t") >= 18)
-    at = F.instr(F.lower("text"), F.substring("t", 6, 12))
-    return m.withColumn("at", at).where("at > 0").select("item_id", F.substring(F.col("text"), F.col("at"), F.lit(12)).alias("quote"))
+    """Quotes that lost their signs, case, spaces and width, as they stand in the text."""
+    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    wide = lambda t: F.translate(F.upper(t), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ")
+    quotes = F.array(*(wide(F.concat_ws(sign, F.slice(words, 5 * k + 1, 5))) for k, sign in enumerate(("-", "  ", " / "))))
+    c = load(spark, d, "conversations").select("conv_id", "turn", "text", quotes.alias("q"))
+    found = c.select("conv_id", "turn", F.posexplode(F.arrays_zip("q", anchored(F.col("text"), F.col("q")).alias("f"))).alias("k", "x")).where("x.q <> ''")
+    return found.select("conv_id", "turn", "k", "x.f.quote", "x.f.start")
 
 
 @catalog.query("excerpts", "SELECT doc_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 59) || '…' ELSE text END AS excerpt FROM documents")
@@ -223,25 +235,6 @@ def industry_accounts(spark: SparkSession, d: str) -> DataFrame:
     return s.select("s_suppkey", named.alias("by_name"), F.concat_ws(",", F.when(F.col("s_acctbal") > 5000, "fleet"), F.when(F.col("s_nationkey") % 4 == 0, "leasing")).alias("keywords"))
 
 
-# Words that praise, and words that may stand with them.
-PRAISE, FILLER = ("nice", "great", "love", "lovely"), ("so", "very", "it", "this", "really", "i")
-PRAISE_TEXTS = ("so nice!!", "I love this", "sonice", "very very", "great price?", "lovelyit", "nice, how much")
-
-
-def pure_praise(text: Column, praise: tuple[str, ...] = PRAISE, filler: tuple[str, ...] = FILLER) -> Column:
-    """Whether the letters of a text can be cut into words of praise and fillers, one of praise at least.
-
-    An alternation that backtracks finds a cut if there is one; a praise word must lie on the cut itself.
-    """
-    p, any_word = "|".join(praise), "|".join((*praise, *filler))
-    return meaningful(text).rlike(f"^(?:{any_word})*(?:{p})(?:{any_word})*$")
-
-
-@catalog.query("pure_praise", f"WITH {phrases_sql(PRAISE_TEXTS)} SELECT c_custkey, regexp_matches(regexp_replace(lower(t), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '^(?:nice|great|love|lovely|so|very|it|this|really|i)*(?:nice|great|love|lovely)(?:nice|great|love|lovely|so|very|it|this|really|i)*$') AS praise FROM t")
-def pure_praise_query(spark: SparkSession, d: str) -> DataFrame:
-    return phrases(spark, d, PRAISE_TEXTS).select("c_custkey", pure_praise(F.col("t")).alias("praise"))
-
-
 TOPICS = {"size": "large|small|big", "colour": "red|blue|green", "thing": "ring|widget|bolt"}
 
 

@@ -172,16 +172,6 @@ def strict_ts_parse(spark: SparkSession, d: str, tz: str = "Asia/Shanghai") -> D
     return load(spark, d, "orders").select("o_orderkey", raw.alias("raw")).select("o_orderkey", F.coalesce(instant, wall).cast("timestamp_ntz").alias("at"))
 
 
-BRANDS = ("the", "then", "thenan", "er", "ere", "reader")
-
-
-@catalog.query("dictionary_ner", "SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-zà-ÿ]+'), lambda w: w IN ('" + "','".join(BRANDS) + "')))::BIGINT AS n FROM documents")
-def dictionary_ner(spark: SparkSession, d: str) -> DataFrame:
-    """Dictionary words at word boundaries, the longest alternative first."""
-    pattern = r"(?<![a-zà-ÿ])(?:" + "|".join(sorted(BRANDS, key=lambda w: -len(w))) + r")(?![a-zà-ÿ])"
-    return load(spark, d, "documents").select("doc_id", F.regexp_count(F.lower("text"), F.lit(pattern)).cast("long").alias("n"))
-
-
 @catalog.query("stable_id", "SELECT c_custkey, substr(sha1(c_custkey || '|' || c_name), 1, 16) AS id FROM customer")
 def stable_id(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "customer").select("c_custkey", F.substring(F.sha1(F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name")), 1, 16).alias("id"))
