@@ -37,21 +37,6 @@ def clauses(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "benchmark").select("item_id", F.posexplode(parts).alias("pos", "clause")).select("item_id", F.col("pos").cast("long").alias("pos"), F.trim("clause").alias("clause"))
 
 
-NEGATIONS = ("not", "no", "never", "without")
-NEGATED = ("I want the red widget, not the blue one", "never the blue one. the red one", "blue", "no rush, the blue one please", "without doubt the blue")
-
-
-def negated_at(clause: Column, word: str) -> Column:
-    """Whether a negation stands before the word in the same clause."""
-    return clause.rlike(ascii_bounds(rf"\b(?:{'|'.join(NEGATIONS)})\b.*\b{word}\b"))
-
-
-@catalog.query("negation", f"WITH {phrases_sql(NEGATED)}, c AS (SELECT c_custkey, unnest(regexp_split_to_array(t, '[.,;!?]')) AS c FROM t) SELECT c_custkey, bool_or(regexp_matches(c, '\\b(?:not|no|never|without)\\b.*\\bblue\\b')) AS negated FROM c WHERE regexp_matches(c, '\\bblue\\b') GROUP BY c_custkey")
-def negation(spark: SparkSession, d: str) -> DataFrame:
-    rows = phrases(spark, d, NEGATED).select("c_custkey", F.filter(F.split("t", "[.,;!?]"), lambda c: c.rlike(ascii_bounds(r"\bblue\b"))).alias("c"))
-    return rows.where(F.size("c") > 0).select("c_custkey", F.exists("c", lambda c: negated_at(c, "blue")).alias("negated"))
-
-
 _LETTERS = r"list_filter(list_zip(string_split(text, ''), range(1, length(text) + 1)), lambda x: regexp_matches(x[1], '[\p{L}\p{N}]'))"
 
 
@@ -86,17 +71,6 @@ def best_quote(spark: SparkSession, d: str, most: int = 400) -> DataFrame:
 
 # ------------------------------------------------------------------------------------ amounts, colours, characters
 
-AMOUNTS = ("landing price 120 and discount 15", "discount of 20, landing 99", "if the discount were 50", "nothing", "landing: 1500")
-
-
-@catalog.query("amounts_near", f"WITH {phrases_sql(AMOUNTS)} SELECT c_custkey, COALESCE(CASE WHEN NOT contains(t, 'if ') THEN TRY_CAST(regexp_extract(t, 'landing[^0-9]{{0,10}}([0-9]+)', 1) AS BIGINT) END, -1) AS landing, COALESCE(CASE WHEN NOT contains(t, 'if ') THEN TRY_CAST(regexp_extract(t, 'discount[^0-9]{{0,10}}([0-9]+)', 1) AS BIGINT) END, -1) AS discount FROM t WHERE t <> 'nothing'")
-def amounts_near(spark: SparkSession, d: str) -> DataFrame:
-    """Amounts that follow a keyword closely, or -1; hypothetical clauses don't count."""
-    t = F.col("t")
-    near = lambda word: F.coalesce(F.when(~t.contains("if "), F.regexp_extract(t, word + "[^0-9]{0,10}([0-9]+)", 1).try_cast("long")), F.lit(-1))
-    return phrases(spark, d, AMOUNTS).where(t != "nothing").select("c_custkey", near("landing").alias("landing"), near("discount").alias("discount"))
-
-
 EMOJI = ("fine 😀😀", "plain", "👍 ok 🚗", "é ü 中文", "😀")
 
 
@@ -105,19 +79,6 @@ def emoji_count(spark: SparkSession, d: str) -> DataFrame:
     return phrases(spark, d, EMOJI).select("c_custkey", F.regexp_count("t", F.lit(r"[\x{1F300}-\x{1FAFF}]")).cast("long").alias("n"))
 
 
-# Colours, each with the names it goes by.
-COLOURS = {"red": ("red", "crimson"), "blue": ("blue", "navy"), "white": ("white", "pearl")}
-COLOUR_TEXTS = ("a crimson one", "navy or white?", "not red", "any", "pearl white")
-
-
-@catalog.query("colour_intent", f"WITH {phrases_sql(COLOUR_TEXTS)} SELECT c_custkey, concat_ws(',', CASE WHEN regexp_matches(t, '\\b(red|crimson)\\b') THEN 'red' END, CASE WHEN regexp_matches(t, '\\b(blue|navy)\\b') THEN 'blue' END, CASE WHEN regexp_matches(t, '\\b(white|pearl)\\b') THEN 'white' END) AS colours, regexp_matches(t, '\\bnot\\b') AS refused FROM t")
-def colour_intent(spark: SparkSession, d: str) -> DataFrame:
-    """Colours asked for by any of their names, and whether they are refused."""
-    t = F.col("t")
-    named = [F.when(t.rlike(ascii_bounds(rf"\b({'|'.join(names)})\b")), c) for c, names in COLOURS.items()]
-    return phrases(spark, d, COLOUR_TEXTS).select("c_custkey", F.concat_ws(",", *named).alias("colours"), t.rlike(ascii_bounds(r"\bnot\b")).alias("refused"))
-
-
 # ------------------------------------------------------------------------------------ times
 
 TIMES = ("20240131093000", "2024/01/31 09:30", "1706664600", "1706664600000", "soon")
@@ -207,15 +168,6 @@ def place_lookup(spark: SparkSession, d: str) -> DataFrame:
     return x.join(places, "n_name", "left").select("c_custkey", "city", F.coalesce("r_name", "ip").alias("province"))
 
 
-PLACES = ("berlin to paris", "parisian", "Paris, Berlin, paris", "nowhere")
-
-
-@catalog.query("place_spans", f"WITH {phrases_sql(PLACES)}, m AS (SELECT c_custkey, regexp_extract_all(lower(t), '\\b(berlin|paris)\\b') AS found FROM t) SELECT c_custkey, (generate_subscripts(found, 1) - 1)::BIGINT AS pos, unnest(found) AS place FROM m")
-def place_spans(spark: SparkSession, d: str) -> DataFrame:
-    found = F.regexp_extract_all(F.lower("t"), F.lit(ascii_bounds(r"\b(berlin|paris)\b")), 0)
-    return phrases(spark, d, PLACES).select("c_custkey", F.posexplode(found).alias("pos", "place")).select("c_custkey", F.col("pos").cast("long").alias("pos"), "place")
-
-
 @catalog.query("target_area", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) WHEN c_custkey % 3 = 1 THEN c_custkey % 5 = 2 ELSE TRUE END AS inside FROM customer")
 def target_area(spark: SparkSession, d: str) -> DataFrame:
     """A stated place decides, else the address; who gave neither is kept."""
