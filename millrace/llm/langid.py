@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold_of
+from millrace.llm.common import fold_of, tidy
 
 SEGMENT = 256
 UNKNOWN = "und"
@@ -216,6 +216,7 @@ def identify(docs: DataFrame, samples: dict[str, bytes], ident: str = "doc_id",
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tuple(samples.items()))  # about `symbols` bytes a language
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         if own not in _parsers:

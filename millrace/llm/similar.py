@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import remove, shared_folder, written
+from millrace.llm.common import remove, shared_folder, tidy, written
 from millrace.llm.components import stars
 from millrace.llm.simhash import linked, majority
 
@@ -69,6 +69,7 @@ def identified(docs: DataFrame) -> Column:
 def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles in ascending order, and the rank of each by its number of texts."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -87,6 +88,7 @@ def classes_of(rows: DataFrame, width: int, least: float, home: str) -> DataFram
     each of 256 parts, 255 standing for more) and best, the row with the smallest id."""
     known, ranks = common_shingles(rows, width)
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
@@ -115,6 +117,7 @@ def classes_of(rows: DataFrame, width: int, least: float, home: str) -> DataFram
 def possible(pairs: DataFrame, classes: DataFrame, least: float, home: str) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow the similarity, with the rows of both."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = sum(np.asarray(batch.column(c), np.int64) for c in ("size_a", "size_b"))
@@ -137,6 +140,7 @@ def near(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, leas
     if wanted.count() <= WANTED:
         wanted = F.broadcast(wanted)
 
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = zstandard.ZstdCompressor(level=3)
         for batch in batches:
@@ -146,6 +150,7 @@ def near(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, leas
     texts = rows.select("row", "text").join(wanted, "row").mapInArrow(pack, "row long, packed binary")
     texts = written(texts.groupBy("row").agg(F.first("packed").alias("packed")), table(home), compression="none")
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_text, sets = zstandard.ZstdDecompressor(), {}
 

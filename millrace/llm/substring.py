@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import remove, shared_folder, written
+from millrace.llm.common import remove, shared_folder, tidy, written
 
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 #: Odd bases of the two polynomial hashes, and their inverses modulo 2**64.
@@ -52,12 +52,14 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """A bounded cache of the hashes of words."""
+    """A cache of the hashes of words, bounded in entries and, as long words aren't kept, in bytes."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 32:
+            if len(self) >= 150_000:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -107,6 +109,7 @@ def signed(a: np.ndarray) -> pa.Array:
 def span_rows(docs: DataFrame, words: int, gram: int) -> DataFrame:
     """A row for each span: id, digest of the text, batch, key, two digests, first window, number of windows."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "version", "batch", "key", "s1", "s2", "pos", "n"]
         for batch in batches:
@@ -211,6 +214,7 @@ def plain(docs: DataFrame, ident: str, text: str) -> DataFrame:
 def windows_at(rows: DataFrame, words: int) -> DataFrame:
     """A row for each distinct window in the spans listed with each text: its two digests, id and starts."""
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ident, version, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -279,6 +283,7 @@ def cut_rows(docs: DataFrame, keep: tuple[str, ...] = (), words: int = 50, gram:
     cuts = removals(plain(docs, ident, text), words, gram, batches, index)
     made = pa.schema([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, digest, kept = [], [], [], []
