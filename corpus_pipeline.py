@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, langid, mixing, similar, substring
-from millrace.llm.common import fold_of, read, written
+from millrace.llm.common import fold_of, read, small_batches, written
 
 #: A text that needs so many times the phrases usual in its best language is in none of the languages.
 STRANGE = 3.0
@@ -15,6 +15,7 @@ STRANGE = 3.0
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go: those without letters, and letters strung together at random."""
+    small_batches(spark)
     held_out = F.coalesce(fold_of("doc_id", 4) == 2, F.lit(False))
     samples = langid.labelled_samples(docs.where(~held_out))
     # whatever the columns are called, none clashes with the operator's
@@ -30,11 +31,13 @@ def by_simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Near duplicates share four fifths of their five-word shingles. SimHash components are compared first; fingerprints of
     64 bits miss most such pairs in short texts, so the operator then compares the shingles of the rest.
     """
+    small_batches(spark)
     return similar.one_of_each(docs)
 
 
 def by_substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words that a document with a smaller id has go; documents left empty go with them."""
+    small_batches(spark)
     found = substring.cut_rows(docs, tuple(docs.columns)).where("n_removed = 0 or kept_text <> ''")
     own = {c: F.col(f"column_{i}") for i, c in enumerate(docs.columns)}
     own["text"] = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(own["text"])
