@@ -401,11 +401,11 @@ def strategy_weights(spark: SparkSession, d: str, goal: str = "signup") -> DataF
     return raw.select("pillar", half_up(F.col("raw") / F.lit(total), 4).alias("weight"))
 
 
-@catalog.query("content_plan", """
+@catalog.query("topic_of_day", """
 WITH s AS (SELECT user_id AS account, ts::DATE AS day, event_type AS topic, COUNT(*) AS n FROM events WHERE event_type <> 'error' GROUP BY ALL),
 f AS (SELECT account, day, topic, n, ROW_NUMBER() OVER (PARTITION BY account, day ORDER BY n DESC, topic) AS i FROM s), t AS (SELECT account, day, topic FROM f WHERE i = 1)
 SELECT account, day::VARCHAR AS day, topic, topic = LAG(topic) OVER (PARTITION BY account ORDER BY day) AND day - LAG(day) OVER (PARTITION BY account ORDER BY day) <= 2 AS conflict FROM t""")
-def content_plan(spark: SparkSession, d: str) -> DataFrame:
+def topic_of_day(spark: SparkSession, d: str) -> DataFrame:
     """A topic for each account and day, the one asked for most, and whether it repeats that of a slot close before."""
     e = load(spark, d, "events").where("event_type <> 'error'")
     n = e.groupBy(F.col("user_id").alias("account"), F.to_date("ts").alias("day"), F.col("event_type").alias("topic")).agg(F.count("*").alias("n"))
@@ -469,11 +469,11 @@ def capability_blocks(spark: SparkSession, d: str) -> DataFrame:
     return e.where("b.value < 20").select("user_id", "kind", F.col("b.ts").alias("seen_at"))
 
 
-@catalog.query("sticky_assignment", """
+@catalog.query("last_touch_owner", """
 WITH h AS (SELECT o_custkey, o_orderkey % 25 AS account, o_orderdate FROM orders WHERE o_orderstatus <> 'P'), last AS (SELECT o_custkey, arg_max(account, (o_orderdate, account)) AS account FROM h GROUP BY o_custkey),
 n AS (SELECT account, COUNT(*) AS held FROM last GROUP BY account)
 SELECT c_custkey, COALESCE(CASE WHEN held <= 70 THEN last.account END, c_nationkey)::BIGINT AS account, last.account IS NOT NULL AND held <= 70 AS sticky FROM customer LEFT JOIN last ON o_custkey = c_custkey LEFT JOIN n ON n.account = last.account""")
-def sticky_assignment(spark: SparkSession, d: str, capacity: int = 70) -> DataFrame:
+def last_touch_owner(spark: SparkSession, d: str, capacity: int = 70) -> DataFrame:
     """A lead stays with the account that touched it last while that has room; else it goes to its area's account."""
     o = load(spark, d, "orders").where("o_orderstatus <> 'P'").withColumn("account", F.col("o_orderkey") % 25)
     last = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("account", F.struct("o_orderdate", "account")).alias("account"))

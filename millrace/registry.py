@@ -1,10 +1,10 @@
 """All queries outside the subpackage for training data, and their SQL."""
 
-from millrace.operators import catalogues, dictionary, funnels, language, lifecycle, relational, scoring, signals, texts
+from millrace.operators import catalogues, dictionary, funnels, language, lifecycle, matching, relational, scoring, signals, texts
 from millrace.streaming import ingest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (funnels, relational, texts, scoring, lifecycle, catalogues, language, dictionary, signals, ingest):
+for _module in (funnels, relational, texts, scoring, lifecycle, catalogues, language, dictionary, signals, matching, ingest):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
