@@ -578,10 +578,10 @@ def profile_research(spark: SparkSession, d: str) -> DataFrame:
     return e.select("user_id", (F.col("local") > 10).alias("verified"), F.floor(F.least(F.lit(100.0), score) + 0.5).alias("score"))
 
 
-@catalog.query("appointment_states", """
+@catalog.query("latest_appointment_event", """
 WITH s AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS latest, COUNT(*) FILTER (WHERE event_type = 'signup') AS proposed FROM events GROUP BY user_id)
 SELECT user_id, CASE latest WHEN 'purchase' THEN 'visited' WHEN 'error' THEN 'no_show' WHEN 'signup' THEN 'proposed' WHEN 'click' THEN 'confirmed' ELSE 'cancelled' END AS state, proposed FROM s""")
-def appointment_states(spark: SparkSession, d: str) -> DataFrame:
+def latest_appointment_event(spark: SparkSession, d: str) -> DataFrame:
     """Appointments as the latest event of their log, and how often one was proposed."""
     s = load(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("latest"), F.count_if(F.col("event_type") == "signup").alias("proposed"))
     state = F.when(F.col("latest") == "purchase", "visited").when(F.col("latest") == "error", "no_show").when(F.col("latest") == "signup", "proposed").when(F.col("latest") == "click", "confirmed").otherwise("cancelled")

@@ -250,10 +250,10 @@ def notifications(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").select("event_id", kind.alias("kind"), instant_of(raw).cast("timestamp_ntz").alias("seen_at"))
 
 
-@catalog.query("inbound_messages", """
+@catalog.query("message_counts", """
 WITH m AS (SELECT conv_id, turn, text, ROW_NUMBER() OVER (PARTITION BY conv_id, md5(text) ORDER BY turn) AS i FROM conversations WHERE role = 'user')
 SELECT conv_id, COUNT(*) AS messages, bool_or(regexp_matches(text, '[0-9]{5,}')) AS contact, bool_or(contains(text, '!!')) AS refused, arg_max(length(text), turn) AS latest_size FROM m WHERE i = 1 GROUP BY conv_id""")
-def inbound_messages(spark: SparkSession, d: str) -> DataFrame:
+def message_counts(spark: SparkSession, d: str) -> DataFrame:
     """Threads from their messages, repeats left out: contacts given, refusals, and the latest one's size."""
     c = load(spark, d, "conversations").where("role = 'user'")
     m = c.groupBy("conv_id", F.md5("text").alias("digest")).agg(F.min(F.struct("turn", "text")).alias("m")).select("conv_id", "m.*")

@@ -194,11 +194,12 @@ def compliance(texts: DataFrame, phrases: DataFrame, longest: int = 5_000, marks
 # ------------------------------------------------------------------------------------ queries
 
 
-def messages(spark: SparkSession, d: str) -> DataFrame:
+def messages(spark: SparkSession, d: str, orders: DataFrame | None = None) -> DataFrame:
     """A message for each order, put together from its rows: what was bought, its state, price, place and haste."""
+    orders = load(spark, d, "orders") if orders is None else orders
     top = F.max(F.struct("l_extendedprice", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus", "l_tax")).alias("l")
     line = load(spark, d, "lineitem").groupBy("l_orderkey").agg(top).select("l_orderkey", "l.*")
-    o = load(spark, d, "orders").join(line, F.col("o_orderkey") == F.col("l_orderkey")).join(load(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    o = orders.join(line, F.col("o_orderkey") == F.col("l_orderkey")).join(load(spark, d, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     c = load(spark, d, "customer").join(load(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), "n_name")
     o = o.join(c, "o_custkey").withColumn("thing", F.split("p_name", " ")[1])
     says = lambda cond, *parts: F.when(F.expr(cond), F.concat(*(F.col(p[1:]).cast("string") if p[0] == "$" else F.lit(p) for p in parts)))
@@ -210,7 +211,7 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
         says("o_orderpriority = '5-LOW'", "I would love a ", "$thing", "."), says("o_orderpriority = '4-NOT SPECIFIED' and l_tax < 0.015", "I bought a ", "$thing", " last year."),
         says("o_orderpriority = '3-MEDIUM'", "My budget is ", "$o_totalprice", "."),
     )
-    return o.select("o_orderkey", "n_name", "p_name", text.alias("text"))
+    return o.select(*orders.columns, "n_name", "p_name", text.alias("text"))
 
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
