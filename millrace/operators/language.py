@@ -79,77 +79,6 @@ def emoji_count(spark: SparkSession, d: str) -> DataFrame:
     return phrases(spark, d, EMOJI).select("c_custkey", F.regexp_count("t", F.lit(r"[\x{1F300}-\x{1FAFF}]")).cast("long").alias("n"))
 
 
-# ------------------------------------------------------------------------------------ times
-
-TIMES = ("20240131093000", "2024/01/31 09:30", "1706664600", "1706664600000", "soon")
-
-
-def any_time(raw: Column, tz: str = "Asia/Shanghai") -> Column:
-    """Fourteen digits or a date with slashes as local time; epoch seconds or milliseconds; anything else is null."""
-    local = lambda pattern, form: F.when(raw.rlike(pattern), F.to_utc_timestamp(F.try_to_timestamp(raw, F.lit(form)), tz))
-    epoch = F.when(raw.rlike("^([0-9]{10}|[0-9]{13})$"), instant_of(raw.try_cast("long")))
-    return F.coalesce(local("^[0-9]{14}$", "yyyyMMddHHmmss"), local("^[0-9]{4}/[0-9]{2}/[0-9]{2} [0-9]{2}:[0-9]{2}$", "yyyy/MM/dd HH:mm"), epoch)
-
-
-@catalog.query("time_variants", f"WITH {phrases_sql(TIMES)} SELECT c_custkey, CASE WHEN t LIKE '2024%' THEN TIMESTAMP '2024-01-31 01:30:00' WHEN t = 'soon' THEN NULL ELSE TIMESTAMP '2024-01-31 01:30:00' END AS seen_at FROM t")
-def time_variants(spark: SparkSession, d: str) -> DataFrame:
-    return phrases(spark, d, TIMES).select("c_custkey", any_time(F.col("t")).cast("timestamp_ntz").alias("seen_at"))
-
-
-# Pattern of an expression and what it says about when, the nearest first.
-TIMEFRAMES = (("today|tonight|right now", "immediate"), ("tomorrow|this week|in [1-7] days", "week"), ("this month|in [1-4] weeks|next week", "month"), ("next month|in [2-3] months", "quarter"), ("next year|no hurry|someday", "later"))
-FRAME_TEXTS = ("I need it today", "maybe next month or tomorrow", "in 3 weeks", "no hurry at all", "a nice one", "in 2 months")
-
-
-@catalog.query("timeframe", f"WITH {phrases_sql(FRAME_TEXTS)} SELECT c_custkey, CASE " + " ".join(f"WHEN regexp_matches(t, '\\b({p})\\b') THEN '{v}'" for p, v in TIMEFRAMES) + " ELSE 'unknown' END AS timeframe FROM t")
-def timeframe(spark: SparkSession, d: str) -> DataFrame:
-    out = F.when(F.lit(False), "")
-    for p, v in TIMEFRAMES:
-        out = out.when(F.col("t").rlike(ascii_bounds(rf"\b({p})\b")), v)
-    return phrases(spark, d, FRAME_TEXTS).select("c_custkey", out.otherwise("unknown").alias("timeframe"))
-
-
-APPOINTMENTS = ("friday 3pm", "on the 15th at 10am", "tomorrow morning", "monday evening", "whenever")
-
-
-@catalog.query("appointment_time", f"""WITH {phrases_sql(APPOINTMENTS)}
-SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN TIMESTAMP '2024-02-02 15:00' WHEN 1 THEN TIMESTAMP '2024-02-15 10:00' WHEN 2 THEN TIMESTAMP '2024-02-01 10:00' WHEN 3 THEN TIMESTAMP '2024-02-05 19:00' END AS visit FROM t""")
-def appointment_time(spark: SparkSession, d: str) -> DataFrame:
-    """The next such weekday or day of the month after now, at the hour stated or usual for the part of the day."""
-    t, today = F.col("t"), F.to_date(F.lit(NOW))
-    weekday = F.nullif(F.regexp_extract(t, "(monday|tuesday|wednesday|thursday|friday|saturday|sunday)", 1), F.lit(""))
-    number = F.regexp_extract(t, "([0-9]{1,2})(st|nd|rd|th)", 1).try_cast("int")
-    in_month = F.date_add(F.trunc(today, "month"), number - 1)
-    names = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
-    day = F.when(F.lit(False), today)
-    for name in names:
-        day = day.when(weekday == name, F.next_day(today, name[:3]))
-    day = day.when(number.isNotNull(), F.when(in_month > today, in_month).otherwise(F.date_add(F.add_months(F.trunc(today, "month"), 1), number - 1))).when(t.contains("tomorrow"), F.date_add(today, 1))
-    stated = F.regexp_extract(t, "([0-9]{1,2})(am|pm)", 1).try_cast("int")
-    hour = F.when(stated.isNotNull(), stated % 12 + F.when(t.contains("pm"), 12).otherwise(0)).when(t.contains("morning"), 10).when(t.contains("evening"), 19)
-    return phrases(spark, d, APPOINTMENTS).select("c_custkey", (day.cast("timestamp") + F.make_dt_interval(hours=hour)).cast("timestamp_ntz").alias("visit"))
-
-
-GOALS = ("30 signups in the next 2 weeks", "win 5 purchases next 10 days", "more clicks in march", "grow", "12 clicks next 3 months")
-
-
-@catalog.query("goal_parse", f"""WITH {phrases_sql(GOALS)}
-SELECT c_custkey, COALESCE(TRY_CAST(regexp_extract(t, '([0-9]+) (signup|purchase|click)', 1) AS BIGINT), 0) AS target, regexp_extract(t, '(signup|purchase|click)', 1) AS metric,
-CASE c_custkey % 5 WHEN 0 THEN '2024-02-14' WHEN 1 THEN '2024-02-10' WHEN 2 THEN '2024-03-31' WHEN 4 THEN '2024-04-30' END AS until FROM t""")
-def goal_parse(spark: SparkSession, d: str) -> DataFrame:
-    """A goal in words: how many of what until when; next n days, weeks or months, or a month by its name."""
-    t, today = F.col("t"), F.to_date(F.lit(NOW))
-    n = F.regexp_extract(t, "next ([0-9]+) (day|week|month)", 1).try_cast("int")
-    unit = F.regexp_extract(t, "next ([0-9]+) (day|week|month)", 2)
-    months = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-    named = F.when(F.lit(False), F.lit(None).cast("date"))
-    for i, m in enumerate(months, 1):
-        named = named.when(t.rlike(rf"\bin {m}\b"), F.last_day(F.make_date(F.year(today) + F.when(F.month(today) > i, 1).otherwise(0), F.lit(i), F.lit(1))))
-    until = F.when(unit == "day", F.date_add(today, n)).when(unit == "week", F.date_add(today, n * 7)).when(unit == "month", F.add_months(today, n)).otherwise(named)
-    target = F.coalesce(F.regexp_extract(t, "([0-9]+) (signup|purchase|click)", 1).try_cast("long"), F.lit(0))
-    return phrases(spark, d, GOALS).select("c_custkey", target.alias("target"), F.regexp_extract(t, "(signup|purchase|click)", 1).alias("metric"), until.cast("string").alias("until"))
-
-
 # ------------------------------------------------------------------------------------ places
 
 
