@@ -586,16 +586,3 @@ def latest_appointment_event(spark: SparkSession, d: str) -> DataFrame:
     s = load(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("latest"), F.count_if(F.col("event_type") == "signup").alias("proposed"))
     state = F.when(F.col("latest") == "purchase", "visited").when(F.col("latest") == "error", "no_show").when(F.col("latest") == "signup", "proposed").when(F.col("latest") == "click", "confirmed").otherwise("cancelled")
     return s.select("user_id", state.alias("state"), "proposed")
-
-
-@catalog.query("schema_check", """
-WITH r AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '{"k": "x"}' WHEN 2 THEN '{"j": 1}' ELSE '{"k": 500}' END AS raw FROM events)
-SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'type' WHEN 2 THEN 'missing' WHEN 3 THEN 'range' END AS problem FROM r""")
-def schema_check(spark: SparkSession, d: str) -> DataFrame:
-    """Untrusted JSON against a schema: a required integer in a range; the first problem is told."""
-    k = F.col("event_id") % 4
-    raw = F.when(k == 0, F.col("props")).when(k == 1, '{"k": "x"}').when(k == 2, '{"j": 1}').otherwise('{"k": 500}')
-    value = F.get_json_object("raw", "$.k")
-    number = value.try_cast("int")
-    problem = F.when(value.isNull(), "missing").when(number.isNull(), "type").when(~number.between(0, 100), "range")
-    return load(spark, d, "events").select("event_id", raw.alias("raw")).select("event_id", problem.alias("problem"))

@@ -1,10 +1,10 @@
 """All queries outside the subpackage for training data, and their SQL."""
 
-from millrace.operators import calendar, catalogues, claims, dictionary, funnels, language, lifecycle, matching, relational, scoring, signals, texts
+from millrace.operators import calendar, catalogues, claims, dictionary, funnels, language, lifecycle, matching, relational, schemas, scoring, signals, texts
 from millrace.streaming import desks, ingest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (funnels, relational, texts, scoring, lifecycle, catalogues, language, dictionary, signals, matching, claims, calendar, ingest, desks):
+for _module in (funnels, relational, texts, scoring, lifecycle, catalogues, language, dictionary, signals, matching, claims, calendar, schemas, ingest, desks):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
