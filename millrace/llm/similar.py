@@ -8,8 +8,10 @@ Equal sets are one class. Classes are first compared with the representative of
 of five-word shingles, multi-index hashing), and under each shingle with two of the other classes, which joins
 large groups of near copies without all of their pairs; what is then still in different components is compared
 pair by pair,
-if enough of both sets stands from the shared shingle on: the first one that two sets share has all their
-others behind it. Sketches rule out most pairs; similarities are computed from the whole sets of the others.
+if enough of both sets stands from the shared shingle on - the first one that two sets share has all their
+others behind it - and if their parities allow it: of `8 * 64` parts of all shingles, each of which a set has an odd
+or even number of, two sets can differ in no more than they have shingles apart. Sketches rule out most other pairs;
+similarities are computed from the whole sets of the rest.
 
 Fingerprints alone can't do it: at a similarity of 0.8 two of them differ in ten bits of 64 on average, and no choice of
 segments reaches that far without meeting much of the corpus.
@@ -34,6 +36,8 @@ from millrace.llm.simhash import linked, majority
 
 #: One text in `FOLDS` is looked at for common shingles; of those in `COMMON` of them or more, `KNOWN` are ordered.
 FOLDS, COMMON, KNOWN = 8, 4, 100_000
+#: Columns of parities, 64 parts each.
+PARITIES = tuple(f"p{i}" for i in range(8))
 #: Up to so many hashes of rows (16 MB) are broadcast; more are joined by shuffles.
 WANTED = 2_000_000
 
@@ -85,7 +89,7 @@ def common_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarra
 
 def classes_of(rows: DataFrame, width: int, least: float, home: str) -> DataFrame:
     """Per class of equal sets: node (digest of the set), size, fingerprint, prefix, sketch (how many shingles fall to
-    each of 256 parts, 255 standing for more) and best, the row with the smallest id."""
+    each of 256 parts, 255 standing for more), parities of 512 other parts and best, the row with the smallest id."""
     known, ranks = common_shingles(rows, width)
 
     @tidy
@@ -93,13 +97,14 @@ def classes_of(rows: DataFrame, width: int, least: float, home: str) -> DataFram
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                nodes, prints, sizes, sketches, prefixes = [], [], [], [], []
+                nodes, prints, sizes, sketches, prefixes, odd = [], [], [], [], [], []
                 for text in batch.column(2).to_pylist():
                     h = shingles(text, width)
                     nodes.append(xxhash.xxh3_64_intdigest(h.tobytes()))
                     prints.append(majority(h.astype(">i8")))
                     sizes.append(len(h))
                     sketches.append(np.minimum(np.bincount(h & 255, minlength=256), 255).astype(np.uint8).tobytes())
+                    odd.append(np.packbits((np.bincount(h >> 8 & 511, minlength=512) & 1).astype(np.uint8)).view(np.int64))
                     rank = np.zeros(len(h), np.int64)
                     if len(known):
                         where = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -107,11 +112,11 @@ def classes_of(rows: DataFrame, width: int, least: float, home: str) -> DataFram
                     keep = len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1 if len(h) else 0
                     prefixes.append(h[np.lexsort((h, rank))[:keep]])
                 signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-                yield pa.record_batch([batch.column(0), batch.column(1), signed(nodes), signed(prints), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), lists(prefixes)], names=["id", "row", "node", "fp", "size", "sketch", "prefix"])
+                yield pa.record_batch([batch.column(0), batch.column(1), signed(nodes), signed(prints), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), lists(prefixes), *map(pa.array, np.array(odd, np.int64).reshape(-1, len(PARITIES)).T)], names=["id", "row", "node", "fp", "size", "sketch", "prefix", *PARITIES])
 
-    prints = rows.select("id", "row", "text").mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, row long, node long, fp long, size int, sketch binary, prefix array<long>")
+    prints = rows.select("id", "row", "text").mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, row long, node long, fp long, size int, sketch binary, prefix array<long>, " + ", ".join(f"{p} long" for p in PARITIES))
     best = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "row")).alias("best")
-    return written(prints.groupBy("node").agg(best, *(F.first(c).alias(c) for c in ("fp", "size", "sketch", "prefix"))), table(home))
+    return written(prints.groupBy("node").agg(best, *(F.first(c).alias(c) for c in ("fp", "size", "sketch", "prefix", *PARITIES))), table(home))
 
 
 def possible(pairs: DataFrame, classes: DataFrame, least: float, home: str) -> DataFrame:
@@ -174,12 +179,12 @@ def near(pairs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, leas
     return written(sides.mapInArrow(compare, "a long, b long"), table(home))
 
 
-def split(hot: DataFrame, roots: DataFrame, home: str) -> tuple[DataFrame, DataFrame]:
-    """The rows (key, node, size, reach, part) of the keys with several parts, as the links so far leave them, and for each
-    key and part: its smallest and largest size, largest reach."""
+def split(hot: DataFrame, roots: DataFrame, classes: DataFrame, home: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (key, node, size, reach, part, parities) of the keys with several parts, as the links so far leave them, and
+    for each key and part: its smallest and largest size, largest reach."""
     placed = hot.select("key", "node", "size", "reach").join(roots, "node", "left").select("key", "node", "size", "reach", F.coalesce("root", "node").alias("part"))
     spread = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    placed = written(placed.join(spread, "key", "left_semi"), table(home))
+    placed = written(placed.join(spread, "key", "left_semi").join(classes.select("node", *PARITIES), "node"), table(home))
     parts = placed.groupBy("key", "part").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("reach").alias("far"))
     return placed, written(parts, table(home))
 
@@ -210,14 +215,16 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, distance: i
 
     # under keys of up to three classes all pairs are done
     hot = shared.where("k > 3").select("key", "node", "size", "reach")
-    placed, parts = split(hot, roots, home)
+    placed, parts = split(hot, roots, classes, home)
     side = lambda df, s: df.select("key", *(F.col(c).alias(f"{c}_{s}") for c in df.columns if c != "key"))
     # what is common lies within the reach of both, from their first common shingle on
     within = lambda x, y, n: F.least(x, y) >= least / (1 + least) * n - 1e-9
     fits = (F.col("high_b") >= least * F.col("low_a") - 1e-9) & (F.col("high_a") >= least * F.col("low_b") - 1e-9) & within("far_a", "far_b", F.col("low_a") + F.col("low_b"))
     apart = side(parts, "a").join(side(parts, "b"), "key").where((F.col("part_a") > F.col("part_b")) & fits)
     alike_within = alike(F.col("size_a"), F.col("size_b")) & within("reach_a", "reach_b", F.col("size_a") + F.col("size_b"))
-    rest = apart.select("key", "part_a", "part_b").join(side(placed, "a"), ["key", "part_a"]).join(side(placed, "b"), ["key", "part_b"]).where(alike_within)
+    unlike = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITIES), F.lit(0))
+    fits = alike_within & (unlike <= (1 - least) / (1 + least) * (F.col("size_a") + F.col("size_b")) + 1e-9)
+    rest = apart.select("key", "part_a", "part_b").join(side(placed, "a"), ["key", "part_a"]).join(side(placed, "b"), ["key", "part_b"]).where(fits)
     rest = rest.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
     more = near(rest, classes, rows, width, least, home)
     if not more.isEmpty():
