@@ -3,261 +3,351 @@
 Pages of one host are merged into a style tree: a node stands for the tag path with the classes of its elements, and
 keeps how many pages show it and how its contents vary. Its importance is the entropy of these contents over the
 pages, normalised by the logarithm of their number: a branch that says the same on most pages is presentation, one
-that differs from page to page is content. A node's children pass their importance up, weighted by the pages that
-show them, and damped by `DAMP`. Branches of low importance are removed from each page. Elements whose tag, role,
-class or id says that they are no main text are nodes of importance zero from the start; nodes inside the article
-are content until their entropy shows the contrary on many pages.
+that differs from page to page is content. A node's children pass their importance up, damped by `DAMP` a step, and a
+block is as important as the least important branch that it hangs in. Every block that tags don't rule out enters the
+tree, whatever its classes are called.
+
+Tags, roles and what is hidden decide first: menus, headers, footers, asides, forms, scripts and the like are out. Where a
+page has an article or main element, only what is inside counts. Names are a prior. A name that says adverts, comments
+or forms, and outside of articles one that says menu, sidebar, footer or cookies, is out for good, as such parts may well
+vary from page to page. Any other name that hints at presentation - legal, related, notice - is out only if the tree finds
+the block less important than `HINTED`, or is too small to tell and the block stands outside an article. A name counts
+only as a whole: `share` and `share-box` do, `share-price` doesn't.
+
+Each page is parsed once; its blocks, as text and 64-bit digests of their paths, are kept as a table. Trees and pages meet
+on digests, a row for each node of a page.
 
 Blocks end at block elements; white space inside a block becomes one space; blocks are joined by one space.
 Defined cases: null and empty pages and pages without text give an empty text; a null or odd url is a host of its own
-name, the empty one; repeated rows are returned each; unclosed, misnested and unknown tags never fail; text outside
-any article counts where the page has no article or main element.
+name, the empty one; a null page_id stays null; repeated rows are returned each; unclosed, misnested and unknown tags never
+fail; text outside any article counts where the page has no article or main element; a page that the tree would leave empty
+keeps its blocks; other columns are not read, whatever their names; an empty table gives no rows.
 """
 
 import html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import tidy, written
+
 #: Comments and the like, and tags; as in the HTML standard a quote opens a value only behind an equals sign. Nothing in
 #: it is tried twice, so a page is scanned in linear time, whatever it holds.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)?+|=)*+)(?:>|\Z)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 SPACES = re.compile(r"\s+")
 
-# Element names of the HTML standard.
+# Element names of the HTML and MathML standards.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+RAW = frozenset("script style noscript textarea title iframe xmp noembed noframes".split())
+SUBTREE = frozenset("svg template object canvas annotation annotation-xml".split())
+MATHML = frozenset("math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd semantics mstyle mspace mpadded mphantom".split())
+INLINE = MATHML | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 SCOPE = frozenset("ul ol dl table tbody thead body article main section div".split())
-NOT_MAIN = frozenset("nav footer aside form menu dialog button select fieldset head script style noscript template textarea title iframe svg math object canvas input label xmp".split())
+NOT_MAIN = RAW | SUBTREE | frozenset("nav footer aside form menu dialog button select fieldset head input label".split())
 MAIN = frozenset("article main".split())
-# Words in classes, ids and roles that name parts beside the main text.
-BESIDE = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr notice notices alert popup modal overlay comment comments commentlist disqus reply replies respond form login signup subscribe newsletter share sharing social related recommended recommendations widget widgets toolbar pagination pager search skip hidden contentinfo complementary dialog tracking legal disclaimer copyright".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+# Words in classes and ids. Those of parts that are never main text, wherever they stand; of parts beside the
+# main text; of parts that may be either; and words that may stand beside them in a name.
+NEVER = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored comment comments commentlist disqus respond reply replies form login signup subscribe newsletter share sharing social".split())
+BESIDE = frozenset("sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar cookie cookies consent gdpr popup modal overlay toolbar pagination pager contentinfo skip".split())
+HINTS = frozenset("side promo promotion banner notice notices alert related recommended recommendations widget widgets search hidden complementary dialog tracking legal disclaimer copyright".split())
+PLAIN = frozenset("site page main global top bottom left right upper lower box bar block container wrapper wrap inner outer section area list item items link links button buttons btn icon icons group row col column primary secondary mobile desktop sticky fixed post entry article story news blog text content title label body js is".split())
 
 #: First parts of class names that say what else a page shows, as in "with-sidebar".
 ABSENT = frozenset("no not has with without".split())
 
-#: Pages of a host from which on entropy alone can remove a branch, and the importance below which it does:
-#: anywhere, and inside an article.
-PAGES, LOW, LOW_INSIDE, DAMP = 5, 0.3, 0.08, 0.9
-#: Parts over which the pages of one host are spread for the join with its tree.
-SALTS = 64
+#: Pages of a host that must show a node for entropy to judge it, and the importance below which a block goes:
+#: anywhere, inside an article, and where its names hint at presentation.
+PAGES, LOW, LOW_INSIDE, HINTED, DAMP = 5, 0.3, 0.08, 0.8, 0.9
+
+WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
+OUT, STRICT, HINT, FREE = 3, 2, 1, 0  # ranks: by tag; by name for good; by name unless the tree says otherwise; not at all
 
 
-def signature(attributes: str) -> tuple[str, bool]:
-    """The classes of an element, and whether its attributes say that it is no main text."""
+def rank_of_name(name: str) -> tuple[int, bool]:
+    """The rank of one class or id, and whether it holds inside articles as well."""
+    words = [w.lower() for w in WORDS.findall(name)]
+    if not words or words[0] in ABSENT or any(w not in NEVER and w not in BESIDE and w not in HINTS and w not in PLAIN for w in words):
+        return FREE, False
+    if any(w in NEVER for w in words):
+        return STRICT, True
+    if any(w in BESIDE for w in words):
+        return STRICT, False
+    return (HINT, False) if any(w in HINTS for w in words) else (FREE, False)
+
+
+def signature(attributes: str) -> tuple[str, int, bool, bool]:
+    """The classes of an element, its rank by its attributes, whether that holds inside articles, and whether it is main."""
     if not attributes or "=" not in attributes and "hidden" not in attributes.lower():
-        return "", False
-    names, beside = "", False
+        return "", FREE, False, False
+    names, rank, inside, main = "", FREE, False, False
     for key, value in ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id", "role"):
+        key, value = key.lower(), value.strip("\"'")
+        if key in ("class", "id"):
             if key == "class":
-                names = ".".join(sorted(value.split()))
+                names = ".".join(sorted(re.sub(r"\d{3,}", "#", v.lower()) for v in value.split()))
             for name in value.split():
-                parts = re.split(r"[^a-z]+", name)
-                beside |= parts[0] not in ABSENT and any(w in BESIDE for w in parts)
-        elif key == "hidden" or key == "aria-hidden" and value == "true":
-            beside = True
-        elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            beside = True
-    return names, beside
+                r, within = rank_of_name(name)
+                rank, inside = max(rank, r), inside or within
+        elif key == "role":
+            if value.lower() in ROLES:
+                rank, inside = OUT, True
+            main |= value.lower() == "main"
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
+            rank, inside = OUT, True
+    return names, rank, inside, main
 
 
 class Block:
-    """A run of text of one element: its path, and whether names alone keep it out or put it in the article."""
+    """A run of text of one element: digests of the path to it, its rank, and whether it is inside an article."""
+
+    __slots__ = ("path", "text", "rank", "inside")
+
+    def __init__(self, path: tuple[int, ...], text: str, rank: int, inside: bool):
+        self.path, self.text, self.rank, self.inside = path, text, rank, inside
 
-    __slots__ = ("path", "text", "beside", "inside")
 
-    def __init__(self, path: tuple[str, ...], text: str, beside: bool, inside: bool):
-        self.path, self.text, self.beside, self.inside = path, text, beside, inside
+class Element:
+    __slots__ = ("tag", "path", "rank", "inside")
+
+    def __init__(self, tag: str, path: tuple[int, ...], rank: int, inside: bool):
+        self.tag, self.path, self.rank, self.inside = tag, path, rank, inside
+
+
+def node(parent: int, tag: str, names: str) -> int:
+    """The digest of a path: that of its parent, and the element."""
+    return xxhash.xxh3_64_intdigest(f"{parent:x}>{tag}.{names}".encode("utf-8", "replace")) - (1 << 63)
+
+
+def end_of(page: str, tag: str, at: int) -> int | None:
+    """Behind the end tag that closes the subtree of a tag that ends at `at`; None if nothing does."""
+    depth = 1
+    for m in TOKEN.finditer(page, at):
+        if m[2] and m[2].lower() == tag:
+            if m[1]:
+                depth -= 1
+                if not depth:
+                    return m.end()
+            elif not m[3].endswith("/"):
+                depth += 1
+    return None
 
 
 def blocks(page: str | None) -> list[Block]:
-    """All blocks of text of a page, in its order."""
+    """All blocks of text of a page that tags and attributes don't rule out, in its order."""
     found: list[Block] = []
     if not page:
         return found
-    # open elements: tag, node name, beside, inside
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    stack = [Element("", (), FREE, False)]
     opened: Counter[str] = Counter()  # how many elements of each tag are open
     endless: set[str] = set()  # tags that no end tag follows any more
     parts: list[str] = []
 
     def close(i: int) -> None:
-        opened.subtract(s[0] for s in stack[i:])
+        opened.subtract(s.tag for s in stack[i:])
         del stack[i:]
 
     def end() -> None:
         if parts:
-            text = SPACES.sub(" ", html.unescape("".join(parts))).strip()
+            text = SPACES.sub(" ", "".join(parts)).strip()
             parts.clear()
-            if text:
-                i = len(stack)
-                while i > 1 and stack[i - 1][0] in INLINE:
-                    i -= 1
-                found.append(Block(tuple(s[1] for s in stack[1:i]), text, stack[-1][2], stack[-1][3]))
+            if text and stack[-1].rank < OUT:
+                found.append(Block(stack[-1].path, text, stack[-1].rank, stack[-1].inside))
+
+    def closed(i: int) -> bool:
+        """Whether the elements from i on judge their text otherwise than the one before."""
+        return any((s.rank, s.inside) != (stack[i - 1].rank, stack[i - 1].inside) for s in stack[i:])
 
     at, size = 0, len(page)
     while at < size:
         m = TOKEN.search(page, at)
         if not m:
-            parts.append(page[at:])
+            parts.append(html.unescape(page[at:]))
             break
         if m.start() > at:
-            parts.append(page[at : m.start()])
+            parts.append(html.unescape(page[at : m.start()]))  # run by run: a reference doesn't go on behind a tag
         at = m.end()
-        tag = m.group(2)
+        tag = m[2]
         if tag is None:
-            if m.group(0).startswith("<![CDATA["):
-                parts.append(html.escape(m.group(0)[9:-3]))
             continue
         tag = tag.lower()
-        if m.group(1):
+        if m[1]:
             if not opened[tag]:  # an end tag without its start is no boundary, but for that of a paragraph
                 if tag == "p":
                     end()
                 continue
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
+                if stack[i].tag == tag:
                     if tag not in INLINE:
                         end()
                         close(i)
-                    elif i == len(stack) - 1:
-                        if stack[i][2] != stack[i - 1][2]:
+                    elif all(s.tag in INLINE for s in stack[i:]):  # only inline elements are closed with an inline one
+                        if closed(i):
                             end()
                         close(i)
-                    else:
-                        # an inline element that other elements are open in: only inline ones are closed with it
-                        if all(s[0] in INLINE for s in stack[i:]):
-                            if any(s[2] for s in stack[i:]) != stack[i - 1][2]:
-                                end()
-                            close(i)
                     break
             continue
         if tag == "br":
             parts.append(" ")
             continue
-        names, beside = signature(m.group(3))
-        if tag in RAW:
-            shut = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if not shut:
+        self_closed = m[3].endswith("/")
+        if tag in SUBTREE or tag in RAW:
+            if self_closed and tag in SUBTREE or tag in endless:
+                continue
+            if tag in SUBTREE:
+                shut = end_of(page, tag, at)
+            else:
+                behind = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*+>", re.I).search(page, at)
+                shut = behind.end() if behind else size if tag in ("script", "style", "textarea", "title", "xmp") else None
+            if shut is None:
                 endless.add(tag)
-            at = shut.end() if shut else size if tag in ("script", "style", "textarea", "title") else at
+            else:
+                at = shut
             continue
         if tag in VOID:
             if tag not in INLINE:
                 end()
             continue
+        names, rank, within, main = signature(m[3])
         inline = tag in INLINE
+        if self_closed and (tag in MATHML or not inline and tag not in CLOSES_P):
+            continue
         if not inline:
             end()
             if tag in CLOSES_P:
                 for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
+                    if stack[i].tag == "p":
                         close(i)
                         break
-                    if stack[i][0] not in INLINE:
+                    if stack[i].tag not in INLINE:
                         break
             if tag in SIBLING:
                 for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in SIBLING[tag]:
+                    if stack[i].tag in SIBLING[tag]:
                         close(i)
                         break
-                    if stack[i][0] in SCOPE:
+                    if stack[i].tag in SCOPE:
                         break
         top = stack[-1]
-        inside = top[3] or tag in MAIN or tag != "body" and "main" in m.group(3) and 'role="main"' in m.group(3).lower()
-        # a header inside the article is its heading; elsewhere it is the site's
-        named = beside and tag not in MAIN and tag not in ("html", "body")
-        out = top[2] or tag in NOT_MAIN or named or (tag == "header" and not top[3])
-        if inline and out != top[2]:
+        if tag in NOT_MAIN or tag == "header" and not top.inside:  # a header inside an article is its heading
+            rank = OUT
+        elif tag in ("html", "body"):
+            rank = FREE
+        elif rank < OUT and not within and (top.inside or tag in MAIN):
+            rank = HINT if rank else FREE
+        own = max(top.rank, rank)
+        inside = top.inside or (tag in MAIN or main) and own < STRICT
+        if inline and (own, inside) != (top.rank, top.inside):
             end()
-        if m.group(3).endswith("/") and tag not in INLINE and tag not in CLOSES_P:
-            continue
-        stack.append((tag, f"{tag}.{names}" if names else tag, out, inside))
+        path = top.path if inline else (*top.path, node(top.path[-1] if top.path else 0, tag, names))
+        stack.append(Element(tag, path, own, inside))
         opened[tag] += 1
     end()
     return found
 
 
-def contents(found: list[Block]) -> dict[tuple[str, ...], int]:
-    """For each node of the page that shows text itself: a digest of all that it shows."""
-    out: dict[tuple[str, ...], int] = {}
-    for b in found:
-        if not b.beside:
-            out[b.path] = crc32(b.text.encode("utf-8", "replace"), out.get(b.path, 0))
-    return out
+def kept(found: list[Block], importance: dict[int, float]) -> list[Block]:
+    """The blocks of the main text. importance: of nodes that enough pages show, each with all branches above it."""
+    inside = any(b.inside for b in found)
+    main = [b for b in found if b.rank < STRICT and (b.inside or not inside)]
+
+    def stays(b: Block) -> bool:
+        x = importance.get(b.path[-1] if b.path else 0)
+        if x is None:
+            return b.inside or b.rank == FREE
+        return x >= (HINTED if b.rank == HINT else LOW_INSIDE if b.inside else LOW)
+
+    return [b for b in main if stays(b)] or main  # a host that shows one and the same article everywhere still has that article
+
+
+def main_text(page: str | None, importance: dict[int, float] | None = None) -> str:
+    """The page's text without what tags, names or the host's style tree rule out."""
+    return " ".join(b.text for b in kept(blocks(page), importance or {}))
 
 
 def host_of(url: F.Column) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1), F.lit("")))
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """Per host: the paths whose importance is low, outside and inside articles. pages: host, html."""
+BLOCK = "struct<node: long, rank: int, inside: boolean, text: string>"
+NODE = "struct<node: long, digest: long, path: array<long>>"
+
+
+def parsed(pages: DataFrame, ident: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
+    """The pages as a table: row, page_id, url, host, blocks, and a row for each node that shows text, with a digest of it."""
+    rows = pages.select(F.col(ident).alias("page_id"), F.col(url).alias("url"), F.col(source).alias("html")).withColumn("host", host_of(F.col("url")))
+    block = pa.list_(pa.struct([("node", pa.int64()), ("rank", pa.int32()), ("inside", pa.bool_()), ("text", pa.string())]))
+    nodes = pa.list_(pa.struct([("node", pa.int64()), ("digest", pa.int64()), ("path", pa.list_(pa.int64()))]))
 
+    @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: dict[tuple[str, str, int, bool], int] = {}
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = blocks(page)
-                inside = {b.path for b in found if b.inside}
-                for path, digest in contents(found).items():
-                    key = (host, ">".join(path), digest, path in inside)
-                    counts[key] = counts.get(key, 0) + 1
-            if counts:
-                cols = list(zip(*counts, strict=True))
-                yield pa.record_batch([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], pa.int64()), pa.array(cols[3]), pa.array(list(counts.values()), pa.int64())], names=["host", "path", "digest", "inside", "n"])
-
-    seen = pages.select("host", "html").mapInArrow(work, "host string, path string, digest long, inside boolean, n long")
-    each = seen.groupBy("host", "path", "digest").agg(F.sum("n").alias("n"), F.max("inside").alias("inside"))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                batch = whole.slice(at, 200)
+                texts, shown = [], []
+                for page in batch.column(3):
+                    found = blocks(page.as_py())
+                    texts.append([{"node": b.path[-1] if b.path else 0, "rank": b.rank, "inside": b.inside, "text": b.text} for b in found])
+                    digests: dict[tuple[int, ...], xxhash.xxh3_64] = {}
+                    for b in found:
+                        if b.path:
+                            digests.setdefault(b.path, xxhash.xxh3_64()).update(b.text.encode("utf-8", "replace") + b"\0")
+                    shown.append([{"node": p[-1], "digest": x.intdigest() - (1 << 63), "path": list(p)} for p, x in digests.items()])
+                yield pa.record_batch([*batch.columns[:3], pa.array(texts, block), pa.array(shown, nodes)], names=["page_id", "url", "host", "blocks", "nodes"])
+
+    kind = rows.schema["page_id"].dataType.simpleString()
+    table = rows.select("page_id", "url", "host", "html").mapInArrow(work, f"page_id {kind}, url string, host string, blocks array<{BLOCK}>, nodes array<{NODE}>")
+    return written(table.withColumn("row", F.monotonically_increasing_id()), compression="zstd")
+
+
+def style_tree(table: DataFrame) -> DataFrame:
+    """host, node and importance of the nodes that at least PAGES pages show: the least of its own and of all branches above it."""
+    seen = table.select("host", F.explode("nodes").alias("n")).select("host", "n.*")
+    each = seen.groupBy("host", "node", "digest").agg(F.count("*").alias("n"), F.first("path").alias("path"))
     # entropy of the contents: log m - sum(n log n) / m, normalised by log m
-    node = each.groupBy("host", "path").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.max("inside").alias("inside"))
-    own = F.when(F.col("m") > 1, 1 - F.col("nlogn") / (F.col("m") * F.log("m"))).otherwise(1.0)
-    node = node.withColumn("own", own)
+    own = each.groupBy("host", "node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.first("path").alias("path"))
+    own = own.withColumn("own", F.when(F.col("m") > 1, 1 - F.col("nlogn") / (F.col("m") * F.log("m"))).otherwise(1.0))
     # a branch is as important as its most varied part, damped by the depth at which that lies below it
-    steps = F.split("path", ">")
-    up = node.select("host", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.concat_ws(">", F.slice(steps, F.lit(1), k)))).alias("k", "path"), F.size(steps).alias("depth"), "m", "own", "inside")
-    branch = up.groupBy("host", "path").agg(F.max(F.col("own") * F.pow(F.lit(DAMP), F.col("depth") - F.col("k") - 1)).alias("importance"), F.max("m").alias("m"), F.max("inside").alias("inside"))
-    low = branch.where((F.col("m") >= PAGES) & (F.col("importance") < F.when(F.col("inside"), LOW_INSIDE).otherwise(LOW)))
-    return low.groupBy("host").agg(F.collect_set("path").alias("low"))
-
-
-def main_text(page: str | None, low: list[str] | None) -> str:
-    """The page's text without what names or the host's style tree rule out."""
-    found = [b for b in blocks(page) if not b.beside]
-    if any(b.inside for b in found):
-        found = [b for b in found if b.inside]
-    if low:
-        low = set(low)
-        kept = [b for b in found if not any(">".join(b.path[:k]) in low for k in range(1, len(b.path) + 1))]
-        # a host that shows one and the same article everywhere still has that article
-        found = kept or found
-    return " ".join(b.text for b in found)
+    up = own.select("host", "m", "own", F.size("path").alias("depth"), F.posexplode("path").alias("k", "branch"))
+    branch = up.groupBy("host", "branch").agg(F.max(F.col("own") * F.pow(F.lit(DAMP), F.col("depth") - F.col("k") - 1)).alias("importance"), F.max("m").alias("m")).where(F.col("m") >= PAGES)
+    hung = own.select("host", "node", F.explode("path").alias("branch")).join(branch.select("host", "branch", "importance"), ["host", "branch"])
+    return hung.groupBy("host", "node").agg(F.min("importance").alias("importance"))
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """Per page: page_id, url, text and n_chars."""
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    trees = style_tree(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+def chosen(blocks: Column, judged: Column) -> Column:
+    """The text of a page. judged: map of node to importance, as in `kept`."""
+    inside = F.exists(blocks, lambda b: b["inside"])
+    main = F.filter(blocks, lambda b: (b["rank"] < STRICT) & (b["inside"] | ~inside))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(p, low) for p, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+    def stays(b: Column) -> Column:
+        x = F.element_at(judged, b["node"])
+        least = F.when(b["rank"] == HINT, HINTED).when(b["inside"], LOW_INSIDE).otherwise(LOW)
+        return F.when(x.isNull(), b["inside"] | (b["rank"] == FREE)).otherwise(x >= least)
+
+    left = F.filter(main, stays)
+    return F.array_join(F.transform(F.when(F.size(left) > 0, left).otherwise(main), lambda b: b["text"]), " ")
 
-    return salted.join(trees, ["host", "salt"], "left").select("page_id", "url", "html", "low").mapInArrow(work, "page_id long, url string, text string, n_chars long")
+
+def extract(pages: DataFrame) -> DataFrame:
+    """Per page: page_id, url, text and n_chars."""
+    table = parsed(pages)
+    # only what the tree takes away, or gives back, has to reach the pages
+    main = F.filter("blocks", lambda b: b["rank"] < STRICT)
+    wanted = table.select("row", "host", F.explode(F.array_distinct(F.transform(main, lambda b: F.struct(b["node"].alias("node"), (b["rank"] == HINT).alias("hint"))))).alias("n")).select("row", "host", "n.*")
+    judged = wanted.join(style_tree(table), ["host", "node"]).where((F.col("importance") < LOW) | F.col("hint")).select("row", "node", "importance").distinct()
+    judged = judged.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("node", "importance"))).alias("judged"))
+    whole = table.select("row", "page_id", "url", "blocks").join(judged, "row", "left")
+    text = whole.select("page_id", "url", chosen(F.col("blocks"), F.coalesce("judged", F.create_map().cast("map<bigint,double>"))).alias("text"))
+    return text.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -160,11 +160,14 @@ def test_entropies_against_the_formula(spark):
     import math
 
     # branches of neutral names: the same on all pages, in two halves, and different on each
-    rows = [(i, f"http://h.example/{i}", f"<body><div class='q1'>Same</div><div class='q2'>Half {i % 2}</div><div class='q3'>Own text {i}</div></body>") for i in range(16)]
+    rows = [(i, f"http://h.example/{i}", f"<body><div class='xa'>Same</div><div class='xb'>Half {i % 2}</div><div class='xc'>Own text {i}</div></body>") for i in range(16)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    low = {r.host: set(r.low) for r in pages.style_tree(df.select(pages.host_of(F.col("url")).alias("host"), "html")).collect()}
-    importance = {"div.q1": 0.0, "div.q2": math.log(2) / math.log(16), "div.q3": 1.0}
-    assert low == {"h.example": {f"body>{k}" for k, x in importance.items() if x < pages.LOW}}
+    got = {r.node: r.importance for r in pages.style_tree(pages.parsed(df)).collect()}
+    node = lambda *steps: [n := 0, *(n := pages.node(n, tag, names) for tag, names in steps)][-1]
+    importance = {f"x{k}": v for k, v in zip("abc", (0.0, math.log(2) / math.log(16), 1.0), strict=True)}
+    assert set(got) == {node(("body", ""), ("div", k)) for k in importance}
+    for k, v in importance.items():
+        assert got[node(("body", ""), ("div", k))] == pytest.approx(min(v, 0.9))  # the body is worth what its best part is, damped by a step
     assert {r.text for r in pages.extract(df).collect()} == {f"Own text {i}" for i in range(16)}
     assert pages.main_text(rows[3][2], None) == "Same Half 1 Own text 3"  # without its tree a page keeps them all
     assert pages.extract(df.limit(0)).count() == 0
