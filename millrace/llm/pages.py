@@ -14,8 +14,9 @@ vary from page to page. Any other name that hints at presentation - legal, relat
 the block less important than `HINTED`, or is too small to tell and the block stands outside an article. A name counts
 only as a whole: `share` and `share-box` do, `share-price` doesn't.
 
-Each page is parsed once; its blocks, as text and 64-bit digests of their paths, are kept as a table. Trees and pages meet
-on digests, a row for each node of a page.
+Each page is parsed once; its blocks, as text and 64-bit digests of their paths, are kept as a table. What the trees have to
+say - nodes that are not important, and those whose names hint at presentation - goes to the pages by host while it is at
+most `SAYS` rows; beyond that it meets them on digests, a row for each node of a page.
 
 Blocks end at block elements; white space inside a block becomes one space; blocks are joined by one space.
 Defined cases: null and empty pages and pages without text give an empty text; a null or odd url is a host of its own
@@ -72,6 +73,9 @@ ABSENT = frozenset("no not has with without".split())
 #: anywhere, inside an article, and where its names hint at presentation.
 PAGES, LOW, LOW_INSIDE, HINTED, DAMP = 5, 0.3, 0.08, 0.8, 0.9
 
+#: Nodes that are broadcast to the pages, by host; more are joined page by page.
+SAYS = 200_000
+
 WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 OUT, STRICT, HINT, FREE = 3, 2, 1, 0  # ranks: by tag; by name for good; by name unless the tree says otherwise; not at all
 
@@ -282,14 +286,14 @@ def host_of(url: F.Column) -> F.Column:
 
 
 BLOCK = "struct<node: long, rank: int, inside: boolean, text: string>"
-NODE = "struct<node: long, digest: long, path: array<long>>"
+NODE = "struct<node: long, digest: long, hint: boolean, path: array<long>>"
 
 
 def parsed(pages: DataFrame, ident: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """The pages as a table: row, page_id, url, host, blocks, and a row for each node that shows text, with a digest of it."""
     rows = pages.select(F.col(ident).alias("page_id"), F.col(url).alias("url"), F.col(source).alias("html")).withColumn("host", host_of(F.col("url")))
     block = pa.list_(pa.struct([("node", pa.int64()), ("rank", pa.int32()), ("inside", pa.bool_()), ("text", pa.string())]))
-    nodes = pa.list_(pa.struct([("node", pa.int64()), ("digest", pa.int64()), ("path", pa.list_(pa.int64()))]))
+    nodes = pa.list_(pa.struct([("node", pa.int64()), ("digest", pa.int64()), ("hint", pa.bool_()), ("path", pa.list_(pa.int64()))]))
 
     @tidy
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,10 +305,11 @@ def parsed(pages: DataFrame, ident: str = "page_id", url: str = "url", source: s
                     found = blocks(page.as_py())
                     texts.append([{"node": b.path[-1] if b.path else 0, "rank": b.rank, "inside": b.inside, "text": b.text} for b in found])
                     digests: dict[tuple[int, ...], xxhash.xxh3_64] = {}
+                    hints = {b.path for b in found if b.rank == HINT}
                     for b in found:
                         if b.path:
                             digests.setdefault(b.path, xxhash.xxh3_64()).update(b.text.encode("utf-8", "replace") + b"\0")
-                    shown.append([{"node": p[-1], "digest": x.intdigest() - (1 << 63), "path": list(p)} for p, x in digests.items()])
+                    shown.append([{"node": p[-1], "digest": x.intdigest() - (1 << 63), "hint": p in hints, "path": list(p)} for p, x in digests.items()])
                 yield pa.record_batch([*batch.columns[:3], pa.array(texts, block), pa.array(shown, nodes)], names=["page_id", "url", "host", "blocks", "nodes"])
 
     kind = rows.schema["page_id"].dataType.simpleString()
@@ -313,17 +318,19 @@ def parsed(pages: DataFrame, ident: str = "page_id", url: str = "url", source: s
 
 
 def style_tree(table: DataFrame) -> DataFrame:
-    """host, node and importance of the nodes that at least PAGES pages show: the least of its own and of all branches above it."""
+    """host, node, importance and hint of the nodes that at least PAGES pages show: the least importance of the node and of all
+    branches above it, and whether a name hints at presentation on some page."""
     seen = table.select("host", F.explode("nodes").alias("n")).select("host", "n.*")
-    each = seen.groupBy("host", "node", "digest").agg(F.count("*").alias("n"), F.first("path").alias("path"))
+    each = seen.groupBy("host", "node", "digest").agg(F.count("*").alias("n"))
     # entropy of the contents: log m - sum(n log n) / m, normalised by log m
-    own = each.groupBy("host", "node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.first("path").alias("path"))
+    own = each.groupBy("host", "node").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
     own = own.withColumn("own", F.when(F.col("m") > 1, 1 - F.col("nlogn") / (F.col("m") * F.log("m"))).otherwise(1.0))
+    own = own.join(seen.groupBy("host", "node").agg(F.first("path").alias("path"), F.max("hint").alias("hint")), ["host", "node"])
     # a branch is as important as its most varied part, damped by the depth at which that lies below it
     up = own.select("host", "m", "own", F.size("path").alias("depth"), F.posexplode("path").alias("k", "branch"))
     branch = up.groupBy("host", "branch").agg(F.max(F.col("own") * F.pow(F.lit(DAMP), F.col("depth") - F.col("k") - 1)).alias("importance"), F.max("m").alias("m")).where(F.col("m") >= PAGES)
-    hung = own.select("host", "node", F.explode("path").alias("branch")).join(branch.select("host", "branch", "importance"), ["host", "branch"])
-    return hung.groupBy("host", "node").agg(F.min("importance").alias("importance"))
+    hung = own.select("host", "node", "hint", F.explode("path").alias("branch")).join(branch.select("host", "branch", "importance"), ["host", "branch"])
+    return hung.groupBy("host", "node").agg(F.min("importance").alias("importance"), F.max("hint").alias("hint"))
 
 
 def chosen(blocks: Column, judged: Column) -> Column:
@@ -343,11 +350,16 @@ def chosen(blocks: Column, judged: Column) -> Column:
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text and n_chars."""
     table = parsed(pages)
-    # only what the tree takes away, or gives back, has to reach the pages
-    main = F.filter("blocks", lambda b: b["rank"] < STRICT)
-    wanted = table.select("row", "host", F.explode(F.array_distinct(F.transform(main, lambda b: F.struct(b["node"].alias("node"), (b["rank"] == HINT).alias("hint"))))).alias("n")).select("row", "host", "n.*")
-    judged = wanted.join(style_tree(table), ["host", "node"]).where((F.col("importance") < LOW) | F.col("hint")).select("row", "node", "importance").distinct()
-    judged = judged.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("node", "importance"))).alias("judged"))
-    whole = table.select("row", "page_id", "url", "blocks").join(judged, "row", "left")
+    says = written(style_tree(table).where((F.col("importance") < LOW) | F.col("hint")))
+    entry = F.struct("node", "importance")
+    whole = table.select("row", "host", "page_id", "url", "blocks")
+    if says.count() <= SAYS:
+        judged = says.groupBy("host").agg(F.map_from_entries(F.collect_list(entry)).alias("judged"))
+        whole = whole.join(F.broadcast(judged), "host", "left")
+    else:
+        main = F.transform(F.filter("blocks", lambda b: b["rank"] < STRICT), lambda b: b["node"])
+        wanted = table.select("row", "host", F.explode(F.array_distinct(main)).alias("node"))
+        judged = wanted.join(says, ["host", "node"]).groupBy("row").agg(F.map_from_entries(F.collect_list(entry)).alias("judged"))
+        whole = whole.join(judged, "row", "left")
     text = whole.select("page_id", "url", chosen(F.col("blocks"), F.coalesce("judged", F.create_map().cast("map<bigint,double>"))).alias("text"))
     return text.withColumn("n_chars", F.char_length("text").cast("long"))

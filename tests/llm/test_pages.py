@@ -170,7 +170,7 @@ def random_page(rnd, host):
     return f"<html><body><div class='{host}'>{rnd.choice(['fixed', str(rnd.random())])}</div>" + (f"<article>{body}</article>" if rnd.random() < 0.3 else body) + "</body></html>"
 
 
-def test_extraction_against_an_independent_version(spark):
+def test_extraction_against_an_independent_version(spark, monkeypatch):
     rnd = random.Random(13)
     rows = [(i, f"http://h{i % 6}.example/{i}", random_page(rnd, f"t{i % 6}")) for i in range(150)]
     given = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select(F.col("page_id").cast("int"), "url", "html").collect()]
@@ -178,6 +178,9 @@ def test_extraction_against_an_independent_version(spark):
         got = {r.page_id: (r.text, r.n_chars) for r in pages.extract(spark.createDataFrame(own, "page_id int, url string, html string")).collect()}
         want = by_hand(own)
         assert [got[r[0]] for r in own] == [(w, len(w)) for w in want]
+    monkeypatch.setattr(pages, "SAYS", 3)  # more than are broadcast
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
+    assert [got[r[0]] for r in rows] == by_hand(rows)
     without = [pages.main_text(r[2]) for r in rows]
     assert sum(a != b for a, b in zip(without, by_hand(rows), strict=True)) > 20  # the tree decides
 
