@@ -1,7 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
 The tokens of every cell (source, language, topic) are counted; raking scales the cells again and again until the
-marginals of source, language and topic have the target shares. The sample is to have `keep` of all tokens in this
+marginals of source, language and topic have the target shares. A cell's weight is its natural share times a factor for each
+of its categories, and a step of raking is one sum per category; factors of few categories are literals, those of
+many a table. The sample is to have `keep` of all tokens in this
 mixture: a cell's documents are kept with the probability that gives it its share, or with 1 where it has too few tokens
 for that (`residuals` tells by how much marginals then fall short). A document is kept if the hash of its id lies below its
 cell's probability: the draw needs no order, is the same in every run and on every cluster, and each document is
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import WORD, written
 
 ROUNDS, POWER, KEEP = 8, 0.8, 0.5
+#: Categories of a marginal up to which its factors are literals of the plan; more are a table.
+CATEGORIES = 2_000
 MARGINALS = ("source_", "lang_", "topic_")
 
 
@@ -42,28 +46,52 @@ def draw(ident: Column) -> Column:
     return F.conv(F.substring(F.md5(ident.cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
+def looked_up(cells: DataFrame, m: str, values: dict[str, float] | DataFrame, name: str) -> DataFrame:
+    """Adds the value of each row's category of a marginal: out of a literal, or of a table (m, name); 0 where there is none."""
+    if isinstance(values, DataFrame):
+        return cells.join(values.select(m, F.col("value").alias(name)), m, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    literal = F.map_from_arrays(F.lit(list(values)).cast("array<string>"), F.lit(list(values.values())).cast("array<double>"))
+    return cells.withColumn(name, F.coalesce(literal[F.col(m)], F.lit(0.0)))
+
+
+def by_category(rows: DataFrame, m: str, value: Column) -> dict[str, float] | DataFrame:
+    """A value for each category: a dict of at most CATEGORIES, or a table."""
+    values = rows.select(m, value.cast("double").alias("value"))
+    few = values.limit(CATEGORIES + 1).collect()
+    return {r[m]: r.value for r in few} if len(few) <= CATEGORIES else written(values)
+
+
 def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = POWER, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
     """Per cell: tokens, w, its share of the mixture, and p, the probability of its documents.
 
-    cells: source_, lang_, topic_, tokens - one row a cell. Shares are summed over windows of one category each,
-    so only categories, not documents, meet; totals are single numbers.
+    cells: source_, lang_, topic_, tokens - one row a cell, written, as each step reads them again. Sums of a category
+    are combined where the cells are, so neither cells nor documents meet.
     """
     fitted = cells.where("tokens > 0")
     total = float(fitted.agg(F.sum("tokens")).first()[0] or 1)
-    fitted = fitted.withColumn("w", F.col("tokens") / total)
+    goal: dict[str, dict[str, float] | DataFrame] = {}
+    factor: dict[str, dict[str, float] | DataFrame] = {}
     for m in MARGINALS:
+        own = fitted.groupBy(m).agg(F.sum("tokens").alias("own"))
         if targets and m.rstrip("_") in targets:
-            given = targets[m.rstrip("_")]
-            share = F.coalesce(F.create_map(*(F.lit(x) for kv in given.items() for x in (kv[0], float(kv[1]))))[F.col(m)], F.lit(0.0))
+            goal[m] = {k: float(v) for k, v in targets[m.rstrip("_")].items()}
         else:
-            natural = cells.groupBy(m).agg(F.sum("tokens").alias("own")).where("own > 0")
-            norm = natural.agg(F.sum(F.pow(F.col("own") / total, F.lit(power)))).first()[0] or 1.0
-            share = F.pow(F.sum("tokens").over(Window.partitionBy(m)) / total, F.lit(power)) / norm
-        fitted = fitted.withColumn(f"t_{m}", share)
+            norm = own.agg(F.sum(F.pow(F.col("own") / total, F.lit(power)))).first()[0] or 1.0
+            goal[m] = by_category(own, m, F.pow(F.col("own") / total, F.lit(power)) / norm)
+        factor[m] = by_category(own, m, F.lit(1.0))
+
+    def weighed(rows: DataFrame) -> DataFrame:
+        for m in MARGINALS:
+            rows = looked_up(rows, m, factor[m], f"f_{m}")
+        return rows.withColumn("w", F.col("tokens") / total * F.col("f_source_") * F.col("f_lang_") * F.col("f_topic_"))
+
     for _ in range(rounds):
         for m in MARGINALS:
-            got = F.sum("w").over(Window.partitionBy(m))
-            fitted = fitted.withColumn("w", F.when(got > 0, F.col("w") * F.col(f"t_{m}") / got).otherwise(0.0))
+            got = weighed(fitted).groupBy(m).agg(F.sum("w").alias("got"), F.max(f"f_{m}").alias("f"))
+            factor[m] = by_category(looked_up(got, m, goal[m], "t"), m, F.when(F.col("got") > 0, F.col("f") * F.col("t") / F.col("got")).otherwise(0.0))
+    fitted = weighed(fitted)
+    for m in MARGINALS:
+        fitted = looked_up(fitted, m, goal[m], f"t_{m}")
     return fitted.select(*MARGINALS, "tokens", *(f"t_{m}" for m in MARGINALS), "w", F.least(F.lit(1.0), keep * total * F.col("w") / F.col("tokens")).alias("p"))
 
 
