@@ -10,8 +10,9 @@ new phrase starts there, so that numpy walks all segments of a batch of whole te
 symbols are parsed from a fresh start first; then each is parsed on from where the one before has ended, until
 both parses are in one state at one place. So the phrases are those of the whole text.
 
-What is learned is bounded: whole texts of at most `per_language` labelled documents of each language, taken in the
-order of hashes of their ids until they have `symbols` bytes; texts of over `longest` characters come last.
+What is learned is bounded, in documents and in bytes: texts of at most `per_language` labelled documents of each language,
+taken in the order of hashes of their ids until they have `symbols` bytes; texts of over `longest` characters come last, and
+of a text that is longer than `symbols` characters so many are learned. What is predicted is always the whole text.
 
 Defined cases: texts that are null or have no letter get `und` with score 0; ties go to the language with
 more labelled documents, then to the smaller name; without any labelled row everything is `und`; documents without an
@@ -191,22 +192,23 @@ _parsers: dict[tuple, CrossParser] = {}
 def labelled_samples(docs: DataFrame, ident: str = "doc_id", per_language: int = 32, symbols: int = 32_000, longest: int = 6_000) -> dict[str, bytes]:
     """A bounded sample of labelled text for each language, most documents first. No text of the held-out fold is in it."""
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    order = F.struct((F.length("text") > longest).cast("int").alias("long"), F.xxhash64(F.col(ident), F.lit(7)).alias("draw"), F.col(ident).alias("id"))
+    order = F.struct((F.length("text") > longest).cast("int").alias("long"), F.xxhash64(F.col(ident), F.lit(7)).alias("draw"), F.col(ident).alias("id"), F.xxhash64("text").alias("version"))
     # the best rows of each part of the table, then of all; only these have their texts read again
-    first = learn.select("lang", order.alias("o")).withColumn("part", F.spark_partition_id())
-    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("o"))
-    chosen = first.withColumn("r", rank("lang", "part")).where(F.col("r") <= per_language).withColumn("r", rank("lang")).where(F.col("r") <= per_language).select("lang", "o", "r")
+    first = learn.select("lang", order.alias("o"), F.octet_length("text").alias("size")).withColumn("part", F.spark_partition_id())
+    rank = lambda *by: F.dense_rank().over(Window.partitionBy(*by).orderBy("o"))
+    first = first.withColumn("r", rank("lang", "part")).where(F.col("r") <= per_language).select("lang", "o", "size").distinct()
+    chosen = first.withColumn("r", rank("lang")).where(F.col("r") <= per_language)
     sizes = {r.lang: r["count"] for r in learn.groupBy("lang").count().collect()}
     if not sizes:
         return {}
-    rows = learn.select("lang", order.alias("o"), "text").join(F.broadcast(chosen), ["lang", "o"]).dropDuplicates(["lang", "o"]).collect()
+    # each language's texts in turn while there is room; of one that is longer than that, as much as the room is
+    fits = chosen.withColumn("before", F.coalesce(F.sum("size").over(Window.partitionBy("lang").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < symbols)
+    part = F.substring("text", 1, symbols)
+    rows = learn.select("lang", order.alias("o"), part.alias("text")).join(F.broadcast(fits.select("lang", "o", "r")), ["lang", "o"]).dropDuplicates(["lang", "o"]).collect()
     found: dict[str, bytes] = {}
     for lang in sorted(sizes, key=lambda x: (-sizes[x], x)):
-        texts: list[bytes] = []
-        for r in sorted((r for r in rows if r.lang == lang), key=lambda r: r.r):
-            if sum(map(len, texts)) < symbols:
-                texts.append(r.text.lower().encode("utf-8", "replace"))
-        found[lang] = b" ".join(texts)
+        texts = [r.text.lower().encode("utf-8", "replace") for r in sorted((r for r in rows if r.lang == lang), key=lambda r: r.r)]
+        found[lang] = b" ".join(texts)[: 2 * symbols]
     return found
 
 

@@ -6,11 +6,14 @@ sum_{i<j} <v_i, v_j> x_i x_j = (|sum v_i x_i|^2 - sum |v_i|^2 x_i^2) / 2.
 
 Words are lower-cased and hashed into `BUCKETS`; statistics of the text's structure (shares of letters, digits and
 signs, repetition of words and lines) and metadata (its size in bytes, words and lines) enter as one-hot bins.
-The model is fitted on a bounded sample of labelled rows, `rows` of the smallest hashes of their ids; scoring
-covers all documents in batches. Labels, language, source and id are no features.
+The model is fitted on a bounded sample of labelled rows, at most `rows` of the smallest hashes of their ids and labels
+with at most `size` bytes of text (`common.labelled_sample`); scoring covers all documents in batches. Labels, language,
+source and id are no features.
 
 Defined cases: null, empty and blank texts get the score of their structure features; an id that is labelled more
-than once counts with each label; without labels every score is 0.5; repeated rows are returned each.
+than once counts with each label; a null id is in no fold and learned from by no label; without labels every score is
+0.5; repeated rows are returned each and learned from once; very long texts are whole; equal scores stay equal; an empty table
+gives no rows; other columns are not read, whatever their names.
 """
 
 from collections.abc import Iterator
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold_of
+from millrace.llm.common import fold_of, labelled_sample
 
 BUCKETS, BINS, RANK = 1 << 14, 24, 8
 N_STATS = 14
@@ -108,29 +111,22 @@ class FactorisationMachine:
         return self
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 4000, ident: str = "doc_id") -> FactorisationMachine | None:
-    """A model from at most about `rows` labelled documents."""
-    known = labels.where(F.col(label).isNotNull() & F.col(ident).isNotNull()).select(F.col(ident), F.col(label).cast("double").alias("y"))
-    n = known.count()
-    if not n:
-        return None
-    draw = F.pmod(F.xxhash64(F.col(ident), F.lit(3)), F.lit(1 << 30))
-    chosen = known.where(draw < int(min(1.0, rows / n) * (1 << 30))).limit(2 * rows)  # the limit is a proven bound for the broadcast
-    joined = docs.select(F.col(ident), F.col("text")).join(F.broadcast(chosen), ident)
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = 4000, size: int = 32_000_000, ident: str = "doc_id", text: str = "text") -> FactorisationMachine | None:
+    """A model from at most `rows` labelled rows and `size` bytes of their texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [features(t) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(2), pa.array([i.astype(np.int32) for i, _ in got], pa.list_(pa.int32())), pa.array([x for _, x in got], pa.list_(pa.float32()))], names=[ident, "y", "ids", "x"])
+            got = [features(t) for t in b.column(0).to_pylist()]
+            yield pa.record_batch([b.column(1), pa.array([i.astype(np.int32) for i, _ in got], pa.list_(pa.int32())), pa.array([x for _, x in got], pa.list_(pa.float32()))], names=["y", "ids", "x"])
 
-    kind = docs.schema[ident].dataType.simpleString()
-    sample = joined.select(ident, "text", "y").mapInArrow(work, f"{ident} {kind}, y double, ids array<int>, x array<float>").toArrow()
+    chosen = labelled_sample(docs, labels, label, rows, size, ident, text).select("text", "y")
+    sample = chosen.mapInArrow(work, "y double, ids array<int>, x array<float>").toArrow()
     if not sample.num_rows:
         return None
-    sample = sample.sort_by(ident)
     values = lambda name, kind: [np.asarray(c.values, kind) for c in sample.column(name)]
-    pairs = list(zip(values("ids", np.int64), values("x", np.float32), strict=True))
-    return FactorisationMachine().fit(pairs, np.asarray(sample.column("y"), np.float64))
+    found = list(zip(values("ids", np.int64), values("x", np.float32), sample.column("y").to_pylist(), strict=True))
+    found.sort(key=lambda f: (f[2], f[0].tobytes(), f[1].tobytes()))  # neither order nor parts of the tables matter
+    return FactorisationMachine().fit([f[:2] for f in found], np.array([f[2] for f in found]))
 
 
 def score(docs: DataFrame, model: FactorisationMachine | None, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -156,4 +152,5 @@ def score(docs: DataFrame, model: FactorisationMachine | None, ident: str = "doc
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, ident: str = "doc_id") -> DataFrame:
     """Scores of all documents, learned from the labels outside the held-out fold."""
     model = fit(docs, labels.where(fold_of(ident, folds) != held), ident=ident)
-    return score(docs, model, ident).select(ident, (fold_of(ident, folds) == held).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    held_out = F.coalesce(fold_of(ident, folds) == held, F.lit(False)).alias("held_out")
+    return score(docs, model, ident).select(ident, held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

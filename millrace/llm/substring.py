@@ -167,7 +167,7 @@ class FingerprintIndex:
 
     def write_run(self, entries: DataFrame, tier: int) -> str:
         path = f"{self.folder}/run-{tier}-{uuid.uuid4().hex}"
-        entries.repartition("key").sortWithinPartitions("key", "s1", "s2").write.parquet(path)
+        entries.repartition("key", "s1").sortWithinPartitions("key", "s1", "s2").write.parquet(path)  # the spans of a hot key are many files
         return path
 
     def keep_texts(self, docs: DataFrame) -> None:

@@ -176,3 +176,69 @@ def test_toxicity_on_held_out_documents(spark):
     toxic, clean = [r.score for r in got if r.toxic], [r.score for r in got if not r.toxic]
     assert len(toxic) > 60 and np.mean([a > b for a in toxic for b in clean]) > 0.95
     assert np.mean(np.array(toxic) >= 0.5) > 0.85 and np.mean(np.array(clean) >= 0.5) < 0.01
+
+
+def test_quality_of_odd_rows(spark):
+    from millrace.llm import quality
+
+    rnd = random.Random(2)
+    good = lambda: " ".join(rnd.choice(["field", "river", "window", "letter", "garden"]) for _ in range(30))
+    docs = [(i, good() if i % 2 else "BUY NOW!! " * 15) for i in range(200)] + [(None, good()), (None, None), (500, "word " * 200_000), (501, ""), (501, ""), (7, good()), (3, good())]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit("x")).withColumn("y", F.lit(1)).withColumn("version", F.lit(1))
+    lab = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(3, 0), (None, 1)], "doc_id long, quality int")
+    got = quality.classify(d, lab).collect()
+    assert len(got) == len(docs) and all(r.held_out is not None and 0 <= r.score <= 1 for r in got)
+    assert sum(r.score for r in got if r.doc_id == 501) == 2 * next(r.score for r in got if r.doc_id == 501)
+    again = quality.classify(d.repartition(7), lab.repartition(4)).collect()
+    assert sorted((str(r.doc_id), r.score) for r in got) == sorted((str(r.doc_id), r.score) for r in again)
+    assert quality.classify(d.limit(0), lab).count() == 0
+
+
+def test_the_fit_against_plain_loops():
+    """One epoch of the factorisation machine, pair by pair and weight by weight."""
+    from millrace.llm.quality import FactorisationMachine
+
+    rnd = np.random.default_rng(4)
+    docs = [(np.sort(rnd.choice(8, 3, replace=False)).astype(np.int64), rnd.random(3).astype(np.float32)) for _ in range(12)]
+    y = rnd.integers(0, 2, 12).astype(float)
+    fast = FactorisationMachine(8, 2).fit(docs, y, epochs=2, batch=4)
+    slow = FactorisationMachine(8, 2)
+    w, v = slow.w.astype(float).copy(), slow.v.astype(float).copy()
+    bias = math.log((y.sum() + 1) / (len(y) + 2) / (1 - (y.sum() + 1) / (len(y) + 2)))
+    seen_w, seen_v = np.full(8, 1e-6), np.full((8, 2), 1e-6)
+    order_of = np.random.default_rng(9)
+    for _ in range(2):
+        order = order_of.permutation(12)
+        for at in range(0, 12, 4):
+            gw, gv, gb, touched = np.zeros(8), np.zeros((8, 2)), 0.0, set()
+            for i in order[at : at + 4]:
+                ids, x = docs[i]
+                z = bias + sum(w[a] * p for a, p in zip(ids, x, strict=True)) + sum(float(v[ids[k]] @ v[ids[j]]) * x[k] * x[j] for k in range(3) for j in range(k))
+                off = (1 / (1 + math.exp(-z)) - y[i]) / 4
+                gb += off
+                for k, a in enumerate(ids):
+                    touched.add(int(a))
+                    gw[a] += off * x[k]
+                    gv[a] += off * x[k] * sum((v[ids[j]] * x[j] for j in range(3) if j != k), np.zeros(2))
+            bias -= 0.1 * gb
+            new_w, new_v = w.copy(), v.copy()
+            for a in touched:
+                g = gw[a] + 1e-4 * w[a]
+                seen_w[a] += g * g
+                new_w[a] -= 0.1 * g / math.sqrt(seen_w[a])
+                g = gv[a] + 1e-4 * v[a]
+                seen_v[a] += g * g
+                new_v[a] -= 0.03 * g / np.sqrt(seen_v[a])
+            w, v = new_w, new_v
+    assert np.allclose(fast.w, w, atol=1e-3) and np.allclose(fast.v, v, atol=1e-3) and abs(fast.bias - bias) < 1e-3
+
+
+def test_samples_of_languages_are_bounded_in_bytes(spark):
+    from millrace.llm import langid
+
+    rows = [(i, "word " * 100 + f"number {i}", "en") for i in range(40)] + [(100, "buch " * 200_000, "de"), (101, "livre " * 20, "fr"), (102, "livre " * 20, "fr"), (102, "livre " * 20, "fr"), (103, None, "fr"), (104, "x", None), (None, "mot " * 5, "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("draw", F.lit(1)).withColumn("r", F.lit(1))
+    got = langid.labelled_samples(df, symbols=3_000)
+    assert list(got) == ["en", "fr", "de"] and all(0 < len(s) <= 6_000 for s in got.values()) and len(got["en"]) >= 3_000
+    assert got == langid.labelled_samples(df.repartition(5), symbols=3_000)
+    assert {r.lang_pred for r in langid.identify(df, got).where("doc_id < 40").collect()} == {"en"} and langid.labelled_samples(df.limit(0)) == {}
