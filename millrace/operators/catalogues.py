@@ -95,21 +95,23 @@ SUFFIXES = ("_city", "_province", "-area")
 
 def canonical_key(text: Column) -> Column:
     """Compatibility forms and case folded, trimmed, an administrative ending cut."""
-    t = F.regexp_replace(F.lower(F.trim(F.translate(text, "＿－　", "_- "))), r"\s+", "_")
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F))) + "　"
+    t = F.regexp_replace(F.lower(F.trim(F.translate(text, wide, "".join(map(chr, range(0x21, 0x7F))) + " "))), r"\s+", "_")
     return F.regexp_replace(t, "(" + "|".join(SUFFIXES) + ")$", "")
 
 
 @catalog.query("canonical_filters", """
-WITH asked AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN ' NATION 3 ' WHEN 1 THEN 'nation_4_city' WHEN 2 THEN 'asia' ELSE 'nowhere' END AS raw FROM customer),
-k AS (SELECT c_custkey, regexp_replace(regexp_replace(lower(trim(raw)), '\\s+', '_', 'g'), '(_city|_province|-area)$', '') AS key FROM asked),
-al AS (SELECT lower(n_name) AS key, n_nationkey FROM nation UNION ALL SELECT lower(r_name), n_nationkey FROM region JOIN nation ON n_regionkey = r_regionkey)
-SELECT k.c_custkey, string_agg(al.n_nationkey::VARCHAR, ',' ORDER BY al.n_nationkey) AS cities FROM k JOIN al USING (key) GROUP BY k.c_custkey""")
+WITH asked AS (SELECT c_custkey, c_mktsegment AS s, n_nationkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment <> 'MACHINERY')
+SELECT c_custkey, CASE WHEN s = 'BUILDING' THEN (SELECT string_agg(n.n_nationkey::VARCHAR, ',' ORDER BY n.n_nationkey) FROM nation n WHERE n.n_regionkey = asked.n_regionkey) ELSE n_nationkey::VARCHAR END AS cities FROM asked""")
 def canonical_filters(spark: SparkSession, d: str) -> DataFrame:
-    """What was asked for as canonical places: a city by its aliases, a province as the set of its cities."""
-    k = F.col("c_custkey") % 4
-    asked = load(spark, d, "customer").select("c_custkey", canonical_key(F.when(k == 0, " NATION 3 ").when(k == 1, "nation_4_city").when(k == 2, "asia").otherwise("nowhere")).alias("key"))
-    n, r = load(spark, d, "nation"), load(spark, d, "region")
-    alias = n.select(F.lower("n_name").alias("key"), "n_nationkey").unionByName(n.join(r, n.n_regionkey == r.r_regionkey).select(F.lower("r_name").alias("key"), "n_nationkey"))
+    """What customers ask for as canonical places: their city in several spellings, or their province as the set of its cities."""
+    n, r = load(spark, d, "nation"), load(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    wide = lambda t: F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ_", "ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ＿")
+    c = load(spark, d, "customer").join(n.join(r, "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"))
+    s = F.col("c_mktsegment")
+    raw = F.when(s == "AUTOMOBILE", F.concat(F.lit("  "), F.initcap(F.replace("n_name", F.lit("_"), F.lit(" "))), F.lit(" "))).when(s == "BUILDING", F.concat(F.lower("r_name"), F.lit("_province"))).when(s == "FURNITURE", wide(F.col("n_name"))).when(s == "HOUSEHOLD", F.concat(F.lower("n_name"), F.lit(" city"))).otherwise(F.concat("n_name", F.lit("?")))
+    asked = c.select("c_custkey", canonical_key(raw).alias("key"))
+    alias = n.select(canonical_key(F.col("n_name")).alias("key"), "n_nationkey").unionByName(n.join(r, "n_regionkey").select(canonical_key(F.col("r_name")).alias("key"), "n_nationkey"))
     places = alias.groupBy("key").agg(F.array_sort(F.collect_set("n_nationkey")).alias("keys"))  # a key's cities, a dimension
     return asked.join(places, "key").select("c_custkey", F.concat_ws(",", F.transform("keys", lambda x: x.cast("string"))).alias("cities"))
 
@@ -123,13 +125,16 @@ def period(start: Column, end: Column, days: int = 30, tz: str = "Asia/Shanghai"
 
 
 @catalog.query("reporting_period", """
-WITH q AS (SELECT n_nationkey, CASE WHEN n_nationkey % 4 IN (1, 3) THEN DATE '2024-01-10' END AS f, CASE WHEN n_nationkey % 4 >= 2 THEN DATE '2024-01-20' END AS t FROM nation),
-p AS (SELECT n_nationkey, f, COALESCE((t + 1)::TIMESTAMP - INTERVAL 8 HOUR, TIMESTAMP '2024-01-31') AS stop FROM q)
-SELECT n_nationkey, COALESCE(f::TIMESTAMP - INTERVAL 8 HOUR, stop - INTERVAL 30 DAY) AS start, stop FROM p""")
+WITH q AS (SELECT c_custkey, CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'BUILDING') THEN min(o_orderdate) END AS f, CASE WHEN c_mktsegment IN ('AUTOMOBILE', 'FURNITURE') THEN max(o_orderdate) END AS t FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment),
+p AS (SELECT c_custkey, f, COALESCE(date_trunc('day', t) + INTERVAL 1 DAY - INTERVAL 8 HOUR, TIMESTAMP '2024-01-31') AS stop FROM q)
+SELECT c_custkey, COALESCE(date_trunc('day', f) - INTERVAL 8 HOUR, stop - INTERVAL 30 DAY)::TIMESTAMP AS start, stop::TIMESTAMP AS stop FROM p""")
 def reporting_period(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("n_nationkey") % 4
-    start, stop = period(F.when(k.isin(1, 3), "2024-01-10"), F.when(k >= 2, "2024-01-20"))
-    return load(spark, d, "nation").select("n_nationkey", start.cast("timestamp_ntz").alias("start"), stop.cast("timestamp_ntz").alias("stop"))
+    """Periods of customers' orders: both bounds, one of them, or none are given."""
+    s = F.col("c_mktsegment")
+    o = load(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").alias("f"), F.max("o_orderdate").alias("t"))
+    day = lambda c, *names: F.when(s.isin(*names), F.date_format(c, "yyyy-MM-dd"))
+    start, stop = period(day("f", "AUTOMOBILE", "BUILDING"), day("t", "AUTOMOBILE", "FURNITURE"))
+    return load(spark, d, "customer").join(o, "c_custkey").select("c_custkey", start.cast("timestamp_ntz").alias("start"), stop.cast("timestamp_ntz").alias("stop"))
 
 
 @catalog.query("stage_depth", f"SELECT event_id, ({DEPTH_SQL.format('event_type')})::INTEGER AS depth FROM events")
@@ -191,12 +196,12 @@ def applicable(items: DataFrame, offers: DataFrame) -> DataFrame:
     return all_levels.join(best, ["item", "level"])
 
 
-OFFERS_SQL = "o AS (SELECT s_suppkey AS offer, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey END AS item, CASE WHEN s_suppkey % 3 = 1 THEN 'Brand#' || (s_suppkey % 20) END AS brand FROM supplier WHERE s_suppkey < 60 AND s_suppkey % 3 < 2 OR s_suppkey IN (2, 5))"
+OFFERS_SQL = "o AS (SELECT s_suppkey AS offer, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey END AS item, CASE WHEN s_suppkey % 3 = 1 THEN 'Brand#' || (s_suppkey % 20) END AS brand FROM supplier WHERE s_suppkey % 3 < 2 OR s_suppkey IN (2, 5))"
 
 
 def offers(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("s_suppkey")
-    s = load(spark, d, "supplier").where(((k < 60) & (k % 3 < 2)) | k.isin(2, 5))
+    s = load(spark, d, "supplier").where((k % 3 < 2) | k.isin(2, 5))
     return s.select(k.alias("offer"), F.when(k % 3 == 0, k).alias("item"), F.when(k % 3 == 1, F.concat(F.lit("Brand#"), (k % 20).cast("string"))).alias("brand"))
 
 
@@ -243,12 +248,11 @@ def answer_fact(spark: SparkSession, d: str) -> DataFrame:
 
 
 @catalog.query("validity_bounds", """
-WITH r AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '2024-02-10' WHEN 1 THEN '2024-01-30T12:00:00Z' WHEN 2 THEN '' ELSE 'soon' END AS raw FROM orders)
-SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN TIMESTAMP '2024-02-10' - INTERVAL 8 HOUR WHEN 1 THEN TIMESTAMP '2024-01-30 12:00' END AS start, CASE o_orderkey % 4 WHEN 0 THEN TIMESTAMP '2024-02-11' - INTERVAL 8 HOUR WHEN 1 THEN TIMESTAMP '2024-01-30 12:00' END AS stop, o_orderkey % 4 < 3 AS valid FROM r""")
+SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN o_orderdate - INTERVAL 8 HOUR WHEN 'O' THEN o_orderdate + INTERVAL 12 HOUR END AS start, CASE o_orderstatus WHEN 'F' THEN o_orderdate + INTERVAL 16 HOUR WHEN 'O' THEN o_orderdate + INTERVAL 12 HOUR END AS stop, o_orderstatus <> 'P' OR o_orderpriority < '3' AS valid FROM orders""")
 def validity_bounds(spark: SparkSession, d: str, tz: str = "Asia/Shanghai") -> DataFrame:
     """A bound as an instant or as a local day, which begins and ends with the day; empty is no bound, else it is invalid."""
-    k = F.col("o_orderkey") % 4
-    raw = F.when(k == 0, "2024-02-10").when(k == 1, "2024-01-30T12:00:00Z").when(k == 2, "").otherwise("soon")
+    status, at = F.col("o_orderstatus"), F.col("o_orderdate").cast("timestamp")
+    raw = F.when(status == "F", F.date_format(at, "yyyy-MM-dd")).when(status == "O", F.date_format(at, "yyyy-MM-dd'T'12:00:00'Z'")).when(F.col("o_orderpriority") < "3", "").otherwise(F.concat(F.lit("2001-02-30T"), F.col("o_orderpriority"), F.lit("Z")))
     rows = load(spark, d, "orders").select("o_orderkey", raw.alias("raw"))
     day = F.when(F.col("raw").rlike(r"^\d{4}-\d\d-\d\d$"), F.try_to_timestamp("raw", F.lit("yyyy-MM-dd")))
     instant = F.when(F.col("raw").rlike(r"^\d{4}-\d\d-\d\dT.*Z$"), F.try_to_timestamp("raw"))
@@ -379,10 +383,10 @@ def effective_maxima(spark: SparkSession, d: str) -> DataFrame:
     return w.select("n_nationkey", apportioned(F.col("weight"), ["n_regionkey"], ["n_nationkey"]).alias("maximum"))
 
 
-@catalog.query("config_versions", "WITH v AS (SELECT user_id % 5 AS name, event_id AS version, value AS low, value + (event_id % 3 - 0.5) * 10 AS high FROM events WHERE event_id < 200) SELECT name, version, low, high FROM v WHERE low < high AND high <= 100 QUALIFY ROW_NUMBER() OVER (PARTITION BY name ORDER BY version DESC) = 1")
+@catalog.query("config_versions", "WITH v AS (SELECT user_id % 5 AS name, event_id AS version, value AS low, value + (event_id % 3 - 0.5) * 10 AS high FROM events) SELECT name, version, low, high FROM v WHERE low < high AND high <= 100 QUALIFY ROW_NUMBER() OVER (PARTITION BY name ORDER BY version DESC) = 1")
 def config_versions(spark: SparkSession, d: str) -> DataFrame:
     """The latest version of each configuration whose thresholds ascend and stay in range; others were never in force."""
-    v = load(spark, d, "events").where("event_id < 200").select((F.col("user_id") % 5).alias("name"), F.col("event_id").alias("version"), F.col("value").alias("low"), (F.col("value") + (F.col("event_id") % 3 - F.lit(0.5)) * 10).alias("high"))
+    v = load(spark, d, "events").select((F.col("user_id") % 5).alias("name"), F.col("event_id").alias("version"), F.col("value").alias("low"), (F.col("value") + (F.col("event_id") % 3 - F.lit(0.5)) * 10).alias("high"))
     best = F.max(F.struct("version", "low", "high")).alias("b")
     return v.where("low < high and high <= 100").groupBy("name").agg(best).select("name", "b.version", "b.low", "b.high")
 

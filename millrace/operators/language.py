@@ -1,16 +1,19 @@
 """Expressions in texts: clauses, negation, quotes, amounts, colours, times, places, praise, goals and messages.
 
 Vocabularies and patterns are parameters. Each operator builds columns; the queries apply them to the texts of one
-data folder, or to phrases put together from its keys.
+data folder, or to texts made of its rows, whose SQL then knows what must come out.
 """
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.catalog import Catalog
-from millrace.functions.columns import ascii_bounds, instant_of
+from millrace.functions.columns import count_of
 from millrace.functions.normal import anchored
 from millrace.io import load
+from millrace.operators.calendar import any_time
+from millrace.operators.dictionary import alias_spans
 from millrace.operators.texts import NORM_SQL, norm
 
 catalog = Catalog()
@@ -19,15 +22,6 @@ QUERIES, ORACLE_SQL = catalog.queries, catalog.sql
 NOW = "2024-01-31 10:00:00"
 
 
-def phrases(spark: SparkSession, d: str, texts: tuple[str, ...]) -> DataFrame:
-    """One of the phrases for each customer, by key."""
-    return load(spark, d, "customer").select("c_custkey", F.get(F.array(*map(F.lit, texts)), (F.col("c_custkey") % len(texts)).cast("int")).alias("t"))
-
-
-def phrases_sql(texts: tuple[str, ...]) -> str:
-    return "t AS (SELECT c_custkey, [" + ", ".join("'" + x.replace("'", "''") + "'" for x in texts) + f"][(c_custkey % {len(texts)} + 1)::INTEGER] AS t FROM customer)"
-
-
 # ------------------------------------------------------------------------------------ clauses and quotes
 
 
@@ -71,30 +65,57 @@ def best_quote(spark: SparkSession, d: str, most: int = 400) -> DataFrame:
 
 # ------------------------------------------------------------------------------------ amounts, colours, characters
 
-EMOJI = ("fine 😀😀", "plain", "👍 ok 🚗", "é ü 中文", "😀")
+def pictographs() -> str:
+    """A class of the characters that emoji are made of, from the properties of Unicode; text symbols are left out."""
+    marks = set(map(ord, "©®™‼⁉〰〽"))  # fixed values: signs that are emoji only with a variation selector
+    points = [c for c in range(0xA9, 0x1FB00) if not 0xD800 <= c < 0xE000 and regex.match(r"\p{Extended_Pictographic}", chr(c)) and c not in marks]
+    runs, start = [], points[0]
+    for c, after in zip(points, [*points[1:], 0], strict=True):
+        if after != c + 1:
+            runs.append(f"\\x{{{start:X}}}-\\x{{{c:X}}}")
+            start = after
+    return "".join(runs)
+
 
+def emoji_pattern() -> str:
+    """One emoji as it is seen: a flag, a keycap, or pictographs with variation, skin, tags and joiners as one.
 
-@catalog.query("emoji_count", f"WITH {phrases_sql(EMOJI)} SELECT c_custkey, len(regexp_extract_all(t, '[\\x{{1F300}}-\\x{{1FAFF}}]'))::BIGINT AS n FROM t")
-def emoji_count(spark: SparkSession, d: str) -> DataFrame:
-    return phrases(spark, d, EMOJI).select("c_custkey", F.regexp_count("t", F.lit(r"[\x{1F300}-\x{1FAFF}]")).cast("long").alias("n"))
+    Each part begins with other characters than the one before can go on with, so a text is read in linear time.
+    """
+    one = rf"(?:[{pictographs()}]|[©®™‼⁉〰〽]\x{{FE0F}})\x{{FE0F}}?[\x{{1F3FB}}-\x{{1F3FF}}]?\x{{FE0F}}?(?:[\x{{E0020}}-\x{{E007E}}]+\x{{E007F}})?"
+    return rf"[\x{{1F1E6}}-\x{{1F1FF}}]{{1,2}}|[0-9#*]\x{{FE0F}}?\x{{20E3}}|{one}(?:\x{{200D}}{one})*"
+
+
+def emoji_count(text: Column) -> Column:
+    """How many emoji a text shows."""
+    return F.coalesce(F.regexp_count(text, F.lit(emoji_pattern())), F.lit(0)).cast("long")
+
+
+@catalog.query("emoji_count", "SELECT event_id, (CASE event_type WHEN 'view' THEN 0 WHEN 'error' THEN 2 ELSE 1 END) * (floor(value / 20)::BIGINT + 1) AS n FROM events")
+def emoji_count_query(spark: SparkSession, d: str) -> DataFrame:
+    """Reactions written out of events: flags, families, skins and keycaps count once each, text symbols don't."""
+    shown = {"view": "© 5 é™ ", "click": "👍🏽 ok ", "signup": "👨‍👩‍👧‍👦, ", "purchase": "🇩🇪 ", "error": "❤️1️⃣ "}
+    sign = F.create_map(*(F.lit(x) for kv in shown.items() for x in kv))[F.col("event_type")]
+    text = F.repeat(sign, (F.floor(F.col("value") / 20) + 1).cast("int"))
+    return load(spark, d, "events").select("event_id", emoji_count(text).alias("n"))
 
 
 # ------------------------------------------------------------------------------------ places
 
 
 @catalog.query("place_lookup", """
-WITH a AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'in nation_' || c_nationkey || ' now' WHEN 1 THEN 'ip ' || (SELECT r_name FROM region WHERE r_regionkey = c_custkey % 5) ELSE 'somewhere' END AS t FROM customer),
-x AS (SELECT c_custkey, upper(regexp_extract(t, '(nation_[0-9]+)', 1)) AS city, regexp_extract(t, '^ip (.*)$', 1) AS ip FROM a)
-SELECT c_custkey, n_name AS city, COALESCE(r.r_name, NULLIF(ip, '')) AS province FROM x LEFT JOIN nation ON n_name = city LEFT JOIN region r ON r_regionkey = n_regionkey""")
+SELECT c_custkey, CASE WHEN c_mktsegment IN ('BUILDING', 'FURNITURE') THEN n_name END AS city, CASE WHEN c_mktsegment <> 'MACHINERY' THEN r_name END AS province FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey""")
 def place_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """A stated city with its province, else the province of the address the text came from."""
-    c, r = load(spark, d, "customer"), load(spark, d, "region")
-    k = F.col("c_custkey")
-    c = c.withColumn("r_regionkey", (k % 5).cast("int")).join(r.select("r_regionkey", F.col("r_name").alias("own")), "r_regionkey", "left")
-    t = F.when(k % 3 == 0, F.concat(F.lit("in nation_"), F.col("c_nationkey").cast("string"), F.lit(" now"))).when(k % 3 == 1, F.concat(F.lit("ip "), "own")).otherwise("somewhere")
-    x = c.select("c_custkey", t.alias("t")).select("c_custkey", F.upper(F.regexp_extract("t", "(nation_[0-9]+)", 1)).alias("n_name"), F.nullif(F.regexp_extract("t", "^ip (.*)$", 1), F.lit("")).alias("ip"))
-    places = load(spark, d, "nation").join(r.withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey").select("n_name", F.col("n_name").alias("city"), "r_name")
-    return x.join(places, "n_name", "left").select("c_custkey", "city", F.coalesce("r_name", "ip").alias("province"))
+    """A stated city with its province, else the province of the address that a message came from; out of customers' messages."""
+    n, r = load(spark, d, "nation"), load(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    places = n.join(r, "n_regionkey").select("n_nationkey", "n_name", "r_name")
+    c = load(spark, d, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    s = F.col("c_mktsegment")
+    text = F.when(s.isin("BUILDING", "FURNITURE"), F.concat(F.lit("I am "), "c_name", F.lit(" in "), F.lower(F.replace("n_name", F.lit("_"), F.lit(" "))), F.lit(" now"))).when(s == "MACHINERY", "somewhere").otherwise("hello")
+    sent = c.select("c_custkey", text.alias("text"), F.when(s != "MACHINERY", F.concat(F.lit("IP: "), "r_name")).alias("ip"))
+    found = alias_spans(sent, places.select(F.lit("city").alias("kind"), F.col("n_name").alias("target"), F.col("n_name").alias("alias")))
+    found = found.select("c_custkey", F.get("spans", F.lit(0))["target"].alias("n_name"), F.regexp_extract("ip", "^IP: (.*)$", 1).alias("address"))
+    return found.join(places, "n_name", "left").select("c_custkey", F.col("n_name").alias("city"), F.coalesce("r_name", F.nullif("address", F.lit(""))).alias("province"))
 
 
 @catalog.query("target_area", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) WHEN c_custkey % 3 = 1 THEN c_custkey % 5 = 2 ELSE TRUE END AS inside FROM customer")
@@ -132,13 +153,13 @@ def relevant_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @catalog.query("faq_match", """
-WITH q AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM conversations WHERE role = 'user'), x AS (SELECT conv_id, turn, unnest(w) AS w FROM q), f AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS w FROM benchmark WHERE item_id < 10),
+WITH q AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM conversations WHERE role = 'user'), x AS (SELECT conv_id, turn, unnest(w) AS w FROM q), f AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS w FROM benchmark),
 h AS (SELECT conv_id, turn, item_id, COUNT(*) AS n FROM x JOIN f USING (w) GROUP BY ALL) SELECT conv_id, turn, arg_min(item_id, (-n, item_id)) AS item_id, MAX(n) AS n FROM h WHERE n >= 2 GROUP BY conv_id, turn""")
 def faq_match(spark: SparkSession, d: str) -> DataFrame:
     """The answer that shares most words with a question, two at least."""
     words = lambda t: F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0))).alias("w")
     x = load(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", words("text"))
-    f = load(spark, d, "benchmark").where("item_id < 10").select("item_id", words("text"))
+    f = load(spark, d, "benchmark").select("item_id", words("text"))
     h = x.join(f, "w").groupBy("conv_id", "turn", "item_id").agg(F.count("*").alias("n")).where("n >= 2")
     return h.groupBy("conv_id", "turn").agg(F.min_by("item_id", F.struct(-F.col("n"), "item_id")).alias("item_id"), F.max("n").alias("n"))
 
@@ -154,15 +175,17 @@ def verified_insights(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------------------------ payloads and messages
 
 
-@catalog.query("payload_mapping", """SELECT event_id, COALESCE(json_extract_string(raw, '$.userId'), json_extract_string(raw, '$.user_id'))::BIGINT AS user_id, COALESCE(json_extract_string(raw, '$.likedCount'), json_extract_string(raw, '$.liked_count'), '0') AS likes
-FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"userId": ' || user_id || ', "likedCount": "1.2w"}' WHEN 1 THEN '{"user_id": ' || user_id || ', "liked_count": "7"}' ELSE '{"user_id": ' || user_id || '}' END AS raw FROM events)""")
+@catalog.query("payload_mapping", """SELECT event_id, user_id, CASE event_type WHEN 'view' THEN floor(value * 10000 + 0.5) WHEN 'click' THEN floor(value) WHEN 'signup' THEN floor(value) * 1000 ELSE 0 END::BIGINT AS likes FROM events WHERE event_type <> 'error'
+UNION ALL SELECT event_id, -1, 0 FROM events WHERE event_type = 'error'""")
 def payload_mapping(spark: SparkSession, d: str) -> DataFrame:
-    """Fields by either spelling, with defaults."""
-    k, u = F.col("event_id") % 3, F.col("user_id").cast("string")
-    raw = F.when(k == 0, F.concat(F.lit('{"userId": '), u, F.lit(', "likedCount": "1.2w"}'))).when(k == 1, F.concat(F.lit('{"user_id": '), u, F.lit(', "liked_count": "7"}'))).otherwise(F.concat(F.lit('{"user_id": '), u, F.lit("}")))
-    either = lambda *names: F.coalesce(*(F.get_json_object("raw", f"$.{n}") for n in names))
+    """Results of a search as a provider sends them: fields by either spelling, nested or not, counts in words, defaults."""
+    kind, u, v = F.col("event_type"), F.col("user_id").cast("string"), F.col("value")
+    tell = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    raw = F.when(kind == "view", tell('{"userId": ', u, ', "interactInfo": {"likedCount": "', v.cast("string"), 'w"}}')).when(kind == "click", tell('{"user_id": "', u, '", "liked_count": ', F.floor(v).cast("string"), "}")).when(kind == "signup", tell('{"user": {"userId": ', u, '}, "likedCount": "', F.floor(v).cast("string"), 'k+"}')).when(kind == "purchase", tell('{"user_id": ', u, ', "likedCount": ""}')).otherwise("{}")
+    either = lambda *paths: F.coalesce(*(F.get_json_object("raw", f"$.{p}") for p in paths))
     rows = load(spark, d, "events").select("event_id", raw.alias("raw"))
-    return rows.select("event_id", either("userId", "user_id").cast("long").alias("user_id"), F.coalesce(either("likedCount", "liked_count"), F.lit("0")).alias("likes"))
+    likes = count_of(either("likedCount", "liked_count", "interactInfo.likedCount"))
+    return rows.select("event_id", F.coalesce(either("userId", "user_id", "user.userId").try_cast("long"), F.lit(-1)).alias("user_id"), F.coalesce(likes, F.lit(0)).alias("likes"))
 
 
 @catalog.query("embedded_json", """SELECT event_id, CAST(json_extract(regexp_extract('Sure, here it is: ' || props || ' Anything else?', '\\{.*\\}'), '$.k') AS BIGINT) AS k FROM events WHERE event_id % 2 = 0""")
@@ -172,11 +195,14 @@ def embedded_json(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").where("event_id % 2 = 0").select("event_id", F.get_json_object(F.regexp_extract(said, r"(?s)\{.*\}", 0), "$.k").cast("long").alias("k"))
 
 
-@catalog.query("notifications", "SELECT event_id, CASE event_type WHEN 'view' THEN 'like' WHEN 'click' THEN 'comment' WHEN 'signup' THEN 'follow' ELSE 'other' END AS kind, epoch_ms(1706664600000 + event_id * 1000) AS seen_at FROM events")
+@catalog.query("notifications", "SELECT event_id, CASE event_type WHEN 'view' THEN 'like' WHEN 'click' THEN 'comment' WHEN 'signup' THEN 'follow' ELSE 'other' END AS kind, CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'click' THEN date_trunc('millisecond', ts) ELSE date_trunc('second', ts) END AS seen_at FROM events")
 def notifications(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("event_type") == "view", "like").when(F.col("event_type") == "click", "comment").when(F.col("event_type") == "signup", "follow").otherwise("other")
-    raw = F.when(F.col("event_id") % 2 == 0, F.lit(1_706_664_600) + F.col("event_id")).otherwise(F.lit(1_706_664_600_000) + F.col("event_id") * 1000)
-    return load(spark, d, "events").select("event_id", kind.alias("kind"), instant_of(raw).cast("timestamp_ntz").alias("seen_at"))
+    """Notifications by their wording, with times as seconds, milliseconds, digits or ISO text; what is no time is null."""
+    kind, at = F.col("event_type"), F.col("ts").cast("timestamp")
+    title = F.create_map(*(F.lit(x) for kv in (("view", "liked your note"), ("click", "commented: how much?"), ("signup", "started following you"), ("purchase", "mentioned you"), ("error", "")) for x in kv))[kind]
+    raw = F.when(kind == "view", F.unix_seconds(at).cast("string")).when(kind == "click", F.unix_millis(at).cast("string")).when(kind == "signup", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ssXXX")).when(kind == "purchase", F.date_format(F.from_utc_timestamp(at, "Asia/Shanghai"), "yyyyMMddHHmmss")).otherwise("just now")
+    told = F.when(title.contains("liked"), "like").when(title.contains("comment"), "comment").when(title.contains("follow"), "follow").otherwise("other")
+    return load(spark, d, "events").select("event_id", told.alias("kind"), any_time(raw).cast("timestamp_ntz").alias("seen_at"))
 
 
 @catalog.query("message_counts", """

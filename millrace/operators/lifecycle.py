@@ -298,13 +298,26 @@ def near_pairs(items: DataFrame, least: float, ident: str, text: str) -> DataFra
     return full.select("a", "b", half_up(jaccard(F.col("ga"), F.col("gb")), 4).alias("sim")).where(F.col("sim") >= least)
 
 
-@catalog.query("near_dup_pairs", r"""
-WITH m AS (SELECT conv_id * 1000 + turn AS id, list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) AS g FROM (SELECT conv_id, turn, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS t FROM conversations WHERE role = 'user') WHERE length(t) >= 2),
-p AS (SELECT a.id AS a, b.id AS b, FLOOR(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g)))::DOUBLE * 10000 + 0.5) / 10000 AS sim FROM m a JOIN m b ON a.id < b.id AND LEAST(len(a.g), len(b.g)) >= 0.85 * GREATEST(len(a.g), len(b.g)))
-SELECT a, b, sim FROM p WHERE sim >= 0.85""")
+def near_classes(items: DataFrame, least: float, ident: str, text: str) -> DataFrame:
+    """A row for each text: id, class, the smallest id of the texts with the same bigrams, links, how many other classes are
+    near it, and best, the similarity of the nearest one or 0. Only representatives meet, so copies make no pairs."""
+    g = items.select(F.col(ident).alias("id"), F.col(text).alias("text"), F.md5(F.concat_ws("\x00", F.array_sort(char_ngrams(F.col(text))))).alias("set"))
+    reps = g.groupBy("set").agg(F.min(F.struct("id", "text")).alias("r")).select("set", F.col("r.id").alias("class"), F.col("r.text").alias("text"))
+    pairs = near_pairs(reps, least, "class", "text")
+    ends = pairs.select("a", "sim").unionByName(pairs.select(F.col("b").alias("a"), "sim")).groupBy(F.col("a").alias("class")).agg(F.count("*").alias("links"), F.max("sim").alias("best"))
+    return g.join(reps.select("set", "class"), "set").join(ends, "class", "left").select("id", "class", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("best", F.lit(0.0)).alias("best"))
+
+
+_TURNS = r"""m AS (SELECT id, list_sort(list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2)))) AS g FROM (SELECT conv_id * 1000 + turn AS id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS t FROM conversations) WHERE length(t) >= 2),
+c AS (SELECT min(id) AS class, g FROM m GROUP BY g), p AS (SELECT a.class AS a, b.class AS b, FLOOR(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE * 10000 + 0.5) / 10000 AS sim FROM c a JOIN c b ON a.class < b.class AND LEAST(len(a.g), len(b.g)) >= 0.8 * GREATEST(len(a.g), len(b.g)))"""
+
+
+@catalog.query("near_dup_pairs", f"""WITH {_TURNS}, q AS (SELECT * FROM p WHERE sim >= 0.8), e AS (SELECT class, count(*) AS links, max(sim) AS best FROM (SELECT a AS class, sim FROM q UNION ALL SELECT b, sim FROM q) GROUP BY class)
+SELECT m.id, c.class, coalesce(links, 0) AS links, coalesce(best, 0.0) AS best FROM m JOIN c USING (g) LEFT JOIN e ON e.class = c.class""")
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    turns = load(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text").where(F.char_length(F.regexp_replace("text", r"[^\p{L}\p{N}]", "")) >= 2)
-    return near_pairs(turns, 0.85, "id", "text")
+    """All turns of all conversations: copies as classes, and links between classes that are near each other."""
+    turns = load(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text").where(F.char_length(F.regexp_replace("text", r"[^\p{L}\p{N}]", "")) >= 2)
+    return near_classes(turns, 0.8, "id", "text")
 
 
 @catalog.query("copy_check", r"""

@@ -108,10 +108,11 @@ def text_search_or_semi(spark: SparkSession, d: str) -> DataFrame:
     return p.join(hits, "p_partkey", "left").where(named | F.col("hit").isNotNull()).select("p_partkey", "p_name")
 
 
-@catalog.query("array_containment", "SELECT user_id FROM events GROUP BY user_id HAVING list_contains(list(DISTINCT event_type), 'purchase') AND NOT list_contains(list(DISTINCT event_type), 'error')")
+@catalog.query("array_containment", "SELECT user_id, ts::DATE::VARCHAR AS day FROM events GROUP BY 1, 2 HAVING list_contains(list(DISTINCT event_type), 'purchase') AND NOT list_contains(list(DISTINCT event_type), 'error')")
 def array_containment(spark: SparkSession, d: str) -> DataFrame:
-    kinds = load(spark, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("kinds"))
-    return kinds.where(F.array_contains("kinds", "purchase") & ~F.array_contains("kinds", "error")).select("user_id")
+    """Users and days whose kinds of events have a purchase and no error among them."""
+    kinds = load(spark, d, "events").groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.collect_set("event_type").alias("kinds"))
+    return kinds.where(F.array_contains("kinds", "purchase") & ~F.array_contains("kinds", "error")).select("user_id", "day")
 
 
 @catalog.query("freshness_anti", f"""
@@ -499,7 +500,8 @@ def explore_exploit_topk(spark: SparkSession, d: str, slots: int = 12) -> DataFr
     """Slots in blocks of four: three for the best known, one for the best that has hardly been tried."""
     n = load(spark, d, "lineitem").where("l_quantity > 49.5").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("runs"), F.round(F.sum("l_quantity"), 2).alias("yield"))
     s = load(spark, d, "supplier").select("s_suppkey").join(n, "s_suppkey", "left").na.fill(0)
-    r = s.withColumn("seen", F.col("runs") > 5).withColumn("i", F.row_number().over(Window.partitionBy("seen").orderBy(F.desc("yield"), "s_suppkey")))
+    first = lambda seen: s.where((F.col("runs") > 5) == seen).withColumn("seen", F.lit(seen)).orderBy(F.desc("yield"), "s_suppkey").limit(slots)
+    r = first(True).unionByName(first(False)).withColumn("i", F.row_number().over(Window.partitionBy("seen").orderBy(F.desc("yield"), "s_suppkey")))
     slot = F.when(F.col("seen"), F.col("i") + F.floor((F.col("i") - 1) / 3)).otherwise(4 * F.col("i")).cast("long")
     return r.select("s_suppkey", slot.alias("slot")).where(F.col("slot") <= slots)
 

@@ -331,29 +331,35 @@ def longest_shared(spark: SparkSession, d: str, cap: int = 40) -> DataFrame:
     return m.join(b, m.item_id == b.a).select("a", "b", run("t", "u").alias("n"))
 
 
-def without_overlaps(phrases: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The first k phrases, in order, of which none contains another."""
-    kept: list[int] = []
-    for i, p in enumerate(phrases["phrase"]):
-        if len(kept) < k and not any(p in q or q in p for q in phrases["phrase"].iloc[kept]):
-            kept.append(i)
-    return phrases.iloc[kept]
-
-
-@catalog.query("recurring_phrases")
-def recurring_phrases(spark: SparkSession, d: str, k: int = 5, pool: int = 200) -> DataFrame:
-    """Per group the k most frequent phrases of 4 to 6 characters in two texts at least, overlaps suppressed.
-
-    Document frequencies are counted in Spark; the greedy choice sees the `pool` best of each group.
-    """
+def top_apart(phrases: DataFrame, k: int) -> DataFrame:
+    """Per group the k best phrases of which none contains another: g, phrase, df. The best one left is taken, and what it
+    contains or is part of goes, k times over; groups are never gathered."""
+    left, taken = phrases.select("g", "phrase", "df"), None
+    for _ in range(k):
+        best = left.groupBy("g").agg(F.min(F.struct((-F.col("df")).alias("m"), (-F.char_length("phrase")).alias("n"), "phrase")).alias("b"))
+        best = best.select("g", F.col("b.phrase").alias("phrase"), (-F.col("b.m")).alias("df"))
+        taken = best if taken is None else taken.unionByName(best)
+        left = left.join(best.select("g", F.col("phrase").alias("first")), "g").where(~F.contains("phrase", "first") & ~F.contains("first", "phrase")).select("g", "phrase", "df")
+    return taken
+
+
+_GRAMS = r"""m AS (SELECT item_id % 4 AS g, item_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS t FROM benchmark),
+e AS (SELECT DISTINCT g, item_id, substr(t, i, n) AS phrase FROM (SELECT g, item_id, t, n, unnest(range(1, length(t) - n + 2)) AS i FROM m, (SELECT unnest([4, 5, 6]) AS n) WHERE length(t) >= n)),
+l0 AS MATERIALIZED (SELECT g, phrase, count(*) AS df FROM e GROUP BY ALL HAVING count(*) >= 2)"""
+
+
+def _phrases_sql(k: int = 5) -> str:
+    parts = [_GRAMS]
+    for i in range(k):
+        parts.append(f"b{i} AS MATERIALIZED (SELECT g, phrase, df FROM l{i} QUALIFY row_number() OVER (PARTITION BY g ORDER BY df DESC, length(phrase) DESC, phrase) = 1)")
+        parts.append(f"l{i + 1} AS MATERIALIZED (SELECT l.* FROM l{i} l JOIN b{i} b USING (g) WHERE NOT contains(l.phrase, b.phrase) AND NOT contains(b.phrase, l.phrase))")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(k))
+
+
+@catalog.query("recurring_phrases", _phrases_sql())
+def recurring_phrases(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
+    """Per group the k most frequent phrases of 4 to 6 characters in two texts at least, overlaps suppressed."""
     m = load(spark, d, "benchmark").select((F.col("item_id") % 4).alias("g"), "item_id", meaningful(F.col("text")).alias("t"))
     grams = lambda n: F.when(F.char_length("t") >= n, F.transform(F.sequence(F.lit(1), F.char_length("t") - n + 1), lambda i: F.substring("t", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     each = m.select("g", "item_id", F.explode(F.array_distinct(F.concat(*(grams(n) for n in (4, 5, 6))))).alias("phrase"))
-    df = each.groupBy("g", "phrase").agg(F.count("*").alias("df")).where("df >= 2")
-    w = Window.partitionBy("g").orderBy(F.desc("df"), F.desc(F.length("phrase")), "phrase")
-    best = df.withColumn("r", F.row_number().over(w)).where(F.col("r") <= pool)
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        return without_overlaps(rows.sort_values("r"), k)[["g", "phrase", "df"]]
-
-    return best.groupBy("g").applyInPandas(choose, "g long, phrase string, df long")
+    return top_apart(each.groupBy("g", "phrase").agg(F.count("*").alias("df")).where("df >= 2"), k)

@@ -36,7 +36,9 @@ def rows(df):
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_its_sql(spark, duck, name):
-    assert rows(registry.QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(registry.ORACLE_SQL[name]).fetchdf())
+    got = rows(registry.QUERIES[name](spark, SF).toPandas())
+    assert got == rows(duck.execute(registry.ORACLE_SQL[name]).fetchdf())
+    assert got[1], "no rows on either side show nothing"
 
 
 def test_stage_fold_equals_a_loop(spark):
@@ -84,16 +86,57 @@ def test_sources(spark, tmp_path):
         files.append(log, str(tmp_path / "log"), ["id"])
 
 
-def test_phrases_without_overlaps():
-    from millrace.operators.texts import shared_run, without_overlaps
+def test_longest_runs():
+    from millrace.operators.texts import shared_run
 
-    p = pd.DataFrame({"phrase": ["abcde", "bcde", "xyzw", "abcdef", "qqqq"]})
-    assert list(without_overlaps(p, 3)["phrase"]) == ["abcde", "xyzw", "qqqq"]
     assert shared_run("xxabcdyy", "zabcdz") == 4 and shared_run("", "a") == 0 and shared_run("a" * 90, "a" * 80) == 40
 
 
+def test_phrases_apart_against_a_loop(spark):
+    import random
+
+    from millrace.operators.texts import top_apart
+
+    rnd = random.Random(1)
+    phrases = {(rnd.randrange(3), "".join(rnd.choice("abc") for _ in range(rnd.randint(2, 4)))): rnd.randrange(2, 6) for _ in range(80)}
+    got = top_apart(spark.createDataFrame([(g, p, n) for (g, p), n in phrases.items()], "g long, phrase string, df long"), 4).collect()
+    for g in range(3):
+        kept = []
+        for _, _, p in sorted((-n, -len(p), p) for (x, p), n in phrases.items() if x == g):
+            if len(kept) < 4 and not any(p in q or q in p for q in kept):
+                kept.append(p)
+        assert {r.phrase for r in got if r.g == g} == set(kept) and all(phrases[r.g, r.phrase] == r.df for r in got)
+
+
+def test_emoji_by_grapheme(spark):
+    import regex
+
+    from millrace.operators.language import emoji_count
+
+    texts = ["fine 😀😀", "plain © ® ™ 5 # *", "👍🏽 ok 🚗", "👨‍👩‍👧‍👦👩🏾‍🚀", "🇩🇪🇫🇷🇪", "1️⃣#️⃣*⃣", "❤️ ☺ ✌🏿", "©️ ™️", "🏴\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f", "é ü 中文", "", None, "😀" * 50_000, "👩‍❤️‍💋‍👨 🏳️‍🌈"]
+    want = []
+    for t in texts:
+        n = 0
+        for g in regex.findall(r"\X", t or ""):  # clusters of the standard: any with a keycap, a flag or a pictograph that is no text symbol
+            signs = regex.findall(r"\p{Extended_Pictographic}", g)
+            n += "\u20e3" in g or bool(regex.search("[\U0001f1e6-\U0001f1ff]", g)) or bool(signs) and (any(c not in "©®™‼⁉〰〽" for c in signs) or "\ufe0f" in g)
+        want.append(n)
+    got = [r.n for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(emoji_count(F.col("t")).alias("n")).collect()]
+    assert got == want and want[3] == 2 and want[4] == 3
+
+
+def test_near_classes(spark):
+    from millrace.operators.lifecycle import near_classes
+
+    rows = [(1, "abcdefghij klmnop"), (2, "abcdefghij-klmnop!"), (3, "abcdefghij klmnopq"), (4, "something else here"), (5, "ABCDEFGHIJ KLMNOP"), (6, "")]
+    got = {r.id: (r["class"], r.links) for r in near_classes(spark.createDataFrame(rows, "id long, text string"), 0.8, "id", "text").collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 5: (1, 1), 3: (3, 1), 4: (4, 0), 6: (6, 0)}
+    many = spark.createDataFrame([(i, "one and the same text") for i in range(2000)], "id long, text string")
+    assert {(r["class"], r.links) for r in near_classes(many, 0.8, "id", "text").collect()} == {(0, 0)}  # copies make no pairs
+
+
 def test_recurring_phrases(spark):
     rows_ = registry.QUERIES["recurring_phrases"](spark, SF).collect()
-    assert rows_ and all(r.df >= 2 and 4 <= len(r.phrase) <= 6 for r in rows_)
+    assert len(rows_) == 20 and all(r.df >= 2 and 4 <= len(r.phrase) <= 6 for r in rows_)
     for r in rows_:
         assert not any(r.phrase != q.phrase and r.g == q.g and r.phrase in q.phrase for q in rows_)
