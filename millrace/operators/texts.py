@@ -50,13 +50,6 @@ def bigram_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return g.join(b, g.item_id == b.a).select("a", "b", half_up(jaccard(F.col("g"), F.col("h")), 4).alias("sim"))
 
 
-LEXICON = ("the", "que", "nicht", "para", "tion", "heit", "idiot", "worthless", "pathetic", "clown")
-
-
-@catalog.query("lexicon_hits", "SELECT doc_id, array_to_string(list_filter([" + ",".join(f"'{w}'" for w in LEXICON) + "], lambda w: contains(lower(text), w)), ',') AS hits FROM documents")
-def lexicon_hits(spark: SparkSession, d: str) -> DataFrame:
-    text = F.lower("text")
-    return load(spark, d, "documents").select("doc_id", F.concat_ws(",", *(F.when(text.contains(w), w) for w in LEXICON)).alias("hits"))
 
 
 @catalog.query("js_round", "SELECT l_orderkey, l_linenumber, FLOOR((l_extendedprice * l_discount - 50) * 100 + 0.5) / 100 AS r, LEAST(GREATEST(l_quantity, 10), 40) AS c FROM lineitem")
@@ -133,13 +126,6 @@ def epoch_heuristic(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", instant_of(F.col("n")).cast("timestamp_ntz").alias("at"))
 
 
-@catalog.query("amount_extract", r"""
-SELECT doc_id, CAST(regexp_extract(text, '\b([0-9]{2,6})\b', 1) AS BIGINT) AS amount FROM documents WHERE regexp_matches(text, '\b([0-9]{2,6})\b')""")
-def amount_extract(spark: SparkSession, d: str) -> DataFrame:
-    a = F.regexp_extract("text", ascii_bounds(r"\b([0-9]{2,6})\b"), 1)
-    return load(spark, d, "documents").select("doc_id", a.alias("a")).where("a <> ''").select("doc_id", F.col("a").cast("long").alias("amount"))
-
-
 LEAKS = {"mail": r"[A-Za-z0-9._]+@[A-Za-z0-9-]+\.[A-Za-z.]+", "url": r"https?://[^\s]+", "ip": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "digits": r"\b[0-9]{13,19}\b", "secret": r"\b[0-9a-f]{40}\b"}
 
 
@@ -191,15 +177,6 @@ def flatten_tree(spark: SparkSession, d: str) -> DataFrame:
     return tree.select("conv_id", F.size("children").cast("long").alias("size"), F.inline("children"))
 
 
-@catalog.query("prefilter_reasons", r"""
-SELECT reason, COUNT(*) AS n FROM (SELECT CASE WHEN text IS NULL OR regexp_replace(text, '[^\p{L}\p{N}]', '', 'g') = '' THEN 'empty' WHEN length(text) - length(replace(text, '!', '')) > length(text) / 25.0 THEN 'marketing'
-  WHEN length(text) < 60 THEN 'short' WHEN NOT regexp_matches(lower(text), '\b(the|que|der|de)\b') THEN 'no_signal' ELSE 'keyword' END AS reason FROM documents) GROUP BY reason""")
-def prefilter_reasons(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    reason = F.when(t.isNull() | (F.regexp_replace(t, r"[^\p{L}\p{N}]", "") == ""), "empty").when(F.length(t) - F.length(F.translate(t, "!", "")) > F.length(t) / 25.0, "marketing").when(F.length(t) < 60, "short").when(~F.lower(t).rlike(ascii_bounds(r"\b(the|que|der|de)\b")), "no_signal").otherwise("keyword")
-    return load(spark, d, "documents").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
-
-
 #: Rules of an intent: code, pattern, points.
 RULES = (("number", r"\d{2,}", 3), ("insult", r"\b(idiot|worthless|pathetic|clown)\b", -5), ("shout", r"!!", -2), ("question", r"\?", 2), ("list", r" \| ", 1))
 
@@ -212,24 +189,11 @@ def intent_rules(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", F.concat_ws(",", *(F.when(h, c) for c, h, _ in held)).alias("codes"), sum((F.when(h, n).otherwise(0) for _, h, n in held), F.lit(0)).cast("long").alias("strength"))
 
 
-@catalog.query("actor_type", "SELECT c_custkey, CASE WHEN c_name LIKE '%00' THEN 'DEALER' WHEN c_acctbal < 0 THEN 'SELLER' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'BUYER' ELSE 'UNKNOWN' END AS actor FROM customer")
-def actor_type(spark: SparkSession, d: str) -> DataFrame:
-    """First match wins."""
-    actor = F.when(F.col("c_name").endswith("00"), "DEALER").when(F.col("c_acctbal") < 0, "SELLER").when(F.col("c_mktsegment") == "AUTOMOBILE", "BUYER").otherwise("UNKNOWN")
-    return load(spark, d, "customer").select("c_custkey", actor.alias("actor"))
-
-
 @catalog.query("actor_type_agg", "SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'BUYER' ELSE arg_max(event_type, (ts, event_id)) END AS actor FROM events GROUP BY user_id")
 def actor_type_agg(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").groupBy("user_id").agg(F.when(F.bool_or(F.col("event_type") == "purchase"), "BUYER").otherwise(F.max_by("event_type", F.struct("ts", "event_id"))).alias("actor"))
 
 
-@catalog.query("conv_intents", r"SELECT conv_id, turn, concat_ws(',', CASE WHEN contains(text, '?') THEN 'question' END, CASE WHEN regexp_matches(text, '[0-9]') THEN 'number' END, CASE WHEN length(text) > 200 THEN 'long' END) AS intents FROM conversations WHERE role = 'user'")
-def conv_intents(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    return load(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat_ws(",", F.when(t.contains("?"), "question"), F.when(t.rlike("[0-9]"), "number"), F.when(F.length(t) > 200, "long")).alias("intents"))
-
-
 @catalog.query("slot_fill_last_non_null", """
 SELECT user_id, arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'purchase') AS price, arg_max(event_type, (ts, event_id)) FILTER (WHERE event_type <> 'error') AS kind FROM events GROUP BY user_id""")
 def slot_fill_last_non_null(spark: SparkSession, d: str) -> DataFrame:
@@ -239,24 +203,6 @@ def slot_fill_last_non_null(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "events").groupBy("user_id").agg(stated("value", F.col("event_type") == "purchase").alias("price"), stated("event_type", F.col("event_type") != "error").alias("kind"))
 
 
-@catalog.query("cue_attribution", r"""
-WITH w AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '\b(?:idiot|worthless|pathetic|clown)\b')) AS cue FROM documents) SELECT lang, cue, COUNT(*) AS n, COUNT(DISTINCT doc_id) AS docs FROM w GROUP BY ALL""")
-def cue_attribution(spark: SparkSession, d: str) -> DataFrame:
-    w = load(spark, d, "documents").select("doc_id", "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(ascii_bounds(r"\b(?:idiot|worthless|pathetic|clown)\b")), 0)).alias("cue"))
-    per = w.groupBy("lang", "cue", "doc_id").agg(F.count("*").alias("n"))
-    return per.groupBy("lang", "cue").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
-
-
-@catalog.query("question_clusters", r"""
-WITH c AS (SELECT conv_id, unnest(list_filter(['the', 'de', 'der', 'que'], lambda w: regexp_matches(lower(text), '\b' || w || '\b'))) AS cluster FROM conversations WHERE role = 'user') SELECT cluster, COUNT(*) AS turns, COUNT(DISTINCT conv_id) AS convs FROM c GROUP BY cluster""")
-def question_clusters(spark: SparkSession, d: str) -> DataFrame:
-    t = F.lower("text")
-    hits = F.array_compact(F.array(*(F.when(t.rlike(ascii_bounds(rf"\b{w}\b")), w) for w in ("the", "de", "der", "que"))))
-    c = load(spark, d, "conversations").where("role = 'user'").select("conv_id", F.explode(hits).alias("cluster"))
-    per = c.groupBy("cluster", "conv_id").agg(F.count("*").alias("n"))
-    return per.groupBy("cluster").agg(F.sum("n").alias("turns"), F.count("*").alias("convs"))
-
-
 @catalog.query("compliance_issues", r"""
 SELECT issue, COUNT(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN regexp_matches(text, '\b[0-9a-f]{40}\b') THEN 'secret' END, CASE WHEN contains(text, '!!') THEN 'punctuation' END, CASE WHEN length(text) > 5000 THEN 'length' END, CASE WHEN regexp_matches(lower(text), '\b(idiot|worthless|pathetic|clown)\b') THEN 'prohibited' END], lambda x: x IS NOT NULL)) AS issue FROM documents) GROUP BY issue""")
 def compliance_issues(spark: SparkSession, d: str) -> DataFrame:
