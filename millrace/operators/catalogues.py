@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.catalog import Catalog
-from millrace.functions.columns import clamp, conjunction, depth_of, half_up, ratio
+from millrace.functions.columns import conjunction, depth_of, half_up, ratio
 from millrace.io import load
 
 catalog = Catalog()
@@ -391,20 +391,6 @@ def config_versions(spark: SparkSession, d: str) -> DataFrame:
     return v.where("low < high and high <= 100").groupBy("name").agg(best).select("name", "b.version", "b.low", "b.high")
 
 
-@catalog.query("strategy_weights", """
-WITH p AS (SELECT event_type AS pillar, COUNT(*) AS n, COUNT(*) FILTER (WHERE value > 60) AS hits FROM events WHERE event_type <> 'error' GROUP BY 1),
-b AS (SELECT pillar, 0.25 + CASE WHEN pillar = 'signup' THEN 0.1 ELSE 0 END + CASE WHEN hits * 5 > n THEN 0.05 ELSE 0 END + LEAST(0.15, GREATEST(-0.15, (hits / n::DOUBLE - 0.3))) AS raw FROM p)
-SELECT pillar, FLOOR(raw / SUM(raw) OVER () * 10000 + 0.5) / 10000 AS weight FROM b""")
-def strategy_weights(spark: SparkSession, d: str, goal: str = "signup") -> DataFrame:
-    """An even mix, raised for the goal, for what research finds and by attribution within bounds, and normalised."""
-    e = load(spark, d, "events").where("event_type <> 'error'")
-    p = e.groupBy(F.col("event_type").alias("pillar")).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 60).alias("hits"))
-    boost = F.when(F.col("pillar") == goal, 0.1).otherwise(0.0) + F.when(F.col("hits") * 5 > F.col("n"), 0.05).otherwise(0.0)
-    raw = p.select("pillar", (F.lit(0.25) + boost + clamp(F.col("hits") / F.col("n") - 0.3, -0.15, 0.15)).alias("raw"))
-    total = raw.agg(F.sum("raw").alias("t")).first().t or 1.0
-    return raw.select("pillar", half_up(F.col("raw") / F.lit(total), 4).alias("weight"))
-
-
 @catalog.query("topic_of_day", """
 WITH s AS (SELECT user_id AS account, ts::DATE AS day, event_type AS topic, COUNT(*) AS n FROM events WHERE event_type <> 'error' GROUP BY ALL),
 f AS (SELECT account, day, topic, n, ROW_NUMBER() OVER (PARTITION BY account, day ORDER BY n DESC, topic) AS i FROM s), t AS (SELECT account, day, topic FROM f WHERE i = 1)
@@ -433,21 +419,6 @@ def style_rules(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------------------------ desks and accounts
 
 
-@catalog.query("next_action", f"""
-WITH u AS (SELECT user_id, bool_or(event_type = 'error' AND value > 95) AS refused, bool_or(event_type = 'purchase' AND value > 90) AS won, MAX(ts) AS latest, MAX(CASE WHEN event_type = 'signup' THEN ts END) AS asked, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY user_id)
-SELECT user_id, CASE WHEN refused THEN 'none' WHEN won THEN 'thank' WHEN asked > TIMESTAMP '{NOW}' - INTERVAL 24 HOUR THEN 'call' WHEN kind = 'click' THEN 'answer' WHEN latest < TIMESTAMP '{NOW}' - INTERVAL 3 DAY THEN 'follow_up' ELSE 'wait' END AS action FROM u""")
-def next_action(spark: SparkSession, d: str) -> DataFrame:
-    """What to do next with each lead: the first rung of the ladder that holds."""
-    kind, value = F.col("event_type"), F.col("value")
-    u = load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).groupBy("user_id").agg(
-        F.bool_or((kind == "error") & (value > 95)).alias("refused"), F.bool_or((kind == "purchase") & (value > 90)).alias("won"), F.max("ts").alias("latest"),
-        F.max(F.when(kind == "signup", F.col("ts"))).alias("asked"), F.max_by("event_type", F.struct("ts", "event_id")).alias("kind"),
-    )
-    before = lambda text: now() - F.expr(f"interval {text}")
-    action = F.when(F.col("refused"), "none").when(F.col("won"), "thank").when(F.col("asked") > before("24 hours"), "call").when(F.col("kind") == "click", "answer").when(F.col("latest") < before("3 days"), "follow_up").otherwise("wait")
-    return u.select("user_id", action.alias("action"))
-
-
 @catalog.query("owner_stamp", "SELECT o_orderkey, COALESCE(arg_max(l_suppkey, (l_shipdate, l_linenumber)) FILTER (WHERE l_shipdate <= o_orderdate + INTERVAL 400 DAY), -1) AS owner FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY o_orderkey")
 def owner_stamp(spark: SparkSession, d: str) -> DataFrame:
     """Conversions with who owned the lead then: the latest touch up to that time."""
@@ -522,14 +493,6 @@ def provenance(spark: SparkSession, d: str, order: tuple[str, ...] = ("simulated
     return best.select("user_id", F.get(F.array(*map(F.lit, order)), F.col("r")).alias("provenance"))
 
 
-@catalog.query("rescreen", "WITH o AS (SELECT user_id, bool_or(value > 95) AS before, bool_or(value > 95 AND event_type <> 'error') AS after FROM events GROUP BY user_id) SELECT before, after, COUNT(*) AS n FROM o GROUP BY ALL")
-def rescreen(spark: SparkSession, d: str) -> DataFrame:
-    """Leads judged again by the present rule, counted by both verdicts."""
-    high = F.col("value") > 95
-    o = load(spark, d, "events").groupBy("user_id").agg(F.bool_or(high).alias("before"), F.bool_or(high & (F.col("event_type") != "error")).alias("after"))
-    return o.groupBy("before", "after").agg(F.count("*").alias("n"))
-
-
 @catalog.query("corpus_union", """
 WITH a AS (SELECT doc_id, source, 1 AS side FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, 'other' AS source, 2 AS side FROM documents WHERE doc_id % 2 = 0)
 SELECT doc_id, arg_min(source, side) AS source, COUNT(*) AS parts FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id""")
@@ -548,18 +511,6 @@ def latest_brief(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.max("ts").alias("at"), F.max_by("value", F.struct("ts", "event_id")).alias("value"))
 
 
-@catalog.query("operable", f"""
-WITH u AS (SELECT user_id, MAX(ts) AS latest, COUNT(*) FILTER (WHERE event_type = 'error' AND value > 80) AS severe, COUNT(*) FILTER (WHERE event_type = 'error') AS errors, COUNT(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-30' GROUP BY user_id)
-SELECT user_id, CASE WHEN severe > 5 THEN 'blocked' WHEN latest < TIMESTAMP '{NOW}' - INTERVAL 36 HOUR THEN 'review' WHEN errors * 4 > n THEN 'review' ELSE 'ok' END AS verdict FROM u""")
-def operable(spark: SparkSession, d: str) -> DataFrame:
-    """Whether an account may act: blocked by severe flags; to be reviewed when its snapshot is stale or errors abound."""
-    error = F.col("event_type") == "error"
-    e = load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).where(F.col("ts") < F.lit("2024-01-30").cast("timestamp"))
-    u = e.groupBy("user_id").agg(F.max("ts").alias("latest"), F.count_if(error & (F.col("value") > 80)).alias("severe"), F.count_if(error).alias("errors"), F.count("*").alias("n"))
-    stale = F.col("latest") < now() - F.expr("interval 36 hours")
-    return u.select("user_id", F.when(F.col("severe") > 5, "blocked").when(stale | (F.col("errors") * 4 > F.col("n")), "review").otherwise("ok").alias("verdict"))
-
-
 @catalog.query("query_upsert", """
 WITH old AS (SELECT DISTINCT p_name AS key, bool_or(p_size > 10) OVER (PARTITION BY p_name) AS active, MAX(p_size) OVER (PARTITION BY p_name) AS weight FROM part WHERE p_partkey % 2 = 0),
 new AS (SELECT p_name AS key, MAX(p_size) AS weight FROM part WHERE p_partkey % 3 = 0 GROUP BY p_name)

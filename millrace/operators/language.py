@@ -130,26 +130,6 @@ def target_area(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------------------------ people, praise, topics, answers
 
 
-@catalog.query("industry_accounts", "SELECT s_suppkey, regexp_matches(s_name, '[05]$') AS by_name, concat_ws(',', CASE WHEN s_acctbal > 5000 THEN 'fleet' END, CASE WHEN s_nationkey % 4 = 0 THEN 'leasing' END) AS keywords FROM supplier WHERE regexp_matches(s_name, '[05]$') OR s_acctbal > 5000")
-def industry_accounts(spark: SparkSession, d: str) -> DataFrame:
-    named = F.col("s_name").rlike("[05]$")
-    s = load(spark, d, "supplier").where(named | (F.col("s_acctbal") > 5000))
-    return s.select("s_suppkey", named.alias("by_name"), F.concat_ws(",", F.when(F.col("s_acctbal") > 5000, "fleet"), F.when(F.col("s_nationkey") % 4 == 0, "leasing")).alias("keywords"))
-
-
-TOPICS = {"size": "large|small|big", "colour": "red|blue|green", "thing": "ring|widget|bolt"}
-
-
-@catalog.query("title_topics", "SELECT p_partkey, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(p_name, '{p}') THEN '{t}' END" for t, p in TOPICS.items()) + ") AS topics FROM part")
-def title_topics(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "part").select("p_partkey", F.concat_ws(",", *(F.when(F.col("p_name").rlike(p), t) for t, p in TOPICS.items())).alias("topics"))
-
-
-@catalog.query("relevant_notes", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, 'ring|widget') AND NOT (regexp_matches(p_name, 'widget') AND NOT regexp_matches(p_name, 'ring|red'))")
-def relevant_notes(spark: SparkSession, d: str) -> DataFrame:
-    """What names a model in scope; a text that names only models out of scope isn't relevant."""
-    n = F.col("p_name")
-    return load(spark, d, "part").where(n.rlike("ring|widget") & ~(n.rlike("widget") & ~n.rlike("ring|red"))).select("p_partkey")
 
 
 @catalog.query("faq_match", """
@@ -216,16 +196,6 @@ def message_counts(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("conv_id").agg(F.count("*").alias("messages"), F.bool_or(t.rlike("[0-9]{5,}")).alias("contact"), F.bool_or(t.contains("!!")).alias("refused"), F.max_by(F.char_length(t).cast("long"), "turn").alias("latest_size"))
 
 
-@catalog.query("webhook_leads", """
-WITH r AS (SELECT c_custkey, c_custkey % 400 AS phone, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END AS name, c_acctbal FROM customer WHERE c_custkey % 11 <> 0)
-SELECT phone, COUNT(*) AS rows, arg_min(name, c_custkey) FILTER (WHERE name IS NOT NULL) AS name, MAX(c_acctbal) AS best FROM r GROUP BY phone""")
-def webhook_leads(spark: SparkSession, d: str) -> DataFrame:
-    """Leads of a payload by identity: valid rows merged, the first known name kept."""
-    k = F.col("c_custkey")
-    r = load(spark, d, "customer").where(k % 11 != 0).select(k, (k % 400).alias("phone"), F.when(k % 7 != 0, F.col("c_name")).alias("name"), "c_acctbal")
-    return r.groupBy("phone").agg(F.count("*").alias("rows"), F.min_by("name", F.when(F.col("name").isNotNull(), k)).alias("name"), F.max("c_acctbal").alias("best"))
-
-
 @catalog.query("voice_profile", """
 WITH n AS (SELECT source, doc_id, length(text) AS size, ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id DESC) AS i FROM documents WHERE length(text) >= 20)
 SELECT source, COUNT(*) AS samples, MIN(size) AS shortest, MAX(size) AS longest, MAX(doc_id) < 900 AS stale FROM n WHERE i <= 20 GROUP BY source""")

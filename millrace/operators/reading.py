@@ -17,6 +17,7 @@ from millrace.functions.columns import meaningful
 from millrace.io import load
 from millrace.operators import signals
 from millrace.operators.dictionary import MOST, clause_spans, pure_praise
+from millrace.operators.schemas import violations
 
 catalog = Catalog()
 QUERIES, ORACLE_SQL = catalog.queries, catalog.sql
@@ -228,3 +229,98 @@ def amount_extract(spark: SparkSession, d: str) -> DataFrame:
     ).otherwise(F.when(pr < "3", tell("I could afford ", p)).otherwise(tell(p, " is what it costs")))
     b = load(spark, d, "orders").select("o_orderkey", budget(text).alias("b"))
     return b.select("o_orderkey", *(F.coalesce(f"b.{c}", F.lit(-1.0)).alias(c) for c in ("least", "most")))
+
+
+# ------------------------------------------------------------------------------------ topics, relevance, accounts, leads
+
+
+@catalog.query("title_topics", """
+SELECT p_partkey, concat_ws(',', CASE WHEN c IN ('red', 'blue') THEN 'colour' ELSE 'state' END || ':' || c, 'thing:' || t, CASE WHEN p_type IN ('PROMO', 'ECONOMY') THEN 'price:' || lower(p_type) ELSE 'size:' || lower(p_type) END) AS topics FROM (SELECT *, split_part(p_name, ' ', 1) AS c, split_part(p_name, ' ', 2) AS t FROM part)""")
+def title_topics(spark: SparkSession, d: str) -> DataFrame:
+    """Topics of each part's title by a table of words: kind and word, in the order of the title."""
+    name = F.split("p_name", " ")
+    p = load(spark, d, "part")
+    first = p.select(F.when(name[0].isin("red", "blue"), "colour").otherwise("state").alias("kind"), name[0].alias("alias"))
+    kind = p.select(F.when(F.col("p_type").isin("PROMO", "ECONOMY"), "price").otherwise("size").alias("kind"), F.lower("p_type").alias("alias"))
+    words = first.unionByName(p.select(F.lit("thing").alias("kind"), name[1].alias("alias"))).unionByName(kind).distinct().withColumn("target", F.col("alias"))
+    title = F.concat(F.initcap("p_name"), F.lit(": "), F.lower("p_type"), F.lit("!"))
+    # a word may be a state of one title and a size in another: only the kind that its place asks for counts
+    found = clause_spans(p.select("p_partkey", title.alias("text")), words, "text", None, "clauses_")
+    front, back = (F.filter(F.flatten(F.transform("clauses_", lambda c: c["spans"])), cond) for cond in (lambda s: s["kind"].isin("colour", "state", "thing") & (s["end"] <= F.instr("text", ":") - 1), lambda s: s["kind"].isin("price", "size") & (s["start"] >= F.instr("text", ":"))))
+    return found.select("p_partkey", F.concat_ws(",", F.transform(F.concat(front, back), lambda s: F.concat_ws(":", s["kind"], s["target"]))).alias("topics"))
+
+
+@catalog.query("relevant_notes", f"""
+WITH {_READ_SQL}, k AS (SELECT split_part(p_name, ' ', 2) AS thing FROM part GROUP BY 1 HAVING avg(p_retailprice) >= (SELECT avg(p_retailprice) FROM part))
+SELECT o_orderkey, CASE WHEN NOT (stock OR price OR love OR own) THEN 'none named' WHEN thing IN (SELECT thing FROM k) THEN 'in scope' END AS why FROM g WHERE NOT (stock OR price OR love OR own) OR thing IN (SELECT thing FROM k)""")
+def relevant_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Messages that name an item in scope, or none at all; those that name only others aren't relevant. In scope is what is dear."""
+    part = load(spark, d, "part").select(F.split("p_name", " ")[1].alias("target"), "p_retailprice")
+    mean = part.agg(F.avg("p_retailprice").alias("mean"))
+    scope = part.groupBy("target").agg(F.avg("p_retailprice").alias("own")).join(F.broadcast(mean)).select("target", F.when(F.col("own") >= F.col("mean"), "in").otherwise("out").alias("kind"), F.col("target").alias("alias"))
+    found = clause_spans(signals.messages(spark, d).select("o_orderkey", "text"), scope, "text", None, "clauses_")
+    kinds = F.array_distinct(F.flatten(F.transform("clauses_", lambda c: c["spans"]["kind"])))
+    why = F.when(F.array_contains(kinds, "in"), "in scope").when(F.size(kinds) == 0, "none named")
+    return found.select("o_orderkey", why.alias("why")).where("why is not null")
+
+
+@catalog.query("industry_accounts", """
+SELECT s_suppkey, s_acctbal > 5000 AS by_name, concat_ws(',', CASE WHEN r_name IN ('ASIA', 'EUROPE') THEN 'leasing' END, CASE WHEN s_acctbal < 0 THEN 'fleet' END) AS keywords FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s_acctbal > 5000 OR s_acctbal < 0 OR r_name IN ('ASIA', 'EUROPE')""")
+def industry_accounts(spark: SparkSession, d: str) -> DataFrame:
+    """Accounts of the trade: by the convention of their names, or by words of the trade in what they say of themselves."""
+    n = load(spark, d, "nation").join(load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    s = load(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    name = F.when(F.col("s_acctbal") > 5000, F.concat(F.lit("Official Store "), "s_name")).otherwise(F.concat("s_name", F.lit(" (Salesforce user)")))
+    bio = F.concat_ws(". ", F.when(F.col("r_name").isin("ASIA", "EUROPE"), F.concat(F.lit("Leasing in "), "n_name")), F.when(F.col("s_acctbal") < 0, "We serve whole fleets, Fleet-Management"), F.lit("Hello"))
+    trade = spark.createDataFrame([("trade", w, a) for w, own in (("leasing", ("leasing", "lease")), ("fleet", ("fleet", "fleets", "fleet management"))) for a in own], "kind string, target string, alias string")
+    found = clause_spans(s.select("s_suppkey", name.alias("name"), bio.alias("text")), trade, "text", None, "clauses_")
+    words = F.array_distinct(F.flatten(F.transform("clauses_", lambda c: c["spans"]["target"])))
+    rows = found.select("s_suppkey", F.col("name").rlike(SELLERS).alias("by_name"), F.concat_ws(",", words).alias("keywords"))
+    return rows.where("by_name or keywords <> ''")
+
+
+@catalog.query("rescreen", f"""
+WITH {_READ_SQL}, s AS (SELECT o_custkey, bool_or(NOT stop AND NOT own AND (visit OR stock OR price OR loan)) AS was, bool_or(NOT stop AND NOT own AND wants) AS now_, bool_or(stop) AS stopped FROM g GROUP BY o_custkey)
+SELECT was, CASE WHEN stopped THEN 'suppressed' WHEN now_ AND NOT was THEN 'restored' WHEN now_ THEN 'kept' ELSE 'dropped' END AS outcome, COUNT(*) AS n FROM s GROUP BY ALL""")
+def rescreen(spark: SparkSession, d: str) -> DataFrame:
+    """Leads screened again: the ladder of then, without its softer rungs, against today's, and who asked to be left alone."""
+    told = signals.messages(spark, d).select("o_custkey", "text")
+    rules = signals.rule_table(spark).unionByName(signals.entities(spark, d))
+    old = tuple(r for r in signals.LADDER if r[0] not in ("research", "awareness"))
+    now = signals.analyse(told, rules)
+    before = signals.rung(F.col("codes"), old)
+    per = now.groupBy("o_custkey").agg(F.bool_or(F.col("purchase_signal") & before.isNotNull()).alias("was"), F.bool_or("purchase_signal").alias("now_"), F.bool_or(F.array_contains("codes", "refusal")).alias("stopped"))
+    outcome = F.when(F.col("stopped"), "suppressed").when(F.col("now_") & ~F.col("was"), "restored").when(F.col("now_"), "kept").otherwise("dropped")
+    return per.groupBy("was", outcome.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+#: What a lead of a payload must look like.
+LEAD_SCHEMA = {"type": "object", "required": ["phone", "at"], "properties": {"phone": {"type": "string", "pattern": "^[0-9]{6}$"}, "name": {"type": ["string", "null"], "minLength": 1}, "score": {"type": "number", "minimum": 0}, "at": {"type": "integer"}}}
+
+
+def webhook(rows: DataFrame, schema: dict, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
+    """Leads of a payload by phone, and what was refused: count of rows by their first problem.
+
+    A row that breaks the schema is refused alone. Rows of one phone are one lead: the first name that is told, the best score, the latest time.
+    """
+    judged = rows.select(raw, violations(F.col(raw), schema).alias("problems"))
+    refused = judged.where(F.size("problems") > 0).groupBy(F.concat_ws(":", F.get("problems", F.lit(0))["path"], F.get("problems", F.lit(0))["problem"]).alias("problem")).agg(F.count("*").alias("rows"))
+    field = lambda name, kind: F.get_json_object(raw, f"$.{name}").try_cast(kind).alias(name)
+    good = judged.where(F.size("problems") == 0).select(field("phone", "string"), field("name", "string"), field("score", "double"), field("at", "long"))
+    named = F.when(F.col("name").isNotNull(), F.struct("at", "name"))
+    leads = good.groupBy("phone").agg(F.count("*").alias("rows"), F.min(named)["name"].alias("name"), F.max("score").alias("score"), F.max("at").alias("at"))
+    return leads, refused
+
+
+@catalog.query("webhook_leads", """
+WITH r AS (SELECT lpad((c_nationkey * 1000 + length(c_mktsegment))::VARCHAR, 6, '0') AS phone, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN NULL ELSE c_name END AS name, c_acctbal AS score, c_custkey AS moment FROM customer WHERE c_acctbal >= 0 AND c_acctbal < 9500)
+SELECT phone, COUNT(*) AS rows, coalesce(arg_min(name, moment) FILTER (WHERE name IS NOT NULL), '') AS name, MAX(score) AS score, MAX(moment) AS seen FROM r GROUP BY phone
+UNION ALL SELECT '$.score:minimum', COUNT(*), '', 0, 0 FROM customer WHERE c_acctbal < 0 UNION ALL SELECT '$.phone:pattern', COUNT(*), '', 0, 0 FROM customer WHERE c_acctbal >= 9500""")
+def webhook_leads(spark: SparkSession, d: str) -> DataFrame:
+    """Leads of a payload made of customers, and the counts of what was refused and why."""
+    c = load(spark, d, "customer")
+    phone = F.lpad((F.col("c_nationkey") * 1000 + F.char_length("c_mktsegment")).cast("string"), 6, "0")
+    body = F.struct(F.when(F.col("c_acctbal") >= 9500, F.concat(F.lit("+"), phone)).otherwise(phone).alias("phone"), F.when(F.col("c_mktsegment") != "HOUSEHOLD", F.col("c_name")).alias("name"), F.col("c_acctbal").alias("score"), F.col("c_custkey").alias("at"))
+    leads, refused = webhook(c.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("raw")), LEAD_SCHEMA)
+    empty = refused.select(F.col("problem").alias("phone"), "rows", F.lit("").alias("name"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("seen"))
+    return leads.select("phone", "rows", F.coalesce("name", F.lit("")).alias("name"), "score", F.col("at").alias("seen")).unionByName(empty)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.catalog import Catalog
-from millrace.functions.columns import ascii_bounds, between, days_between, depth_of, half_up, matches, overlaps, ratio
+from millrace.functions.columns import ascii_bounds, depth_of, half_up, matches, overlaps, ratio
 from millrace.io import load
 
 catalog = Catalog()
