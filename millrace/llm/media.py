@@ -9,7 +9,9 @@ symbol of one length (those of `encode`) are read as whole bit arrays. `to_rgb`
 cosine transform with numpy, upsamples chroma and returns the full-resolution tensor.
 
 Defined cases: null and empty texts are 192 spaces; equal texts give equal values; the payload's length
-is in a comment segment, as whole macroblocks of 384 bytes are stored; other columns are not read.
+is in a comment segment, as whole macroblocks of 384 bytes are stored; rows without an id keep the null; repeated rows are
+returned each; very long texts are whole, and worked on alone; an empty table gives no rows; other columns are not read,
+whatever their names.
 """
 
 import hashlib
@@ -21,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -447,13 +450,25 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw.ljust(max(UNIT, -(-len(raw) // UNIT) * UNIT), b" ")
 
 
+def groups(sizes: list[int], most: int, rows: int) -> Iterator[tuple[int, int]]:
+    """Start and length of runs of at most so many rows and bytes, one row at least."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and (held + n > most or i - start == rows):
+            yield start, i - start
+            start, held = i, 0
+        held += n
+    if sizes:
+        yield start, len(sizes) - start
+
+
 def store(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: id, n_bytes and its media column, the JPEG file."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for at, n in groups(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), 1 << 20, 200):
+                part = batch.slice(at, n)
                 rows = [padded(t) for t in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array([n for n, _ in rows], pa.int64()), pa.array(encode_batch([p for _, p in rows]), pa.binary())], names=[ident, "n_bytes", "media"])
 
@@ -466,8 +481,8 @@ def tensors(stored: DataFrame, ident: str = "doc_id") -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part, out = batch.slice(at, 100), []
+            for at, n in groups(pc.binary_length(batch.column(2)).to_pylist(), 1 << 20, 100):
+                part, out = batch.slice(at, n), []
                 for jpeg in part.column(2):
                     frame = decode_coefficients(jpeg.as_py())
                     out.append((frame["height"], frame["width"], to_rgb(frame).tobytes(), payload_of(frame)))

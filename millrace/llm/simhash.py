@@ -12,7 +12,9 @@ reach, so links grow with the number of distinct fingerprints, not with its squa
 `components.stars`; nothing is gathered in one task or on the driver.
 
 Defined cases: null, empty and blank texts have the fingerprint zero and are linked like any other; texts
-with fewer words than a shingle hash their whole sequence; repeated rows are returned each.
+with fewer words than a shingle hash their whole sequence; repeated rows are returned each; rows without an id belong to
+the component of the ids that share their fingerprint, have a null one if there is none, and link nothing; an empty table
+gives no rows; other columns are not read, whatever their names.
 """
 
 from collections.abc import Iterator

@@ -8,8 +8,8 @@ vocabulary lacks stands for as many symbols as it has UTF-8 bytes.
 A piece never holds a space mark after another character, so the text falls apart before each run of
 spaces, and each part is counted on its own; parts recur, and a bounded cache keeps their counts.
 
-Defined cases: null and empty texts have no tokens; repeated rows are counted each; other columns,
-of any name, pass untouched through `count_tokens`.
+Defined cases: null and empty texts have no tokens; very long texts are whole; rows without an id keep the null; repeated rows
+are counted each; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 import re
@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
+#: Longer parts are counted each time, so the cache is bounded in bytes as well.
+KEPT = 48
 _UNITS = re.compile(r" +[^ ]*")
 
 
@@ -69,14 +71,18 @@ class MergeCounter(dict):
                 self.older = dict(self)
                 self.clear()
             n = self.older.get(word)
-            self[word] = n = self.symbols(MARK + word.replace(" ", MARK)) if n is None else n
+            n = self.symbols(MARK + word.replace(" ", MARK)) if n is None else n
+            if len(word) <= KEPT:
+                self[word] = n
             return n
         n = self[head] + len(tail)
         for part in tail:
             if (m := self.bare.get(part)) is None:
-                if len(self.bare) >= self.cache:
-                    self.bare.clear()
-                self.bare[part] = m = self.symbols(part)
+                m = self.symbols(part)
+                if len(part) <= KEPT:
+                    if len(self.bare) >= self.cache:
+                        self.bare.clear()
+                    self.bare[part] = m
             n += m
         return n
 
