@@ -197,10 +197,20 @@ def message_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @catalog.query("voice_profile", """
-WITH n AS (SELECT source, doc_id, length(text) AS size, ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id DESC) AS i FROM documents WHERE length(text) >= 20)
-SELECT source, COUNT(*) AS samples, MIN(size) AS shortest, MAX(size) AS longest, MAX(doc_id) < 900 AS stale FROM n WHERE i <= 20 GROUP BY source""")
-def voice_profile(spark: SparkSession, d: str, newest: int = 20) -> DataFrame:
-    """A profile of each account's newest usable texts, and whether it is due for a refresh."""
-    w = Window.partitionBy("source").orderBy(F.desc("doc_id"))
-    n = load(spark, d, "documents").select("source", "doc_id", F.char_length("text").cast("long").alias("size")).where("size >= 20").withColumn("i", F.row_number().over(w)).where(F.col("i") <= newest)
-    return n.groupBy("source").agg(F.count("*").alias("samples"), F.min("size").alias("shortest"), F.max("size").alias("longest"), (F.max("doc_id") < 900).alias("stale"))
+WITH u AS (SELECT source, doc_id, length(text) AS size, len(regexp_extract_all(text, '[!?]')) AS marks, doc_id > (SELECT max(doc_id) * 9 // 10 FROM documents) AS fresh FROM documents WHERE length(text) >= 20),
+n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source, fresh ORDER BY doc_id DESC) AS i FROM u)
+SELECT source, COUNT(*) FILTER (WHERE i <= 20 AND NOT fresh) AS samples, coalesce(quantile_cont(size, 0.5) FILTER (WHERE i <= 20 AND NOT fresh), -1)::DOUBLE AS typical, coalesce(avg(CASE WHEN marks > 0 THEN 1.0 ELSE 0 END) FILTER (WHERE i <= 20 AND NOT fresh) >= 0.4, false) AS shouts,
+  COUNT(*) FILTER (WHERE i <= 20 AND fresh) AS newer, COUNT(*) FILTER (WHERE i <= 20 AND fresh) >= 5 OR COUNT(*) FILTER (WHERE i <= 20 AND NOT fresh) < 5 AS stale FROM n WHERE i <= 20 GROUP BY source""")
+def voice_profile(spark: SparkSession, d: str, newest: int = 20, enough: int = 5) -> DataFrame:
+    """The profile of each account's newest usable texts as it was when nine tenths of them were there, and whether it is due
+    for a refresh: five texts are newer, or it rested on fewer than five."""
+    docs = load(spark, d, "documents").select("source", "doc_id", F.char_length("text").cast("double").alias("size"), (F.regexp_count("text", F.lit("[!?]")) > 0).alias("marked")).where("size >= 20")
+    then = F.floor(load(spark, d, "documents").agg(F.max("doc_id").alias("m")).first().m * F.lit(9) / 10)
+    w = Window.partitionBy("source", "fresh").orderBy(F.desc("doc_id"))
+    n = docs.withColumn("fresh", F.col("doc_id") > then).withColumn("i", F.row_number().over(w)).where(F.col("i") <= newest)
+    old = lambda c: F.when(~F.col("fresh"), c)
+    per = n.groupBy("source").agg(
+        F.count_if(~F.col("fresh")).alias("samples"), F.coalesce(F.percentile(old(F.col("size")), 0.5), F.lit(-1.0)).alias("typical"),
+        F.coalesce(F.avg(old(F.col("marked").cast("double"))) >= 0.4, F.lit(False)).alias("shouts"), F.count_if("fresh").alias("newer"),
+    )
+    return per.withColumn("stale", (F.col("newer") >= enough) | (F.col("samples") < enough))

@@ -308,34 +308,50 @@ def near_classes(items: DataFrame, least: float, ident: str, text: str) -> DataF
     return g.join(reps.select("set", "class"), "set").join(ends, "class", "left").select("id", "class", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("best", F.lit(0.0)).alias("best"))
 
 
-_TURNS = r"""m AS (SELECT id, list_sort(list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2)))) AS g FROM (SELECT conv_id * 1000 + turn AS id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS t FROM conversations) WHERE length(t) >= 2),
-c AS (SELECT min(id) AS class, g FROM m GROUP BY g), p AS (SELECT a.class AS a, b.class AS b, FLOOR(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE * 10000 + 0.5) / 10000 AS sim FROM c a JOIN c b ON a.class < b.class AND LEAST(len(a.g), len(b.g)) >= 0.8 * GREATEST(len(a.g), len(b.g)))"""
+_TURNS = r"""m AS (SELECT id, list_sort(list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2)))) AS g FROM (SELECT conv_id * 1000 + turn AS id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS t FROM conversations WHERE role = 'user') WHERE length(t) >= 2),
+c AS (SELECT min(id) AS class, g FROM m GROUP BY g), p AS (SELECT a.class AS a, b.class AS b, FLOOR(len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))::DOUBLE * 10000 + 0.5) / 10000 AS sim FROM c a JOIN c b ON a.class < b.class AND LEAST(len(a.g), len(b.g)) >= 0.85 * GREATEST(len(a.g), len(b.g)))"""
 
 
-@catalog.query("near_dup_pairs", f"""WITH {_TURNS}, q AS (SELECT * FROM p WHERE sim >= 0.8), e AS (SELECT class, count(*) AS links, max(sim) AS best FROM (SELECT a AS class, sim FROM q UNION ALL SELECT b, sim FROM q) GROUP BY class)
+@catalog.query("near_dup_pairs", f"""WITH {_TURNS}, q AS (SELECT * FROM p WHERE sim >= 0.85), e AS (SELECT class, count(*) AS links, max(sim) AS best FROM (SELECT a AS class, sim FROM q UNION ALL SELECT b, sim FROM q) GROUP BY class)
 SELECT m.id, c.class, coalesce(links, 0) AS links, coalesce(best, 0.0) AS best FROM m JOIN c USING (g) LEFT JOIN e ON e.class = c.class""")
 def near_dup_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """All turns of all conversations: copies as classes, and links between classes that are near each other."""
-    turns = load(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text").where(F.char_length(F.regexp_replace("text", r"[^\p{L}\p{N}]", "")) >= 2)
-    return near_classes(turns, 0.8, "id", "text")
+    """The users' turns of all conversations: copies as classes, and links between classes that are near each other."""
+    turns = load(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text").where(F.char_length(F.regexp_replace("text", r"[^\p{L}\p{N}]", "")) >= 2)
+    return near_classes(turns, 0.85, "id", "text")
+
+
+def copies(items: DataFrame, least: float, run: int, ident: str, text: str) -> DataFrame:
+    """A row for each text: id, class, the smallest id of the texts with the same meaningful characters, runs, how many other
+    classes share a run of characters with it, alike, how many have a bigram similarity of `least`, and best, the highest.
+
+    Only representatives of classes meet: under hashes of runs, and under the rarer bigrams of each.
+    """
+    m = items.select(F.col(ident).alias("id"), meaningful(F.col(text)).alias("t"))
+    reps = m.groupBy("t").agg(F.min("id").alias("class")).withColumn("grams", char_ngrams(F.col("t")))
+    starts = F.transform(F.sequence(F.lit(1), F.char_length("t") - run + 1), lambda i: F.xxhash64(F.substring("t", i, F.lit(run))))
+    runs = reps.where(F.char_length("t") >= run).select("class", F.explode(F.array_distinct(starts)).alias("key"))
+    each = reps.select("class", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    w = Window.partitionBy("class").orderBy("df", "gram")
+    rare = each.join(each.groupBy("gram").agg(F.count("*").alias("df")), "gram").withColumn("i", F.row_number().over(w))
+    rare = rare.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("class", F.xxhash64("gram").alias("key"))
+    met = lambda keys: keys.withColumnRenamed("class", "a").join(keys.withColumnRenamed("class", "b"), "key").where("a < b").select("a", "b").distinct()
+    pairs = met(runs).withColumn("run", F.lit(True)).unionByName(met(rare).withColumn("run", F.lit(False))).groupBy("a", "b").agg(F.max("run").alias("run"))
+    side = lambda s: reps.select(F.col("class").alias(s), F.col("grams").alias(f"g{s}"))
+    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", half_up(jaccard(F.col("ga"), F.col("gb")), 4).alias("sim"), "run").where((F.col("sim") >= least) | F.col("run"))
+    ends = full.unionByName(full.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim", "run")).groupBy(F.col("a").alias("class"))
+    found = ends.agg(F.count_if("run").alias("runs"), F.count_if(F.col("sim") >= least).alias("alike"), F.max("sim").alias("best"))
+    zero = lambda c, z: F.coalesce(c, F.lit(z)).alias(c)
+    return m.join(reps.select("t", "class"), "t").join(found, "class", "left").select("id", "class", zero("runs", 0), zero("alike", 0), zero("best", 0.0))
 
 
 @catalog.query("copy_check", r"""
-WITH m AS (SELECT item_id AS id, t, list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) AS g FROM (SELECT item_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS t FROM benchmark) WHERE length(t) >= 2),
-p AS (SELECT a.id AS a, b.id AS b, FLOOR(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g)))::DOUBLE * 10000 + 0.5) / 10000 AS sim, len(list_filter(range(1, length(a.t) - 16), lambda i: contains(b.t, substr(a.t, i, 18)))) > 0 AS shared_run FROM m a JOIN m b ON a.id < b.id) SELECT a, b, sim, shared_run FROM p WHERE sim >= 0.55 OR shared_run""")
+WITH m AS (SELECT item_id AS id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS t FROM benchmark), c AS (SELECT min(id) AS class, t, list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) AS g FROM m GROUP BY t),
+p AS (SELECT a.class AS a, b.class AS b, FLOOR(len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g)))::DOUBLE * 10000 + 0.5) / 10000 AS sim, len(list_filter(range(1, length(a.t) - 16), lambda i: contains(b.t, substr(a.t, i, 18)))) > 0 AS run FROM c a JOIN c b ON a.class <> b.class),
+e AS (SELECT a AS class, count(*) FILTER (WHERE run) AS runs, count(*) FILTER (WHERE sim >= 0.55) AS alike, max(sim) AS best FROM p WHERE sim >= 0.55 OR run GROUP BY a)
+SELECT m.id, c.class, coalesce(runs, 0) AS runs, coalesce(alike, 0) AS alike, coalesce(best, 0.0) AS best FROM m JOIN c USING (t) LEFT JOIN e ON e.class = c.class""")
 def copy_check(spark: SparkSession, d: str, least: float = 0.55, run: int = 18) -> DataFrame:
-    """Pairs that are alike as a whole, or share a run of characters; what meets are runs, or the rarer grams of each item."""
-    m = load(spark, d, "benchmark").select(F.col("item_id").alias("id"), meaningful(F.col("text")).alias("t")).withColumn("grams", char_ngrams(F.col("t")))
-    runs = m.where(F.char_length("t") >= run).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("t") - run + 1), lambda i: F.xxhash64(F.substring("t", i, F.lit(run)))))).alias("key"))
-    each = m.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    w = Window.partitionBy("id").orderBy("df", "gram")
-    rare = each.join(each.groupBy("gram").agg(F.count("*").alias("df")), "gram").withColumn("i", F.row_number().over(w))
-    rare = rare.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("id", F.xxhash64("gram").alias("key"))
-    met = lambda keys: keys.withColumnRenamed("id", "a").join(keys.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b").distinct()
-    pairs = met(runs).withColumn("shared_run", F.lit(True)).unionByName(met(rare).withColumn("shared_run", F.lit(False))).groupBy("a", "b").agg(F.max("shared_run").alias("shared_run"))
-    side = lambda s: m.select(F.col("id").alias(s), F.col("grams").alias(f"g{s}"))
-    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", half_up(jaccard(F.col("ga"), F.col("gb")), 4).alias("sim"), "shared_run")
-    return full.where((F.col("sim") >= least) | F.col("shared_run"))
+    """Items as classes of copies, and how many other classes they share runs with or are like as a whole."""
+    return copies(load(spark, d, "benchmark"), least, run, "item_id", "text")
 
 
 # ------------------------------------------------------------------------------------ clocks and rates

@@ -126,7 +126,7 @@ def epoch_heuristic(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", instant_of(F.col("n")).cast("timestamp_ntz").alias("at"))
 
 
-LEAKS = {"mail": r"[A-Za-z0-9._]+@[A-Za-z0-9-]+\.[A-Za-z.]+", "url": r"https?://[^\s]+", "ip": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "digits": r"\b[0-9]{13,19}\b", "secret": r"\b[0-9a-f]{40}\b"}
+LEAKS = {"mail": r"[A-Za-z0-9._]+@[A-Za-z0-9-]+\.[A-Za-z.]+", "url": r"https?://[^\s]+", "ip": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", "phone": r"\+?[0-9]{1,3} ?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}", "digits": r"\b[0-9]{13,19}\b", "secret": r"\b[0-9a-f]{40}\b"}
 
 
 @catalog.query("contact_leak", "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}'))::BIGINT AS {k}" for k, p in LEAKS.items()) + " FROM documents WHERE " + " OR ".join(f"regexp_matches(text, '{p}')" for p in LEAKS.values()))
