@@ -132,18 +132,6 @@ def target_area(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@catalog.query("faq_match", """
-WITH q AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM conversations WHERE role = 'user'), x AS (SELECT conv_id, turn, unnest(w) AS w FROM q), f AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS w FROM benchmark),
-h AS (SELECT conv_id, turn, item_id, COUNT(*) AS n FROM x JOIN f USING (w) GROUP BY ALL) SELECT conv_id, turn, arg_min(item_id, (-n, item_id)) AS item_id, MAX(n) AS n FROM h WHERE n >= 2 GROUP BY conv_id, turn""")
-def faq_match(spark: SparkSession, d: str) -> DataFrame:
-    """The answer that shares most words with a question, two at least."""
-    words = lambda t: F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), 0))).alias("w")
-    x = load(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", words("text"))
-    f = load(spark, d, "benchmark").select("item_id", words("text"))
-    h = x.join(f, "w").groupBy("conv_id", "turn", "item_id").agg(F.count("*").alias("n")).where("n >= 2")
-    return h.groupBy("conv_id", "turn").agg(F.min_by("item_id", F.struct(-F.col("n"), "item_id")).alias("item_id"), F.max("n").alias("n"))
-
-
 @catalog.query("verified_insights", f"WITH i AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'no such words in here' ELSE substr({NORM_SQL}, 5, 20) END AS quote, doc_id % 7 <> 0 AS known FROM documents WHERE doc_id % 2 = 0) SELECT i.doc_id, known AND quote <> '' AND contains({NORM_SQL}, quote) AS verified FROM i JOIN documents USING (doc_id)")
 def verified_insights(spark: SparkSession, d: str) -> DataFrame:
     """Insights whose source is known and has their quote verbatim."""

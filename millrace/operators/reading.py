@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.catalog import Catalog
 from millrace.functions import spans
-from millrace.functions.columns import meaningful
+from millrace.functions.columns import char_ngrams, half_up, meaningful
 from millrace.io import load
 from millrace.operators import signals
 from millrace.operators.dictionary import MOST, clause_spans, pure_praise
@@ -324,3 +324,37 @@ def webhook_leads(spark: SparkSession, d: str) -> DataFrame:
     leads, refused = webhook(c.select(F.to_json(body, {"ignoreNullFields": "false"}).alias("raw")), LEAD_SCHEMA)
     empty = refused.select(F.col("problem").alias("phone"), "rows", F.lit("").alias("name"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("seen"))
     return leads.select("phone", "rows", F.coalesce("name", F.lit("")).alias("name"), "score", F.col("at").alias("seen")).unionByName(empty)
+
+
+# ------------------------------------------------------------------------------------ stored answers
+
+
+def faq_answers(questions: DataFrame, faqs: DataFrame, least: float = 0.34) -> DataFrame:
+    """The columns of questions but their text, with faq and score: the stored question of the same card that is most alike.
+
+    questions: card and text, faqs: card, faq and question. Alike is what two sets of bigrams share over the larger one; less than
+    `least` is no answer, and then there is no row; ties go to the smallest faq. A card has few stored questions.
+    """
+    own = [c for c in questions.columns if c != "text"]
+    asked = questions.withColumn("q_", char_ngrams(F.col("text"))).drop("text")
+    stored = faqs.select("card", "faq", char_ngrams(F.col("question")).alias("s_")).where(F.size("s_") > 0)
+    both = F.size(F.array_intersect("q_", "s_"))
+    met = asked.join(stored, "card").select(*own, "faq", half_up(both / F.greatest(F.size("q_"), F.size("s_"), F.lit(1)), 3).alias("score")).where(F.col("score") >= least)
+    return met.groupBy(*own).agg(F.min(F.struct((-F.col("score")).alias("m"), "faq")).alias("b")).select(*own, "b.faq", (-F.col("b.m")).alias("score"))
+
+
+@catalog.query("faq_match", f"""
+WITH {_READ_SQL}, n AS (SELECT DISTINCT p_name FROM part), q AS (SELECT o_orderkey, thing AS card, 'Is the ' || colour || ' ' || thing || ' in stock?' AS t FROM g WHERE stock UNION ALL SELECT o_orderkey, thing, 'How much is the ' || thing || '?' FROM g WHERE price),
+fq AS (SELECT split_part(p_name, ' ', 2) AS card, 'stock:' || p_name AS faq, 'Is a ' || p_name || ' in stock now?' AS question FROM n UNION ALL SELECT DISTINCT split_part(p_name, ' ', 2), 'price:' || split_part(p_name, ' ', 2), 'And how much is a ' || split_part(p_name, ' ', 2) || ' today?' FROM n),
+e AS (SELECT DISTINCT card, t FROM q), b AS (SELECT x, list_distinct(list_transform(range(1, length(m)), lambda i: substr(m, i, 2))) AS g FROM (SELECT x, regexp_replace(lower(x), '[^a-z0-9]', '', 'g') AS m FROM (SELECT t AS x FROM e UNION SELECT question FROM fq))),
+s AS (SELECT e.card, e.t, faq, floor(len(list_intersect(a.g, c.g)) / greatest(len(a.g), len(c.g))::DOUBLE * 1000 + 0.5) / 1000 AS score FROM e JOIN fq ON fq.card = e.card JOIN b a ON a.x = e.t JOIN b c ON c.x = fq.question),
+k AS (SELECT card, t, arg_min(faq, {{'m': -score, 'f': faq}}) AS faq, max(score) AS score FROM s WHERE score >= 0.34 GROUP BY card, t)
+SELECT o_orderkey, card, faq, score FROM q JOIN k USING (card, t)""")
+def faq_match(spark: SparkSession, d: str) -> DataFrame:
+    """The stored question of the item that each question names, by likeness."""
+    told = signals.messages(spark, d).select("o_orderkey", F.explode(F.regexp_extract_all("text", F.lit(r"(?:Is|How much is) the [^?]*\?"), F.lit(0))).alias("text"))
+    asked = told.select("o_orderkey", F.regexp_extract("text", r"(\w+)(?: in stock)?\?$", 1).alias("card"), "text")
+    part = load(spark, d, "part").select("p_name", F.split("p_name", " ")[1].alias("card"))
+    stock = part.select("card", F.concat(F.lit("stock:"), "p_name").alias("faq"), F.concat(F.lit("Is a "), "p_name", F.lit(" in stock now?")).alias("question"))
+    price = part.select("card", F.concat(F.lit("price:"), "card").alias("faq"), F.concat(F.lit("And how much is a "), "card", F.lit(" today?")).alias("question"))
+    return faq_answers(asked, stock.unionByName(price).distinct())

@@ -140,3 +140,27 @@ def test_recurring_phrases(spark):
     assert len(rows_) == 20 and all(r.df >= 2 and 4 <= len(r.phrase) <= 6 for r in rows_)
     for r in rows_:
         assert not any(r.phrase != q.phrase and r.g == q.g and r.phrase in q.phrase for q in rows_)
+
+
+def test_copies_against_a_loop(spark):
+    import random
+
+    from millrace.operators.lifecycle import copies
+
+    rnd = random.Random(6)
+    base = ["".join(rnd.choice("abcdefgh") for _ in range(30)) for _ in range(4)]
+    texts = [rnd.choice(base) for _ in range(4)] + [b[:20] + "".join(rnd.choice("xyz") for _ in range(10)) for b in base] + [b[::-1] for b in base] + ["".join(rnd.choice("mnop") for _ in range(12)) for _ in range(4)] + ["", "a", "A!"]
+    grams = lambda t: {t[i : i + 2] for i in range(len(t) - 1)} or ({t} if t else set())
+    plain = [t.lower().strip("!") for t in texts]
+    least = {t: plain.index(t) for t in plain}
+    got = {r.id: (r["class"], r.runs, r.alike, r.best) for r in copies(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string"), 0.5, 8, "id", "text").collect()}
+    for i, t in enumerate(plain):
+        runs = alike = 0
+        best = 0.0
+        for u in set(plain) - {t}:
+            run = any(t[k : k + 8] in u for k in range(len(t) - 7))
+            sim = len(grams(t) & grams(u)) / len(grams(t) | grams(u)) if grams(t) and grams(u) else 0.0
+            runs, alike = runs + run, alike + (sim >= 0.5)
+            best = max(best, sim) if run or sim >= 0.5 else best
+        assert got[i][:3] == (least[t], runs, alike) and abs(got[i][3] - best) < 1e-4, t
+    assert sum(g[1] > 0 for g in got.values()) > 3

@@ -61,3 +61,12 @@ def test_budgets(spark):
     }
     got = [tuple(r.b) for r in table(spark, list(cases)).orderBy("i").select(reading.budget(F.col("text")).alias("b")).collect()]
     assert got == list(cases.values())
+
+
+def test_stored_answers(spark):
+    q = spark.createDataFrame([(1, "a", "How long is the range?"), (2, "a", "what colour"), (3, "b", "how long is the range"), (4, None, "how long"), (5, "a", None), (6, "a", "")], "i int, card string, text string")
+    f = spark.createDataFrame([("a", "f2", "how long is the range"), ("a", "f1", "HOW LONG is the range!"), ("a", "f3", "how long is the range of this car in winter, and in summer"), ("b", "f4", "is the range long"), ("b", "f5", "")], "card string, faq string, question string")
+    grams = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    x, y = grams("howlongistherange"), grams("istherangelong")
+    got = {r.i: (r.faq, r.score) for r in reading.faq_answers(q, f).collect()}
+    assert got == {1: ("f1", 1.0), 3: ("f4", int(len(x & y) / max(len(x), len(y)) * 1000 + 0.5) / 1000)}
