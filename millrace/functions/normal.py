@@ -3,7 +3,9 @@
 A normal form is NFKC with case folded (ß is ss) and one space for each run of white space. Offsets count code points.
 """
 
+import re
 import unicodedata
+from collections.abc import Sequence
 from functools import cached_property
 
 import pandas as pd
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: White space, a run of ASCII characters, or a character with what combines with it.
 CLUSTER = regex.compile(r"\s+|[!-~]+(?!\p{M})|\X")
-SIGNS = regex.compile(r"[^\p{L}\p{N}]")
+RUNS, SPACE = re.compile(r"\s\s"), re.compile(r"\s")
 
 
 def folded(text: str) -> str:
@@ -25,9 +27,15 @@ class Mapped:
 
     def __init__(self, raw: str):
         self.raw = raw
+        self.starts: Sequence[int]
+        self.ends: Sequence[int]
+        whole = raw.casefold()
+        if len(whole) == len(raw) and not RUNS.search(raw) and unicodedata.is_normalized("NFKC", raw) and unicodedata.is_normalized("NFKC", whole):
+            # most texts: each character stands for itself
+            self.norm, self.starts, self.ends = SPACE.sub(" ", whole), range(len(raw)), range(1, len(raw) + 1)
+            return
         parts: list[str] = []
-        self.starts: list[int] = []
-        self.ends: list[int] = []
+        self.starts, self.ends = [], []
         for m in CLUSTER.finditer(raw):
             part, start, end = m[0], m.start(), m.end()
             if part.isspace():

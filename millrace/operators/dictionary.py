@@ -15,6 +15,7 @@ import unicodedata
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,8 @@ SPAN = "struct<kind: string, target: string, start: int, end: int, quote: string
 #: Aliases that one automaton may have; a larger table is scanned in parts.
 MOST = 200_000
 JOINERS = re.compile(r"[ \t_-]+")
+#: The joints that a normal form can have.
+JOINTS = np.array([ord(c) for c in " _-"], np.uint32)
 #: What ends a clause, and what makes it a question.
 CLAUSE = re.compile(r"(?:[^.,;:!?\n。，；：！？]|(?<=\d)[.,:](?=\d))+[.,;:!?\n。，；：！？]*")
 ASKS = re.compile(r"[?？]")
@@ -74,8 +77,9 @@ class Matcher:
             yield from ((kind, m[0], None, m.start(), m.end()) for m in pattern.finditer(norm) if m[0])
         if self.empty:
             return
-        places = [i for i, c in enumerate(norm) if c not in " \t_-"]
-        squeezed = "".join(norm[i] for i in places)
+        points = np.frombuffer(norm.encode("utf-32-le", "surrogatepass"), np.uint32)
+        places = np.flatnonzero(~np.isin(points, JOINTS)).tolist()
+        squeezed = norm.replace(" ", "").replace("_", "").replace("-", "")
         for last, (size, entries) in self.automaton.iter(squeezed):
             first = last - size + 1
             start, end = places[first], places[last] + 1
