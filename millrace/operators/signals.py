@@ -162,7 +162,7 @@ LEAKS = {"mail": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "link":
 
 
 #: What a text must hold for a pattern to be looked for at all.
-NEEDS = {"mail": "@", "link": "://", "phone": "("}
+NEEDS = {"mail": "@", "link": "://", "phone": r"\(", "address": "[0-9]", "account": "[0-9]", "secret": "[0-9a-f]{40}"}
 
 
 def compliance(texts: DataFrame, phrases: DataFrame, longest: int = 5_000, marks: int = 4, leaks: dict[str, str] = LEAKS, text: str = "text") -> DataFrame:
@@ -189,7 +189,7 @@ def compliance(texts: DataFrame, phrases: DataFrame, longest: int = 5_000, marks
     if_ = lambda cond: F.when(cond, F.array(F.lit(None).cast("string"))).otherwise(nothing)
     issues = F.concat(
         plain("empty", if_(t.isNull() | ~t.rlike(r"[\p{L}\p{N}]"))),
-        *(plain(code, F.coalesce(F.when(t.contains(NEEDS[code]) if code in NEEDS else t.isNotNull(), F.regexp_extract_all(t, F.lit(ascii_bounds(p)), F.lit(0))), nothing)) for code, p in leaks.items()),
+        *(plain(code, F.coalesce(F.when(t.rlike(NEEDS[code]) if code in NEEDS else t.isNotNull(), F.regexp_extract_all(t, F.lit(ascii_bounds(p)), F.lit(0))), nothing)) for code, p in leaks.items()),
         once(prohibited, "prohibited"), once(absolute, "absolute"), plain("too_long", if_(F.char_length(t) > longest)), plain("punctuation", F.coalesce(F.slice(F.regexp_extract_all(t, F.lit(f"[!?]{{{marks},}}|~{{{marks},}}"), F.lit(0)), 1, 1), nothing)),
     )
     return found.select(*own, issues.alias("issues")).withColumn("passed", F.size("issues") == 0)
