@@ -421,10 +421,14 @@ def style_rules(spark: SparkSession, d: str) -> DataFrame:
 
 @catalog.query("owner_stamp", "SELECT o_orderkey, COALESCE(arg_max(l_suppkey, (l_shipdate, l_linenumber)) FILTER (WHERE l_shipdate <= o_orderdate + INTERVAL 400 DAY), -1) AS owner FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY o_orderkey")
 def owner_stamp(spark: SparkSession, d: str) -> DataFrame:
-    """Conversions with who owned the lead then: the latest touch up to that time."""
+    """Conversions with who owned the lead then: the latest touch up to that time, of equal ones the first as stored, which
+    is what SQL engines that read in order return; so it is the same whatever partitions rows come in."""
     o = load(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate")
-    touched = F.when(F.col("l_shipdate") <= F.col("o_orderdate") + F.expr("interval 400 days"), F.struct("l_shipdate", "l_linenumber"))
-    return o.join(load(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("o_orderkey").agg(F.coalesce(F.max_by("l_suppkey", touched), F.lit(-1)).alias("owner"))
+    l = load(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_shipdate", "l_linenumber", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
+    touched = (F.col("l_shipdate") <= F.col("o_orderdate") + F.expr("interval 400 days")) & F.col("l_suppkey").isNotNull()
+    shipped = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
+    first = F.when(touched, F.struct((-shipped).alias("at"), (-F.col("l_linenumber")).alias("line"), "path", "row"))
+    return o.join(l, F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("o_orderkey").agg(F.coalesce(F.min_by("l_suppkey", first), F.lit(-1)).alias("owner"))
 
 
 @catalog.query("briefing", "WITH n AS (SELECT COUNT(DISTINCT user_id) AS users, COUNT(*) FILTER (WHERE event_type = 'purchase') AS won, COUNT(*) FILTER (WHERE event_type = 'error') AS errors FROM events) SELECT concat_ws(' ', users || ' users,', won || ' purchases.', CASE WHEN errors > 0 THEN errors || ' errors need a look.' END) AS text FROM n")

@@ -164,3 +164,15 @@ def test_copies_against_a_loop(spark):
             best = max(best, sim) if run or sim >= 0.5 else best
         assert got[i][:3] == (least[t], runs, alike) and abs(got[i][3] - best) < 1e-4, t
     assert sum(g[1] > 0 for g in got.values()) > 3
+
+
+def test_owner_of_equal_touches(spark, tmp_path):
+    """Of touches at the same time with the same number the first as stored owns the lead, in whatever order rows are met."""
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    con.execute("create table orders as select i::BIGINT as o_orderkey, timestamp '2000-01-01' as o_orderdate, 'F' as o_orderstatus from range(400) r(i)")
+    con.execute("create table lineitem as select (i % 400)::BIGINT as l_orderkey, CASE WHEN i % 7 > 0 THEN i * 37 % 1009 END::BIGINT as l_suppkey, 1::INTEGER as l_linenumber, timestamp '2000-02-01' + interval 1 hour * (i // 400 % 2) as l_shipdate from range(4000) r(i)")
+    for t in ("orders", "lineitem"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    want = sorted(con.execute(registry.ORACLE_SQL["owner_stamp"]).fetchall())
+    assert sorted(map(tuple, registry.QUERIES["owner_stamp"](spark, str(tmp_path)).collect())) == want
