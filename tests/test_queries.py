@@ -176,3 +176,27 @@ def test_owner_of_equal_touches(spark, tmp_path):
         con.execute(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
     want = sorted(con.execute(registry.ORACLE_SQL["owner_stamp"]).fetchall())
     assert sorted(map(tuple, registry.QUERIES["owner_stamp"](spark, str(tmp_path)).collect())) == want
+
+
+def test_near_links_in_strips(spark, monkeypatch):
+    """Every link between different sets, whatever strips and blocks they fall in and however many grams have no bit."""
+    import random
+
+    from millrace.operators import lifecycle
+
+    monkeypatch.setattr(lifecycle, "STRIP", 40)
+    monkeypatch.setattr(lifecycle, "BLOCK", 16)
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("abcdeéß中文字人口手") for _ in range(rnd.randint(3, 30))) for _ in range(120)]
+    texts += [t[: rnd.randint(2, len(t))] + rnd.choice("xyz") for t in texts]
+    sets = [{t[k : k + 2] for k in range(len(t) - 1)} for t in texts]
+    first = [min(k for k, o in enumerate(sets) if o == s) for s in sets]
+    sim = lambda a, b: int(len(a & b) / len(a | b) * 10_000 + 0.5) / 10_000
+    near = lambda a, b: sim(a, b) >= 0.8 and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) - 1e-9
+    found = {k: [sim(sets[k], sets[o]) for o in set(first) if o != k and near(sets[k], sets[o])] for k in set(first)}
+    want = [(i, k, len(found[k]), max(found[k], default=0.0)) for i, k in enumerate(first)]
+    assert sum(w[2] for w in want) > 40
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for own in (768, 20, 0):
+        monkeypatch.setattr(lifecycle, "OWN", own)
+        assert sorted(map(tuple, lifecycle.near_classes(frame, 0.8, "id", "text").collect())) == want
