@@ -183,17 +183,23 @@ def filter_variants(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------------------------ offers, stock and knowledge
 
 
-def applicable(items: DataFrame, offers: DataFrame) -> DataFrame:
+def applicable(items: DataFrame, offers: DataFrame, parts: int = 64) -> DataFrame:
     """Items with the offers that apply: those of the item, else of its brand, else of all.
 
-    items: item, brand; offers: offer, item, brand (null: not bound to one). Each level is a join of its own key.
+    items: item, brand; offers: offer, item, brand (null: not bound to one). An item's level is found before any pair is made,
+    by whether it, or its brand, has an offer. A brand has many items and many offers: its items are dealt into `parts`, and
+    its offers go to each of them.
     """
-    own = items.join(offers.where("item is not null").select("offer", "item"), "item").select("item", "offer", F.lit(1).alias("level"))
-    brand = items.join(offers.where("item is null and brand is not null").select("offer", "brand"), "brand").select("item", "offer", F.lit(2).alias("level"))
-    everywhere = items.withColumn("one", F.lit(1)).join(offers.where("item is null and brand is null").select("offer", F.lit(1).alias("one")), "one").select("item", "offer", F.lit(3).alias("level"))
-    all_levels = own.unionByName(brand).unionByName(everywhere)
-    best = all_levels.groupBy("item").agg(F.min("level").alias("level"))
-    return all_levels.join(best, ["item", "level"])
+    one = offers.where("item is not null").select("offer", "item")
+    brand = offers.where("item is null and brand is not null").select("offer", "brand")
+    every = offers.where("item is null and brand is null").select("offer", F.lit(1).alias("one"))
+    level = lambda rows, n: rows.select("item", "offer", F.lit(n).alias("level"))
+    copied = lambda rows: rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    rest = items.join(one.select("item").distinct(), "item", "left_anti").withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int"))
+    branded = rest.join(copied(brand), ["brand", "part"])
+    named = rest.join(copied(brand.select("brand").distinct()), ["brand", "part"], "left_semi").select("item")
+    plain = rest.join(named, "item", "left_anti").withColumn("one", F.lit(1)).join(copied(every), ["one", "part"])
+    return level(items.join(one, "item"), 1).unionByName(level(branded, 2)).unionByName(level(plain, 3))
 
 
 OFFERS_SQL = "o AS (SELECT s_suppkey AS offer, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey END AS item, CASE WHEN s_suppkey % 3 = 1 THEN 'Brand#' || (s_suppkey % 20) END AS brand FROM supplier WHERE s_suppkey % 3 < 2 OR s_suppkey IN (2, 5))"

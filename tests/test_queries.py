@@ -200,3 +200,30 @@ def test_near_links_in_strips(spark, monkeypatch):
     for own in (768, 20, 0):
         monkeypatch.setattr(lifecycle, "OWN", own)
         assert sorted(map(tuple, lifecycle.near_classes(frame, 0.8, "id", "text").collect())) == want
+
+
+def test_ranks_of_nations(spark):
+    """What is ranked are a few suppliers for each nation and last digit, not for each customer."""
+    from millrace.operators.scoring import candidates
+
+    rows = candidates(spark, SF).groupBy("c_nationkey", "digit").count().collect()
+    assert len(rows) <= 250 and max(r["count"] for r in rows) <= 80
+
+
+def test_offers_of_one_brand(spark):
+    """A brand's items are dealt out, and each row has its item's own level, repeated items included."""
+    from millrace.operators.catalogues import applicable
+
+    items = [(i, "b") for i in range(300)] + [(7, "none"), (300, "none"), (300, "none"), (301, None)]
+    offers = [(1, None, "b"), (2, None, "b"), (3, 5, None), (4, None, None), (5, 300, None)]
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = applicable(spark.createDataFrame(items, "item long, brand string"), spark.createDataFrame(offers, "offer long, item long, brand string")).withColumn("at", F.spark_partition_id()).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    want = [(i, o, 2) for i in range(300) if i != 5 for o in (1, 2)] + [(5, 3, 1), (300, 5, 1), (300, 5, 1), (301, 4, 3)]
+    assert sorted((r["item"], r["offer"], r["level"]) for r in got) == sorted(want)
+    assert len({r["at"] for r in got if r["level"] == 2}) > 1
