@@ -10,20 +10,23 @@ from pyspark.sql import functions as F
 
 from millrace.catalog import Catalog
 from millrace.functions import spans
-from millrace.io import load
+from millrace.io import load, shared_folder
 from millrace.operators.dictionary import clause_spans
 
 catalog = Catalog()
 QUERIES, ORACLE_SQL = catalog.queries, catalog.sql
 
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
-#: Patterns of claims in the normal form; the parts of each begin with different characters, so none is tried twice.
+#: The rest of a number after its first digit.
+MORE = r"[\d,]*(?:\.\d+)?"
+#: Patterns of claims in the normal form; the parts of each begin with different characters, so none is tried twice. What may not
+#: stand before is asked after the first sign, so that places without a digit are passed over at once.
 KINDS = {
-    "money": rf"[$€£]\s?{NUMBER}k?|(?<![\d.$€£]){NUMBER}k?\s?(?:dollars?|euros?|pounds?|usd|eur|gbp)(?!\w)",
-    "rate": rf"(?<![\d.]){NUMBER}\s?(?:%|percent|per cent)",
-    "term": r"(?<![\d.])\d+[\s-]?(?:days?|weeks?|months?|years?)(?!\w)",
-    "stock": r"(?<![\d.])\d+\s(?:in stock|left|pieces|units)(?!\w)",
-    "date": r"(?<!\d)\d{4}-\d{2}-\d{2}(?!\d)",
+    "money": rf"[$€£\d](?:(?<=[$€£])\s?{NUMBER}k?|(?<=\d)(?<![\d.$€£]\d){MORE}k?\s?(?:dollars?|euros?|pounds?|usd|eur|gbp)(?!\w))",
+    "rate": rf"\d(?<![\d.]\d){MORE}\s?(?:%|percent|per cent)",
+    "term": r"\d(?<![\d.]\d)\d*[\s-]?(?:days?|weeks?|months?|years?)(?!\w)",
+    "stock": r"\d(?<![\d.]\d)\d*\s(?:in stock|left|pieces|units)(?!\w)",
+    "date": r"\d(?<!\d\d)\d{3}-\d{2}-\d{2}(?!\d)",
 }
 # Days that a unit of time counts for.
 DAYS = {"day": 1, "week": 7, "month": 30, "year": 365}
@@ -68,7 +71,10 @@ def verify(said: DataFrame, facts: DataFrame, at: str) -> DataFrame:
     `contradicted` - what holds says otherwise; `unknown` - nothing that holds is known. Claims are kept, each once.
     """
     day = F.to_date(F.col(at))
-    rows = said
+    # claims are met several times below: they are written once, so that texts are read once
+    spark, folder = said.sparkSession, shared_folder(said.sparkSession)
+    said.write.parquet(folder)
+    rows = spark.read.schema(said.schema).parquet(folder)
     distinct = rows.select("subject", "kind", "value", day.alias("day")).distinct()
     f = facts.select("subject", "kind", "value", F.coalesce(F.col("first"), F.lit("0001-01-01").cast("date")).alias("first"), F.coalesce(F.col("last"), F.lit("9999-12-31").cast("date")).alias("last"), "ref")
     holds = (F.col("day") >= F.col("first")) & (F.col("day") < F.col("last"))

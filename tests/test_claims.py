@@ -44,3 +44,19 @@ def test_verdicts_against_a_loop(spark):
         kinds.add(want[0])
     assert kinds == {"supported", "expired", "contradicted", "unknown"} and len(got) == len(said)
     assert claims.verify(c.limit(0), f, "day").count() == 0 and {r.verdict for r in claims.verify(c, f.limit(0), "day").collect()} == {"unknown"}
+
+
+def test_claims_are_made_once(spark):
+    """However often verify meets the claims, what they are made of runs once for each text."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    said = spark.range(5).selectExpr("'a' as subject", "'stock' as kind", "id as value", "date'2020-01-01' as day", "id as n")
+    said = said.mapInArrow(seen, said.schema)
+    facts = spark.createDataFrame([("a", "stock", 3, None, None, 7)], "subject string, kind string, value long, first date, last date, ref long")
+    got = {r.n: (r.verdict, r.ref) for r in claims.verify(said, facts, "day").collect()}
+    assert got == {n: ("supported", 7) if n == 3 else ("contradicted", None) for n in range(5)} and runs.value == 5
