@@ -5,7 +5,8 @@ has passed them, a timer wakes the key up then, and what falls due in between -
 at its time. The same fold over sorted rows gives the batch result, in constant memory for each key.
 """
 
-from collections.abc import Callable, Iterator
+import json
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -125,8 +126,14 @@ def plain(x: Any) -> Any:
     return None if x is None or x is pd.NaT or isinstance(x, float) and x != x else x.item() if hasattr(x, "item") else x
 
 
+def plain_rows(frame: pd.DataFrame, names: list[str]) -> Iterator[tuple]:
+    """Rows of a frame as tuples of Python values, read column by column."""
+    return zip(*([plain(x) for x in frame[c].tolist()] for c in names), strict=True)
+
+
 def records(frame: pd.DataFrame) -> list[dict]:
-    return [{k: plain(v) for k, v in r.items()} for r in frame.to_dict("records")]
+    names = list(frame.columns)
+    return [dict(zip(names, r, strict=True)) for r in plain_rows(frame, names)]
 
 
 class Folder(StatefulProcessor):
@@ -138,29 +145,38 @@ class Folder(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", self.fold.state)
-        self.waiting = handle.getListState("waiting", f"at long, seq long, {self.fold.columns}")
+        self.waiting = handle.getListState("waiting", "rows string")  # a value for the rows of a micro-batch, as each value costs a call
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = [tuple(r[c] for c in self.names) for frame in rows for r in records(frame[self.names].astype(object))]
-        if new:
-            self.waiting.appendList(new)
-        yield from self.worked_off(key, timerValues)
+        new = [row for frame in rows for row in plain_rows(frame, self.names)]
+        mark = timerValues.getCurrentWatermarkInMs()
+        if new and min(r[0] for r in new) // 1000 > mark:
+            # none is due: they wait, and what is due without them has a timer of its own
+            self.waiting.appendValue((json.dumps(new),))
+            wakes = [t for t in self.handle.listTimers() if t > mark]
+            first = min(r[0] for r in new) // 1000
+            if not wakes or first < min(wakes):
+                for t in wakes:
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(first)
+            return
+        yield from self.worked_off(key, timerValues, new)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         yield from self.worked_off(key, timerValues)
 
-    def worked_off(self, key: Any, timers: Any) -> Iterator[pd.DataFrame]:
+    def worked_off(self, key: Any, timers: Any, new: Sequence[tuple] = ()) -> Iterator[pd.DataFrame]:
         mark = timers.getCurrentWatermarkInMs()
-        waiting = sorted((dict(zip(self.names, r, strict=True)) for r in self.waiting.get()), key=lambda r: (r["at"], r["seq"]))
+        waiting = sorted((dict(zip(self.names, r, strict=True)) for r in (*(r for own in self.waiting.get() for r in json.loads(own[0])), *new)), key=lambda r: (r["at"], r["seq"]))
         ripe = [r for r in waiting if r["at"] // 1000 <= mark]
         names = [c.split()[0] for c in self.fold.state.split(", ")]
         state = dict(zip(names, self.state.get(), strict=True)) if self.state.exists() else dict(self.fold.start)
         before = dict(state)
         state = self.fold.rows(state, ripe, (mark + 1) * 1000 - 1 if mark > 0 else None)
-        if ripe:
+        if ripe or new:
             left = [tuple(r[c] for c in self.names) for r in waiting[len(ripe) :]]
             if left:
-                self.waiting.put(left)
+                self.waiting.put([(json.dumps(left),)])
             else:
                 self.waiting.clear()
         due = [waiting[len(ripe)]["at"] // 1000] if len(waiting) > len(ripe) else []
@@ -196,7 +212,7 @@ def folded(rows: DataFrame, fold: Fold, until: int | None) -> DataFrame:
         key, state = None, None
         out: list[dict] = []
         for frame in frames:
-            for r in records(frame.astype(object)):
+            for r in records(frame):
                 if state is None or r["key"] != key:
                     if state is not None:
                         out.append({"key": key, **fold.rows(state, [], until)})

@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 
@@ -67,3 +68,67 @@ def test_fold_of_nothing(spark):
     assert desks.folded(empty, desks.APPOINTMENTS, None).count() == 0
     one = spark.createDataFrame([("a", 1, 1, None, None), (None, 1, 1, "propose", None)], empty.schema)
     assert sorted((str(r.key), r.status) for r in desks.folded(one, desks.APPOINTMENTS, 5).collect()) == [("None", "proposed"), ("a", "none")]
+
+
+class Held:
+    """A list state, value state or handle of one key, in memory."""
+
+    def __init__(self):
+        self.values, self.timers, self.calls = [], set(), 0
+
+    def get(self):
+        return list(self.values) if not self.values or isinstance(self.values[0], tuple) else tuple(self.values)
+
+    def exists(self):
+        return bool(self.values)
+
+    def appendValue(self, value):  # noqa: N802
+        self.values.append(value)
+        self.calls += 1
+
+    def appendList(self, values):  # noqa: N802
+        self.values.extend(values)
+        self.calls += len(values)
+
+    def put(self, values):
+        self.values = list(values)
+        self.calls += len(values)
+
+    def update(self, value):
+        self.values = list(value)
+
+    def clear(self):
+        self.values = []
+
+    def listTimers(self):  # noqa: N802
+        return list(self.timers)
+
+    def deleteTimer(self, t):  # noqa: N802
+        self.timers.discard(t)
+
+    def registerTimer(self, t):  # noqa: N802
+        self.timers.add(t)
+
+
+class Mark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.ms
+
+
+def test_rows_that_wait_are_one_value():
+    folder = desks.Folder(desks.APPOINTMENTS, ["at", "seq", "event", "due"])
+    folder.handle, folder.state, folder.waiting = Held(), Held(), Held()
+    frame = pd.DataFrame([(k * H, k, ["propose", "confirm", None][k % 3], (k + 1) * H) for k in range(1, 41)], columns=folder.names)
+    assert list(folder.handleInputRows(("a",), iter([frame.iloc[20:], frame.iloc[:20]]), Mark(0))) == []
+    assert folder.waiting.calls == 1 and folder.handle.timers == {H // 1000}
+    out = list(folder.handleExpiredTimer(("a",), Mark(20 * H // 1000), None))[0].iloc[0]
+    rows = [{"at": r.at_, "seq": r.seq, "event": r.event, "due": r.due} for r in frame.rename(columns={"at": "at_"}).itertuples()]
+    want = fold(desks.APPOINTMENTS, rows[:20], 20 * H + 999)
+    assert (out.status, out.due, out.proposals, out.missed, out.refused) == tuple(want.values()) and folder.waiting.calls == 2
+    late = pd.DataFrame([(19 * H, 99, "propose", 30 * H), (50 * H, 100, "visit", 51 * H)], columns=folder.names)
+    list(folder.handleInputRows(("a",), iter([late]), Mark(20 * H // 1000)))
+    out = list(folder.handleExpiredTimer(("a",), Mark(60 * H // 1000), None))[0].iloc[0]
+    assert folder.waiting.values == [] and out.proposals == sum(r["event"] == "propose" for r in rows) + 1
