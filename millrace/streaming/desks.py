@@ -26,6 +26,8 @@ QUERIES, ORACLE_SQL = catalog.queries, catalog.sql
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HOUR, SECOND = 3_600_000_000, 1_000_000
+#: Groups that the keys of a stream are dealt into, and rows or states in one value of a group's state.
+GROUPS, CHUNK = 4_096, 1_000
 
 # What may follow what. An event that isn't listed for a state is refused and changes nothing.
 LEGAL: dict[tuple[str, str], str] = {
@@ -194,12 +196,106 @@ class Folder(StatefulProcessor):
         pass
 
 
-def folded_stream(rows: DataFrame, fold: Fold, delay: str = "1 hour") -> DataFrame:
-    """Streaming: key and its state, each time it changes. rows: key, ts, at (ts in microseconds), seq and the fold's columns."""
+class GroupFolder(StatefulProcessor):
+    """The same for keys that are dealt into groups. A group's rows and states are values of its own state, so that calls of
+    the state, which cost far more than a row's fold, grow with the groups that a micro-batch meets and not with its keys.
+
+    Rows come as JSON, as they wait.
+    """
+
+    def __init__(self, fold: Fold):
+        self.fold = fold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.states = handle.getListState("states", "states string")  # of up to CHUNK keys each
+        self.waiting = handle.getListState("waiting", "rows string")  # up to CHUNK rows each
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark, first = timerValues.getCurrentWatermarkInMs(), None
+        for frame in rows:
+            for texts in chunks(frame["row"].tolist()):
+                self.waiting.appendValue((f"[{','.join(texts)}]",))
+            least = int(frame["at"].min()) // 1000
+            first = least if first is None else min(first, least)
+        if first is not None and first <= mark:
+            yield from self.worked_off(timerValues)
+        elif first is not None:
+            self.wake(first, mark, False)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield from self.worked_off(timerValues)
+
+    def wake(self, at: int | None, mark: int, replace: bool) -> None:
+        """One timer to come: the earliest, or the new one if it replaces what was set."""
+        wakes = [t for t in self.handle.listTimers() if t > mark]
+        if not replace and wakes and min(wakes) <= at:
+            return
+        for t in wakes:
+            self.handle.deleteTimer(t)
+        if at is not None:
+            self.handle.registerTimer(max(at, mark + 1))
+
+    def worked_off(self, timers: Any) -> Iterator[pd.DataFrame]:
+        mark = timers.getCurrentWatermarkInMs()
+        until = (mark + 1) * 1000 - 1 if mark > 0 else None
+        ripe: dict[Any, list[dict]] = {}
+        left = []
+        for (texts,) in self.waiting.get():
+            for r in json.loads(texts):
+                if r["at"] // 1000 <= mark:
+                    ripe.setdefault(r.pop("key"), []).append(r)
+                else:
+                    left.append(r)
+        states = {key: state for (own,) in self.states.get() for key, state in json.loads(own)}
+        changed = []
+        for key in dict.fromkeys([*states, *ripe]):
+            state = dict(states.get(key) or self.fold.start)
+            own = sorted(ripe.get(key, ()), key=lambda r: (r["at"], r["seq"]))
+            state = self.fold.rows(state, own, until)
+            if own or state != states[key]:
+                states[key] = state
+                changed.append({"key": key, **state})
+        if ripe:
+            self.kept(self.waiting, left)
+        if changed:
+            self.kept(self.states, list(states.items()))
+        due = [x // 1000 for x in (*(r["at"] for r in left), *map(self.fold.due, states.values())) if x is not None]
+        self.wake(min(due, default=None), mark, True)
+        if changed:
+            yield pd.DataFrame(changed, dtype=object)  # whole numbers beside null stay whole
+
+    @staticmethod
+    def kept(state: Any, values: list) -> None:
+        if values:
+            state.put([(json.dumps(own),) for own in chunks(values)])
+        else:
+            state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def chunks(values: list) -> Iterator[list]:
+    return (values[i : i + CHUNK] for i in range(0, len(values), CHUNK))
+
+
+def folded_stream(rows: DataFrame, fold: Fold, delay: str = "1 hour", groups: int | None = GROUPS) -> DataFrame:
+    """Streaming: key and its state, each time it changes. rows: key, ts, at (ts in microseconds), seq and the fold's columns.
+
+    Keys are numbers or strings and share the state of one of so many groups. None gives each key a state of its own, for
+    micro-batches that meet few of very many keys.
+    """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     names = ["at", "seq", *(c.split()[0] for c in fold.columns.split(", "))]
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.withWatermark("ts", delay).groupBy("key").transformWithStateInPandas(Folder(fold, names), StructType.fromDDL(f"key {kind}, {fold.state}"), "Update", "EventTime")
+    out = StructType.fromDDL(f"key {rows.schema['key'].dataType.simpleString()}, {fold.state}")
+    marked = rows.withWatermark("ts", delay)
+    if groups is None:
+        return marked.groupBy("key").transformWithStateInPandas(Folder(fold, names), out, "Update", "EventTime")
+    values = [F.when(~F.isnan(c), F.col(c)).alias(c) if rows.schema[c].dataType.simpleString() in ("double", "float") else F.col(c) for c in ("key", *names)]
+    row = F.to_json(F.struct(*values), {"ignoreNullFields": "false"})
+    dealt = marked.select(F.pmod(F.hash("key"), F.lit(groups)).alias("group"), "ts", "at", row.alias("row"))
+    return dealt.groupBy("group").transformWithStateInPandas(GroupFolder(fold), out, "Update", "EventTime")
 
 
 def folded(rows: DataFrame, fold: Fold, until: int | None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Appointments and messages: streams that arrive out of order, replays, and timers equal the fold over sorted rows."""
 
+import json
 import random
 
 import pandas as pd
@@ -132,3 +133,51 @@ def test_rows_that_wait_are_one_value():
     list(folder.handleInputRows(("a",), iter([late]), Mark(20 * H // 1000)))
     out = list(folder.handleExpiredTimer(("a",), Mark(60 * H // 1000), None))[0].iloc[0]
     assert folder.waiting.values == [] and out.proposals == sum(r["event"] == "propose" for r in rows) + 1
+
+
+def test_calls_of_the_state_are_a_groups():
+    """Keys dealt into a group share its timer and the calls of its state; each of them ends as its own fold does."""
+    rnd = random.Random(7)
+    rows = [{"key": rnd.choice([None, *range(2**53, 2**53 + 300)]), "at": rnd.randrange(1, 400) * H // 4, "seq": i, "event": rnd.choice(["propose", "confirm", "visit", "cancel", None]), "due": rnd.randrange(120) * H} for i in range(2_500)]
+    folder = desks.GroupFolder(desks.APPOINTMENTS)
+    folder.handle, folder.states, folder.waiting = Held(), Held(), Held()
+    frames = lambda own: iter([pd.DataFrame({"at": [r["at"] for r in part], "row": [json.dumps(r) for r in part]}) for part in (own[:1_700], own[1_700:]) if part])
+    assert list(folder.handleInputRows((0,), frames(rows[:2_400]), Mark(0))) == []
+    assert folder.waiting.calls == 3 and folder.states.calls == 0 and folder.handle.timers == {min(r["at"] for r in rows[:2_400]) // 1000}
+    got = {}
+
+    def taken(out, mark):
+        for frame in out:
+            got.update({r["key"]: {k: r[k] for k in desks.APPOINTMENTS.start} for r in frame.to_dict("records")})
+        folder.handle.timers = {t for t in folder.handle.timers if t > mark}  # Spark drops those that are past
+
+    marks = [20 * H // 1000, 60 * H // 1000, 130 * H // 1000]
+    taken(folder.handleExpiredTimer((0,), Mark(marks[0]), None), marks[0])
+    assert folder.handle.timers and len(folder.waiting.values) <= 3 and len(folder.states.values) == 1
+    late = [{**r, "at": 70 * H} for r in rows[2_400:2_450]] + [{**r, "at": 21 * H} for r in rows[2_450:]]
+    taken(folder.handleInputRows((0,), frames(late), Mark(marks[1])), marks[1])  # some are due at once
+    for mark in marks[1:]:
+        taken(folder.handleExpiredTimer((0,), Mark(mark), None), mark)
+    all_ = rows[:2_400] + late
+    until = marks[-1] * 1000 + 999
+    want = {k: fold(desks.APPOINTMENTS, [r for r in all_ if r["key"] == k], until) for k in {r["key"] for r in all_}}
+    assert got == want and folder.waiting.values == [] and folder.handle.timers == set() and sum(s["missed"] for s in want.values()) > 50
+
+
+def test_groups_don_t_change_the_stream(spark, tmp_path):
+    rnd = random.Random(11)
+    rows, t = [], 1_700_000_000_000_000
+    for i in range(200):
+        t += rnd.randrange(40) * desks.SECOND
+        rows.append((rnd.choice([None, "a", "b", 'c"\\é', ""]), t, i, rnd.choice("uvw"), rnd.choice([None, "x", "y"]), None, None, rnd.choice([None, "s"]), rnd.choice([0.88, 1.0, 0.1]), rnd.random() < 0.01))
+    schema = "key string, at long, seq long, digest string, place string, colour string, item string, stage string, strength double, negative boolean"
+    made = lambda own: spark.createDataFrame(own, schema).withColumn("ts", F.timestamp_micros("at"))
+    for k in range(0, 200, 50):
+        made(rows[k : k + 50]).coalesce(1).write.parquet(f"{tmp_path}/in/{k:03}")
+    names = ["key", "at", "seq", *(c.split()[0] for c in desks.MESSAGES.columns.split(", "))]
+    own = [dict(zip(names, r, strict=True)) for r in rows]
+    want = {k: fold(desks.MESSAGES, [r for r in own if r["key"] == k]) for k in {r["key"] for r in own}}
+    for groups in (2, None):
+        stream = event_stream(spark, f"{tmp_path}/in/*", made(rows).schema, 2)
+        last = desks.last_state(written_to_end(desks.folded_stream(stream, desks.MESSAGES, "0 seconds", groups), "update"), desks.MESSAGES)
+        assert {r.key: {k: r[k] for k in desks.MESSAGES.start} for r in last.collect()} == want, groups
