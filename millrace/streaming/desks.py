@@ -390,7 +390,7 @@ SELECT o_custkey, count(*) FILTER (WHERE heard) AS messages, (SELECT count(*) FR
 def inbound_messages(spark: SparkSession, d: str) -> DataFrame:
     """Threads of customers as a stream of their messages leaves them: repeats dropped, slots filled, refusals kept."""
     schema = load(spark, d, "orders").schema
-    stream = event_stream(spark, f"{d}/order[s].parquet", schema, 100)
+    stream = event_stream(spark, f"{d}/order[s].parquet", schema, None)
     changes = written_to_end(folded_stream(message_rows(spark, d, stream), MESSAGES, "0 seconds"), "update")
     s = last_state(changes, MESSAGES)
     return s.select(F.col("key").alias("o_custkey"), "messages", "repeats", "handed_off", F.col("refused_at").isNotNull().alias("refused"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("place", "colour", "item", "stage")))

@@ -21,9 +21,13 @@ QUERIES, ORACLE_SQL = catalog.queries, catalog.sql
 DEPTH = {"view": 0, "click": 1, "signup": 2, "purchase": 3}
 
 
-def event_stream(spark: SparkSession, folder: str, schema: StructType, files: int = 1) -> DataFrame:
-    """The Parquet files of a folder, some in each micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
+def event_stream(spark: SparkSession, folder: str, schema: StructType, files: int | None = 1) -> DataFrame:
+    """The Parquet files of a folder, some in each micro-batch; None: all that are there in one.
+
+    A table's files are in no order of time, so under a watermark those of a later micro-batch would be late: tables take one.
+    """
+    stream = spark.readStream.schema(schema)
+    return (stream if files is None else stream.option("maxFilesPerTrigger", files)).parquet(folder)
 
 
 def without_repeats(events: DataFrame, delay: str = "7 days") -> DataFrame:
@@ -67,7 +71,7 @@ def written_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = load(spark, sf_dir, "events").schema
-    stream = event_stream(spark, f"{sf_dir}/event[s].parquet", schema, 100)  # a pattern, so that it may be one file or a folder
+    stream = event_stream(spark, f"{sf_dir}/event[s].parquet", schema, None)  # a pattern, so that it may be one file or a folder
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
