@@ -432,7 +432,7 @@ def owner_stamp(spark: SparkSession, d: str) -> DataFrame:
     o = load(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate")
     l = load(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_shipdate", "l_linenumber", F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
     touched = (F.col("l_shipdate") <= F.col("o_orderdate") + F.expr("interval 400 days")) & F.col("l_suppkey").isNotNull()
-    shipped = F.unix_micros(F.col("l_shipdate").cast("timestamp"))
+    shipped = F.expr("l_shipdate - timestamp_ntz'1970-01-01'")  # as written, whatever the session's time zone
     first = F.when(touched, F.struct((-shipped).alias("at"), (-F.col("l_linenumber")).alias("line"), "path", "row"))
     return o.join(l, F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("o_orderkey").agg(F.coalesce(F.min_by("l_suppkey", first), F.lit(-1)).alias("owner"))
 

@@ -178,6 +178,22 @@ def test_owner_of_equal_touches(spark, tmp_path):
     assert sorted(map(tuple, registry.QUERIES["owner_stamp"](spark, str(tmp_path)).collect())) == want
 
 
+def test_owner_in_any_time_zone(spark, tmp_path):
+    """Touches are put in order as written: an hour that the session's time zone skips comes before the next one."""
+    con = duckdb.connect()
+    con.execute("create table orders as select i::BIGINT as o_orderkey, timestamp '2000-03-01' as o_orderdate, 'F' as o_orderstatus from range(8) r(i)")
+    con.execute("create table lineitem as select i::BIGINT as l_orderkey, k::BIGINT as l_suppkey, 1::INTEGER as l_linenumber, timestamp '2000-03-26 01:00:00' + interval 1 minute * ((i + k) * 45 % 240) as l_shipdate from range(8) r(i), range(3) s(k)")
+    for t in ("orders", "lineitem"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    want, held = sorted(con.execute(registry.ORACLE_SQL["owner_stamp"]).fetchall()), spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        got = sorted(map(tuple, registry.QUERIES["owner_stamp"](spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", held)
+    assert got == want
+
+
 def test_near_links_in_strips(spark, monkeypatch):
     """Every link between different sets, whatever strips and blocks they fall in and however many grams have no bit."""
     import random
