@@ -188,18 +188,23 @@ def applicable(items: DataFrame, offers: DataFrame, parts: int = 64) -> DataFram
 
     items: item, brand; offers: offer, item, brand (null: not bound to one). An item's level is found before any pair is made,
     by whether it, or its brand, has an offer. A brand has many items and many offers: its items are dealt into `parts`, and
-    its offers go to each of them.
+    its offers go to each of them. All sides grow with the tables, and the copies are more than a size check before they are
+    made can see, so they are merged: none goes through the driver.
     """
     one = offers.where("item is not null").select("offer", "item")
     brand = offers.where("item is null and brand is not null").select("offer", "brand")
-    every = offers.where("item is null and brand is null").select("offer", F.lit(1).alias("one"))
+    every = offers.where("item is null and brand is null").select("offer")
     level = lambda rows, n: rows.select("item", "offer", F.lit(n).alias("level"))
     copied = lambda rows: rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    rest = items.join(one.select("item").distinct(), "item", "left_anti").withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int"))
-    branded = rest.join(copied(brand), ["brand", "part"])
-    named = rest.join(copied(brand.select("brand").distinct()), ["brand", "part"], "left_semi").select("item")
-    plain = rest.join(named, "item", "left_anti").withColumn("one", F.lit(1)).join(copied(every), ["one", "part"])
-    return level(items.join(one, "item"), 1).unionByName(level(branded, 2)).unionByName(level(plain, 3))
+    # more tasks than parts, in a fixed number: what comes in is small beside the pairs that come out
+    dealt = lambda rows, *by: rows.repartition(2 * parts, *by).hint("merge")
+    rest = items.join(one.select("item").distinct().hint("merge"), "item", "left_anti").withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)).cast("int"))
+    own = dealt(rest, "brand", "part")
+    branded = own.join(dealt(copied(brand), "brand", "part"), ["brand", "part"])
+    named = own.join(dealt(copied(brand.select("brand").distinct()), "brand", "part"), ["brand", "part"], "left_semi").select("item")
+    plain = rest.join(named.hint("merge"), "item", "left_anti")
+    general = dealt(plain, "part").join(dealt(copied(every), "part"), "part")
+    return level(items.join(one.hint("merge"), "item"), 1).unionByName(level(branded, 2)).unionByName(level(general, 3))
 
 
 OFFERS_SQL = "o AS (SELECT s_suppkey AS offer, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey END AS item, CASE WHEN s_suppkey % 3 = 1 THEN 'Brand#' || (s_suppkey % 20) END AS brand FROM supplier WHERE s_suppkey % 3 < 2 OR s_suppkey IN (2, 5))"

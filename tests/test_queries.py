@@ -243,3 +243,12 @@ def test_offers_of_one_brand(spark):
     want = [(i, o, 2) for i in range(300) if i != 5 for o in (1, 2)] + [(5, 3, 1), (300, 5, 1), (300, 5, 1), (301, 4, 3)]
     assert sorted((r["item"], r["offer"], r["level"]) for r in got) == sorted(want)
     assert len({r["at"] for r in got if r["level"] == 2}) > 1
+
+
+def test_no_offer_goes_through_the_driver(spark):
+    """Copies of offers and the items of brands grow with the tables: no join broadcasts them, however small the files look."""
+    df = registry.QUERIES["offer_applicability"](spark, SF)
+    plan = lambda: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan()
+    rows = df.collect()
+    assert rows and "Broadcast" not in plan()
